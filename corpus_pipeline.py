@@ -1,21 +1,73 @@
-"""Corpus preparation: documents to packed token sequences, in stages that are each stored and read again."""
+"""Corpus preparation: documents to packed token sequences.
+
+Stages, each stored as Parquet and read again by the next:
+
+1. quality: co-trained classifier; documents that it rejects go.
+2. near_dedup: SimHash components; one document of each, the one with the smallest doc_id, stays. Rows without a doc_id can't be told
+   apart from their copies by it and stay.
+3. substring_dedup: passages of 20 words or more that occurred earlier are cut out; documents of which nothing is left go.
+4. decontaminate: documents with a twentieth of their words in benchmark passages go; from others such passages are cut out.
+5. packing: pieces of documents in sequences of at most 2048 tokens.
+
+All but the last return the columns they were given; text and n_chars follow the cuts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import decontaminate, packing, quality, simhash, substring
+from quillspark.llm.common import stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).where("keep").select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(docs)
+    copies = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
+    kept = {"text": F.col(text), "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
+    return docs.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in columns])
+
+
+def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = substring.dedup_substrings(docs)
+    return _with_text(cut.where("n_removed = 0 or n_removed < n_words"), "kept_text", docs.columns)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), cleaned=True)
+    return _with_text(hits.where("not contaminated"), "clean_text", docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
 
-from quillspark.llm.common import stored
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("packing", packing_stage),
+]
 
-#: A trained classifier, fingerprints and a tokenizer are beyond SQL; the tests hold run() against brute force.
+#: A trained classifier, XXH64 fingerprints and a tokenizer are beyond SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, from documents to packed pieces."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
     return docs
