@@ -1,11 +1,8 @@
-"""Registry of the engine's queries over the driver tables, each with the SQL that must give the same rows."""
+"""The engine's queries over the driver tables, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillspark.plans import relations, segmentation  # noqa: F401  (registers its queries)
+from quillspark.plans.registry import QUERIES, SQL  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "ret_context"
+FLAGSHIP = "seg_02_paragraph_blocks"
