@@ -1,7 +1,7 @@
 """Token ids of whole texts with a public tokenizer file, as little-endian unsigned 32-bit values.
 
 Most time in a BPE encoder goes into words it has met before. ``Encoder`` therefore keeps the ids of white-space-separated pieces (a
-bounded number of them) and asks the tokenizer only for new ones, many at once. Its ids equal those of
+bounded number of them) and asks the tokenizer only for new ones, by their letters and their signs. Its ids equal those of
 encoding the whole text: the tokenizer's rules never look across white space, which they drop, and a text with a string that may
 be a special token, or a tokenizer of another make, goes to the tokenizer whole.
 """
@@ -11,12 +11,16 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 #: A run of small letters without marks to combine, then ASCII signs other than the apostrophe (which begins contractions).
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_SMALL = {c: c + 32 for c in range(0xC0, 0xDF) if c != 0xD7}
 _SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)?([!-&(-/:-@\[-`{-~]+)?")
 
 
@@ -29,10 +33,25 @@ def vocabulary_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+class _Cores(dict):
+    """Letters, or signs -> ids as bytes; bounded."""
+
+    def __init__(self, learn: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.learn, self.most = learn, most
+
+    def __missing__(self, core: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[core] = ids = self.learn(core)
+        return ids
+
+
 class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY, pieces: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         path = vocabulary_path(vocabulary)
         self.tokenizer = Tokenizer.from_file(path)
@@ -40,47 +59,31 @@ class Encoder:
         before = rules["pre_tokenizer"].get("pretokenizers", [{}])[0] if rules.get("pre_tokenizer") else {}
         self.by_piece = rules["model"].get("end_of_word_suffix") == "</w>" and before.get("behavior") == "Removed" and before.get("invert") is True
         self.special = sorted({t["content"][:2] for t in rules.get("added_tokens", [])})
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ends = np.zeros(size, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.most, self.pieces, self.cores = pieces, {}, {}
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: "".join(part for part, _ in level.pre_tokenize_str(chr(c))) for c in range(0xDF, 0x100)}
+        self.most, self.pieces = pieces, {}
+        self.words, self.signs = _Cores(self._word, pieces), _Cores(self.whole, pieces)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_cores(self, cores: list[str]) -> None:
-        if len(self.cores) + len(cores) > self.most:
-            self.cores.clear()
-        ids = np.array(self.tokenizer.encode(" ".join(cores), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(cores):  # never seen; then one by one
-            self.cores.update((c, self.whole(c)) for c in cores)
-            return
-        data, last = ids.tobytes(), 0
-        for c, stop in zip(cores, (stops * 4).tolist()):
-            self.cores[c] = data[last:stop]
-            last = stop
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        simple, other = [], []
-        for p in pieces:
-            m = _SIMPLE.fullmatch(text := p.decode("utf-8", "surrogatepass"))
-            (simple if m else other).append((p, m.groups() if m else text))
-        unknown = {part for _, parts in simple for part in parts if part} - self.cores.keys()
-        letters = [c for c in unknown if c[0].isalpha()]
-        if len(self.cores) + len(unknown) > self.most:
-            self.cores.clear()
-            unknown = {part for _, parts in simple for part in parts if part}
-            letters = [c for c in unknown if c[0].isalpha()]
-        if letters:
-            self._learn_cores(letters)
-        for c in unknown:
-            if not c[0].isalpha():
-                self.cores[c] = self.whole(c)
-        for p, (word, signs) in simple:
-            self.pieces[p] = (self.cores[word] if word else b"") + (self.cores[signs] if signs else b"")
-        for p, text in other:
-            self.pieces[p] = self.whole(text)
+    def _word(self, word: str) -> bytes:
+        """A run of small letters is one word to the tokenizer, so its model alone has to see it, as bytes."""
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))]).tobytes()
+
+    def _piece(self, piece: bytes) -> bytes:
+        word = piece.rstrip(_SIGNS)
+        if word.isalpha():
+            signs = piece[len(word) :]
+            ids = self.words[word.decode()]
+            return ids + self.signs[signs.decode()] if signs else ids
+        text = piece.decode("utf-8", "surrogatepass")
+        m = None if text.isascii() else _SIMPLE.fullmatch(text.translate(_SMALL))
+        if not m:
+            return self.whole(text)
+        word, signs = m.groups()
+        return (self.words[word] if word else b"") + (self.signs[signs] if signs else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, split = [b""] * len(texts), []
@@ -92,9 +95,7 @@ class Encoder:
         needed = set().union(*[p for _, p in split])
         if len(self.pieces) + len(needed) > self.most:
             self.pieces.clear()
-        new = list(needed - self.pieces.keys())
-        if new:
-            self._learn(new)
+        self.pieces.update((p, self._piece(p)) for p in needed.difference(self.pieces))
         for k, pieces in split:
             out[k] = b"".join(map(self.pieces.__getitem__, pieces))
         if len(self.pieces) > self.most:
