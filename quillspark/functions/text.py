@@ -171,3 +171,7 @@ def surface_names(c: Column | str, most: int = 8) -> Column:
 def round4(c: Column) -> Column:
     """Half up to four places, the same in every engine."""
     return F.floor(c * 10000 + 0.5) / 10000
+
+
+def round3(c: Column) -> Column:
+    return F.floor(c * 1000 + 0.5) / 1000
