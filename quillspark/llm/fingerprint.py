@@ -11,6 +11,8 @@ sketches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,34 +79,33 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return with_sketch(docs.select(id_col, text_col), F.col(text_col), "sketch", k, width).select(id_col, "sketch", distinct_shingles("sketch", k).alias("n_shingles"))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", by: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", by: str = "text", derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """docs and, as next_<c>, the columns of the document that follows by ascending id (null ids last, equal ones by
-    ``by``; after the last comes the first).
+    ``by``; after the last comes the first). ``derive`` adds columns that needn't be moved as they follow from the others.
 
-    Documents are dealt into ranges of ids, where a window finds the next one; only the first document of each range is
-    sent to the range before it."""
+    Documents are dealt once into ranges of ids, where a window finds the next one. The first document of each range is
+    found in the same shuffled rows, and those few alone are sent to the range before."""
     block = "quill_block"
-    dealt = docs.withColumn(block, block_column(docs, id_col, block_count(docs)))
+    n = block_count(docs)
+    dealt = docs.withColumn(block, block_column(docs, id_col, n)).repartition(n, block)
     order = [F.col(id_col).asc_nulls_last(), F.col(by).asc_nulls_first()]
-    window = Window.partitionBy(block).orderBy(*order)
-    row = F.struct(*columns)
-    # A range's first row: of those with its smallest id, the smallest. The ids alone are read to find it.
-    ids = dealt.groupBy(block).agg(F.min(id_col).alias("least"))
-    firsts = dealt.join(ids.withColumnRenamed(block, "b"), (F.col(block) == F.col("b")) & F.col(id_col).eqNullSafe(F.col("least")))
-    firsts = firsts.groupBy(block).agg(F.min(F.struct(F.col(by), row.alias("row")))["row"].alias("row"))
-    # One row a range; the ranges' numbers alone are in one task.
-    numbers = ids.select(block).withColumn("follows", F.lead(block).over(Window.orderBy(block)))
+    firsts = dealt.groupBy(block).agg(F.min(F.struct(id_col, by, *[c for c in docs.columns if c not in (id_col, by)])).alias("x"))
+    firsts = derive(firsts.select(block, *[F.col("x")[c].alias(c) for c in docs.columns])).select(block, F.struct(*columns).alias("row"))
+    # One number a range: the only thing that is brought together in one task.
+    numbers = docs.select(block_column(docs, id_col, n).alias(block)).distinct()
+    numbers = numbers.withColumn("follows", F.lead(block).over(Window.orderBy(block)))
     numbers = numbers.withColumn("follows", F.coalesce("follows", F.min(block).over(Window.partitionBy())))
     after = firsts.join(numbers.select(F.col("follows").alias(block), F.col(block).alias("of")), block).select(F.col("of").alias(block), F.col("row").alias("after"))
-    found = dealt.withColumn("within", F.lead(row).over(window)).join(after, block, "left")
+    found = derive(dealt).withColumn("within", F.lead(F.struct(*columns)).over(Window.partitionBy(block).orderBy(*order))).join(after, block, "left")
     row = F.coalesce("within", "after")
-    return found.select(*[c for c in dealt.columns if c != block], *[row[c].alias(f"next_{c}") for c in columns])
+    own = [c for c in found.columns if c not in ("within", "after", block)]
+    return found.select(*own, *[row[c].alias(f"next_{c}") for c in columns])
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, half = F.length("text"), F.floor(F.length("text") / 2)
-    pairs = with_next(with_sketch(docs, F.col("text"), "sketch"), ["text", "sketch"])
+    pairs = with_next(docs, ["text", "sketch"], derive=lambda df: with_sketch(df, F.col("text"), "sketch"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
     pairs = with_sketch(pairs.withColumn("edited", edited), F.col("edited"), "edited_sketch")
     return pairs.select(
