@@ -119,13 +119,14 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(values: np.ndarray) -> bytes:
-    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    """Unsigned 64-bit values in their order; small ones take a byte or less."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack_counts(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
 def cuts(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -180,7 +181,7 @@ def block_column(df: DataFrame, key: str, blocks: int, leaves: int = 64) -> Colu
         mid = (lo + hi) // 2
         return F.when(of < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
 
-    last = F.lit(max(0, len(bounds) - 1) * each)
+    last = F.lit(max(1, (len(bounds) - 1) * each))
     return F.when(F.col(key).isNull(), last).otherwise(tree(0, len(bounds) - 1) if len(bounds) > 1 else F.lit(0))
 
 

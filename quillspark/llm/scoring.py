@@ -3,13 +3,13 @@
 Words are runs of other than ASCII white space, lower-cased in A-Z. Counts of all n-grams up to ``order`` are taken over all documents.
 Each document is scored against the *other* documents: its own n-grams are taken off all counts, so that a text isn't praised
 for being in the corpus. The score of a word after its context is count(n-gram) / count(context) for the longest n-gram
-with a count left, times ``alpha`` for each word of context given up; a single word has count / words in all other documents, and a word that is
+with a count left, times ``alpha`` for each word of context given up (of those that the document has); a single word has count / words in all other documents, and a word that is
 nowhere else alpha**order / (those words + 1). ``log_score`` is the sum of natural logarithms.
 
 Plan. Documents are dealt once into blocks of a few MB. Each block explodes its n-grams into hashes and sums
 them (a frequent n-gram is one entry a block, so none is hot); the entries are dealt by hash range, where they add up to the
-count table, and join back to the blocks that have them, except where a block's own count is all there is. The
-blocks then look up every n-gram of their documents and sum by document.
+count table; each block gets back what the others add to its own entries, in its entries' order. The blocks then
+look up every n-gram of their documents and sum by document.
 
 Null texts have no words and log_score 0. Repeated documents are documents of their own. Other columns are not looked at.
 """
@@ -17,7 +17,7 @@ Null texts have no words and log_score 0. Repeated documents are documents of th
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import WordHasher, block_column, block_count, cuts, doc_windows, pack, pack_counts, table, texts, unpack, unpack_counts
@@ -26,6 +26,7 @@ ORDER = 2
 ALPHA = 0.4
 _BLOCK = "quill_block"
 _TOTAL = np.zeros(1, np.uint64)  # the n-gram of no words: its count is the number of words
+_CELL = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _hasher = WordHasher()
 
 
@@ -43,83 +44,79 @@ def _ngrams(h: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return hashes ^ np.uint64(n * 0x2545F4914F6CDD1D % (1 << 64)), at
 
 
+def block_counts(h: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct n-grams by rising hash, and how often it has each."""
+    found = [np.unique(_ngrams(h, sizes, n)[0], return_counts=True) for n in range(1, order + 1)]
+    hashes = np.concatenate([_TOTAL, *(f[0] for f in found)])
+    counts = np.concatenate([[len(h)], *(f[1] for f in found)])
+    by = np.argsort(hashes, kind="stable")
+    return hashes[by], counts[by]
+
+
 def count_cells(blocks: DataFrame, text_col: str, order: int, buckets: int) -> DataFrame:
     """(bucket, block, hashes, counts): each block's n-gram counts by hash range."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, sizes = _block_words(pdf[text_col])
-        found = [np.unique(_ngrams(h, sizes, n)[0], return_counts=True) for n in range(1, order + 1)]
-        hashes = np.concatenate([_TOTAL, *(f[0] for f in found)])
-        counts = np.concatenate([[len(h)], *(f[1] for f in found)])
-        by = np.argsort(hashes, kind="stable")
-        hashes, counts = hashes[by], counts[by]
-        return pd.DataFrame([(b, int(pdf[_BLOCK].iat[0]), pack(hashes[i:j]), pack_counts(counts[i:j])) for b, i, j in cuts(hashes, buckets)], columns=["bucket", "block", "hashes", "counts"])
+    def run(t: pa.Table) -> pa.Table:
+        block = t.column(_BLOCK)[0].as_py()
+        hashes, counts = block_counts(*_block_words(t.column(text_col).to_pylist()), order)
+        rows = [(b, block, pack(hashes[i:j]), pack_counts(counts[i:j])) for b, i, j in cuts(hashes, buckets)]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _CELL.types)], schema=_CELL)
 
-    return blocks.groupBy(_BLOCK).applyInPandas(run, "bucket int, block int, hashes binary, counts binary")
+    return blocks.groupBy(_BLOCK).applyInArrow(run, "bucket int, block int, hashes binary, counts binary")
 
 
 def ngram_totals(cells: DataFrame) -> DataFrame:
-    """(block, hashes, totals): the corpus counts of a block's n-grams that other blocks have too."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpack(x) for x in pdf["hashes"]]
-        hashes = np.concatenate(parts)
-        counts = np.concatenate([unpack_counts(x) for x in pdf["counts"]]).astype(np.int64)
-        _, inverse = np.unique(hashes, return_inverse=True)
-        totals = np.bincount(inverse, weights=counts)[inverse].astype(np.int64)
-        rows, i = [], 0
-        for block, part in zip(pdf["block"].tolist(), parts):
-            j = i + len(part)
-            more = totals[i:j] > counts[i:j]
-            if more.any():
-                t = totals[i:j][more]
-                rows.append((block, pack(part[more]), (t & 0xFFFFFFFF).astype("<u4").tobytes() + (t >> 32).astype("<u4").tobytes()))
-            i = j
-        return pd.DataFrame(rows, columns=["block", "hashes", "totals"])
-
-    return cells.groupBy("bucket").applyInPandas(run, "block int, hashes binary, totals binary")
-
-
-def _totals(blob: bytes) -> np.ndarray:
-    low, high = np.frombuffer(blob, "<u4").reshape(2, -1).astype(np.int64)
-    return low + (high << 32)
-
-
-def score_block(column, known: np.ndarray, totals: np.ndarray, order: int, alpha: float) -> pd.DataFrame:
-    """Scores of one block's documents. known: sorted n-gram hashes with their corpus counts; for others the block's own hold."""
+    """(bucket, block, others): for each n-gram of a cell, in the cell's order, how often the other blocks have it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in t.column("hashes").to_pylist()]
+        counts = np.concatenate([unpack_counts(x) for x in t.column("counts").to_pylist()])
+        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
+        totals = np.zeros(inverse.max() + 1, np.int64)
+        np.add.at(totals, inverse, counts)
+        others = np.split(totals[inverse] - counts, np.cumsum([len(p) for p in parts])[:-1])
+        return pa.table([t.column("bucket"), t.column("block"), pa.array([pack_counts(o) for o in others], pa.binary())], names=["bucket", "block", "others"])
+
+    return cells.groupBy("bucket").applyInArrow(run, "bucket int, block int, others binary")
+
+
+def score_block(column: list, others: np.ndarray | None, order: int, alpha: float) -> dict[str, np.ndarray]:
+    """Scores of one block's documents. others: what the other blocks add to the block's own counts, by rising hash."""
     h, sizes = _block_words(column)
     of = np.repeat(np.arange(len(sizes)), sizes)
+    hashes, totals = block_counts(h, sizes, order)
+    if others is not None:
+        totals = totals + others
 
-    def corpus(hashes: np.ndarray, own: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return own
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where(known[at] == hashes, totals[at], own)
+    def corpus(x: np.ndarray) -> np.ndarray:
+        return totals[np.searchsorted(hashes, x)]
 
-    others = corpus(_TOTAL, np.array([len(h)]))[0] - sizes  # words in all other documents
+    rest = corpus(_TOTAL)[0] - sizes  # words in all other documents
     log_a = np.log(alpha)
-    score, before, longest = None, None, np.zeros(len(h), np.int64)
+    score, before, longest = np.zeros(len(h)), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    give = np.zeros(len(h))
     with np.errstate(divide="ignore", invalid="ignore"):
         for n in range(1, order + 1):
-            hashes, at = _ngrams(h, sizes, n)
-            unique, inverse, own = np.unique(hashes, return_inverse=True, return_counts=True)
-            code = of[at] * max(1, len(unique)) + inverse
-            _, which, times = np.unique(code, return_inverse=True, return_counts=True)
-            left = np.zeros(len(h), np.int64)  # by the n-gram's last word
-            left[at + n - 1] = corpus(unique, own)[inverse] - times[which]
+            grams, at = _ngrams(h, sizes, n)
+            unique, inverse = np.unique(grams, return_inverse=True)
+            _, which, times = np.unique(of[at] * max(1, len(unique)) + inverse, return_inverse=True, return_counts=True)
+            left = np.zeros(len(h), np.int64)  # by the n-gram's last word: its count without its own document
+            left[at + n - 1] = corpus(unique)[inverse] - times[which]
             if n == 1:
-                unseen = order * log_a - np.log(others + 1.0)
-                score = np.where(left > 0, np.log(left) - np.log(others)[of], unseen[of]) if len(h) else np.zeros(0)
-                # giving up a word of context costs alpha; an unseen word has paid already
-                give = np.where(left > 0, log_a, 0.0)
+                unseen = order * log_a - np.log(rest + 1.0)
+                score = np.where(left > 0, np.log(left) - np.log(rest)[of], unseen[of])
+                give = np.where(left > 0, log_a, 0.0)  # the price of a word of context; an unseen word has paid it
             else:
-                context = np.concatenate(([0], before[:-1]))
-                score = np.where(left > 0, np.log(left) - np.log(context), score + give)
+                context = np.concatenate(([0], before))[: len(h)]
+                inside = np.zeros(len(h), bool)
+                inside[at + n - 1] = True
+                # where a document is too short for the context there is none to give up
+                score = np.where(left > 0, np.log(left) - np.log(context), np.where(inside, score + give, score))
             longest = np.where(left > 0, n, longest)
             before = left
-    sums = np.bincount(of, weights=score, minlength=len(sizes)) if len(h) else np.zeros(len(sizes))
-    full = np.bincount(of, weights=longest == order, minlength=len(sizes)) if len(h) else np.zeros(len(sizes))
-    return pd.DataFrame({"n_words": sizes, "log_score": sums, "mean_log_score": np.where(sizes > 0, sums / np.maximum(sizes, 1), 0.0), "n_full_order": full.astype(np.int64)})
+    sums = np.bincount(of, weights=score, minlength=len(sizes))[: len(sizes)] if len(h) else np.zeros(len(sizes))
+    full = np.bincount(of, weights=longest == order, minlength=len(sizes))[: len(sizes)] if len(h) else np.zeros(len(sizes))
+    return {"n_words": sizes, "log_score": sums, "mean_log_score": np.where(sizes > 0, sums / np.maximum(sizes, 1), 0.0), "n_full_order": full.astype(np.int64)}
 
 
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
@@ -128,17 +125,15 @@ def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, i
     dealt = docs.select(id_col, text_col, block_column(docs, id_col, n).alias(_BLOCK))
     totals = ngram_totals(count_cells(dealt, text_col, order, n))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = np.concatenate([np.empty(0, np.uint64), *map(unpack, right["hashes"])])
-        counts = np.concatenate([np.empty(0, np.int64), *map(_totals, right["totals"])])
-        by = np.argsort(known, kind="stable")
-        out = score_block(left[text_col], known[by], counts[by], order, alpha)
-        out.insert(0, id_col, left[id_col].to_numpy())
-        return out
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        cells = sorted(zip(right.column("bucket").to_pylist(), right.column("others").to_pylist()))
+        others = np.concatenate([unpack_counts(x) for _, x in cells]) if cells else None
+        out = score_block(left.column(text_col).to_pylist(), others, order, alpha)
+        return pa.table([left.column(id_col), *(pa.array(x) for x in out.values())], names=[id_col, *out])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_words long, log_score double, mean_log_score double, n_full_order long"
-    return dealt.groupBy(_BLOCK).cogroup(totals.groupBy("block")).applyInPandas(run, schema)
+    return dealt.groupBy(_BLOCK).cogroup(totals.groupBy("block")).applyInArrow(run, schema)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
