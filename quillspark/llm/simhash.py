@@ -6,9 +6,9 @@ fingerprint 0 and links like any other). A bit of the fingerprint is 1 if over h
 42) have it.
 
 ``link_components``: rows whose fingerprints differ in ``most`` bits or fewer are linked; a component's id is its
-smallest id. Candidates come from the pigeonring principle: with the 64 bits in a ring of ``2 * most + 1``
+smallest id. Candidates come from the pigeonring principle: with the 64 bits in a ring of ``ZERO_CHAIN * most + 1``
 segments, two fingerprints within ``most`` bits have a start segment from which, for every chain length l, the first l segments
-differ in at most floor(l * most / segments) bits. For the first ``most`` segments that budget is 0, which is an
+differ in at most floor(l * most / segments) bits. For the first ``ZERO_CHAIN`` segments that budget is 0, which is an
 equi-join key of 27 bits for most = 2; longer chains are held against their budgets before the full Hamming distance.
 
 Equal fingerprints are one node, so exact copies never meet in a join. Where many *different* fingerprints share a key
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import components, discard, stored, table, texts
 
 SEED = 42
+#: Segments of a chain that must be equal. More make keys longer, and more of them.
+ZERO_CHAIN = 3
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -92,10 +94,10 @@ def _chain_fits(x: Column, start: Column, masks: list[list[int]], most: int) ->
 
 def links(nodes: DataFrame, most: int = 2, pair_bucket: int = 16) -> DataFrame:
     """nodes (fp, node), one row a fingerprint -> edges (u, v) that connect what links of at most ``most`` bits connect."""
-    n = 2 * most + 1
+    n = ZERO_CHAIN * most + 1
     masks = ring_masks(n)
     keys = nodes.select(
-        "fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(masks[i][most]))) for i in range(n)])).alias("start", "key")
+        "fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(masks[i][ZERO_CHAIN]))) for i in range(n)])).alias("start", "key")
     )
     sizes = keys.groupBy("start", "key").agg(F.count("*").alias("n_in")).where("n_in > 1")
     shared = stored(keys.join(sizes, ["start", "key"]), "ring")
