@@ -19,12 +19,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import WordHasher, contains, cover, doc_windows, intervals, table, texts
+from quillspark.llm.common import WordHasher, contains, cover, doc_windows, intervals, table
 
 WIDTH = 13
 SHARE = 0.05
@@ -96,48 +96,54 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_co
     spark = docs.sparkSession
     for k, shard in enumerate(_shards(benchmark, item_col, "text", shard_chars)):
         index = spark.sparkContext.broadcast(WindowIndex(shard, width))
-        out = out.mapInPandas(_scanner(index, text_col, spans, k > 0), middle)
+        out = out.mapInArrow(_scanner(index, text_col, spans, k > 0), middle)
     if cleaned:
-        out = out.mapInPandas(_cutter(text_col, spans), T.StructType([*middle, T.StructField("clean_text", T.StringType())]))
+        out = out.mapInArrow(_cutter(text_col, spans), T.StructType([*middle, T.StructField("clean_text", T.StringType())]))
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     out = out.withColumn("n_hit", n_hit)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")) if share != 0.05 else (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
 def _scanner(index, text_col: str, spans: str, later: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            docs = [words_of(t) for t in texts(pdf[text_col])]
-            hit, found = index.value.scan(docs)
-            rows, i = [], 0
-            for k, d in enumerate(docs):
-                mask = hit[i : i + len(d)]
-                i += len(d)
-                if later:
-                    mask = mask.copy()
-                    for s in pdf[spans].iat[k]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        new = ["n_words", "item_ids", spans]
+        for whole in batches:
+            for at in range(0, max(1, whole.num_rows), 1024):
+                b = whole.slice(at, 1024)
+                docs = [words_of(t) for t in b.column(text_col).to_pylist()]
+                hit, found = index.value.scan(docs)
+                rows, i = [], 0
+                old = zip(b.column("item_ids").to_pylist(), b.column(spans).to_pylist()) if later else [((), ())] * len(docs)
+                for d, items, (more, before) in zip(docs, found, old):
+                    mask = hit[i : i + len(d)].copy()
+                    i += len(d)
+                    for s in before:
                         mask[s["start"] : s["end"]] = True
-                    found[k].update(pdf["item_ids"].iat[k])
-                rows.append((len(d), sorted(found[k]), [{"start": a, "end": b} for a, b in intervals(mask)]))
-            got = pd.DataFrame(rows, columns=["n_words", "item_ids", spans], index=pdf.index)
-            yield pd.concat([pdf.drop(columns=["n_words", "item_ids", spans], errors="ignore"), got], axis=1)
+                    rows.append((len(d), sorted(items.union(more)), [{"start": a, "end": b} for a, b in intervals(mask)]))
+                kept = [n for n in b.schema.names if n not in new]
+                arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.string()), _SPANS))]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *arrays], kept + new)
 
     return run
 
 
 def _cutter(text_col: str, spans: str):
-    def clean(text, cut) -> str | None:
-        if not isinstance(text, str) or not len(cut):
-            return text if isinstance(text, str) else None
+    def clean(text: str | None, cut: list[dict]) -> str | None:
+        if not cut:
+            return text
         places, out, last = [m.span() for m in _WORD.finditer(text)], [], 0
         for s in cut:
             out.append(text[last : places[s["start"]][0]])
             last = places[s["end"] - 1][1]
         return "".join([*out, text[last:]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(clean_text=[clean(t, c) for t, c in zip(pdf[text_col], pdf[spans])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [clean(t, c) for t, c in zip(b.column(text_col).to_pylist(), b.column(spans).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "clean_text"])
 
     return run
 

@@ -24,7 +24,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +35,11 @@ from quillspark.llm.common import WordHasher, block_column, block_count, contain
 WIDTH = 20
 _BLOCK = "quill_block"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_CELL = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary())])
+_NEW = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
 _hasher = WordHasher()
 
 
-def _order(pdf: pd.DataFrame, id_col: str, text_col: str) -> pd.DataFrame:
-    return pdf.sort_values([id_col, text_col], na_position="last", kind="stable").reset_index(drop=True)
-
-
 def _hashed(column) -> tuple[np.ndarray, np.ndarray]:
     sizes, parts = [], [np.empty(0, np.uint64)]
     for t in texts(column):
@@ -53,21 +52,22 @@ def _hashed(column) -> tuple[np.ndarray, np.ndarray]:
 def window_cells(blocks: DataFrame, text_col: str, width: int, buckets: int) -> DataFrame:
     """(bucket, block, hashes): the distinct window hashes of each block and hash range, packed."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, _ = doc_windows(*_hashed(pdf[text_col]), width)
-        hashes = np.unique(hashes)
-        return pd.DataFrame([(b, int(pdf[_BLOCK].iat[0]), pack(hashes[i:j])) for b, i, j in cuts(hashes, buckets)], columns=["bucket", "block", "hashes"])
+    def run(t: pa.Table) -> pa.Table:
+        block = t.column(_BLOCK)[0].as_py()
+        hashes = np.unique(doc_windows(*_hashed(t.column(text_col).to_pylist()), width)[0])
+        rows = [(b, block, pack(hashes[i:j])) for b, i, j in cuts(hashes, buckets)]
+        return pa.table({n: pa.array([r[k] for r in rows], _CELL.field(n).type) for k, n in enumerate(_CELL.names)})
 
-    return blocks.groupBy(_BLOCK).applyInPandas(run, "bucket int, block int, hashes binary")
+    return blocks.groupBy(_BLOCK).applyInArrow(run, "bucket int, block int, hashes binary")
 
 
 def repeats(cells: DataFrame) -> DataFrame:
     """(block, hashes): of each block, the hashes that an earlier block has too."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block", kind="stable")
-        blocks = pdf["block"].to_numpy()
-        parts = [unpack(x) for x in pdf["hashes"]]
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        blocks = t.column("block").to_pylist()
+        parts = [unpack(x) for x in t.column("hashes").to_pylist()]
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         hashes = np.concatenate(parts)
         order = np.argsort(hashes, kind="stable")
@@ -77,9 +77,10 @@ def repeats(cells: DataFrame) -> DataFrame:
         order = np.argsort(of, kind="stable")
         hashes, of = hashes[order], of[order]
         at = np.searchsorted(of, np.arange(len(parts) + 1)).tolist()
-        return pd.DataFrame([(int(blocks[k]), pack(hashes[at[k] : at[k + 1]])) for k in range(len(parts)) if at[k] < at[k + 1]], columns=["block", "hashes"])
+        have = [k for k in range(len(parts)) if at[k] < at[k + 1]]
+        return pa.table([pa.array([blocks[k] for k in have], pa.int32()), pa.array([pack(hashes[at[k] : at[k + 1]]) for k in have], pa.binary())], names=["block", "hashes"])
 
-    return cells.groupBy("bucket").applyInPandas(run, "block int, hashes binary")
+    return cells.groupBy("bucket").applyInArrow(run, "block int, hashes binary")
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, full: bool = True) -> DataFrame:
@@ -99,16 +100,17 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     passed = [f for f in dealt.schema.fields if f.name != _BLOCK and f.name not in names]
     schema = T.StructType([*passed, *extra])
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = _order(left, id_col, text_col)
-        h, sizes = _hashed(left[text_col])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.take(pc.sort_indices(left, sort_keys=[(id_col, "ascending"), (text_col, "ascending")], null_placement="at_end"))
+        column = left.column(text_col).to_pylist()
+        h, sizes = _hashed(column)
         hashes, at = doc_windows(h, sizes, width)
         first = np.zeros(len(hashes), bool)
         first[np.unique(hashes, return_index=True)[1]] = True
-        known = np.unique(np.concatenate([np.empty(0, np.uint64), *map(unpack, right["hashes"])]))
+        known = np.unique(np.concatenate([np.empty(0, np.uint64), *map(unpack, right.column("hashes").to_pylist())]))
         gone = cover(at[~first | contains(known, hashes)], width, len(h))
         rows, i = [], 0
-        for t, size in zip(left[text_col].tolist(), sizes.tolist()):
+        for t, size in zip(column, sizes.tolist()):
             mask = gone[i : i + size]
             i += size
             n_gone = int(mask.sum())
@@ -126,10 +128,10 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
                     last = places[b][0] if b < size else places[b - 1][1]
                 row += [[{"start": a, "end": b} for a, b in runs], "".join([*out, t[last:]])]
             rows.append(row)
-        got = pd.DataFrame(rows, columns=names)
-        return pd.concat([left[[f.name for f in passed]], got], axis=1)
+        new = [pa.array([r[k] for r in rows], t) for k, t in enumerate(_NEW[: len(names)])]
+        return pa.table([*(left.column(f.name) for f in passed), *new], names=schema.names)
 
-    return dealt.groupBy(_BLOCK).cogroup(earlier.groupBy("block")).applyInPandas(run, schema)
+    return dealt.groupBy(_BLOCK).cogroup(earlier.groupBy("block")).applyInArrow(run, schema)
 
 
 def _words_joined(t: str | None) -> str:
