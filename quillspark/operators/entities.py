@@ -27,13 +27,16 @@ def variants(name: Column | str) -> Column:
     bare = n
     for p in reversed(HONORIFICS):
         bare = F.when(F.startswith(n, F.lit(p)) & (F.length(n) > len(p) + 1), F.substring(n, F.lit(len(p) + 1), F.length(n))).otherwise(bare)
-    found = [n, bare]
-    for s in TITLES:
-        short = F.regexp_replace(F.substring(bare, F.lit(1), F.length(bare) - len(s)), "[· ]+$", "")
-        bare = F.when(F.endswith(bare, F.lit(s)) & (F.length(bare) > len(s) + 1), short).otherwise(bare)
-        found.append(bare)
-    found.append(F.replace(n, F.lit("·"), F.lit(" ")))
-    return F.array_sort(F.array_distinct(F.array(*[T.slugify(v) for v in found])))
+
+    def drop(acc: Column, title: Column) -> Column:
+        now = acc["now"]
+        short = F.regexp_replace(F.substring(now, F.lit(1), F.length(now) - F.length(title)), "[· ]+$", "")
+        left = F.when(F.endswith(now, title) & (F.length(now) > F.length(title) + 1), short).otherwise(now)
+        return F.struct(left.alias("now"), F.array_append(acc["found"], left).alias("found"))
+
+    start = F.struct(bare.alias("now"), F.array(n, bare, F.replace(n, F.lit("·"), F.lit(" "))).alias("found"))
+    found = F.aggregate(F.array(*map(F.lit, TITLES)), start, drop, lambda acc: acc["found"])
+    return F.array_sort(F.array_distinct(F.transform(found, lambda v: T.slugify(v))))
 
 
 def resolve(candidates: DataFrame, registry: DataFrame, fewest: int = 3) -> DataFrame:
