@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import chunks, graphs, relations, segmentation  # noqa: F401  (registers its queries)
+from quillspark.plans import chunks, graphs, relations, retrieval, segmentation  # noqa: F401  (registers its queries)
 from quillspark.plans.registry import QUERIES, SQL  # noqa: F401
 
-FLAGSHIP = "seg_02_paragraph_blocks"
+FLAGSHIP = "ret_context"
