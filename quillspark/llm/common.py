@@ -28,10 +28,23 @@ UNKNOWN_BYTES = 1 << 50
 BLOCK_BYTES = 4 << 20
 
 
+_in_use: list = [None]
+
+
+def use(cache):
+    """Marks the cache that this worker needs from now on and empties the one before: a worker that runs stage after stage holds one
+    stage's cache at a time."""
+    if _in_use[0] is not cache:
+        if _in_use[0] is not None:
+            _in_use[0].clear()
+        _in_use[0] = cache
+    return cache
+
+
 class WordHasher(dict):
     """word (bytes) -> 64-bit hash. Keeps at most ``cap`` words and then starts anew, so its memory is bounded."""
 
-    def __init__(self, cap: int = 300_000, seed: int = 0):
+    def __init__(self, cap: int = 150_000, seed: int = 0):
         super().__init__()
         self.cap, self.seed = cap, seed
 
@@ -42,7 +55,11 @@ class WordHasher(dict):
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(use(self).__getitem__, words), np.uint64, len(words))
+
+
+#: The words of all operators, one cache a worker.
+hasher = WordHasher()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

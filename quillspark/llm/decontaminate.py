@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import WordHasher, contains, cover, doc_windows, intervals, table
+from quillspark.llm.common import contains, cover, doc_windows, hasher, intervals, table
 
 WIDTH = 13
 SHARE = 0.05
 SHARD_CHARS = 4_000_000
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # as above, in texts that are not lower-cased
-_hasher = WordHasher()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,7 +48,7 @@ class WindowIndex:
             n = min(width, len(words))
             if not n:
                 continue
-            hashes, at = doc_windows(_hasher.array(words), np.array([len(words)]), n)
+            hashes, at = doc_windows(hasher.array(words), np.array([len(words)]), n)
             lengths.setdefault(n, set()).update(hashes.tolist())
             for i in at.tolist():
                 self.items.setdefault(b" ".join(words[i : i + n]), set()).update([] if item is None else [item])
@@ -59,7 +58,7 @@ class WindowIndex:
         """For documents, one after the other: which of their words are hit, and the items of each."""
         sizes = np.array([len(d) for d in docs], np.int64)
         words = [w for d in docs for w in d]
-        h = _hasher.array(words)
+        h = hasher.array(words)
         hit, found = np.zeros(len(h), bool), [set() for _ in docs]
         ends = np.cumsum(sizes)
         for n, known in self.hashes.items():
@@ -75,13 +74,14 @@ class WindowIndex:
         return hit, found
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_chars: int) -> Iterator[list[tuple[str | None, str | None]]]:
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / shard_chars))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+def _shard_count(benchmark: DataFrame, shard_chars: int) -> int:
+    return max(1, math.ceil((benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) / shard_chars))
+
+
+def _shard(benchmark: DataFrame, item_col: str, k: int, n: int) -> list[tuple[str | None, str | None]]:
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").alias("text"))
+    part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+    return [(r["item"], r["text"]) for r in part.collect()]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text", item_col: str = "item_id", share: float = SHARE, shard_chars: int = SHARD_CHARS, cleaned: bool = False) -> DataFrame:
@@ -94,11 +94,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_co
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     middle = T.StructType([*passed, T.StructField("n_words", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField(spans, span)])
     spark = docs.sparkSession
-    for k, shard in enumerate(_shards(benchmark, item_col, "text", shard_chars)):
-        index = spark.sparkContext.broadcast(WindowIndex(shard, width))
-        out = out.mapInArrow(_scanner(index, text_col, spans, k > 0), middle)
-    if cleaned:
-        out = out.mapInArrow(_cutter(text_col, spans), T.StructType([*middle, T.StructField("clean_text", T.StringType())]))
+    n = _shard_count(benchmark, shard_chars)
+    for k in range(n):
+        index = spark.sparkContext.broadcast(WindowIndex(_shard(benchmark, item_col, k, n), width))
+        cut = cleaned and k == n - 1
+        schema = T.StructType([*middle, T.StructField("clean_text", T.StringType())]) if cut else middle
+        out = out.mapInArrow(_scanner(index, text_col, spans, k > 0, cut), schema)
     n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     out = out.withColumn("n_hit", n_hit)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")) if share != 0.05 else (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
@@ -107,13 +108,26 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_co
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scanner(index, text_col: str, spans: str, later: bool):
+def _cut(text: str | None, spans: list[dict]) -> str | None:
+    if not spans:
+        return text
+    places, out, last = [m.span() for m in _WORD.finditer(text)], [], 0
+    for s in spans:
+        out.append(text[last : places[s["start"]][0]])
+        last = places[s["end"] - 1][1]
+    return "".join([*out, text[last:]])
+
+
+def _scanner(index, text_col: str, spans: str, later: bool, cut: bool):
+    """One pass for one shard: adds its hits to those of earlier shards (``later``); the last one may ``cut`` the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        new = ["n_words", "item_ids", spans]
+        new, kinds = ["n_words", "item_ids", spans], [pa.int64(), pa.list_(pa.string()), _SPANS]
         for whole in batches:
             for at in range(0, max(1, whole.num_rows), 1024):
                 b = whole.slice(at, 1024)
-                docs = [words_of(t) for t in b.column(text_col).to_pylist()]
+                texts = b.column(text_col).to_pylist()
+                docs = [words_of(t) for t in texts]
                 hit, found = index.value.scan(docs)
                 rows, i = [], 0
                 old = zip(b.column("item_ids").to_pylist(), b.column(spans).to_pylist()) if later else [((), ())] * len(docs)
@@ -124,26 +138,12 @@ def _scanner(index, text_col: str, spans: str, later: bool):
                         mask[s["start"] : s["end"]] = True
                     rows.append((len(d), sorted(items.union(more)), [{"start": a, "end": b} for a, b in intervals(mask)]))
                 kept = [n for n in b.schema.names if n not in new]
-                arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.list_(pa.string()), _SPANS))]
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *arrays], kept + new)
-
-    return run
-
-
-def _cutter(text_col: str, spans: str):
-    def clean(text: str | None, cut: list[dict]) -> str | None:
-        if not cut:
-            return text
-        places, out, last = [m.span() for m in _WORD.finditer(text)], [], 0
-        for s in cut:
-            out.append(text[last : places[s["start"]][0]])
-            last = places[s["end"] - 1][1]
-        return "".join([*out, text[last:]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [clean(t, c) for t, c in zip(b.column(text_col).to_pylist(), b.column(spans).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "clean_text"])
+                arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+                names = kept + new
+                if cut:
+                    arrays.append(pa.array([_cut(t, r[2]) for t, r in zip(texts, rows)], pa.string()))
+                    names = names + ["clean_text"]
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *arrays], names)
 
     return run
 

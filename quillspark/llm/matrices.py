@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import table, texts
-from quillspark.llm.tokens import VOCABULARY, encoder
+from quillspark.llm.tokens import PIECES, VOCABULARY, encoder
 
 CAPACITY = 2048
 BLOCK_TOKENS = 2_000_000
@@ -73,7 +73,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, pad_id: int = 0, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, pad_id: int = 0, vocabulary: str = VOCABULARY, remember: int = PIECES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row a matrix row: row_id, n_tokens, doc_ids, starts, lengths, cu_seqlens, input_ids, position_ids."""
     end = np.array([end_id], "<u4").tobytes()
     names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -95,7 +95,7 @@ def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        next_id, enc = TaskContext.get().partitionId() << 40, encoder(vocabulary)
+        next_id, enc = TaskContext.get().partitionId() << 40, encoder(vocabulary, remember)
         pieces, held = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 512):

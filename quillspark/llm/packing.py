@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import table, texts
-from quillspark.llm.tokens import VOCABULARY, encoder
+from quillspark.llm.tokens import PIECES, VOCABULARY, encoder
 
 CAPACITY = 2048
 SMALLEST = 64
@@ -90,7 +90,7 @@ class Packer:
         self.open.clear()
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, smallest: int = SMALLEST, end_id: int = END_ID, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, smallest: int = SMALLEST, end_id: int = END_ID, vocabulary: str = VOCABULARY, remember: int = PIECES, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids: and ids (binary)."""
     if capacity & (capacity - 1) or smallest > capacity:
         raise ValueError("capacity must be a power of two, and smallest at most as much")
@@ -103,7 +103,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, enc = Packer(TaskContext.get().partitionId() << 40, capacity, smallest), encoder(vocabulary)
+        packer, enc = Packer(TaskContext.get().partitionId() << 40, capacity, smallest), encoder(vocabulary, remember)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)

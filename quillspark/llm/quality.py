@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import table, texts
+from quillspark.llm.common import table, texts, use
 
 SAMPLE_ROWS = 6000
 SHAPES = WORDS = 512
@@ -42,7 +42,7 @@ class _Codes(dict):
     """word -> shape bucket + SHAPES * word bucket + flags above; bounded like WordHasher."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         shape = word[:64]
         for pattern, by in _RUNS:
@@ -64,7 +64,7 @@ def text_features(batch: list[str]) -> np.ndarray:
         n = len(words)
         if not n:
             continue
-        codes = np.fromiter(map(_codes.__getitem__, words), np.int64, n)
+        codes = np.fromiter(map(use(_codes).__getitem__, words), np.int64, n)
         flags, code = np.divmod(codes, SHAPES * WORDS)
         word, shape = np.divmod(code, SHAPES)
         lines = [s for s in text.split("\n") if s.strip()]

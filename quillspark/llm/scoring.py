@@ -20,14 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import WordHasher, block_column, block_count, cuts, doc_windows, pack, pack_counts, table, texts, unpack, unpack_counts
+from quillspark.llm.common import block_column, block_count, cuts, doc_windows, hasher, pack, pack_counts, table, texts, unpack, unpack_counts
 
 ORDER = 2
 ALPHA = 0.4
 _BLOCK = "quill_block"
 _TOTAL = np.zeros(1, np.uint64)  # the n-gram of no words: its count is the number of words
 _CELL = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
-_hasher = WordHasher()
 
 
 def _block_words(column) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +34,7 @@ def _block_words(column) -> tuple[np.ndarray, np.ndarray]:
     for t in texts(column):
         words = t.encode("utf-8", "surrogatepass").lower().split()
         sizes.append(len(words))
-        parts.append(_hasher.array(words))
+        parts.append(hasher.array(words))
     return np.concatenate(parts), np.array(sizes, np.int64)
 
 

@@ -30,14 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import WordHasher, block_column, block_count, contains, cover, cuts, doc_windows, intervals, pack, table, texts, unpack
+from quillspark.llm.common import block_column, block_count, contains, cover, cuts, doc_windows, hasher, intervals, pack, table, texts, unpack
 
 WIDTH = 20
 _BLOCK = "quill_block"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _CELL = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary())])
 _NEW = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string()]
-_hasher = WordHasher()
 
 
 def _hashed(column) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +44,7 @@ def _hashed(column) -> tuple[np.ndarray, np.ndarray]:
     for t in texts(column):
         words = t.encode("utf-8", "surrogatepass").split()
         sizes.append(len(words))
-        parts.append(_hasher.array(words))
+        parts.append(hasher.array(words))
     return np.concatenate(parts), np.array(sizes, np.int64)
 
 

@@ -17,7 +17,11 @@ from pathlib import Path
 
 import numpy as np
 
+from quillspark.llm.common import use
+
 VOCABULARY = "word_bpe_49k.json"
+#: Pieces that an encoder remembers, about 200 bytes each, and as many words.
+PIECES = 400_000
 #: A run of small letters without marks to combine, then ASCII signs other than the apostrophe (which begins contractions).
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 _SMALL = {c: c + 32 for c in range(0xC0, 0xDF) if c != 0xD7}
@@ -48,7 +52,7 @@ class _Cores(dict):
 
 
 class Encoder:
-    def __init__(self, vocabulary: str = VOCABULARY, pieces: int = 400_000):
+    def __init__(self, vocabulary: str = VOCABULARY, pieces: int = PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -65,6 +69,10 @@ class Encoder:
         self.most, self.pieces = pieces, {}
         self.words, self.signs = _Cores(self._word, pieces), _Cores(self.whole, pieces)
 
+    def clear(self) -> None:
+        for cache in (self.pieces, self.words, self.signs):
+            cache.clear()
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -86,6 +94,7 @@ class Encoder:
         return (self.words[word] if word else b"") + (self.signs[signs] if signs else b"")
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        use(self)
         out, split = [b""] * len(texts), []
         for k, text in enumerate(texts):
             if not self.by_piece or any(s in text for s in self.special):
@@ -103,11 +112,13 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(vocabulary: str = VOCABULARY) -> Encoder:
-    """One encoder a worker and vocabulary."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+def encoder(vocabulary: str = VOCABULARY, pieces: int = PIECES) -> Encoder:
+    """One encoder a worker, vocabulary and size."""
+    key = (vocabulary, pieces)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary, pieces)
+    return _encoders[key]
