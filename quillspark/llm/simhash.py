@@ -121,15 +121,24 @@ def links(nodes: DataFrame, most: int = 2, pair_bucket: int = 16) -> DataFrame:
     return pairs.union(star.where("u <> v").select("u", "v"))
 
 
+#: A fingerprint is hot if it has over one in so many rows; so there are fewer hot ones than that, and those can be broadcast.
+HOT_SHARE = 1000
+
+
 def link_components(prints: DataFrame, most: int = 2, pair_bucket: int = 16) -> DataFrame:
-    """prints (id, fp) -> (id, fp, component_id). Reads ``prints`` twice: give it a stored table."""
-    nodes = prints.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"))
-    numbered = nodes.where("node is not null")
-    found = components(links(stored(numbered, "nodes"), most, pair_bucket))
+    """prints (id, fp) -> (id, fp, component_id). Reads ``prints`` several times: give it a stored table."""
+    nodes = stored(prints.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n_rows")), "nodes")
+    found = components(links(nodes.where("node is not null").select("fp", "node"), most, pair_bucket))
     # from here on by fingerprint; only those in a component of several fingerprints have a row in found
-    renamed = numbered.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("fp", "root")
-    named = nodes.join(renamed, "fp", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("id", "fp", "component_id")
+    renamed = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("fp", "root")
+    named = nodes.join(renamed, "fp", "left").select("fp", F.coalesce("root", "node").alias("component_id"), "n_rows")
+    # rows of a hot fingerprint (many exact copies) are named where they are, the others by a join
+    total = nodes.agg(F.sum("n_rows")).first()[0] or 0
+    is_hot = F.col("n_rows") > max(100, total // HOT_SHARE)
+    hot = F.broadcast(named.where(is_hot).select("fp", F.struct("component_id").alias("hot")))
+    split = prints.join(hot, "fp", "left")
+    there = split.where("hot is not null").select("id", "fp", "hot.component_id")
+    return split.where("hot is null").select("id", "fp").join(named.where(~is_hot).drop("n_rows"), "fp", "left").select("id", "fp", "component_id").unionByName(there)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2) -> DataFrame:
