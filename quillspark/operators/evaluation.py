@@ -91,7 +91,7 @@ def verify_evidence(docs: DataFrame, items: DataFrame, most: int = 2000) -> Data
     in each document as it is read; more of them meet the documents' eight-character grams in an equi-join first."""
     few = items.limit(most + 1).collect()
     if len(few) <= most:
-        listed = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["needle"]).alias("needle")) for r in few])
+        listed = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["needle"]).alias("needle")) for r in few])
         found = docs.select("doc_id", F.explode(F.filter(listed, lambda x: F.contains(F.col("bare"), x["needle"]))).alias("x"))
         return found.groupBy("x.item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("bare") - 7))
