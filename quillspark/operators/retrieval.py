@@ -19,11 +19,14 @@ def _words(query: list[str]) -> Column:
 
 
 def overlap_score(query: list[str], text: Column | str) -> Column:
-    """Query tokens (repeats count) that the text has, over the root of the text's token number."""
+    """Query tokens (repeats count) that the text has, over the root of the text's token number. The text's tokens stand outside of
+    any lambda, so that they are made once a row."""
     toks = T.tokens(text)
-    n = F.size(toks)
-    hits = F.size(F.filter(_words(query), lambda q: F.array_contains(toks, q)))
-    return F.when(n > 0, hits / F.sqrt(n)).otherwise(F.lit(0.0))
+    times = {q: query.count(q) for q in dict.fromkeys(query)}
+    found = F.array_intersect(_words(list(times)), toks)
+    extra = [F.array_contains(found, q).cast("int") * (n - 1) for q, n in times.items() if n > 1]
+    hits = F.size(found) + sum(extra, F.lit(0)) if extra else F.size(found)
+    return F.coalesce(F.try_divide(hits.cast("double"), F.sqrt(F.size(toks))), F.lit(0.0))
 
 
 def substring_score(query: list[str], text: Column | str) -> Column:

@@ -9,7 +9,7 @@ from quillspark.functions import text as T
 from quillspark.operators import evaluation as E
 from quillspark.plans.registry import query
 from quillspark.plans.segmentation import _BLOCKS
-from quillspark.plans.views import P_CTE, paragraphs, table
+from quillspark.plans.views import P_CTE, paragraphs, spread, table
 
 _R4 = "floor(({}) * 10000 + 0.5) / 10000"
 _R3 = "floor(({}) * 1000 + 0.5) / 1000"
@@ -152,7 +152,7 @@ def _frequency(c):
 
 
 def _block_frequencies(spark, sf_dir):
-    b = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(T.blocks_of("text")).alias("pos", "block"))
+    b = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(T.blocks_of("text")).alias("pos", "block"))
     long = b.select("doc_id", "lang", "pos", "block", F.explode(F.array(*map(F.lit, _DISTINCT))).alias("feature"))
     return long.withColumn("f", _frequency("block"))
 

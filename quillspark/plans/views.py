@@ -14,10 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files give fewer tasks than there are cores: text functions cost far more than moving so small an
+    input once. A table of many files or row groups is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if tasks < cores and tasks * 4 <= cores else df
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, chapter_index, paragraph_index, text): non-blank lines of documents, eight to a chapter."""
     lines = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")
-    out = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("pos", "text"))
+    out = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(lines).alias("pos", "text"))
     at = (F.col("pos") + 1).cast("long")
     return out.select("doc_id", (F.floor(F.col("pos") / CHAPTER_PARAGRAPHS) + 1).alias("chapter_index"), at.alias("paragraph_index"), "text")
 
