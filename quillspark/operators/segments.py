@@ -143,3 +143,21 @@ def is_substantive(parts: Column | str) -> Column:
         .when(headed & (text >= 20), True)
         .otherwise(False)
     )
+
+
+def section_to_chapter(sections: DataFrame) -> DataFrame:
+    """sections (doc_id, chapter_index, parts array) -> (doc_id, chapter_index, title, body): short labels before a long paragraph go; a heading
+    is the title, else the chapter's number; sections of which nothing is left go."""
+    parts = F.col("parts")
+
+    def label(i: Column) -> Column:
+        here, after = F.get(parts, i), F.get(parts, i + 1)
+        return (F.length(here) < 50) & (F.length(after) > 80) & ~T.is_heading(here) & ~here.rlike(r"[。！？!?\.]")
+
+    places = F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0)))
+    leading = F.aggregate(places, F.lit(0), lambda n, i: F.when((n == i) & F.coalesce(label(i), F.lit(False)), n + 1).otherwise(n))
+    rows = sections.where(F.size("parts") > 0).withColumn("parts", F.slice(parts, leading + 1, F.size(parts)))
+    first = F.get("parts", 0)
+    rows = rows.withColumn("title", F.when(T.is_heading(first), first).otherwise(F.concat(F.lit("Chapter "), "chapter_index")))
+    body = F.filter(F.when(T.is_heading(first), F.slice("parts", 2, F.greatest(F.size("parts"), F.lit(1)))).otherwise(F.col("parts")), lambda p: p != F.col("title"))
+    return rows.withColumn("body", body).where(F.size("body") > 0).select("doc_id", "chapter_index", "title", F.array_join("body", "\n").alias("body"))

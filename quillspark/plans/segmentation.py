@@ -201,3 +201,10 @@ SELECT page_id, CASE WHEN n = 0 THEN false WHEN hints >= 2 AND mx < 200 AND leng
 def src_05(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", T.paragraphs(T.markup_to_text("html"), "\n").alias("parts"))
     return pages.select("page_id", segments.is_substantive("parts").alias("substantive"))
+
+
+@query("src_06_section_chapters")
+def src_06(spark, sf_dir):
+    """Pages as sections of books of eight."""
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 8).alias("doc_id"), (F.col("page_id") % 8 + 1).alias("chapter_index"), T.paragraphs(T.markup_to_text("html"), "\n").alias("parts"))
+    return segments.section_to_chapter(pages)

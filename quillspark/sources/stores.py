@@ -52,3 +52,12 @@ def graph_metadata(tables: dict[str, DataFrame]) -> DataFrame:
 
 def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
+
+
+def publish(spark: SparkSession, root: str, version: str) -> None:
+    """Makes a version the current one. Versions are never written over, so the ones before stay readable."""
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root}/current")
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    return spark.read.schema("version string").json(f"{root}/current").first()["version"] if exists(spark, f"{root}/current") else None

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import chunks, entities, evaluation, graph, relations, retrieval, segments
-from quillspark.sources import readers, stores
+from quillspark.sources import models, readers, stores
 from quillspark.streaming import incremental
 
 
@@ -91,6 +91,14 @@ def test_snippets_and_dropped_sections(spark):
     assert [(r.title, r.snippet) for r in found] == [("", "intro"), ("Style", "x"), ("Deep", "y"), ("Life", "z z z z z w"), ("Style too", "v"), ("End", "e")]
 
 
+def test_section_to_chapter(spark):
+    long = "w" * 81
+    df = spark.createDataFrame([(1, 1, ["I", "Ana", long, "x"]), (1, 2, ["Chapter 2 Home", "a", "Chapter 2 Home"]), (1, 3, ["Chapter 9"]), (1, 4, []), (1, 5, ["Done.", long])], "doc_id long, chapter_index long, parts array<string>")
+    got = {r.chapter_index: (r.title, r.body.split("\n")) for r in segments.section_to_chapter(df).collect()}
+    # only a label right before a long paragraph goes, and those before it only then
+    assert got == {1: ("Chapter 1", ["I", "Ana", long, "x"]), 2: ("Chapter 2 Home", ["a"]), 5: ("Chapter 5", ["Done.", long])}
+
+
 def plain_windows(tokens, forced, budget):
     out, start = [], 0
     while start < len(tokens):
@@ -250,11 +258,31 @@ def test_stores(spark, tmp_path):
     assert sorted((r.doc_id, r.v) for r in stores.load_table(spark, root, "t").collect()) == [(1, "x"), (2, "z")]
     stores.save_graph({"nodes": a}, root, "v1")
     assert [tuple(r) for r in stores.graph_metadata(stores.load_graph(spark, root, "v1", ["nodes"])).collect()] == [("nodes", 2)]
+    assert stores.current_version(spark, root) is None
+    for v in ("v1", "v2"):
+        stores.publish(spark, root, v)
+    assert stores.current_version(spark, root) == "v2"
     stores.append_log(a, f"{root}/log")
     stores.append_log(a, f"{root}/log")
     assert spark.read.json(f"{root}/log").count() == 4
 
 
+def test_model_runtime(spark):
+    p = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "key long, prompt string")
+    got = {r.key: r.answer for r in models.answer(p).collect()}
+    assert got[1] == got[2] and "key" in got[1] and got[3] is None
+    calls = []
+
+    def flaky(prompts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("Connection reset")
+        return prompts
+
+    assert models.with_retries(flaky, models.Runtime("x", wait=0))(["q"]) == ["q"]
+    assert models.from_environment("NOT_SET_ANYWHERE").provider == "stub"
+
+
 # streaming
 
 
