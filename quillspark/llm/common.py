@@ -174,16 +174,18 @@ def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-size // block_bytes), min(2 * cores, size // (block_bytes // 16)))
 
 
-def block_column(df: DataFrame, key: str, blocks: int, leaves: int = 64) -> Column:
-    """A number from 0 that never falls as ``key`` rises (null: last), for about ``blocks`` blocks of as many rows.
+def block_column(df: DataFrame, key: str, blocks: int, text: str, leaves: int = 64) -> Column:
+    """A number from 0 that never falls as ``key`` rises, for about ``blocks`` blocks of as many rows. Rows without a key come last, in as many
+    blocks again, by a hash of ``text``: however many there are, no block gets them all.
 
     Up to 64 quantiles of the key (one job that reads that column alone) are cut evenly by value, so that ids
     with gaps are dealt evenly too."""
     leaves = max(1, min(leaves, blocks))
     of = F.col(key).cast("double")
     got = df.agg(F.percentile_approx(of, [i / leaves for i in range(leaves + 1)], 10_000).alias("q")).first()["q"]
+    loose = F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
     if not got:
-        return F.lit(0)
+        return loose
     bounds = sorted(set(got))
     each = max(1, round(blocks / max(1, len(bounds) - 1)))
 
@@ -199,7 +201,7 @@ def block_column(df: DataFrame, key: str, blocks: int, leaves: int = 64) -> Colu
         return F.when(of < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
 
     last = F.lit(max(1, (len(bounds) - 1) * each))
-    return F.when(F.col(key).isNull(), last).otherwise(tree(0, len(bounds) - 1) if len(bounds) > 1 else F.lit(0))
+    return F.when(F.col(key).isNull(), last + loose).otherwise(tree(0, len(bounds) - 1) if len(bounds) > 1 else F.lit(0))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -80,19 +80,19 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
 
 def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", by: str = "text", derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """docs and, as next_<c>, the columns of the document that follows by ascending id (null ids last, equal ones by
-    ``by``; after the last comes the first). ``derive`` adds columns that needn't be moved as they follow from the others.
+    """docs and, as next_<c>, the columns of the document that follows by ascending id (equal ids by ``by``; null ids
+    last, by a hash of it and then by it; after the last comes the first). ``derive`` adds columns that needn't be moved as they follow from the others.
 
     Documents are dealt once into ranges of ids, where a window finds the next one. The first document of each range is
     found in the same shuffled rows, and those few alone are sent to the range before."""
     block = "quill_block"
     n = block_count(docs)
-    dealt = docs.withColumn(block, block_column(docs, id_col, n)).repartition(n, block)
+    dealt = docs.withColumn(block, block_column(docs, id_col, n, by)).repartition(n, block)
     order = [F.col(id_col).asc_nulls_last(), F.col(by).asc_nulls_first()]
     firsts = dealt.groupBy(block).agg(F.min(F.struct(id_col, by, *[c for c in docs.columns if c not in (id_col, by)])).alias("x"))
     firsts = derive(firsts.select(block, *[F.col("x")[c].alias(c) for c in docs.columns])).select(block, F.struct(*columns).alias("row"))
     # One number a range: the only thing that is brought together in one task.
-    numbers = docs.select(block_column(docs, id_col, n).alias(block)).distinct()
+    numbers = docs.select(block_column(docs, id_col, n, by).alias(block)).distinct()
     numbers = numbers.withColumn("follows", F.lead(block).over(Window.orderBy(block)))
     numbers = numbers.withColumn("follows", F.coalesce("follows", F.min(block).over(Window.partitionBy())))
     after = firsts.join(numbers.select(F.col("follows").alias(block), F.col(block).alias("of")), block).select(F.col("of").alias(block), F.col("row").alias("after"))

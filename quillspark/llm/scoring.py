@@ -121,7 +121,7 @@ def score_block(column: list, others: np.ndarray | None, order: int, alpha: floa
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """(id, n_words, log_score, mean_log_score, n_full_order: words whose longest n-gram had a count) of every row."""
     n = blocks or block_count(docs)
-    dealt = docs.select(id_col, text_col, block_column(docs, id_col, n).alias(_BLOCK))
+    dealt = docs.select(id_col, text_col, block_column(docs, id_col, n, text_col).alias(_BLOCK))
     totals = ngram_totals(count_cells(dealt, text_col, order, n))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -14,7 +14,7 @@ in a million copies is one entry a block, so no key is hot. Text moves once, and
 Two different windows collide with probability 2**-64, which over n windows makes n*n / 2**65 wrong removals:
 0.0005 at 0.14 billion windows, 2 at 8 billion.
 
-Nulls and ties: a null doc_id is after all others. Rows with the same doc_id are ordered by text, and equal rows stay
+Nulls and ties: rows with a null doc_id come after all others, by a hash of their text. Rows with the same doc_id are ordered by text, and equal rows stay
 separate documents, the second one being a repeat of the first. Rows without words come back unchanged. Further
 columns pass through.
 """
@@ -87,7 +87,7 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     removed_spans (maximal intervals of word positions) and kept_text (the text without the removed words, its other
     white space as it was; null stays null)."""
     n = blocks or block_count(docs)
-    dealt = docs.withColumn(_BLOCK, block_column(docs, id_col, n))
+    dealt = docs.withColumn(_BLOCK, block_column(docs, id_col, n, text_col))
     if not full:
         dealt = dealt.select(id_col, text_col, _BLOCK)
     earlier = repeats(window_cells(dealt, text_col, width, n))  # on the very rows that come below, so that they move once
