@@ -89,10 +89,10 @@ def ans_06(spark, sf_dir):
     return rows.groupBy("doc_id", "chapter_index").agg(F.count("*").alias("n"), T.clip(text, 600, "…").alias("input"))
 
 
-@query("ans_07_history", "SELECT conv_id, string_agg(role || ':' || left(text, 20), '|' ORDER BY turn, role, text) AS history FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 6) GROUP BY 1")
+@query("ans_07_history", "SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn, role, text) AS history FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 6) GROUP BY 1")
 def ans_07(spark, sf_dir):
     last = A.history(table(spark, sf_dir, "conversations"), 6)
-    line = F.concat("role", F.lit(":"), F.substring("text", 1, 20))
+    line = F.concat("role", F.lit(":"), "text")
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))), lambda x: x["line"]), "|").alias("history"))
 
 

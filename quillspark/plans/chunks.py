@@ -286,11 +286,11 @@ def ext_11(spark, sf_dir):
 
 @query(
     "ext_12_generations",
-    """WITH RECURSIVE par AS (SELECT DISTINCT p_partkey % 97 AS parent, p_partkey % 97 * 2 + p_size % 2 + 1 AS child FROM part WHERE p_partkey % 97 < 60),
+    """WITH RECURSIVE par AS (SELECT DISTINCT p_partkey % 97 AS parent, p_partkey % 97 * 2 + p_size % 2 + 1 AS child FROM part),
 walk(node, generation) AS (SELECT DISTINCT parent, 0 FROM par WHERE parent NOT IN (SELECT child FROM par)
   UNION SELECT child, generation + 1 FROM walk JOIN par ON parent = node WHERE generation < 50)
 SELECT node, CAST(min(generation) AS BIGINT) AS generation FROM walk GROUP BY node""",
 )
 def ext_12(spark, sf_dir):
-    parents = table(spark, sf_dir, "part").where("p_partkey % 97 < 60").select((F.col("p_partkey") % 97).alias("parent"), (F.col("p_partkey") % 97 * 2 + F.col("p_size") % 2 + 1).alias("child")).distinct()
+    parents = table(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("parent"), (F.col("p_partkey") % 97 * 2 + F.col("p_size") % 2 + 1).alias("child")).distinct()
     return G.generations(spark, parents)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -82,11 +81,12 @@ def evl_08(spark, sf_dir):
     return E.agreement(rows)
 
 
-@query("evl_09_blind_tasks", "WITH t AS (SELECT doc_id, substring(sha256('p|' || doc_id || '|' || source || '|full'), 1, 16) AS task_id FROM documents) SELECT task_id, doc_id, row_number() OVER (ORDER BY sha256('7|' || task_id)) AS place FROM t WHERE doc_id < 1000")
+@query("evl_09_blind_tasks", "WITH t AS (SELECT doc_id, substring(sha256('p|' || doc_id || '|' || source || '|full'), 1, 16) AS task_id FROM documents) SELECT task_id, doc_id, substring(sha256('7|' || task_id), 1, 16) AS shuffle_key FROM t")
 def evl_09(spark, sf_dir):
     task = F.substring(F.sha2(F.concat_ws("|", F.lit("p"), "doc_id", "source", F.lit("full")), 256), 1, 16)
-    t = table(spark, sf_dir, "documents").where("doc_id < 1000").select(task.alias("task_id"), "doc_id")  # a review set of stated size
-    return t.withColumn("place", F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit("7|"), "task_id"), 256))).cast("long"))
+    t = table(spark, sf_dir, "documents").select(task.alias("task_id"), "doc_id")
+    # sorting by a seeded hash is the seeded shuffle; as a key it needs no task that sees all rows
+    return t.withColumn("shuffle_key", F.substring(F.sha2(F.concat(F.lit("7|"), "task_id"), 256), 1, 16))
 
 
 @query("evl_10_mcq_majority", f"""WITH v AS (SELECT user_id % 40 AS item, event_id % 3 AS condition, event_type AS choice, min(event_id) AS first, count(*) AS n FROM events GROUP BY 1, 2, 3),
@@ -118,10 +118,10 @@ def evl_13(spark, sf_dir):
     return x.select("doc_id", "paragraph_index", at.cast("long").alias("at"), F.length(F.regexp_extract(F.substring(F.col("text"), F.lit(1), at), "[^.!?]*$", 0)).cast("long").alias("back"))
 
 
-@query("evl_14_evidence", r"SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(regexp_replace(lower(d.text), '[\s\p{Z}]+', '', 'g'), regexp_replace(lower(left(b.text, 40)), '[\s\p{Z}]+', '', 'g')) GROUP BY 1")
+@query("evl_14_evidence", r"SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(regexp_replace(lower(d.text), '[\s\p{Z}]+', '', 'g'), regexp_replace(lower(b.text), '[\s\p{Z}]+', '', 'g')) GROUP BY 1")
 def evl_14(spark, sf_dir):
-    """Benchmark openings as evidence."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower(F.substring("text", 1, 40)), T.SPACES, "").alias("needle"))
+    """Benchmark passages as evidence."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), T.SPACES, "").alias("needle"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), T.SPACES, "").alias("bare"))
     return E.verify_evidence(docs, items)
 

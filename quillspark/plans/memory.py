@@ -65,10 +65,10 @@ _ZH = f"translate(regexp_replace(lower(text), '[^aeioudnst ]', '', 'g'), '{_ALPH
 
 def _cjk(spark, sf_dir):
     bare = F.regexp_replace(F.lower("text"), "[^aeioudnst ]", "")
-    return paragraphs(spark, sf_dir).where("paragraph_index <= 3").select("doc_id", F.col("paragraph_index").alias("ord"), F.translate(bare, *_ALPHABET).alias("text"))
+    return paragraphs(spark, sf_dir).select("doc_id", F.col("paragraph_index").alias("ord"), F.translate(bare, *_ALPHABET).alias("text"))
 
 
-_ZT = f"zt AS (SELECT doc_id, paragraph_index AS ord, {_ZH} AS text FROM p WHERE paragraph_index <= 3)"
+_ZT = f"zt AS (SELECT doc_id, paragraph_index AS ord, {_ZH} AS text FROM p)"
 
 
 @query("mem_04_theme_terms", f"""WITH {P_CTE}, {_ZT}, r AS (SELECT doc_id, ord, unnest(ts) AS term, unnest(range(0, len(ts))) AS pos FROM (SELECT doc_id, ord, regexp_extract_all(text, '[一-鿿]{{2,4}}') AS ts FROM zt)),
@@ -95,11 +95,11 @@ def mem_06(spark, sf_dir):
     return d.select("doc_id", F.when(F.size(reasons) > 0, "degraded").otherwise("ready").alias("status"), F.array_join(reasons, ",").alias("reasons"))
 
 
-@query("mem_07_audit", f"""WITH {TE_CTE}, k AS (SELECT * FROM ent WHERE mention_count > 1) SELECT 'duplicate' AS issue, slug AS key, count(*) AS n FROM ent GROUP BY 2 HAVING count(*) > 30 UNION ALL
+@query("mem_07_audit", f"""WITH {TE_CTE}, k AS (SELECT * FROM ent WHERE mention_count > 1) SELECT 'duplicate' AS issue, slug AS key, count(*) AS n FROM ent GROUP BY 2 HAVING count(*) > 1 UNION ALL
 SELECT 'dangling', CAST(doc_id AS VARCHAR), count(*) FROM te WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = te.doc_id AND slug = source) OR NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = te.doc_id AND slug = target) GROUP BY 2""")
 def mem_07(spark, sf_dir):
     ents = entities(spark, sf_dir)
-    duplicate = ents.groupBy(F.col("slug").alias("key")).agg(F.count("*").alias("n")).where("n > 30").select(F.lit("duplicate").alias("issue"), "key", "n")
+    duplicate = ents.groupBy(F.col("slug").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("duplicate").alias("issue"), "key", "n")
     loose = M.dangling(text_edges(spark, sf_dir), ents.where("mention_count > 1")).groupBy(F.col("doc_id").cast("string").alias("key")).agg(F.count("*").alias("n"))
     return duplicate.unionByName(loose.select(F.lit("dangling").alias("issue"), "key", "n"))
 
@@ -140,11 +140,11 @@ def ana_01(spark, sf_dir):
 
 @query("ana_02_frequent_ngrams", f"""WITH {P_CTE}, {_ZT}, r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[一-鿿]{{2,80}}')) AS run FROM zt), n AS (SELECT doc_id, run, unnest([2, 3, 4]) AS n FROM r),
 g AS (SELECT doc_id, substring(run, i, n) AS token, n FROM (SELECT doc_id, run, n, unnest(range(1, length(run) - n + 2)) AS i FROM n WHERE length(run) >= n)),
-w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]{{2,}}'))) AS token FROM p WHERE paragraph_index <= 3),
+w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]{{2,}}'))) AS token FROM p),
 u AS (SELECT doc_id, token, 1 + (n - 2) * 0.18::DOUBLE AS weight FROM g WHERE NOT regexp_matches(token, '[{M.BLOCKED_CHARS}]') UNION ALL SELECT doc_id, token, 1.0::DOUBLE FROM w)
 SELECT doc_id, token, {_R3.format('sum(weight)')} AS weight FROM u GROUP BY 1, 2""")
 def ana_02(spark, sf_dir):
-    latin = paragraphs(spark, sf_dir).where("paragraph_index <= 3").select("doc_id", "text")
+    latin = paragraphs(spark, sf_dir).select("doc_id", "text")
     g = M.frequent_ngrams(_cjk(spark, sf_dir).select("doc_id", "text").union(latin))
     return g.select("doc_id", "token", T.round3(F.col("weight")).alias("weight"))
 
@@ -202,11 +202,10 @@ def ana_05(spark, sf_dir):
 
 
 @query("ana_06_audit_chain", f"""WITH {ED_CTE}, h AS (SELECT source, target, signature, valid_at, row_number() OVER (PARTITION BY source ORDER BY f) AS step, lag(signature) OVER (PARTITION BY source ORDER BY f) AS supersedes FROM sup)
-SELECT source, step, signature, supersedes, valid_at FROM h WHERE source IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey <= 200)""")
+SELECT source, step, signature, supersedes, valid_at FROM h""")
 def ana_06(spark, sf_dir):
-    seg = table(spark, sf_dir, "customer").where("c_custkey <= 200").select(F.concat(F.lit("c"), "c_custkey").alias("source"))
     w = Window.partitionBy("source").orderBy("first")
-    rel = star_relations(spark, sf_dir).join(seg, "source", "left_semi")
+    rel = star_relations(spark, sf_dir)
     return rel.select("source", F.row_number().over(w).cast("long").alias("step"), "signature", F.lag("signature").over(w).alias("supersedes"), "valid_at")
 
 
@@ -225,11 +224,11 @@ def ana_08(spark, sf_dir):
     return best.select("slug", (-F.col("x.d")).alias("doc_id"), "x.mention_count")
 
 
-@query("ana_09_book_detail", f"WITH {P_CTE} SELECT doc_id, chapter_index, min_by('Title ' || paragraph_index, paragraph_index) FILTER (paragraph_index % 3 = 0) AS title, string_agg(left(text, 10), '|' ORDER BY paragraph_index) AS heads FROM p GROUP BY 1, 2")
+@query("ana_09_book_detail", f"WITH {P_CTE} SELECT doc_id, chapter_index, min_by('Title ' || paragraph_index, paragraph_index) FILTER (paragraph_index % 3 = 0) AS title, string_agg(text, '|' ORDER BY paragraph_index) AS paragraphs FROM p GROUP BY 1, 2")
 def ana_09(spark, sf_dir):
     title = F.min_by(F.when(F.col("paragraph_index") % 3 == 0, F.concat(F.lit("Title "), "paragraph_index")), F.when(F.col("paragraph_index") % 3 == 0, F.col("paragraph_index")))
-    heads = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_index", F.substring("text", 1, 10).alias("h")))), lambda x: x["h"]), "|")
-    return paragraphs(spark, sf_dir).groupBy("doc_id", "chapter_index").agg(title.alias("title"), heads.alias("heads"))
+    heads = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_index", F.col("text").alias("h")))), lambda x: x["h"]), "|")
+    return paragraphs(spark, sf_dir).groupBy("doc_id", "chapter_index").agg(title.alias("title"), heads.alias("paragraphs"))
 
 
 @query("ana_10_character_block", f"""WITH {TE_CTE}, g AS (SELECT doc_id, source, CASE WHEN weight > 2 THEN 'family' WHEN weight = 2 THEN 'interaction' ELSE 'other' END AS kind, target, weight FROM te),
@@ -247,9 +246,9 @@ def ana_10(spark, sf_dir):
 _UI = "CASE " + " ".join(f"WHEN regexp_matches(t, '{'|'.join(ws)}') THEN '{n}'" for n, ws in Rel.CATEGORIES) + " ELSE 'other' END"
 
 
-@query("ui_01_edge_category", f"WITH t AS (SELECT conv_id, turn, lower(role || ' ' || left(text, 40)) AS t FROM conversations) SELECT conv_id, turn, {_UI} AS category FROM t")
+@query("ui_01_edge_category", f"WITH t AS (SELECT conv_id, turn, lower(role || ' ' || text) AS t FROM conversations) SELECT conv_id, turn, {_UI} AS category FROM t")
 def ui_01(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Rel.category(F.col("role"), F.substring("text", 1, 40)).alias("category"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", Rel.category(F.col("role"), F.col("text")).alias("category"))
 
 
 @query("ui_02_renderable_subgraph", f"WITH {TE_CTE}, k AS (SELECT * FROM ent WHERE type = 'character'), g AS (SELECT te.doc_id, source, target FROM te WHERE EXISTS (SELECT 1 FROM k WHERE k.doc_id = te.doc_id AND slug = source) AND EXISTS (SELECT 1 FROM k WHERE k.doc_id = te.doc_id AND slug = target)) SELECT doc_id, source AS node FROM g UNION SELECT doc_id, target FROM g")

@@ -120,9 +120,9 @@ def _slug(x: str, sep: str, fallback: str, ascii_only: bool = False) -> str:
     return f"coalesce(nullif(trim(regexp_replace(lower({sql_strip(x)}), '{kept}', '{sep}', 'g'), '{sep}'), ''), '{fallback}')"
 
 
-@query("seg_12_slugify", f"WITH {P_CTE} SELECT doc_id, paragraph_index, {_slug('left(text, 60)', '-', 'book')} AS dashed, {_slug('left(text, 60)', '_', 'unknown')} AS scored, {_slug('left(text, 60)', '_', 'candidate', True)} AS plain FROM p")
+@query("seg_12_slugify", f"WITH {P_CTE} SELECT doc_id, paragraph_index, {_slug('text', '-', 'book')} AS dashed, {_slug('text', '_', 'unknown')} AS scored, {_slug('text', '_', 'candidate', True)} AS plain FROM p")
 def seg_12(spark, sf_dir):
-    t = F.substring("text", 1, 60)
+    t = F.col("text")
     return paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", T.slugify(t, "-", "book").alias("dashed"), T.slugify(t).alias("scored"), T.slugify(t, "_", "candidate", True).alias("plain"))
 
 
