@@ -34,6 +34,18 @@ def test_text_functions_with_cjk(spark):
     assert one(spark, T.is_heading("t"), t=" 第十二章 风") is True
 
 
+def test_sql_functions_equal_column_functions(spark):
+    from quillspark.functions import sql
+
+    sql.register(spark)
+    rows = [("He said: the 孤独 of it_1",), ("",), ("---",), ("The the THE of",)]
+    df = spark.createDataFrame(rows, "t string")
+    df.createOrReplaceTempView("sql_texts")
+    got = spark.sql("select t, quill_token_count(t) n, quill_slug(t) s, array_join(quill_tokens(t), ' ') w, quill_overlap(array('the', 'of'), t) o, quill_spoiler_level(3) l, quill_visible(2, 9, 2, 8) v from sql_texts")
+    want = df.select("t", T.token_count("t"), T.slugify("t"), F.array_join(T.tokens("t"), " "), retrieval.overlap_score(["the", "of"], "t"), F.lit(1), F.lit(False))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 # segments
 
 
