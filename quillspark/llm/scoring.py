@@ -6,7 +6,7 @@ for being in the corpus. The score of a word after its context is count(n-gram)
 with a count left, times ``alpha`` for each word of context given up (of those that the document has); a single word has count / words in all other documents, and a word that is
 nowhere else alpha**order / (those words + 1). ``log_score`` is the sum of natural logarithms.
 
-Plan. Documents are dealt once into blocks of a few MB. Each block explodes its n-grams into hashes and sums
+Plan. Documents are dealt once, compressed, into blocks of a few MB. Each block explodes its n-grams into hashes and sums
 them (a frequent n-gram is one entry a block, so none is hot); the entries are dealt by hash range, where they add up to the
 count table; each block gets back what the others add to its own entries, in its entries' order. The blocks then
 look up every n-gram of their documents and sum by document.
@@ -16,23 +16,42 @@ Null texts have no words and log_score 0. Repeated documents are documents of th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from quillspark.llm.common import block_column, block_count, cuts, doc_windows, hasher, pack, pack_counts, table, texts, unpack, unpack_counts
 
-ORDER = 2
+ORDER = 3
 ALPHA = 0.4
 _BLOCK = "quill_block"
+#: n-gram hashes keep 56 bits: a byte less for each entry that moves, and for 15 billion n-grams two thousand of them share an entry.
+_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 _TOTAL = np.zeros(1, np.uint64)  # the n-gram of no words: its count is the number of words
 _CELL = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
 
-def _block_words(column) -> tuple[np.ndarray, np.ndarray]:
+def _packed(docs: DataFrame, id_col: str, text_col: str, block: Column) -> DataFrame:
+    """(id, z, block): texts compressed, as they move once and are read twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            z = [compress(t.encode("utf-8", "surrogatepass")) for t in texts(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2)], [id_col, "z", _BLOCK])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col, block.alias(_BLOCK)).mapInArrow(run, f"`{id_col}` {kind}, z binary, {_BLOCK} int")
+
+
+def _block_words(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes, parts = [], [np.empty(0, np.uint64)]
-    for t in texts(column):
-        words = t.encode("utf-8", "surrogatepass").lower().split()
+    unpacked = zstandard.ZstdDecompressor().decompress
+    for z in column:
+        words = unpacked(z).lower().split()
         sizes.append(len(words))
         parts.append(hasher.array(words))
     return np.concatenate(parts), np.array(sizes, np.int64)
@@ -40,7 +59,7 @@ def _block_words(column) -> tuple[np.ndarray, np.ndarray]:
 
 def _ngrams(h: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     hashes, at = doc_windows(h, sizes, n)
-    return hashes ^ np.uint64(n * 0x2545F4914F6CDD1D % (1 << 64)), at
+    return (hashes ^ np.uint64(n * 0x2545F4914F6CDD1D % (1 << 64))) & _BITS, at
 
 
 def block_counts(h: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +71,12 @@ def block_counts(h: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarr
     return hashes[by], counts[by]
 
 
-def count_cells(blocks: DataFrame, text_col: str, order: int, buckets: int) -> DataFrame:
+def count_cells(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     """(bucket, block, hashes, counts): each block's n-gram counts by hash range."""
 
     def run(t: pa.Table) -> pa.Table:
         block = t.column(_BLOCK)[0].as_py()
-        hashes, counts = block_counts(*_block_words(t.column(text_col).to_pylist()), order)
+        hashes, counts = block_counts(*_block_words(t.column("z").to_pylist()), order)
         rows = [(b, block, pack(hashes[i:j]), pack_counts(counts[i:j])) for b, i, j in cuts(hashes, buckets)]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _CELL.types)], schema=_CELL)
 
@@ -121,13 +140,13 @@ def score_block(column: list, others: np.ndarray | None, order: int, alpha: floa
 def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """(id, n_words, log_score, mean_log_score, n_full_order: words whose longest n-gram had a count) of every row."""
     n = blocks or block_count(docs)
-    dealt = docs.select(id_col, text_col, block_column(docs, id_col, n, text_col).alias(_BLOCK))
-    totals = ngram_totals(count_cells(dealt, text_col, order, n))
+    dealt = _packed(docs, id_col, text_col, block_column(docs, id_col, n, text_col))
+    totals = ngram_totals(count_cells(dealt, order, n))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cells = sorted(zip(right.column("bucket").to_pylist(), right.column("others").to_pylist()))
         others = np.concatenate([unpack_counts(x) for _, x in cells]) if cells else None
-        out = score_block(left.column(text_col).to_pylist(), others, order, alpha)
+        out = score_block(left.column("z").to_pylist(), others, order, alpha)
         return pa.table([left.column(id_col), *(pa.array(x) for x in out.values())], names=[id_col, *out])
 
     kind = docs.schema[id_col].dataType.simpleString()
