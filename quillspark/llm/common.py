@@ -41,6 +41,10 @@ def use(cache):
     return cache
 
 
+#: Longer words are not remembered.
+LONG_WORD = 200
+
+
 class WordHasher(dict):
     """word (bytes) -> 64-bit hash. Keeps at most ``cap`` words and then starts anew, so its memory is bounded."""
 
@@ -49,9 +53,11 @@ class WordHasher(dict):
         self.cap, self.seed = cap, seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.cap:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, self.seed)
+        value = xxhash.xxh64_intdigest(word, self.seed)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.cap:
+                self.clear()
+            self[word] = value
         return value
 
     def array(self, words: list[bytes]) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import table, texts, use
+from quillspark.llm.common import LONG_WORD, table, texts, use
 
 SAMPLE_ROWS = 6000
 SHAPES = WORDS = 512
@@ -42,15 +42,16 @@ class _Codes(dict):
     """word -> shape bucket + SHAPES * word bucket + flags above; bounded like WordHasher."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 150_000:
-            self.clear()
         shape = word[:64]
         for pattern, by in _RUNS:
             shape = pattern.sub(by, shape)
         letters = "".join(c for c in word.lower() if c.isalnum())
         code = xxhash.xxh64_intdigest(shape) % SHAPES + SHAPES * (xxhash.xxh64_intdigest(letters) % WORDS)
         code += (SHAPES * WORDS) * ((word.isupper() and len(letters) > 1) + 2 * (not letters) + 4 * bool(re.search(r"(\W)\1", word)))
-        self[word] = code
+        if len(word) <= LONG_WORD:
+            if len(self) >= 150_000:
+                self.clear()
+            self[word] = code
         return code
 
 

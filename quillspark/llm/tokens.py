@@ -17,7 +17,7 @@ from pathlib import Path
 
 import numpy as np
 
-from quillspark.llm.common import use
+from quillspark.llm.common import LONG_WORD, use
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that an encoder remembers, about 200 bytes each, and as many words.
@@ -45,9 +45,11 @@ class _Cores(dict):
         self.learn, self.most = learn, most
 
     def __missing__(self, core: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        self[core] = ids = self.learn(core)
+        ids = self.learn(core)
+        if len(core) <= LONG_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[core] = ids
         return ids
 
 
@@ -107,6 +109,8 @@ class Encoder:
         self.pieces.update((p, self._piece(p)) for p in needed.difference(self.pieces))
         for k, pieces in split:
             out[k] = b"".join(map(self.pieces.__getitem__, pieces))
+        for p in [p for p in needed if len(p) > LONG_WORD]:
+            del self.pieces[p]
         if len(self.pieces) > self.most:
             self.pieces.clear()
         return out
