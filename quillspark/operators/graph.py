@@ -17,6 +17,15 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shared(df: DataFrame) -> None:
+    """Deletes what shared_table() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if "/quillspark-graph/" in path.toString():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dependencies(episodes: DataFrame, keys: list[str], back: int = 4, shared: int = 2) -> DataFrame:
     """episodes (keys, paragraph_index, names array) -> (keys, paragraph_index, depends_on): the one before in its chapter, and of the
     last ``back`` those with at least ``shared`` names in common. Earlier ones come by lag, so that no self-join is needed."""
@@ -47,7 +56,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         roots = labels.select(F.col("node").alias("r"), F.col("component").alias("further"))
         step = near.join(roots, near["c"] == roots["r"], "left").select("node", "old", F.least("c", F.coalesce("further", "c")).alias("component"))
         step = shared_table(step, "labels")
+        drop_shared(labels)
         if step.where("old <> component").limit(1).count() == 0:
+            drop_shared(both)
             return step.select("node", "component")
         labels = step.drop("old")
     raise RuntimeError("components: not settled")

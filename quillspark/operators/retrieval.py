@@ -71,6 +71,12 @@ class GraphRetrieval:
         seen = self.episodes.select("doc_id", F.col("paragraph_index").alias("valid_at"))
         self.edges = edges.join(seen, ["doc_id", "valid_at"], "left_semi")
 
+    def close(self) -> None:
+        """Lets go of the kept stages."""
+        for name in ("_support", "_entity_hits"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
+
     def _hit(self, df: DataFrame, kind: str) -> DataFrame:
         return df.select("doc_id", F.lit(kind).alias("hit_type"), "hit_id", "score", "chapter_index", "paragraph_index")
 

@@ -190,7 +190,7 @@ _HITS = " + ".join(f"(length(text) - length(replace(text, '{m}', ''))) / {len(m)
 def sty_04(spark, sf_dir):
     hits = sum((T.count_of(F.col("text"), m) for m in _MARKERS), F.lit(0.0))
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", (hits * 100.0 / F.greatest(F.lit(1), T.non_blank_length("text"))).alias("v"))
-    base = F.broadcast(d.groupBy("lang").agg(F.avg("v").alias("base")))  # one row a language
+    base = d.groupBy("lang").agg(F.avg("v").alias("base"))
     return d.join(base, "lang").select("doc_id", T.round3(F.col("v")).alias("intensity"), T.round3(F.try_divide("v", "base")).alias("ratio"))
 
 

@@ -14,16 +14,26 @@ from pyspark.sql.streaming import StreamingQuery
 from quillspark.sources.stores import exists
 
 
-def upsert(spark: SparkSession, new: DataFrame, root: str, epoch: int, keys: list[str]) -> None:
+#: Books are stored in so many directories, so that a batch reads those that its books are in.
+BUCKETS = 64
+
+
+def bucket_of(book: str) -> Column:
+    return F.pmod(F.xxhash64(book), F.lit(BUCKETS)).cast("int")
+
+
+def upsert(new: DataFrame, root: str, epoch: int, keys: list[str], book: str) -> None:
     """Adds an epoch's rows. An epoch is written to its own directory and replaces itself on a retry, so a batch counts once."""
-    new.dropDuplicates(keys).write.mode("overwrite").parquet(f"{root}/epoch={epoch}")
+    rows = new.dropDuplicates(keys).withColumn("bucket", bucket_of(book))
+    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/epoch={epoch}")
 
 
-def current(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
-    """All rows so far, the earliest epoch's row for a repeated key."""
+def current(spark: SparkSession, root: str, keys: list[str], buckets: list[int] | None = None) -> DataFrame:
+    """All rows so far (of the given buckets), the earliest epoch's row for a repeated key."""
     rows = spark.read.parquet(root)
+    rows = rows if buckets is None else rows.where(F.col("bucket").isin(*buckets))
     first = F.row_number().over(Window.partitionBy(*keys).orderBy("epoch"))
-    return rows.withColumn("k", first).where("k = 1").drop("k", "epoch")
+    return rows.withColumn("k", first).where("k = 1").drop("k", "epoch", "bucket")
 
 
 def incremental_build(chunks: DataFrame, root: str, checkpoint: str, derive: Callable[[DataFrame], DataFrame], book: str = "doc_id", keys: tuple[str, ...] = ("doc_id", "paragraph_index")) -> StreamingQuery:
@@ -31,10 +41,14 @@ def incremental_build(chunks: DataFrame, root: str, checkpoint: str, derive: Cal
 
     def batch(new: DataFrame, epoch: int) -> None:
         spark = new.sparkSession
-        upsert(spark, new, f"{root}/chunks", epoch, list(keys))
-        touched = new.select(book).distinct()
-        whole = current(spark, f"{root}/chunks", list(keys)).join(touched, book, "left_semi")
+        touched = new.select(book, bucket_of(book).alias("bucket")).distinct().persist()
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+        if not buckets:
+            return
+        upsert(new, f"{root}/chunks", epoch, list(keys), book)
+        whole = current(spark, f"{root}/chunks", list(keys), buckets).join(touched.select(book), book, "left_semi")
         derive(whole).withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{root}/derived/batch={epoch}")
+        touched.unpersist()
 
     return chunks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
