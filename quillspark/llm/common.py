@@ -189,7 +189,8 @@ def block_column(df: DataFrame, key: str, blocks: int, text: str, leaves: int =
     leaves = max(1, min(leaves, blocks))
     of = F.col(key).cast("double")
     got = df.agg(F.percentile_approx(of, [i / leaves for i in range(leaves + 1)], 10_000).alias("q")).first()["q"]
-    loose = F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
+    # never null, as Spark should see, too: a filter for nulls on one side of a join would keep an exchange from being used twice
+    loose = F.coalesce(F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int"), F.lit(0))
     if not got:
         return loose
     bounds = sorted(set(got))
