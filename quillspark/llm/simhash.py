@@ -16,7 +16,7 @@ Equal fingerprints are one node, so exact copies never meet in a join. Where man
 share such a value are within 2 bits of each other, and the reverse. That is exact and linear (for most <= 2; for larger
 ``most`` the pairs are joined).
 
-Nulls, repeats: rows with a null id keep a fingerprint and never lend their id; if a whole component has none, its id
+Nulls, repeats: rows with a null id keep a fingerprint, link others like any row and never lend their id; if a whole component has none, its id
 is null. Repeated ids are each reported. Empty tables give empty results. Other columns are not looked at.
 """
 
@@ -125,13 +125,20 @@ def links(nodes: DataFrame, most: int = 2, pair_bucket: int = 16) -> DataFrame:
 HOT_SHARE = 1000
 
 
-def link_components(prints: DataFrame, most: int = 2, pair_bucket: int = 16) -> DataFrame:
-    """prints (id, fp) -> (id, fp, component_id). Reads ``prints`` several times: give it a stored table."""
-    nodes = stored(prints.where("fp is not null").groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n_rows")), "nodes")
-    found = components(links(nodes.where("node is not null").select("fp", "node"), most, pair_bucket))
-    # from here on by fingerprint; only those in a component of several fingerprints have a row in found
-    renamed = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n")).select("fp", "root")
-    named = nodes.join(renamed, "fp", "left").select("fp", F.coalesce("root", "node").alias("component_id"), "n_rows")
+def linked_nodes(prints: DataFrame, most: int = 2, pair_bucket: int = 16) -> tuple[DataFrame, DataFrame]:
+    """prints (id, fp) -> nodes (fp, id, n_rows), one row a fingerprint with its smallest id, and roots (fp, root): the smallest
+    fingerprint of each one's component. Links are between fingerprints, whether or not their rows have ids."""
+    nodes = stored(prints.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n_rows")), "nodes")
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), most, pair_bucket))
+    # only fingerprints in a component of several have a row in found
+    return nodes, stored(nodes.select("fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
+def name_components(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """prints (id, fp) -> (id, fp, component_id): the smallest id of the fingerprints with the same root."""
+    of = stored(nodes.join(roots, "fp"), "of_root")
+    least = stored(of.groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    named = of.join(least, "root").select("fp", "component_id", "n_rows")
     # rows of a hot fingerprint (many exact copies) are named where they are, the others by a join
     total = nodes.agg(F.sum("n_rows")).first()[0] or 0
     is_hot = F.col("n_rows") > max(100, total // HOT_SHARE)
@@ -141,6 +148,11 @@ def link_components(prints: DataFrame, most: int = 2, pair_bucket: int = 16) ->
     return split.where("hot is null").select("id", "fp").join(named.where(~is_hot).drop("n_rows"), "fp", "left").select("id", "fp", "component_id").unionByName(there)
 
 
+def link_components(prints: DataFrame, most: int = 2, pair_bucket: int = 16) -> DataFrame:
+    """prints (id, fp) -> (id, fp, component_id). Reads ``prints`` several times: give it a stored table."""
+    return name_components(prints, *linked_nodes(prints, most, pair_bucket))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 2) -> DataFrame:
     """(id, fingerprint: 16 hex digits, component_id) for every row of docs."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "prints")

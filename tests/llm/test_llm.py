@@ -151,6 +151,12 @@ def test_near_duplicates_null_ids(spark):
     assert sorted((r.id or -1, r.component_id or -1) for r in simhash.near_duplicates(df).collect()) == [(-1, -1), (-1, 2), (2, 2), (4, 2)]
 
 
+def test_a_row_without_an_id_links_others(spark):
+    df = spark.createDataFrame([(3, 0b1111), (None, 0b0011), (1, 0), (None, 1 << 40), (None, 0b1111 << 50)], "id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.link_components(df).collect()}
+    assert got == {0b1111: 1, 0b0011: 1, 0: 1, 1 << 40: 1, 0b1111 << 50: None}
+
+
 # 5 substring
 
 
