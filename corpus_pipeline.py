@@ -3,7 +3,7 @@
 Stages, each stored as Parquet and read again by the next:
 
 1. quality: co-trained classifier; documents that it rejects go.
-2. near_dedup: SimHash components; one document of each, the one with the smallest doc_id, stays. Rows without a doc_id can't be told
+2. near_dedup: components of near copies (SimHash of op8, or an exact Jaccard similarity of 5-word shingles of 0.8 or more); one document of each, the one with the smallest doc_id, stays. Rows without a doc_id can't be told
    apart from their copies by it and stay.
 3. substring_dedup: passages of 20 words or more that occurred earlier are cut out; documents of which nothing is left go.
 4. decontaminate: documents with a twentieth of their words in benchmark passages go; from others such passages are cut out.
@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontaminate, packing, quality, simhash, substring
+from quillspark.llm import decontaminate, near_copies, packing, quality, substring
 from quillspark.llm.common import stored, table
 
 
@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
+    found = near_copies.near_copies(docs)
     copies = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 

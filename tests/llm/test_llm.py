@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillspark.llm import common, decontaminate, fingerprint, language, matrices, packing, quality, scoring, simhash, substring, tokens, url_filter
+from quillspark.llm import common, decontaminate, fingerprint, language, matrices, near_copies, packing, quality, scoring, simhash, substring, tokens, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block int, hits string, id long"
 
@@ -157,6 +157,68 @@ def test_a_row_without_an_id_links_others(spark):
     assert got == {0b1111: 1, 0b0011: 1, 0: 1, 1 << 40: 1, 0b1111 << 50: None}
 
 
+# near copies of the pipeline
+
+
+def brute_copies(rows):
+    """id -> smallest id of its component: SimHash within 2 bits, or Jaccard of lower-cased 5-word shingles of 0.8 or more."""
+    label = {i: i for i, _ in rows}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    marks = [(i, brute_fingerprint(t), shingles((t or "").encode().lower().decode())) for i, t in rows]
+    for (i, f, a), (j, g, b) in itertools.combinations(marks, 2):
+        if bin(f ^ g).count("1") <= 2 or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+            p, q = sorted((find(i), find(j)))
+            label[q] = p
+    return {i: find(i) for i, _ in rows}
+
+
+def edited(rng, text, k):
+    w = text.split()
+    for at in rng.sample(range(len(w)), k):
+        w[at] = f"e{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_near_copies(spark):
+    """Copies from just above to just below 0.8, a chain over copies, and a group with many under one key."""
+    rng, rows = random.Random(5), []
+    for k in range(1, 9):
+        base = words(rng, 200, 5000)
+        rows += [base, edited(rng, base, k), edited(rng, base, k).upper()]
+    step = words(rng, 200, 5000)
+    for _ in range(6):
+        rows.append(step)
+        step = edited(rng, step, 3)
+    base = words(rng, 150, 5000)
+    rows += [edited(rng, base, rng.randrange(1, 5)) for _ in range(40)] + [None, "", "a b", "A  b", "a b c"]
+    rows = [(7 * i + 3, t) for i, t in enumerate(rows)]
+    rng.shuffle(rows)
+    got = {r.id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = brute_copies(rows)
+    assert got == want
+    thin = brute_links([(i, brute_fingerprint(t)) for i, t in rows], 2)
+    assert sum(want[i] != i for i in want) > sum(thin[i] != i for i in thin)
+    assert near_copies.near_copies(empty(spark)).count() == 0
+
+
+def test_pipeline_stage_drops_a_near_copy_of_080(spark):
+    import corpus_pipeline
+
+    base = words(random.Random(6), 184, 9000).split()  # 180 shingles; 20 others make 160 / 200
+    copy = [*base[:164], *(f"n{i}" for i in range(20))]
+    assert 5 * len(shingles(" ".join(base)) & shingles(" ".join(copy))) == 4 * len(shingles(" ".join(base)) | shingles(" ".join(copy)))
+    below = [*base[:163], *(f"m{i}" for i in range(21))]
+    assert bin(brute_fingerprint(" ".join(base)) ^ brute_fingerprint(" ".join(copy))).count("1") > 2
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, words(random.Random(7), 200)), (4, " ".join(below)), (None, " ".join(copy))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == [0, 1, 3, 4]
+
+
 # 5 substring
 
 
