@@ -88,13 +88,21 @@ def patched(rows: DataFrame, key: str, dropped: DataFrame, edits: DataFrame, col
 
 def verify_evidence(docs: DataFrame, items: DataFrame, most: int = 2000) -> DataFrame:
     """docs (doc_id, bare), items (item_id, needle) -> (item_id, n_docs) of needles that occur. Up to ``most`` needles, counted, are looked for
-    in each document as it is read; more of them meet the documents' eight-character grams in an equi-join first."""
+    in each document as it is read; more of them meet the documents' grams of eight characters (of a shorter needle: of its length) in an equi-join
+    first. On both ways an empty needle occurs in every document that has a text, null in none."""
     few = items.limit(most + 1).collect()
     if len(few) <= most:
         listed = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["needle"]).alias("needle")) for r in few])
         found = docs.select("doc_id", F.explode(F.filter(listed, lambda x: F.contains(F.col("bare"), x["needle"]))).alias("x"))
         return found.groupBy("x.item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("bare") - 7))
-    keyed = docs.select("doc_id", "bare", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("bare"), i, F.lit(8))))).alias("key"))
+    size = F.least(F.length("needle"), F.lit(8))
+    sizes = [r[0] for r in items.where("needle is not null").select(size).distinct().collect()]  # nine numbers at most
+
+    def grams(n: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("bare") - (n - 1))) if n else F.array(F.lit(1))
+        return F.transform(starts, lambda i: F.substring(F.col("bare"), i, F.lit(n)))
+
+    found = F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(n) for n in sizes]))
+    keyed = docs.select("doc_id", "bare", F.explode(found).alias("key"))
     met = keyed.join(items.withColumn("key", F.substring("needle", 1, 8)), "key").where(F.contains("bare", "needle"))
     return met.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))

@@ -230,6 +230,15 @@ def test_evidence_both_ways(spark):
         assert [tuple(r) for r in evaluation.verify_evidence(docs, items, most).collect()] == [(1, 2)]
 
 
+def test_short_and_empty_evidence_both_ways(spark):
+    docs = spark.createDataFrame([(1, "abcdefghijkl"), (2, "xxabcdefghij"), (3, "nothing"), (4, "abcd"), (5, ""), (6, None)], "doc_id long, bare string")
+    needles = ["abcd", "cdefg", "bcdefgh", "ghi", "abcdefghij", "zzzz", "", None]
+    items = spark.createDataFrame(list(enumerate(needles)), "item_id long, needle string")
+    want = {0: 3, 1: 2, 2: 2, 3: 2, 4: 2, 6: 5}
+    for most in (100, 0):
+        assert {r.item_id: r.n_docs for r in evaluation.verify_evidence(docs, items, most).collect()} == want
+
+
 # sources and stores
 
 
