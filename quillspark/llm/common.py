@@ -4,15 +4,17 @@ Three ideas recur:
 
 * word hashing on whole batches (``WordHasher``, ``window_hashes``), so that Python touches a word once
   and numpy does the rest;
-* *blocks*: documents dealt into many parts of a few MB by ranges of ``doc_id``. A block fits in one task, its
-  number grows with the input, and the order of blocks is the order of ``doc_id``;
+* *blocks*: documents dealt into many parts of a few MB of text, measured, by a hash (``hash_blocks``) or by ranges of ``doc_id``
+  (``block_column``; the order of blocks is then the order of ``doc_id``). A block fits in one task, and their number grows with the input;
 * *cells*: for each block and hash range, the sorted 64-bit hashes that occur there, packed into one
   binary value. A hash that occurs a million times in a block is one entry, so that a frequent n-gram or passage
-  never weighs more than one entry a block.
+  never weighs more than one entry a block. A block's hashes are dealt into at most ``FAN_OUT`` ranges: beyond as many blocks, the cells
+  of one range and of ``FAN_OUT`` blocks at a time are merged and dealt once more (``Ranges``), so that cells grow in proportion to blocks.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -20,12 +22,16 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Odd multiplier of the polynomial window hash; any odd 64-bit constant will do.
 BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-UNKNOWN_BYTES = 1 << 50
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+#: Most hash ranges that a block's hashes are dealt into at once; so a cell has a few KB at least.
+FAN_OUT = 4096
+#: Quantiles of doc_id that ranges of it are cut at; beyond as many blocks, each part between two of them is cut evenly by value.
+LEAVES = 4096
 
 
 _in_use: list = [None]
@@ -152,11 +158,35 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
 
 
-def cuts(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of the non-empty hash ranges of a sorted array; ranges split the 64-bit space evenly."""
-    bounds = [min((b * (1 << 64)) // buckets, (1 << 64) - 1) for b in range(buckets)]
-    at = np.append(np.searchsorted(hashes, np.array(bounds, np.uint64)), len(hashes)).tolist()
-    return [(b, at[b], at[b + 1]) for b in range(buckets) if at[b] < at[b + 1]]
+def ranges_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each hash; the 64-bit space is split evenly into ``ranges`` (at most 2**31)."""
+    return (((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def cuts(hashes: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) of the non-empty ranges of a sorted array; takes time by its length, not by their number."""
+    if not len(hashes):
+        return []
+    of = ranges_of(hashes, ranges)
+    at = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1, [len(of)]))
+    return list(zip(of[at[:-1]].tolist(), at[:-1].tolist(), at[1:].tolist()))
+
+
+class Ranges:
+    """How ``blocks`` blocks exchange cells by hash range: at once, or in two steps.
+
+    At once: each block's hashes go to ``first`` = as many ranges as there are blocks. With more than ``fan_out`` blocks that would make
+    blocks * blocks cells, so ``first`` is then ``fan_out``, and ``fan_out`` blocks make a *part*: the cells of one range and part are merged (about one block's worth)
+    and dealt into ``second`` ranges each. Either way a block or part makes at most fan_out cells, and a group about one block's worth."""
+
+    def __init__(self, blocks: int, fan_out: int = FAN_OUT):
+        self.blocks, self.fan_out = blocks, fan_out
+        self.two_steps = blocks > fan_out
+        self.first = min(blocks, fan_out)
+        self.second = -(-blocks // fan_out)
+
+    def part(self) -> Column:
+        return F.floor(F.col("block") / self.fan_out).cast("int")
 
 
 def contains(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -167,54 +197,100 @@ def contains(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the input's size (for files: their size), from the plan alone."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def count_blocks(df: DataFrame, text_bytes: int | None, block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks of about ``block_bytes`` of text; small inputs make some for each core, but none of under a sixteenth of that."""
+    size, cores = text_bytes or 0, df.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-size // block_bytes), min(2 * cores, size // (block_bytes // 16)))
+
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    spark, size = df.sparkSession, plan_bytes(df)
-    cores = spark.sparkContext.defaultParallelism
-    if size > UNKNOWN_BYTES:
-        return 2 * max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return max(1, -(-size // block_bytes), min(2 * cores, size // (block_bytes // 16)))
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores if df has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def block_column(df: DataFrame, key: str, blocks: int, text: str, leaves: int = 64) -> Column:
-    """A number from 0 that never falls as ``key`` rises, for about ``blocks`` blocks of as many rows. Rows without a key come last, in as many
-    blocks again, by a hash of ``text``: however many there are, no block gets them all.
 
-    Up to 64 quantiles of the key (one job that reads that column alone) are cut evenly by value, so that ids
-    with gaps are dealt evenly too."""
-    leaves = max(1, min(leaves, blocks))
-    of = F.col(key).cast("double")
-    got = df.agg(F.percentile_approx(of, [i / leaves for i in range(leaves + 1)], 10_000).alias("q")).first()["q"]
-    # never null, as Spark should see, too: a filter for nulls on one side of a join would keep an exchange from being used twice
-    loose = F.coalesce(F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int"), F.lit(0))
-    if not got:
-        return loose
-    bounds = sorted(set(got))
-    each = max(1, round(blocks / max(1, len(bounds) - 1)))
+def others(df: DataFrame, names: list[str]) -> list[str]:
+    """df's columns but those called like one of ``names`` in any case."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def _spread(*columns: str) -> Column:
+    """0 to 1 by a hash of the columns and of the input's partition, so that not even equal rows all come together."""
+    return (F.xxhash64(*[F.col(quoted(c)) for c in columns], F.spark_partition_id()).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
 
-    def leaf(i: int) -> Column:
-        lo, hi = bounds[i], bounds[i + 1]
-        part = F.floor((of - F.lit(lo)) * F.lit(each / (hi - lo)))
-        return (F.lit(i * each) + F.least(F.lit(each - 1), F.greatest(F.lit(0), part))).cast("int")
 
-    def tree(lo: int, hi: int) -> Column:
-        if hi - lo == 1:
-            return leaf(lo)
-        mid = (lo + hi) // 2
-        return F.when(of < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid, hi))
+def _share(spread: Column, parts: Column | int) -> Column:
+    """Of ``parts`` equal parts of 0..1 the one that ``spread`` is in."""
+    n = F.lit(parts) if isinstance(parts, int) else parts
+    return F.least(F.floor(spread * n), n - 1).cast("int")
 
-    last = F.lit(max(1, (len(bounds) - 1) * each))
-    return F.when(F.col(key).isNull(), last + loose).otherwise(tree(0, len(bounds) - 1) if len(bounds) > 1 else F.lit(0))
+
+def hash_blocks(df: DataFrame, key: str, text: str, blocks: int | None = None) -> tuple[Column, int]:
+    """(block number of a row, number of blocks) by a hash of key and text: no key and no group of copies comes into one block."""
+    n = blocks or count_blocks(df, df.agg(F.sum(F.octet_length(F.col(quoted(text))))).first()[0])
+    return F.coalesce(_share(_spread(key, text), n), F.lit(0)), n
+
+
+def block_column(df: DataFrame, key: str, text: str, blocks: int | None = None, leaves: int = LEAVES, parts: int = 1) -> tuple[Column, int]:
+    """(block number of a row, a bound on their number), a number from 0 that never falls as ``key`` (an integer) rises. Blocks are cut at
+    quantiles of the key (one job), so that they have about as many rows each, however ids are spread. A key that is repeated over more than a block is dealt
+    into several by a hash of text (and of the input's partition); rows without a key come last, in as many blocks again, by that hash.
+    ``parts``: blocks for each ``BLOCK_BYTES`` of text, none of them under a 64th of that."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{key} is {kind.simpleString()}; ids are integers")
+    of = F.col(quoted(key)).cast("long")
+    got = df.agg(
+        F.percentile_approx(of, [i / leaves for i in range(leaves + 1)], 10 * leaves).alias("q"), F.sum(F.octet_length(F.col(quoted(text)))).alias("size")
+    ).first()
+    n = blocks or count_blocks(df, got["size"])
+    n = n if blocks else max(n, min(parts * n, (got["size"] or 0) // (BLOCK_BYTES // 64)))
+    spread = _spread(text)
+    # never null, as Spark should see, too: a filter for nulls on one side of a join would keep an exchange from being used twice
+    loose = F.coalesce(_share(spread, n), F.lit(0))
+    q = got["q"]
+    if not q:
+        return loose, n
+    steps = min(n, leaves)
+    each = -(-n // steps)  # blocks between two of the steps' quantiles, cut by value
+    low = [q[i * leaves // steps] for i in range(steps)]
+    starts = sorted(set(low))
+    first = [low.index(b) for b in starts]
+    last = [a - 1 for a in first[1:]] + [steps - 1]  # of a key that is several quantiles, the last one begins what follows it
+    ends = [*starts[1:], max(q[-1], starts[-1]) + 1]
+    longs = [f"{max(1 - (1 << 63), min(v, (1 << 63) - 1))}L" for v in starts]
+
+    def numbers(values: list[int]) -> Column:
+        return F.expr("array(" + ", ".join(f"{max(1 - (1 << 63), min(v, (1 << 63) - 1))}L" for v in values) + ")")
+
+    # Two looks at some sqrt(steps) bounds each
+    group = max(1, math.isqrt(len(starts)))
+    outer = F.size(F.filter(numbers(starts[::group]), lambda b: b <= of))
+    inner_bounds = F.expr("array(" + ", ".join(f"array({', '.join(longs[i : i + group])})" for i in range(0, len(longs), group)) + ")")
+    inner = F.size(F.filter(F.element_at(inner_bounds, F.greatest(outer, F.lit(1))), lambda b: b <= of))
+    at = F.greatest(F.lit(1), (F.greatest(outer, F.lit(1)) - 1) * group + inner)  # from 1
+    start, end = F.element_at(numbers(starts), at), F.element_at(numbers(ends), at)
+    a, b = (F.element_at(numbers([x * each for x in xs]), at) for xs in (first, last))
+    ahead = (of.cast("double") - start) / F.greatest(F.lit(1.0), end.cast("double") - start)
+    by_value = b + F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor(ahead * each)))
+    by_hash = a + F.least(F.floor(spread * (b - a + 1)), b - a)
+    block = F.when((of == start) & (b > a), by_hash).otherwise(by_value).cast("int")
+    return F.coalesce(F.when(of.isNull(), F.lit(steps * each) + loose).otherwise(block), F.lit(0)), (steps * each + n)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master (one machine) gets a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -6,7 +6,8 @@ into the sketch of the whole (``merge``); they estimate distinct shingles (``dis
 (``resemblance``, exact for texts of up to k distinct shingles) and containment (``containment``).
 
 Null texts count as empty; empty sketches resemble each other fully (1.0) and others not at all (0.0). Equal texts have equal
-sketches.
+sketches, repeated rows and ids are each reported, a very long text has a sketch like any other, an empty table gives an empty result. The query looks at doc_id and text alone,
+whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import block_column, block_count, table
+from quillspark.llm.common import block_column, table, unused
 
 K = 128
 WIDTH = 5
+#: Blocks for each task, so that tasks have about as much as each other; block numbers that are ordered together.
+FINER, LOT = 8, 4096
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -79,23 +82,26 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return with_sketch(docs.select(id_col, text_col), F.col(text_col), "sketch", k, width).select(id_col, "sketch", distinct_shingles("sketch", k).alias("n_shingles"))
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", by: str = "text", derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """docs and, as next_<c>, the columns of the document that follows by ascending id (equal ids by ``by``; null ids
-    last, by a hash of it and then by it; after the last comes the first). ``derive`` adds columns that needn't be moved as they follow from the others.
+def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", by: str = "text", derive: Callable[[DataFrame], DataFrame] = lambda df: df, blocks: int | None = None) -> DataFrame:
+    """docs and, as next_<c>, the columns of the document that follows by ascending id (equal ids by ``by``, or, if they are more than a block
+    holds, by a hash of it first; null ids last, by a hash of it and then by it; after the last comes the first). ``derive`` adds columns that needn't be moved as they follow from the others.
 
     Documents are dealt once into ranges of ids, where a window finds the next one. The first document of each range is
     found in the same shuffled rows, and those few alone are sent to the range before."""
-    block = "quill_block"
-    n = block_count(docs)
-    dealt = docs.withColumn(block, block_column(docs, id_col, n, by)).repartition(n, block)
+    block, of = unused(docs, "quill_block"), unused(docs, "quill_of")
+    number, most = block_column(docs, id_col, by, blocks, parts=FINER)
+    dealt = docs.withColumn(block, number).repartition(max(1, -(-most // FINER)), block)
     order = [F.col(id_col).asc_nulls_last(), F.col(by).asc_nulls_first()]
     firsts = dealt.groupBy(block).agg(F.min(F.struct(id_col, by, *[c for c in docs.columns if c not in (id_col, by)])).alias("x"))
     firsts = derive(firsts.select(block, *[F.col("x")[c].alias(c) for c in docs.columns])).select(block, F.struct(*columns).alias("row"))
-    # One number a range: the only thing that is brought together in one task.
-    numbers = docs.select(block_column(docs, id_col, n, by).alias(block)).distinct()
-    numbers = numbers.withColumn("follows", F.lead(block).over(Window.orderBy(block)))
-    numbers = numbers.withColumn("follows", F.coalesce("follows", F.min(block).over(Window.partitionBy())))
-    after = firsts.join(numbers.select(F.col("follows").alias(block), F.col(block).alias("of")), block).select(F.col("of").alias(block), F.col("row").alias("after"))
+    # The block that each block follows: among some thousand numbers at a time, and the first of each thousand among those
+    lot = F.floor(F.col(block) / LOT)
+    numbers = docs.select(number.alias(block)).distinct().withColumn("lot", lot)
+    lots = numbers.groupBy("lot").agg(F.max(block).alias("last"))
+    lots = lots.select("lot", F.lag("last").over(Window.orderBy("lot")).alias("before"), F.max("last").over(Window.partitionBy()).alias("last_of_all"))
+    numbers = numbers.withColumn("within", F.lag(block).over(Window.partitionBy("lot").orderBy(block))).join(lots, "lot")
+    numbers = numbers.select(block, F.coalesce("within", "before", "last_of_all").alias(of))
+    after = firsts.join(numbers, block).select(F.col(of).alias(block), F.col("row").alias("after"))
     found = derive(dealt).withColumn("within", F.lead(F.struct(*columns)).over(Window.partitionBy(block).orderBy(*order))).join(after, block, "left")
     row = F.coalesce("within", "after")
     own = [c for c in found.columns if c not in ("within", "after", block)]

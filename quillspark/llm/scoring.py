@@ -6,12 +6,14 @@ for being in the corpus. The score of a word after its context is count(n-gram)
 with a count left, times ``alpha`` for each word of context given up (of those that the document has); a single word has count / words in all other documents, and a word that is
 nowhere else alpha**order / (those words + 1). ``log_score`` is the sum of natural logarithms.
 
-Plan. Documents are dealt once, compressed, into blocks of a few MB. Each block explodes its n-grams into hashes and sums
+Plan. Documents are dealt once by a hash, compressed, into blocks of a few MB. Each block explodes its n-grams into hashes and sums
 them (a frequent n-gram is one entry a block, so none is hot); the entries are dealt by hash range, where they add up to the
-count table; each block gets back what the others add to its own entries, in its entries' order. The blocks then
+count table; each block gets back what the others add to its own entries, in its entries' order. With more blocks than ``fan_out`` that
+takes two steps (``common.Ranges``), so that entries travel in a number of cells in proportion to the blocks. The blocks then
 look up every n-gram of their documents and sum by document.
 
-Null texts have no words and log_score 0. Repeated documents are documents of their own. Other columns are not looked at.
+Null texts have no words and log_score 0. Repeated documents are documents of their own, ids may be null or repeated. A very long text is part of one block.
+An empty table gives an empty result. Other columns, whatever they are called, are not looked at.
 """
 
 from __future__ import annotations
@@ -22,16 +24,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm.common import block_column, block_count, cuts, doc_windows, hasher, pack, pack_counts, table, texts, unpack, unpack_counts
+from quillspark.llm.common import FAN_OUT, Ranges, cuts, doc_windows, hash_blocks, hasher, pack, pack_counts, quoted, table, texts, unpack, unpack_counts
 
 ORDER = 3
 ALPHA = 0.4
-_BLOCK = "quill_block"
 #: n-gram hashes keep 56 bits: a byte less for each entry that moves, and for 15 billion n-grams two thousand of them share an entry.
 _BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 _TOTAL = np.zeros(1, np.uint64)  # the n-gram of no words: its count is the number of words
-_CELL = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+_CELL = {"bucket": pa.int32(), "block": pa.int32(), "hashes": pa.binary(), "counts": pa.binary()}
 
 
 def _packed(docs: DataFrame, id_col: str, text_col: str, block: Column) -> DataFrame:
@@ -41,10 +43,11 @@ def _packed(docs: DataFrame, id_col: str, text_col: str, block: Column) -> DataF
         compress = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
             z = [compress(t.encode("utf-8", "surrogatepass")) for t in texts(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2)], [id_col, "z", _BLOCK])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(z, pa.binary()), b.column(2)], ["id", "z", "block"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, block.alias(_BLOCK)).mapInArrow(run, f"`{id_col}` {kind}, z binary, {_BLOCK} int")
+    picked = docs.select(docs[quoted(id_col)].alias("id"), docs[quoted(text_col)].alias("text"), block.alias("block"))
+    return picked.mapInArrow(run, f"id {kind}, z binary, block int")
 
 
 def _block_words(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,31 +74,64 @@ def block_counts(h: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarr
     return hashes[by], counts[by]
 
 
-def count_cells(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+def _cells(rows: list[tuple], names: list[str]) -> pa.Table:
+    """rows of the named columns as an Arrow table."""
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.table([pa.array(c, _CELL.get(n, pa.binary() if n == "others" else pa.int32())) for c, n in zip(columns, names)], names=names)
+
+
+def count_cells(blocks: DataFrame, order: int, ranges: Ranges) -> DataFrame:
     """(bucket, block, hashes, counts): each block's n-gram counts by hash range."""
 
     def run(t: pa.Table) -> pa.Table:
-        block = t.column(_BLOCK)[0].as_py()
+        block = t.column("block")[0].as_py()
         hashes, counts = block_counts(*_block_words(t.column("z").to_pylist()), order)
-        rows = [(b, block, pack(hashes[i:j]), pack_counts(counts[i:j])) for b, i, j in cuts(hashes, buckets)]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), _CELL.types)], schema=_CELL)
+        return _cells([(r, block, pack(hashes[i:j]), pack_counts(counts[i:j])) for r, i, j in cuts(hashes, ranges.first)], list(_CELL))
+
+    return blocks.groupBy("block").applyInArrow(run, "bucket int, block int, hashes binary, counts binary")
 
-    return blocks.groupBy(_BLOCK).applyInArrow(run, "bucket int, block int, hashes binary, counts binary")
 
+def _sums(t: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some cells: where each but the first begins, all counts, the distinct hashes, each entry's place among those, their sums."""
+    parts = [unpack(x) for x in t.column("hashes").to_pylist()]
+    counts = np.concatenate([unpack_counts(x) for x in t.column("counts").to_pylist()])
+    unique, place = np.unique(np.concatenate(parts), return_inverse=True)
+    return np.cumsum([len(p) for p in parts])[:-1], counts, unique, place, np.bincount(place, weights=counts).astype(np.int64)
 
-def ngram_totals(cells: DataFrame) -> DataFrame:
+
+def ngram_totals(cells: DataFrame, ranges: Ranges) -> DataFrame:
     """(bucket, block, others): for each n-gram of a cell, in the cell's order, how often the other blocks have it."""
 
-    def run(t: pa.Table) -> pa.Table:
-        parts = [unpack(x) for x in t.column("hashes").to_pylist()]
-        counts = np.concatenate([unpack_counts(x) for x in t.column("counts").to_pylist()])
-        _, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        totals = np.zeros(inverse.max() + 1, np.int64)
-        np.add.at(totals, inverse, counts)
-        others = np.split(totals[inverse] - counts, np.cumsum([len(p) for p in parts])[:-1])
-        return pa.table([t.column("bucket"), t.column("block"), pa.array([pack_counts(o) for o in others], pa.binary())], names=["bucket", "block", "others"])
+    def total(by: str):
+        """Of one range's cells by block or part: the sums over all of them without their own."""
+
+        def run(t: pa.Table) -> pa.Table:
+            at, counts, _, place, sums = _sums(t)
+            rest = [pack_counts(x) for x in np.split(sums[place] - counts, at)]
+            return _cells(list(zip(t.column("bucket").to_pylist(), t.column(by).to_pylist(), rest)), ["bucket", by, "others"])
+
+        return run
+
+    if not ranges.two_steps:
+        return cells.groupBy("bucket").applyInArrow(total("block"), "bucket int, block int, others binary")
+
+    def up(t: pa.Table) -> pa.Table:
+        _, _, hashes, _, sums = _sums(t)
+        part = t.column("part")[0].as_py()
+        return _cells([(r, part, pack(hashes[i:j]), pack_counts(sums[i:j])) for r, i, j in cuts(hashes, ranges.first * ranges.second)], ["bucket", "part", "hashes", "counts"])
+
+    def down(left: pa.Table, right: pa.Table) -> pa.Table:
+        at, counts, _, place, sums = _sums(left)
+        finer = sorted(zip(right.column("bucket").to_pylist(), right.column("others").to_pylist()))
+        sums = sums + np.concatenate([unpack_counts(x) for _, x in finer])  # rising ranges hold rising hashes
+        rest = [pack_counts(x) for x in np.split(sums[place] - counts, at)]
+        return _cells(list(zip(left.column("bucket").to_pylist(), left.column("block").to_pylist(), rest)), ["bucket", "block", "others"])
 
-    return cells.groupBy("bucket").applyInArrow(run, "bucket int, block int, others binary")
+    grouped = cells.withColumn("part", ranges.part())
+    of_parts = grouped.groupBy("bucket", "part").applyInArrow(up, "bucket int, part int, hashes binary, counts binary")
+    got = of_parts.groupBy("bucket").applyInArrow(total("part"), "bucket int, part int, others binary")
+    got = got.withColumn("first", F.floor(F.col("bucket") / ranges.second).cast("int"))
+    return grouped.groupBy("bucket", "part").cogroup(got.groupBy("first", "part")).applyInArrow(down, "bucket int, block int, others binary")
 
 
 def score_block(column: list, others: np.ndarray | None, order: int, alpha: float) -> dict[str, np.ndarray]:
@@ -137,21 +173,23 @@ def score_block(column: list, others: np.ndarray | None, order: int, alpha: floa
     return {"n_words": sizes, "log_score": sums, "mean_log_score": np.where(sizes > 0, sums / np.maximum(sizes, 1), 0.0), "n_full_order": full.astype(np.int64)}
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, fan_out: int = FAN_OUT) -> DataFrame:
     """(id, n_words, log_score, mean_log_score, n_full_order: words whose longest n-gram had a count) of every row."""
-    n = blocks or block_count(docs)
-    dealt = _packed(docs, id_col, text_col, block_column(docs, id_col, n, text_col))
-    totals = ngram_totals(count_cells(dealt, order, n))
+    block, n = hash_blocks(docs, id_col, text_col, blocks)
+    ranges = Ranges(n, fan_out)
+    dealt = _packed(docs, id_col, text_col, block)
+    totals = ngram_totals(count_cells(dealt, order, ranges), ranges)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cells = sorted(zip(right.column("bucket").to_pylist(), right.column("others").to_pylist()))
         others = np.concatenate([unpack_counts(x) for _, x in cells]) if cells else None
         out = score_block(left.column("z").to_pylist(), others, order, alpha)
-        return pa.table([left.column(id_col), *(pa.array(x) for x in out.values())], names=[id_col, *out])
+        return pa.table([left.column("id"), *(pa.array(x) for x in out.values())], names=["id", *out])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, log_score double, mean_log_score double, n_full_order long"
-    return dealt.groupBy(_BLOCK).cogroup(totals.groupBy("block")).applyInArrow(run, schema)
+    schema = f"id {kind}, n_words long, log_score double, mean_log_score double, n_full_order long"
+    scored = dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, schema)
+    return scored.withColumnRenamed("id", id_col)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,15 @@ def corpus(seed=1, n=60):
     return rows
 
 
+CLASHES = ["Text_", "n_words", "KEPT_text", "Hit_Spans", "score", "Keep", "quill_block", "block", "key", "z", "id", "c0"]
+
+
+def clashing(spark, rows):
+    """(doc_id, text) and columns called like outputs and inner columns, each with a value of its own."""
+    kinds = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES)
+    return spark.createDataFrame([(i, t, *[f"{c}{i}" for c in CLASHES]) for i, t in rows], kinds)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.createDataFrame(corpus(), DOCS).repartition(5)
@@ -74,6 +83,52 @@ def test_pack_round_trip():
         assert (common.unpack_counts(common.pack_counts(c)) == c).all()
 
 
+def test_blocks_follow_ids_and_stay_small(spark):
+    """Clustered, repeated, missing and far-off ids: blocks rise with the id, and none has many rows."""
+    rng = random.Random(3)
+    ids = [(p << 33) + n for p in range(200) for n in range(100)] + [7] * 15000 + [None] * 5000 + [-(1 << 63), (1 << 63) - 1]
+    rng.shuffle(ids)
+    df = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(7)
+    for blocks, leaves in ((100, 4096), (400, 64)):
+        column, most = common.block_column(df, "doc_id", "text", blocks, leaves)
+        got = df.select("doc_id", column.alias("b")).collect()
+        sizes = Counter(r.b for r in got)
+        assert min(sizes) >= 0 and max(sizes) < most
+        assert max(sizes.values()) <= (3 if blocks == 100 else 12) * len(ids) / blocks
+        spans = {}
+        for r in got:
+            if r.doc_id is not None:
+                lo, hi = spans.get(r.b, (r.doc_id, r.doc_id))
+                spans[r.b] = min(lo, r.doc_id), max(hi, r.doc_id)
+        order = [spans[b] for b in sorted(spans)]
+        assert all(a[1] <= b[0] for a, b in zip(order, order[1:]))
+    column, n = common.hash_blocks(df, "doc_id", "text", 50)
+    assert max(Counter(r.b for r in df.select(column.alias("b")).collect()).values()) <= 2 * len(ids) / n
+    with pytest.raises(TypeError):
+        common.block_column(df.selectExpr("cast(doc_id as string) doc_id", "text"), "doc_id", "text")
+
+
+def test_cells_grow_with_blocks_not_with_their_square(spark):
+    """With 4 times the blocks there are about 4 times the cells; at once there would be 16 times as many."""
+    df = spark.createDataFrame([(i, words(random.Random(i), 200, 10**6)) for i in range(512)], "doc_id long, text string")
+
+    def cells(n):
+        ranges = common.Ranges(n, 8)
+        dealt = scoring._packed(df, "doc_id", "text", common.hash_blocks(df, "doc_id", "text", n)[0])
+        counted = scoring.count_cells(dealt, 2, ranges)
+        return counted.count(), scoring.ngram_totals(counted, ranges).count()
+
+    few, many = cells(16), cells(64)
+    assert few[0] == few[1] <= 16 * 8 and many[0] == many[1] <= 64 * 8
+    assert many[0] <= 4.5 * few[0]
+
+
+def test_ranges_nest():
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 5000, np.uint64))
+    assert (common.ranges_of(h, 7 * 5) // 5 == common.ranges_of(h, 7)).all()
+    assert [(i, j) for _, i, j in common.cuts(h, 9)][-1][1] == 5000 and common.cuts(h[:0], 9) == []
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 180)] + [(5, 5), (7, 9), (9, 7)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
@@ -236,9 +291,9 @@ def brute_substring(rows, width=20):
     return out
 
 
-@pytest.mark.parametrize("blocks", [1, 4, 50])
-def test_substring(docs, blocks):
-    got = {r.doc_id: r for r in substring.dedup_substrings(docs, blocks=blocks).collect()}
+@pytest.mark.parametrize("blocks, fan_out", [(1, 8), (4, 8), (50, 64), (50, 4)])
+def test_substring(docs, blocks, fan_out):
+    got = {r.doc_id: r for r in substring.dedup_substrings(docs, blocks=blocks, fan_out=fan_out).collect()}
     want = brute_substring(corpus())
     assert got.keys() == want.keys()
     for doc, text in ((r[0], r[1]) for r in corpus()):
@@ -261,6 +316,32 @@ def test_substring_edges(spark):
     assert got == [(str(big), 0), (str(big), 25), ("None", 0), ("None", 25)]
 
 
+def test_substring_clashing_columns_and_hot_id(spark):
+    text = words(random.Random(1), 30, 10**6)
+    rows = [(1, text), (2, "a " + text), (3, None)]
+    df = clashing(spark, rows)
+    out = substring.dedup_substrings(df)
+    taken = {"n_words", "kept_text"}
+    assert [c for c in out.columns if c.lower() not in taken] == [c for c in df.columns if c.lower() not in taken] + ["n_removed", "kept_words", "removed_spans"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[2].n_removed, got[2].kept_words, got[2].text, got[2].z, got[2].c0) == (30, "a", rows[1][1], "z2", "c02")
+    same = spark.createDataFrame([(5, text)] * 40 + [(5, f"x{i} " + text) for i in range(40)], "doc_id long, text string").repartition(4)
+    hot = substring.dedup_substrings(same, blocks=16).collect()
+    assert len(hot) == 80 and sorted(r.n_removed for r in hot) == [0] + [30] * 79
+    long = " ".join(f"u{i}" for i in range(60000))  # the passage comes back in a very long text
+    got = {r.doc_id: r for r in substring.dedup_substrings(spark.createDataFrame([(1, text), (2, long + " " + text + " " + long)], "doc_id long, text string")).collect()}
+    assert got[2].n_removed == 60030 and got[2].kept_words == long
+
+
+def test_substring_check_tells_colliding_hashes_apart():
+    hashes, checks = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 7], np.uint32)
+    h, c = substring._distinct(hashes, checks)
+    assert h.tolist() == [5, 5, 9] and c.tolist() == [1, 2, 7]
+    assert substring._is_in(hashes, np.array([1, 2, 3, 7], np.uint32), h, c).tolist() == [True, True, False, True]
+    assert [(b, x.tolist(), y.tolist()) for b, x, y in substring._again(hashes, checks, np.array([0, 1, 2, 2]))] == [(2, [5], [1])]
+    assert substring._unpack_checks(substring._pack_checks(np.array([0, 1, 0xFFFFFF], np.uint32))).tolist() == [0, 1, 0xFFFFFF]
+
+
 # 4 decontamination
 
 
@@ -569,9 +650,9 @@ def brute_scores(rows, order, alpha):
     return out
 
 
-@pytest.mark.parametrize("order, blocks", [(1, 1), (2, 1), (2, 7), (3, 4)])
-def test_scoring(docs, order, blocks):
-    got = {r.doc_id: (r.n_words, r.log_score) for r in scoring.score_documents(docs, order=order, blocks=blocks).collect()}
+@pytest.mark.parametrize("order, blocks, fan_out", [(1, 1, 9), (2, 1, 9), (2, 7, 9), (3, 4, 4), (3, 30, 4)])
+def test_scoring(docs, order, blocks, fan_out):
+    got = {r.doc_id: (r.n_words, r.log_score) for r in scoring.score_documents(docs, order=order, blocks=blocks, fan_out=fan_out).collect()}
     want = brute_scores(corpus(), order, scoring.ALPHA)
     assert got.keys() == want.keys()
     for doc, (n, score) in want.items():
@@ -582,6 +663,11 @@ def test_scoring_edges(spark):
     assert scoring.score_documents(empty(spark)).count() == 0
     one = scoring.score_documents(spark.createDataFrame([(None, "a b"), (2, None)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_words) for r in one) == [(0, 2), (2, 0)]
+    rows = [(1, words(random.Random(2), 70000)), (1, words(random.Random(3), 20)), (2, "w1 w2"), (2, "w1 w2")]
+    got = scoring.score_documents(clashing(spark, rows)).collect()
+    want = brute_scores([(k, t) for k, (_, t) in enumerate(rows)], scoring.ORDER, scoring.ALPHA).values()
+    assert sorted(r.n_words for r in got) == [2, 2, 20, 70000]
+    assert sorted(r.log_score for r in got) == pytest.approx(sorted(x for _, x in want), rel=1e-9)
 
 
 # pipeline
