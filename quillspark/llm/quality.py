@@ -1,16 +1,19 @@
 """Quality classifier (operator 2): co-training of a text view and a metadata view.
 
-The text view has hashed word shapes, hashed words and some ratios (repeats, capitals, signs, lines); the metadata view has source, language and the
-given length. Each is a logistic regression. Over ``rounds``, each view labels the unlabelled documents it is surest
-of, as many of either class as the class's share allows, and hands them to the *other* view's training set. Then, on labelled documents
-kept apart, a two-input logistic regression calibrates the views and combines them into ``score``, the probability of
-good quality. ``keep``: the score reaches the threshold, 0.5 or less, that all but ``lose`` of the good documents kept apart reach.
-
-``fit`` learns from at most ``sample_rows`` labelled and as many unlabelled documents, chosen by a hash of the id; features are made
-on the executors. All documents are scored, whole texts, without a shuffle.
-
-Null or empty texts have zeros for features and are scored like any other; null metadata are a value of their own. Several labels of one
-document: their mean counts, from 0.5 on as good. Without labels of both classes there is nothing to learn: score 1.0, all kept. Further columns pass through.
+The text view has hashed words, hashed word shapes and how often words repeat. The metadata view has what is known of a page besides its words: source, language, the
+given length, and its layout (lines and their lengths, repeated lines, shares of capitals, digits, marks, markup signs and blanks). Each is a logistic
+regression. In each of ``rounds`` both are calibrated on labelled documents kept apart; each then labels the unlabelled documents of which it is sure
+(a calibrated probability of ``sure`` or more for either class), and hands up to ``hand_over`` of them, in the classes' proportion and by a hash of their content, to the *other* view's training set.
+At the end a two-input logistic regression over the calibrated views, without a view that it would give a negative weight, makes ``score``, the probability of
+good quality. ``keep``: the score reaches the threshold between ``LEAST`` and 0.5 at which, on a second part of the labelled documents kept apart, lost good documents
+(``cost`` each) and kept bad ones (1 each) cost least.
+
+``features`` writes every document's features once, a few hundred bytes each, to the shared folder; all passes, over all documents, read those. ``fit`` learns from at most ``sample_rows`` labelled documents
+(one text an id), chosen by a hash of the id, and from ``hand_over`` documents a view and round; the pool that these come from is all of the documents.
+
+Null or empty texts have zeros for features and are scored like any other; null metadata are a value of their own. Equal texts with equal metadata score alike. Several labels of one
+document: their mean counts, from 0.5 on as good. Without labels of both classes in each part there is nothing to learn: score 1.0, all kept. Very long texts are read whole. Further columns pass
+through, but for those that are called, in any case, like an output. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,36 +21,40 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import LONG_WORD, table, texts, use
+from quillspark.llm.common import LONG_WORD, discard, others, quoted, stored, table, texts, use
 
 SAMPLE_ROWS = 6000
+HAND_OVER = 400
 SHAPES = WORDS = 512
-RATIOS = 14
+RATIOS = 3
 TEXT_DIMS = RATIOS + SHAPES + WORDS
-SOURCES, LANGS = 64, 16
-META_DIMS = SOURCES + LANGS + 4
+SOURCES, LANGS, LAYOUT = 64, 16, 12
+META_DIMS = LAYOUT + SOURCES + LANGS + 3
+#: Least threshold of ``keep``, however the documents kept apart are scored.
+LEAST = 0.02
 OUT = ["text_score", "meta_score", "score", "keep"]
 _RUNS = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if m.group().isupper() else "Aa" if m.group()[0].isupper() else "a"), (re.compile(r"\d+"), lambda m: "0"), (re.compile(r"(.)\1+"), lambda m: m.group(1) * 2)]
 
 
 class _Codes(dict):
-    """word -> shape bucket + SHAPES * word bucket + flags above; bounded like WordHasher."""
+    """word -> shape bucket + SHAPES * word bucket; bounded like WordHasher."""
 
     def __missing__(self, word: str) -> int:
-        shape = word[:64]
+        shape = word
         for pattern, by in _RUNS:
             shape = pattern.sub(by, shape)
         letters = "".join(c for c in word.lower() if c.isalnum())
         code = xxhash.xxh64_intdigest(shape) % SHAPES + SHAPES * (xxhash.xxh64_intdigest(letters) % WORDS)
-        code += (SHAPES * WORDS) * ((word.isupper() and len(letters) > 1) + 2 * (not letters) + 4 * bool(re.search(r"(\W)\1", word)))
         if len(word) <= LONG_WORD:
             if len(self) >= 150_000:
                 self.clear()
@@ -58,45 +65,52 @@ class _Codes(dict):
 _codes = _Codes()
 
 
+def _bytes(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 to 1 as bytes."""
+    return np.round(np.clip(x, 0, 1) * 255).astype(np.uint8)
+
+
 def text_features(batch: list[str]) -> np.ndarray:
-    out = np.zeros((len(batch), TEXT_DIMS), np.float32)
+    """A byte a feature, 255 for 1."""
+    out = np.zeros((len(batch), TEXT_DIMS), np.uint8)
     for x, text in zip(out, batch):
         words = text.split()
         n = len(words)
         if not n:
             continue
         codes = np.fromiter(map(use(_codes).__getitem__, words), np.int64, n)
-        flags, code = np.divmod(codes, SHAPES * WORDS)
-        word, shape = np.divmod(code, SHAPES)
-        lines = [s for s in text.split("\n") if s.strip()]
-        x[:RATIOS] = (
-            np.log1p(n) / 10,
-            len(text) / n / 10,
-            len(set(words)) / n,
-            np.mean(codes[1:] == codes[:-1]) if n > 1 else 0,
-            np.mean(flags & 1),
-            np.mean(flags & 2) / 2,
-            np.mean(flags & 4) / 4,
-            len(set(lines)) / max(1, len(lines)),
-            np.log1p(n / max(1, len(lines))) / 5,
-            (text.count(".") + text.count("!") + text.count("?")) / n,
-            text.count(",") / n,
-            sum(map(text.count, "0123456789")) / len(text),
-            sum(map(text.count, "|<>{}[]#*&%$=_~^")) / len(text),
-            1.0,
-        )
-        x[RATIOS : RATIOS + SHAPES] = np.sqrt(np.bincount(shape, minlength=SHAPES) / n)
-        x[RATIOS + SHAPES :] = np.sqrt(np.bincount(word, minlength=WORDS) / n)
+        word, shape = np.divmod(codes, SHAPES)
+        x[:RATIOS] = _bytes(np.array([len(set(words)) / n, np.mean(codes[1:] == codes[:-1]) if n > 1 else 0, np.log1p(n) / 20]))
+        x[RATIOS : RATIOS + SHAPES] = _bytes(np.sqrt(np.bincount(shape, minlength=SHAPES) / n))
+        x[RATIOS + SHAPES :] = _bytes(np.sqrt(np.bincount(word, minlength=WORDS) / n))
     return out
 
 
-def meta_features(sources: list, langs: list, lengths: list) -> np.ndarray:
-    out = np.zeros((len(sources), META_DIMS), np.float32)
-    for x, s, lang, n in zip(out, sources, langs, lengths):
-        x[xxhash.xxh64_intdigest(str(s)) % SOURCES] = 1
-        x[SOURCES + xxhash.xxh64_intdigest(str(lang)) % LANGS] = 1
-        size = np.log1p(max(0, n or 0)) / 10
-        x[-4:] = size, size * size, n is None, 1
+_CAPITALS, _DIGITS, _MARKS, _MARKUP, _BLANKS = (bytes(c for c in range(128) if f(chr(c))) for f in (str.isupper, str.isdigit, ".,;:!?'\"-()".__contains__, "|<>{}[]#*&%$=_~^@/\\+".__contains__, str.isspace))
+
+
+def layout(text: str) -> np.ndarray:
+    """LAYOUT numbers from 0 to 1 on how a page looks, whatever its words are."""
+    raw = text.encode("utf-8", "surrogatepass")
+    n = max(1, len(raw))
+    lines = [s for s in raw.split(b"\n") if s.strip()]
+    share = [(len(raw) - len(raw.translate(None, signs))) / n for signs in (_CAPITALS, _DIGITS, _MARKS, _MARKUP, _BLANKS)]
+    sizes = np.array([len(s) for s in lines] or [0])
+    ends = sum(s.rstrip()[-1:] in (b".", b"!", b"?", b":", b'"') for s in lines) / max(1, len(lines))
+    one = [np.log1p(len(lines)) / 15, np.log1p(sizes.mean()) / 15, np.log1p(sizes.std()) / 15, len(set(lines)) / max(1, len(lines)), ends]
+    most = max((raw.count(bytes([c])) for c in _MARKUP), default=0) / n
+    return np.array([*np.sqrt(share), *one, np.sqrt(most), len(raw) > 0])
+
+
+def meta_features(batch: list[str], sources: list, langs: list, lengths: list) -> np.ndarray:
+    """A byte a feature, 255 for 1."""
+    out = np.zeros((len(batch), META_DIMS), np.uint8)
+    for x, text, s, lang, n in zip(out, batch, sources, langs, lengths):
+        x[:LAYOUT] = _bytes(layout(text))
+        x[LAYOUT + xxhash.xxh64_intdigest(str(s)) % SOURCES] = 255
+        x[LAYOUT + SOURCES + xxhash.xxh64_intdigest(str(lang)) % LANGS] = 255
+        size = np.log1p(max(0, n or 0)) / 20
+        x[-3:] = _bytes(np.array([size, 4 * size * size, n is None]))
     return out
 
 
@@ -104,10 +118,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 250, rate: float = 0.1) -> np.ndarray:
-    """Weights of a logistic regression whose classes weigh alike, by Adam; the last is the bias."""
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 250, rate: float = 0.1, alike: bool = True) -> np.ndarray:
+    """Weights of a logistic regression, whose classes weigh ``alike`` or as they are, by Adam; the last is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    weight = np.where(y > 0.5, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())).astype(np.float32) / len(y)
+    weight = np.where(y > 0.5, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())) if alike else np.ones(len(y))
+    weight = weight.astype(np.float32) / len(y)
     w, m, v = (np.zeros(x.shape[1], np.float32) for _ in range(3))
     for t in range(1, steps + 1):
         g = x.T @ (weight * (_sigmoid(x @ w) - y).astype(np.float32)) + penalty * w
@@ -120,116 +135,210 @@ def _logits(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+def _calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(scale, shift) that make logits those of probabilities; a view that ranks no better than chance says the same of every document."""
+    scale, shift = logistic(logits[:, None], y, 1e-4, 500, 0.05, alike=False)
+    if scale <= 0:
+        good = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        return 0.0, float(np.log(good / (1 - good)))
+    return float(scale), float(shift)
+
+
 @dataclass
 class QualityModel:
-    text: np.ndarray | None = None
-    meta: np.ndarray | None = None
-    #: logit of the score = a * text logit + b * metadata logit + c; also (scale, shift) of each view on its own
+    #: for each view: its weights, and scale and shift of its logit; no views: nothing learned
+    views: list[tuple[np.ndarray, float, float]] = field(default_factory=list)
+    #: logit of the score = a * calibrated text logit + b * calibrated metadata logit + c
     joint: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    alone: tuple = ((1.0, 0.0), (1.0, 0.0))
     threshold: float = 0.5
+    #: what was handed over in each round, by view and class, and each view's AUC on documents kept apart
+    report: list[dict] = field(default_factory=list)
 
-    def score(self, text_x: np.ndarray, meta_x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.text is None:
-            one = np.ones(len(text_x))
-            return one, one, one
-        a, b = _logits(self.text, text_x), _logits(self.meta, meta_x)
-        (ta, tb), (ma, mb) = self.alone
-        return _sigmoid(ta * a + tb), _sigmoid(ma * b + mb), _sigmoid(self.joint[0] * a + self.joint[1] * b + self.joint[2])
-
-
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int, share: float) -> list[np.ndarray]:
-    """views, y: labelled documents; pools: the same unlabelled documents in both views. Returns both views' weights."""
-    sets = [(v, y) for v in views]
-    weights = [logistic(*s) for s in sets]
-    left = np.arange(len(pools[0]))
-    for _ in range(rounds):
-        if not len(left):
-            break
-        take, used = max(1, int(share * len(pools[0]))), []
-        for k in (0, 1):
-            p = _sigmoid(_logits(weights[k], pools[k][left]))
-            good = max(1, round(take * y.mean()))
-            order = np.argsort(p, kind="stable")
-            low, high = order[: max(1, take - good)], order[::-1][:good]
-            low, high = low[p[low] < 0.1], high[p[high] > 0.9]
-            sure = left[np.concatenate((low, high))]
-            labels = np.concatenate((np.zeros(len(low)), np.ones(len(high))))
-            x, t = sets[1 - k]
-            sets[1 - k] = (np.vstack([x, pools[1 - k][sure]]), np.concatenate((t, labels)))
-            used.append(sure)
-        left = np.setdiff1d(left, np.concatenate(used))
-        weights = [logistic(*s) for s in sets]
-    return weights
-
-
-def _place(column: str) -> Column:
-    return (F.xxhash64(F.col(column), F.lit(11)).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-
-
-def _features(df: DataFrame) -> DataFrame:
-    """df (place, y, text, source, lang, n_chars) -> (place, y, x, m) with half-precision features."""
+    def logits(self, x: np.ndarray) -> list[np.ndarray]:
+        """x: bytes of both views."""
+        parts = x[:, :TEXT_DIMS], x[:, TEXT_DIMS:]
+        return [scale * _logits(w, p.astype(np.float32) / 255) + shift for (w, scale, shift), p in zip(self.views, parts)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, _, text, source, lang, n = (c.to_pylist() for c in b.columns)
-            x, m = text_features(texts(text)).astype(np.float16), meta_features(source, lang, n).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r.tobytes() for r in f], pa.binary()) for f in (x, m))], ["place", "y", "x", "m"])
+    def score(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.views:
+            return (np.ones(len(x)),) * 3
+        a, b = self.logits(x)
+        return _sigmoid(a), _sigmoid(b), _sigmoid(self.joint[0] * a + self.joint[1] * b + self.joint[2])
 
-    return df.mapInArrow(run, "place double, y double, x binary, m binary")
 
+def auc(scores: np.ndarray, y: np.ndarray) -> float:
+    """How often a good document scores above a bad one; ties half."""
+    good, bad = scores[y > 0.5], np.sort(scores[y <= 0.5])
+    return float((np.searchsorted(bad, good, "left") + np.searchsorted(bad, good, "right")).mean() / 2 / max(1, len(bad)))
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, rounds: int = 3, share: float = 0.05, lose: float = 0.002) -> QualityModel:
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
-    rows = docs.select(id_col, _place(id_col).alias("place"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars")).where(F.col(id_col).isNotNull())
-    n_known, n_docs = known.count(), docs.count()
-    if not n_known or not n_docs:
-        return QualityModel()
-    chosen = known.where(_place(id_col) < min(1.0, sample_rows / n_known))
-    columns = ["place", "y", "text", "source", "lang", "n_chars"]
-    labelled = rows.where(F.col("place") < min(1.0, sample_rows / n_known)).join(chosen, id_col).select(columns)
-    pool = rows.where(F.col("place") > 1 - min(1.0, sample_rows / n_docs)).join(known.select(id_col), id_col, "left_anti").withColumn("y", F.lit(None).cast("double")).select(columns)
-    got = sorted(_features(labelled.unionByName(pool)).collect(), key=lambda r: (r["place"], r["x"]))
-    x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32).reshape(-1, TEXT_DIMS)
-    m = np.array([np.frombuffer(r["m"], np.float16) for r in got], np.float32).reshape(-1, META_DIMS)
-    y = np.array([np.nan if r["y"] is None else r["y"] for r in got])
-    has = np.flatnonzero(~np.isnan(y))
-    apart, train = has[::4], np.setdiff1d(has, has[::4])  # by place, so at random
-    if any(len(set(y[s])) < 2 for s in (apart, train)):
+
+class Pool(Protocol):
+    """The unlabelled documents."""
+
+    def sure_of(self, model: QualityModel, sure: float, most: tuple[int, int], used: set[int]) -> dict[tuple[int, int], list[int]]:
+        """For each view and class (0, 1): of the documents that it is sure of, but those used, the ``most[class]`` with the least distinct content hashes."""
+
+    def rows(self, hashes: set[int]) -> dict[int, np.ndarray]:
+        """The features of documents with these content hashes."""
+
+
+def co_train(x: np.ndarray, y: np.ndarray, known: set[int], pool: Pool, rounds: int, hand_over: int, sure: float, cost: float) -> QualityModel:
+    """x: bytes of labelled documents, in random order; y: their classes; known: their content hashes, which the pool may hold, too."""
+    of = np.arange(len(y)) % 5
+    train, apart, last = of < 3, of == 3, of == 4
+    if any(len(set(y[s])) < 2 for s in (train, apart, last)):
         return QualityModel()
-    pool_at = np.flatnonzero(np.isnan(y))
-    weights = co_train([x[train], m[train]], y[train], [x[pool_at], m[pool_at]], rounds, share)
-    model = QualityModel(*weights)
-    a, b, t = _logits(weights[0], x[apart]), _logits(weights[1], m[apart]), y[apart]
-    both = np.stack([a, b], axis=1)
-    model.joint = logistic(both, t, 1e-3, 500, 0.05)
-    model.alone = tuple(tuple(logistic(v[:, None], t, 1e-3, 500, 0.05)) for v in (a, b))
-    scores = _sigmoid(_logits(model.joint, both))
-    model.threshold = float(min(0.5, np.quantile(scores[t > 0.5], lose)))
+    cut = [slice(None, TEXT_DIMS), slice(TEXT_DIMS, None)]
+    sets = [(x[train][:, c], y[train]) for c in cut]
+    bad = max(1, round(hand_over * (1 - y[train].mean())))
+    used, model = set(known), QualityModel()
+    for k in range(rounds + 1):
+        model.views = []
+        for c, (own, labels) in zip(cut, sets):
+            w = logistic(own.astype(np.float32) / 255, labels)
+            model.views.append((w, *_calibrated(_logits(w, x[apart][:, c].astype(np.float32) / 255), y[apart])))
+        seen = {"auc": [round(auc(z, y[last]), 4) for z in model.logits(x[last])]}
+        model.report.append(seen)
+        if k == rounds:
+            break
+        found = pool.sure_of(model, sure, (bad, max(1, hand_over - bad)), used)
+        seen["handed"] = {key: len(h) for key, h in sorted(found.items())}
+        new = set().union(*found.values())
+        if not new:
+            break
+        rows = pool.rows(new)
+        for view in (0, 1):
+            for label in (0, 1):
+                hashes = found.get((view, label), [])
+                if hashes:
+                    own, labels = sets[1 - view]
+                    more = np.stack([rows[h] for h in hashes])[:, cut[1 - view]]
+                    sets[1 - view] = np.vstack([own, more]), np.concatenate((labels, np.full(len(hashes), float(label))))
+        used |= new
+    both = np.stack(model.logits(x[apart]), axis=1)
+    use_of = [0, 1]
+    while True:
+        w = logistic(both[:, use_of], y[apart], 1e-4, 500, 0.05, alike=False)
+        if len(use_of) == 1 or (w[:-1] >= 0).all():
+            break
+        use_of.pop(int(w[:-1].argmin()))
+    model.joint = np.zeros(3)
+    model.joint[use_of], model.joint[2] = np.maximum(w[:-1], 0), w[-1]
+    scores = model.score(x[last])[2]
+    model.report[-1] |= {"joint": round(auc(scores, y[last]), 4)}
+    model.threshold = _threshold(scores, y[last], cost)
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """docs' columns, and text_score, meta_score, score, keep."""
-    passed = [f for f in docs.schema.fields if f.name not in OUT]
-    kinds = [T.DoubleType()] * 3 + [T.BooleanType()]
-    schema = T.StructType([*passed, *(T.StructField(n, k) for n, k in zip(OUT, kinds))])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
-    names = [f.name for f in passed]
+def _threshold(scores: np.ndarray, y: np.ndarray, cost: float) -> float:
+    """Half-way between two scores (or at an end of the range allowed), where the documents below and above it cost least; of several the least."""
+    steps = np.unique(np.clip(scores, LEAST, 0.5))
+    tried = np.unique(np.concatenate(([LEAST, 0.5], (steps[1:] + steps[:-1]) / 2)))
+    costs = [cost * np.sum((scores < t) & (y > 0.5)) + np.sum((scores >= t) & (y <= 0.5)) for t in tried]
+    return float(tried[int(np.argmin(costs))])
+
+
+def _rows(blobs: list[bytes]) -> np.ndarray:
+    unpacked = zstandard.ZstdDecompressor().decompress
+    return np.frombuffer(b"".join(map(unpacked, blobs)), np.uint8).reshape(-1, TEXT_DIMS + META_DIMS)
+
+
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", passed: list[str] | None = None) -> DataFrame:
+    """(c0, c1, ...: the columns in ``passed``, id, h: hash of the content, x: packed features) of every row, stored in the shared folder."""
+    passed = [] if passed is None else passed
+    own = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(passed)])
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([*own, T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("x", T.BinaryType())])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for i in range(0, max(1, batch.num_rows), 1024):
-                b = batch.slice(i, 1024)
-                text, source, lang, n = (b.column(names.index(c)).to_pylist() for c in ("text", "source", "lang", "n_chars"))
-                scores = model.score(text_features(texts(text)), meta_features(source, lang, n))
-                new = [pa.array(s.astype(float), pa.float64()) for s in scores] + [pa.array(scores[2] >= model.threshold, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([*b.columns, *new], names + OUT)
+        packed = zstandard.ZstdCompressor(level=3).compress
+        for whole in batches:
+            for i in range(0, max(1, whole.num_rows), 1024):
+                b = whole.slice(i, 1024)
+                text, source, lang, n = (c.to_pylist() for c in b.columns[-4:])
+                text = texts(text)
+                both = np.hstack([text_features(text), meta_features(text, source, lang, n)])
+                h = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in both], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-4], pa.array(h, pa.int64()), pa.array([packed(x.tobytes()) for x in both], pa.binary())], names)
+
+    inputs = [*passed, id_col, text_col, source_col, lang_col]
+    picked = docs.select(*[F.col(quoted(c)).alias(f"i{k}") for k, c in enumerate(inputs)], F.col(quoted(size_col)).cast("long").alias("n"))
+    return stored(picked.mapInArrow(run, schema), "features")
+
+
+class SparkPool:
+    """All documents of a table of features."""
+
+    def __init__(self, made: DataFrame):
+        self.made = made
+
+    def sure_of(self, model: QualityModel, sure: float, most: tuple[int, int], used: set[int]) -> dict[tuple[int, int], list[int]]:
+        shared = self.made.sparkSession.sparkContext.broadcast((model.views, np.array(sorted(used), np.int64)))
+        limit = float(np.log(sure / (1 - sure)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            views, known = shared.value
+            model, best = QualityModel(views), {(v, c): np.empty(0, np.int64) for v in (0, 1) for c in (0, 1)}
+            for b in batches:
+                h = b.column(0).to_numpy(zero_copy_only=False)
+                fresh = ~np.isin(h, known)
+                for v, z in enumerate(model.logits(_rows(b.column(1).to_pylist()))):
+                    for c, sure_of in ((0, z <= -limit), (1, z >= limit)):
+                        best[v, c] = np.unique(np.concatenate((best[v, c], h[fresh & sure_of])))[: most[c]]
+            rows = [(v, c, x) for (v, c), hs in best.items() for x in hs.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64()))], ["view", "label", "h"])
+
+        found = stored(self.made.select("h", "x").mapInArrow(run, "view int, label int, h long").distinct(), "sure")
+        out = {(v, c): [r[0] for r in found.where((F.col("view") == v) & (F.col("label") == c)).select("h").orderBy("h").limit(most[c]).collect()] for v in (0, 1) for c in (0, 1)}
+        discard(found)
+        shared.unpersist()
+        return out
+
+    def rows(self, hashes: set[int]) -> dict[int, np.ndarray]:
+        asked = F.broadcast(self.made.sparkSession.createDataFrame([(h,) for h in hashes], "h long"))  # 2 * hand_over at most
+        got = self.made.select("h", "x").join(asked, "h").groupBy("h").agg(F.min("x").alias("x")).collect()
+        return {r["h"]: _rows([r["x"]])[0] for r in got}
+
+
+def fit(made: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, rounds: int = 3, hand_over: int = HAND_OVER, sure: float = 0.9, cost: float = 10.0) -> QualityModel:
+    """made: what features() returns; labels (id, 0 or 1)."""
+    known = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).alias("y")).where("id is not null and y is not null")
+    known = known.groupBy("id").agg((F.avg("y") >= 0.5).cast("double").alias("y"))
+    chosen = F.broadcast(known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample_rows))
+    one = F.min(F.struct("h", "x")).alias("r")
+    got = made.select("id", "h", "x").join(chosen, "id").groupBy("id", "y").agg(one).select("id", "y", "r.h", "r.x").collect()
+    if not got:
+        return QualityModel()
+    got.sort(key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), r["h"]))
+    x, y = _rows([r["x"] for r in got]), np.array([r["y"] for r in got])
+    return co_train(x, y, {r["h"] for r in got}, SparkPool(made), rounds, hand_over, sure, cost)
+
+
+def judge(made: DataFrame, model: QualityModel) -> DataFrame:
+    """made without its features, and text_score, meta_score, score, keep."""
+    kept = T.StructType([f for f in made.schema.fields if f.name not in ("h", "x")])
+    schema = T.StructType([*kept, *[T.StructField(n, T.BooleanType() if n == "keep" else T.DoubleType()) for n in OUT]])
+    shared = made.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = shared.value.score(_rows(b.column("x").to_pylist()))
+            new = [pa.array(s.astype(float), pa.float64()) for s in scores] + [pa.array(scores[2] >= shared.value.threshold, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept.names), *new], schema.names)
+
+    return made.select(*kept.names, "x").mapInArrow(run, schema)
+
 
-    return docs.select(*names).mapInArrow(run, schema)
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", **options) -> DataFrame:
+    """docs' columns, and text_score, meta_score, score, keep. options: those of fit()."""
+    passed = others(docs, OUT)
+    made = features(docs, id_col, text_col, source_col, lang_col, size_col, passed)
+    out = judge(made, fit(made, labels, **options))
+    return out.select(*[F.col(f"c{k}") for k in range(len(passed))], *OUT).toDF(*passed, *OUT)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score_quality(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", *OUT)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    made = features(docs)
+    return judge(made, fit(made, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
