@@ -2,11 +2,13 @@
 
 A document is its token ids and the end id; one longer than ``capacity`` is split into whole rows and a rest, so that no id is lost. Within a block of
 about ``block_tokens`` ids, pieces go by falling length each into the row with the least room that suffices, found by a segment
-tree over the capacities. Each row comes with what attention kernels need: ids as little-endian unsigned 32-bit values padded
+tree over the capacities. Each row comes with what attention kernels need: ids as little-endian unsigned values (``dtype``: 32 bits, or 16 where the vocabulary allows it) padded
 to the capacity, cumulative segment lengths, and positions that restart with each segment (padding counts on from 0).
+``write_matrices`` writes the rows as Parquet and ``read_matrix`` makes arrays of them.
 
-Blocks are packed within the tasks that read them: nothing is shuffled, and memory is one block. ``row_id`` is the task's number * 2**40 and a
-count. Null or empty texts are the end id alone; repeated documents are packed again. Other columns are not looked at.
+Blocks are packed within the tasks that read them: nothing is shuffled, and memory is one block and one document. ``row_id`` is the task's number * 2**40 and a
+count. Null or empty texts are the end id alone; repeated documents are packed again; a very long text is split into whole rows and a rest; ties in length keep the order of arrival.
+A null doc_id stays null. An empty table gives an empty result. Other columns, whatever they are called, are not looked at.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table, texts
+from quillspark.llm.common import quoted, table, texts
 from quillspark.llm.tokens import PIECES, VOCABULARY, encoder
 
 CAPACITY = 2048
@@ -73,12 +75,15 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
-def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, pad_id: int = 0, vocabulary: str = VOCABULARY, remember: int = PIECES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, pad_id: int = 0, vocabulary: str = VOCABULARY, remember: int = PIECES, block_tokens: int = BLOCK_TOKENS, dtype: str = "<u4") -> DataFrame:
     """One row a matrix row: row_id, n_tokens, doc_ids, starts, lengths, cu_seqlens, input_ids, position_ids."""
     end = np.array([end_id], "<u4").tobytes()
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.binary(), pa.binary()]
-    count = np.arange(capacity, dtype="<u4")
+    most = np.iinfo(dtype).max
+    if capacity > most or max(end_id, pad_id) > most:
+        raise ValueError(f"capacity and ids must fit {dtype}")
+    count = np.arange(capacity, dtype=dtype)
 
     def emit(pieces: list[tuple], first: int) -> Iterator[pa.RecordBatch]:
         rows = best_fit([p[2] for p in pieces], capacity)
@@ -90,6 +95,11 @@ def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ends = np.cumsum([0, *lengths])
                 pad = capacity - int(ends[-1])
                 ids = b"".join([*(p[3] for p in parts), np.full(pad, pad_id, "<u4").tobytes()])
+                if dtype != "<u4":
+                    wide = np.frombuffer(ids, "<u4")
+                    if wide.max() > most:
+                        raise ValueError(f"id {wide.max()} does not fit {dtype}")
+                    ids = wide.astype(dtype).tobytes()
                 positions = np.concatenate([count[:n] for n in [*lengths, pad]]).tobytes()
                 out.append((first + k + j, int(ends[-1]), [p[0] for p in parts], [p[1] for p in parts], lengths, ends.tolist(), ids, positions))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
@@ -114,16 +124,20 @@ def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if pieces:
             yield from emit(pieces, next_id)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return picked.mapInArrow(run, SCHEMA)
 
 
 def write_matrices(matrices: DataFrame, path: str) -> None:
-    """Parquet files, one row a matrix row; np.frombuffer(row.input_ids, '<u4') gives the ids."""
+    """Parquet files, one row a matrix row."""
     matrices.write.mode("errorifexists").parquet(path)
 
 
+def read_matrix(row, dtype: str = "<u4") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, positions, cumulative segment lengths) of one row."""
+    return np.frombuffer(row["input_ids"], dtype), np.frombuffer(row["position_ids"], dtype), np.array(row["cu_seqlens"], np.int32)
+
+
 def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack_matrices(table(spark, sf_dir, "documents"))
-    digests = [F.crc32("input_ids").alias("input_ids_crc32"), F.crc32("position_ids").alias("position_ids_crc32")]
-    return out.select("row_id", "n_tokens", "doc_ids", "starts", "lengths", "cu_seqlens", *digests)
+    """The matrices themselves, 16 bits an id and position: the vocabulary has under 65,536 ids."""
+    return pack_matrices(table(spark, sf_dir, "documents"), dtype="<u2")
