@@ -4,12 +4,14 @@ Texts are lower-cased in A-Z and split into words, runs of letters, digits and a
 consecutive words of a benchmark item; an item of fewer words, but not none, is one window. A document word inside
 any occurrence of a window is hit. A document is contaminated if it has hits and n_hit / n_words is at least ``share``.
 
-The windows' hashes are broadcast; documents are scanned once, without a shuffle: rolling hashes of all their windows are
+The windows' hashes are broadcast; documents are scanned without a shuffle: rolling hashes of all their windows are
 looked up, and each hit is verified word by word. Only ``shard_chars`` characters of benchmark text are broadcast at
-a time; a larger benchmark is dealt by hash into as many shards as that takes, which are scanned for one after the other.
+a time. A larger benchmark is dealt by hash into as many shards as that takes, long items in segments of ``SEGMENT`` words that overlap by a window less one. Its shards are scanned for one after the
+other: what is found is written to the shared folder before the next shard's index is made, so that no task ever holds two.
 
 Null texts have no words (items: no windows). Repeated documents are each reported; repeated items count by id, and
-items with a null id make hits but are in no list. An empty benchmark hits nothing. Other columns pass through.
+items with a null id make hits but are in no list. Ids are compared as strings. An empty benchmark hits nothing, an empty table gives an empty result, very long texts are scanned whole. Other columns pass through, but for those
+that are called, in any case, like an output.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import contains, cover, doc_windows, hasher, intervals, table
+from quillspark.llm.common import contains, cover, discard, doc_windows, hasher, intervals, others, quoted, stored, table
 
 WIDTH = 13
 SHARE = 0.05
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 1_000_000
+SEGMENT = 4096
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # as above, in texts that are not lower-cased
+_BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # what stands between words, in texts that are not lower-cased
+_WORD = re.compile(f"[^{_BETWEEN}]+")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -74,35 +78,55 @@ class WindowIndex:
         return hit, found
 
 
+def segments(benchmark: DataFrame, width: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, text): distinct items, those of more words than SEGMENT in parts that have each window of theirs whole."""
+    items = benchmark.select(F.col(quoted(item_col)).cast("string").alias("item"), F.col(quoted(text_col)).alias("text")).where("text is not null").distinct()
+    is_long = F.length("text") > 2 * SEGMENT  # so that shorter ones, nearly all, are not split
+    words = F.filter(F.split("text", f"[{_BETWEEN}]+"), lambda w: w != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (width - 1)), F.lit(SEGMENT))
+    parts = F.transform(starts, lambda i: F.array_join(F.slice("words", i, SEGMENT + width - 1), " "))
+    cut = items.where(is_long).withColumn("words", words).select("item", F.explode(parts).alias("text")).distinct()
+    return items.where(~is_long).unionByName(cut)
+
+
 def _shard_count(benchmark: DataFrame, shard_chars: int) -> int:
     return max(1, math.ceil((benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) / shard_chars))
 
 
-def _shard(benchmark: DataFrame, item_col: str, k: int, n: int) -> list[tuple[str | None, str | None]]:
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").alias("text"))
-    part = items if n == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
+def _shard(benchmark: DataFrame, k: int, n: int) -> list[tuple[str | None, str | None]]:
+    part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
     return [(r["item"], r["text"]) for r in part.collect()]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text", item_col: str = "item_id", share: float = SHARE, shard_chars: int = SHARD_CHARS, cleaned: bool = False) -> DataFrame:
     """docs' columns, and: n_words, n_hit, item_ids (sorted), hit_spans (maximal intervals of word positions), contaminated;
     with ``cleaned`` also clean_text, the text without its hit words and what stands between them."""
-    spans = "hit_spans"
-    names = ["n_words", "n_hit", "item_ids", spans, "contaminated", "clean_text"]
-    out = docs.select(*[c for c in docs.columns if c not in names])
-    passed = out.schema.fields
+    names = ["n_words", "n_hit", "item_ids", "hit_spans", "contaminated", "clean_text"][: 6 if cleaned else 5]
+    passed = others(docs, names)
+    # columns go by numbers within, so that no name clashes
+    out = docs.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(passed)], *[F.col(quoted(text_col)).alias("t")] * (text_col not in passed))
+    text = f"c{passed.index(text_col)}" if text_col in passed else "t"
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
-    middle = T.StructType([*passed, T.StructField("n_words", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField(spans, span)])
-    spark = docs.sparkSession
-    n = _shard_count(benchmark, shard_chars)
+    middle = T.StructType([*out.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_spans", span)])
+    spark, items = docs.sparkSession, segments(benchmark, width, item_col)
+    n = _shard_count(items, shard_chars)
     for k in range(n):
-        index = spark.sparkContext.broadcast(WindowIndex(_shard(benchmark, item_col, k, n), width))
+        index = spark.sparkContext.broadcast(WindowIndex(_shard(items, k, n), width))
         cut = cleaned and k == n - 1
         schema = T.StructType([*middle, T.StructField("clean_text", T.StringType())]) if cut else middle
-        out = out.mapInArrow(_scanner(index, text_col, spans, k > 0, cut), schema)
-    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+        scanned = out.mapInArrow(_scanner(index, text, k > 0, cut), schema)
+        if k == n - 1:
+            out = scanned
+            break
+        scanned = stored(scanned, "shard")
+        index.destroy()
+        if k:
+            discard(out)
+        out = scanned
+    n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     out = out.withColumn("n_hit", n_hit)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")) if share != 0.05 else (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")) if share != 0.05 else (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return out.select(*[f"c{k}" for k in range(len(passed))], *names).toDF(*passed, *names)
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -118,10 +142,11 @@ def _cut(text: str | None, spans: list[dict]) -> str | None:
     return "".join([*out, text[last:]])
 
 
-def _scanner(index, text_col: str, spans: str, later: bool, cut: bool):
+def _scanner(index, text_col: str, later: bool, cut: bool):
     """One pass for one shard: adds its hits to those of earlier shards (``later``); the last one may ``cut`` the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = "hit_spans"
         new, kinds = ["n_words", "item_ids", spans], [pa.int64(), pa.list_(pa.string()), _SPANS]
         for whole in batches:
             for at in range(0, max(1, whole.num_rows), 1024):
