@@ -5,10 +5,11 @@ hashed into ``dims`` buckets. Weights are (1 + log count) * idf, scaled to lengt
 centroids, found by spherical k-means over its sample. A text gets the language of the centroid with the greatest cosine; where that cosine is
 below the ``reject`` quantile of the centroid's own sample, the text is too far away and ``rejected`` is true.
 
-``fit`` learns from at most ``sample_rows`` rows, as many for each language as there are languages to share them, chosen by a hash of the
-id; at most ``most_langs`` languages, the most frequent. Features are made on the executors, so the driver holds that many rows of
-``dims`` half-precision numbers and no texts. Rows with a null lang or text teach nothing. Null texts and texts without
-a letter are ``und`` with score 0. Without a row to learn from, everything is ``und``.
+``fit`` learns from about ``sample_rows`` rows, as many for each language as there are languages to share them and at least one for each, however many languages there are; they are chosen by a hash of
+id and text, repeated rows once. Features are made on the executors, so the driver holds that many rows of ``dims`` half-precision numbers and no texts. Rows with a null lang
+or text teach nothing. Null texts and texts without a letter are ``und`` with score 0; of centroids at the same cosine the one of the first language in alphabetical order wins.
+Without a row to learn from, everything is ``und``. Repeated rows are each reported, an empty table gives an empty result, very long texts are read whole. Other columns, whatever they
+are called, are not looked at.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix, table, texts
+from quillspark.llm.common import mix, quoted, table, texts
 
 DIMS = 4096
 SAMPLE_ROWS = 4000
-MOST_LANGS = 500
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -94,31 +95,47 @@ def _cluster(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nd
     return centres, (v @ centres.T).argmax(axis=1)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, most_langs: int = MOST_LANGS, centroids: int = 4, dims: int = DIMS, reject: float = 0.01) -> LanguageModel:
-    able = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sizes = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    if not sizes:
+#: More languages than this are joined by a shuffle.
+BROADCAST_LANGS = 100_000
+
+
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> tuple[DataFrame | None, int]:
+    """((text, lang, place) of the rows to learn from, how many a language has at most): each language's with the smallest place, a hash of id and text."""
+    able = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang")).where("lang is not null and text is not null")
+    place = F.xxhash64("id", "text", F.lit(7))
+    sizes = able.groupBy("lang").agg(F.approx_count_distinct(place, 0.02).alias("n"))  # rows that differ, however often they are repeated
+    n = sizes.count()
+    if not n:
+        return None, 0
+    each = max(1, rows // n)
+    # Those below a share of the hash's range, of which hardly any language has too few; only these few are ranked
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(each + 10.0 * each**0.5 + 20.0) / F.greatest(F.lit(1), "n")).alias("share"))
+    near = able.withColumn("place", place).join(F.broadcast(share) if n <= BROADCAST_LANGS else share, "lang")
+    near = near.where((F.col("place").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64) <= F.col("share")).dropDuplicates(["lang", "place"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= each).select("text", "lang", "place"), each
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, centroids: int = 4, dims: int = DIMS, reject: float = 0.01) -> LanguageModel:
+    picked, _ = sample(docs, id_col, text_col, lang_col, sample_rows)
+    if picked is None:
         return LanguageModel(np.zeros(dims), np.zeros((0, dims)), [], np.zeros(0))
-    each = max(1, sample_rows // len(sizes))
-    place = (F.xxhash64("id", F.lit(7)).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)  # 0 to 1, by id alone
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * each / r["count"]))).otherwise(share)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            rows = ngram_counts(texts(b.column(0).to_pylist()), dims)
-            cells = [np.minimum(x, 60000).astype(np.float16).tobytes() for x in rows]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(cells, pa.binary())], ["lang", "place", "x"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                cells = [packed(np.minimum(x, 60000).astype(np.float16).tobytes()) for x in ngram_counts(texts(part.column(0).to_pylist()), dims)]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(cells, pa.binary())], ["lang", "place", "x"])
 
-    picked = able.withColumn("place", place).where(F.col("place") < share).select("text", "lang", "place")
-    rows = sorted(picked.mapInArrow(features, "lang string, place double, x binary").collect(), key=lambda r: (r["place"], r["lang"]))
+    unpacked = zstandard.ZstdDecompressor().decompress
+    rows = sorted(picked.mapInArrow(features, "lang string, place long, x binary").collect(), key=lambda r: (r["place"], r["lang"]))
     by_lang: dict[str, list[np.ndarray]] = {}
     for r in rows:
-        own = by_lang.setdefault(r["lang"], [])
-        if len(own) < each and (x := np.frombuffer(r["x"], np.float16)).any():
-            own.append(x)
-    by_lang = {k: v for k, v in sorted(by_lang.items()) if v}
+        if (x := np.frombuffer(unpacked(r["x"]), np.float16)).any():
+            by_lang.setdefault(r["lang"], []).append(x)
+    by_lang = dict(sorted(by_lang.items()))
     if not by_lang:
         return LanguageModel(np.zeros(dims), np.zeros((0, dims)), [], np.zeros(0))
     seen = np.stack([x for own in by_lang.values() for x in own]) > 0
@@ -147,7 +164,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 langs, scores, far = shared.value.predict(texts(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], ["id", "lang_pred", "score", "rejected"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     return picked.mapInArrow(run, "id long, lang_pred string, score double, rejected boolean")
 
 
