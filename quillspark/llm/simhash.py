@@ -6,18 +6,19 @@ fingerprint 0 and links like any other). A bit of the fingerprint is 1 if over h
 42) have it.
 
 ``link_components``: rows whose fingerprints differ in ``most`` bits or fewer are linked; a component's id is its
-smallest id. Candidates come from the pigeonring principle: with the 64 bits in a ring of ``ZERO_CHAIN * most + 1``
+smallest id. Candidates come from the pigeonring principle: with the 64 bits in a ring of ``zero * most + 1``
 segments, two fingerprints within ``most`` bits have a start segment from which, for every chain length l, the first l segments
-differ in at most floor(l * most / segments) bits. For the first ``ZERO_CHAIN`` segments that budget is 0, which is an
-equi-join key of 27 bits for most = 2; longer chains are held against their budgets before the full Hamming distance.
+differ in at most floor(l * most / segments) bits. For the first ``zero`` segments that budget is 0, which is an
+equi-join key; longer chains are held against their budgets before the full Hamming distance. ``zero`` is 3 at least, and more for more different fingerprints
+(``zero_chain``): keys then have up to 64 / most bits (27 to 31 for most = 2), so that few fingerprints share one by chance.
 
-Equal fingerprints are one node, so exact copies never meet in a join. Where many *different* fingerprints share a key
-(over ``pair_bucket``), pairs are not listed: each of them is dealt to its 65 values within one bit, and those that
-share such a value are within 2 bits of each other, and the reverse. That is exact and linear (for most <= 2; for larger
-``most`` the pairs are joined).
+Equal fingerprints are one node, so exact copies never meet in a join. Fingerprints may still crowd under a key because they are truly near each other (groups of near
+copies). Of over ``pair_bucket`` under one key, pairs are not listed: each of them is dealt to its 65 values within one bit, and those that
+share such a value are within 2 bits of each other, and the reverse. That is exact and linear, so neither way loses or adds a link (for most <= 2; for larger
+``most`` the pairs of a key are joined).
 
-Nulls, repeats: rows with a null id keep a fingerprint, link others like any row and never lend their id; if a whole component has none, its id
-is null. Repeated ids are each reported. Empty tables give empty results. Other columns are not looked at.
+Nulls, ties, repeats: rows with a null id keep a fingerprint, link others like any row and never lend their id; if a whole component has none, its id
+is null. A bit that exactly half of the shingles have is 0. Repeated ids are each reported. Very long texts are read whole. Empty tables give empty results. Other columns, whatever they are called, are not looked at.
 """
 
 from __future__ import annotations
@@ -30,11 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, discard, stored, table, texts
+from quillspark.llm.common import components, quoted, stored, table, texts
 
 SEED = 42
-#: Segments of a chain that must be equal. More make keys longer, and more of them.
-ZERO_CHAIN = 3
+#: Least and most segments of a chain that must be equal. More make keys longer, and more of them.
+ZERO_CHAIN, LONGEST_ZERO_CHAIN = 3, 15
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, width) for t in texts(b.column(1).to_pylist())], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text")).mapInArrow(run, "id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -92,12 +93,20 @@ def _chain_fits(x: Column, start: Column, masks: list[list[int]], most: int) ->
     return fits
 
 
-def links(nodes: DataFrame, most: int = 2, pair_bucket: int = 16) -> DataFrame:
+def zero_chain(n_fingerprints: int, most: int) -> int:
+    """Segments of a chain that must be equal, so that no more than some four fingerprints at random share a key, as far as that goes."""
+    for zero in range(ZERO_CHAIN, LONGEST_ZERO_CHAIN):
+        if n_fingerprints <= 4 * 2.0 ** (64 * zero / (zero * most + 1)):
+            return zero
+    return LONGEST_ZERO_CHAIN
+
+
+def links(nodes: DataFrame, most: int = 2, pair_bucket: int = 16, zero: int = ZERO_CHAIN) -> DataFrame:
     """nodes (fp, node), one row a fingerprint -> edges (u, v) that connect what links of at most ``most`` bits connect."""
-    n = ZERO_CHAIN * most + 1
+    n = zero * most + 1
     masks = ring_masks(n)
     keys = nodes.select(
-        "fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(masks[i][ZERO_CHAIN]))) for i in range(n)])).alias("start", "key")
+        "fp", "node", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(masks[i][zero]))) for i in range(n)])).alias("start", "key")
     )
     sizes = keys.groupBy("start", "key").agg(F.count("*").alias("n_in")).where("n_in > 1")
     shared = stored(keys.join(sizes, ["start", "key"]), "ring")
@@ -129,7 +138,7 @@ def linked_nodes(prints: DataFrame, most: int = 2, pair_bucket: int = 16) -> tup
     """prints (id, fp) -> nodes (fp, id, n_rows), one row a fingerprint with its smallest id, and roots (fp, root): the smallest
     fingerprint of each one's component. Links are between fingerprints, whether or not their rows have ids."""
     nodes = stored(prints.where("fp is not null").groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n_rows")), "nodes")
-    found = components(links(nodes.select("fp", F.col("fp").alias("node")), most, pair_bucket))
+    found = components(links(nodes.select("fp", F.col("fp").alias("node")), most, pair_bucket, zero_chain(nodes.count(), most)))
     # only fingerprints in a component of several have a row in found
     return nodes, stored(nodes.select("fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
 
