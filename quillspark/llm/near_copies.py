@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BASE, components, hasher, mix, pack, stored, texts, unpack, window_hashes
+from quillspark.llm.common import BASE, components, discard, hasher, mix, pack, quoted, stored, texts, unpack, window_hashes
 from quillspark.llm.simhash import fingerprint, linked_nodes, name_components
 
 WIDTH = 5
@@ -61,6 +61,15 @@ def alike(a: np.ndarray, b: np.ndarray, least: Fraction = LEAST) -> bool:
     return both * least.denominator >= (len(a) + len(b) - both) * least.numerator
 
 
+#: So many nodes or documents at most are broadcast, eight bytes each; more of them are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df (stored), to be broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp, node, keys): SimHash fingerprint, hash of the text and its MinHash keys."""
 
@@ -71,7 +80,7 @@ def marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys = [band_keys(shingle_set(t)).view(np.int64) for t in column]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2), pa.array(keys, pa.list_(pa.int64()))], ["id", "fp", "node", "keys"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("node"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"), F.xxhash64(quoted(text_col)).alias("node"))
     return rows.mapInArrow(run, "id long, fp long, node long, keys array<long>")
 
 
@@ -84,7 +93,7 @@ def _sets(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
 
     asked = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
-    rows = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text")).join(asked, "node", "left_semi")
+    rows = docs.select(F.xxhash64(quoted(text_col)).alias("node"), F.col(quoted(text_col)).alias("text")).join(few(asked), "node", "left_semi")
     return rows.dropDuplicates(["node"]).mapInArrow(run, "node long, shingles binary")
 
 
@@ -103,7 +112,7 @@ def _checked(docs: DataFrame, pairs: DataFrame, text_col: str) -> DataFrame:
 
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     found = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return stored(roots.join(found, "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "roots")
+    return stored(roots.join(few(found), "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "roots")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +120,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = stored(marks(docs, id_col, text_col), "marks")
     prints = marked.select("id", "fp")
     nodes, roots = linked_nodes(prints)
-    keys = marked.select("node", "fp", "keys").dropDuplicates(["node"]).select("node", "fp", F.explode("keys").alias("key"))
+    # one exchange by key: the keys that several texts have, and then those texts
+    keys = marked.select("node", "fp", "keys").dropDuplicates(["node"]).select("node", "fp", F.explode("keys").alias("key")).repartition("key")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n_in")).where("n_in > 1").select("key")
     shared = stored(keys.join(sizes, "key"), "shared")
     for after in (False, True):
@@ -120,7 +130,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("node", "root")).alias("first"), F.mode("root").alias("main")
         )
         state = stored(state.where("lo <> hi").select("key", "first", "main"), "open")
-        rows = labelled.join(state, "key")
+        rows = labelled.join(few(state), "key")
         if after:
             stray = rows.where("root <> main").select("key", F.col("node").alias("u"), F.col("root").alias("of_u"))
             other = rows.select("key", F.col("node").alias("v"), F.col("root").alias("of_v"), "main")
@@ -128,6 +138,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         else:
             pairs = rows.where("root <> first.root").select(F.col("first.node").alias("u"), F.col("node").alias("v"), F.col("first.root").alias("of_u"), F.col("root").alias("of_v"))
         pairs = stored(pairs.distinct(), "pairs")
+        for used in (labelled, state):
+            discard(used)
         if pairs.isEmpty():
             break
         roots = _joined(roots, _checked(docs, pairs, text_col))
