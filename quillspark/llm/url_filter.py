@@ -7,9 +7,10 @@ same rule, block. Urls that no rule fits get ``default``.
 
 Each distinct (host, path) expands into host-suffix x path-prefix expressions, no longer than the rules' longest; they meet the rules
 in an equi-join on four bytes of their SHA-256, and the full digest confirms. All of it is DataFrame functions. The
-rules are broadcast only where their number, counted, is at most ``broadcast_rules``; otherwise the join shuffles.
-Rules with a null host are left out, a null path is empty. Repeated pages are each reported; other columns are
-not looked at.
+rules are broadcast only where their number, counted, is at most ``broadcast_rules``; otherwise the join shuffles. A url of very many pages is judged
+in up to ``SALTS`` parts, by a hash of the page's id, so that no task gets all of them.
+Rules with a null host are left out, a null path is empty. Repeated pages are each reported, ids may be null, very long urls are judged whole, an empty table gives an empty result; other columns,
+whatever they are called, are not looked at.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import quoted, table
 
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 BROADCAST_RULES = 50_000
+SALTS = 64
 _PREFIX_HEX = 8
 
 
@@ -56,10 +58,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         F.collect_set(F.when(whole, F.length("path"))).alias("lengths"),  # distinct lengths only
         F.count("*").alias("n"),
     ).first()
-    urls = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    urls = urls.select(id_col, F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
+    page, url = F.col(quoted(id_col)), F.col(quoted(url_col))
+    urls = pages.select(page.alias("id"), F.pmod(F.xxhash64(page), F.lit(SALTS)).alias("salt"), host_of(url).alias("host"), path_of(url).alias("path"))
+    urls = urls.select("id", "salt", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
     if not bound["n"]:
-        return urls.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return urls.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     labels, n = F.split("host", r"\."), F.lit(bound["labels"])
     count = F.size(labels)
@@ -71,16 +74,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     exact = F.filter(F.array(F.lit(0), *[F.lit(x) for x in sorted(bound["lengths"])]), lambda i: i <= F.length("path"))
     prefixes = F.transform(F.array_distinct(F.concat(places, exact)), lambda i: F.substring(F.col("path"), F.lit(1), i))
 
-    distinct = urls.where("host <> ''").groupBy("host", "path").agg(F.lit(1).alias("one"))
-    expressions = distinct.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))
-    expressions = _digested(expressions.select("host", "path", F.concat("suffix", "prefix").alias("expression"))).drop("expression")
+    key = ["host", "path", "salt"]
+    distinct = urls.where("host <> ''").groupBy(*key).agg(F.lit(1).alias("one"))
+    expressions = distinct.select(*key, F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select(*key, "suffix", F.explode("prefixes").alias("prefix"))
+    expressions = _digested(expressions.select(*key, F.concat("suffix", "prefix").alias("expression"))).drop("expression")
     known = F.broadcast(per_rule) if bound["n"] <= broadcast_rules else per_rule
     met = expressions.join(known, "short").where(expressions["digest"] == per_rule["digest"])
-    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
-    best = best.select("host", "path", "best.rule", "best.verdict")
-    judged = urls.where("host <> ''").join(best, ["host", "path"], "left")
-    empty = urls.where("host = ''").select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
-    return judged.unionByName(empty).select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    best = met.groupBy(*key).agg(F.max(F.struct(F.length("rule").alias("size"), "rule", "verdict")).alias("best"))
+    best = best.select(*key, "best.rule", "best.verdict")
+    judged = urls.where("host <> ''").join(best, key, "left").select("id", "host", "path", "rule", "verdict")
+    empty = urls.where("host = ''").select("id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    both = judged.unionByName(empty)
+    return both.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
