@@ -1,22 +1,22 @@
 """Harmonic packing (operator 10): documents into sequences of at most ``capacity`` tokens.
 
-A document is its token ids and the end id. It is cut into pieces, each id in exactly one: whole sequences first; the
-rest gives up its largest power of two while at least ``smallest`` ids remain; what then remains is the last piece. A piece of
-length r is in class k = capacity // r, that is r lies in (capacity / (k + 1), capacity / k], and each bin of class k takes exactly k
-pieces. Powers of two fill their bins without a gap, and last pieces, shorter than ``smallest``, leave at most about 2 %
-of theirs. Every task fills its own bins, so nothing is shuffled and a lost task is simply run again with the same result.
+A document is its token ids and the end id. A document of length r up to the capacity is in class k = capacity // r, that is r lies in (capacity / (k + 1), capacity / k], and each
+bin of class k takes exactly k documents, whole. A longer one gives whole sequences first; what remains of it is *sand*, which may be cut as it is already.
+The room that the k documents of a bin leave is filled with sand, cut to fit; room of fewer than ``smallest`` tokens is padded. While bins wait for sand
+of a whole sequence or more, the next document becomes sand, so that about one cut a bin is all that padding costs. Every task fills its
+own bins, so nothing is shuffled and a lost task is simply run again with the same result.
 
-At its end a task has at most one open bin a class. Those pieces are strung together and cut into whole
+At its end a task has at most one open bin a class, bins that wait and some sand. Those pieces are strung together and cut into whole
 sequences and then powers of two, which are not padded. ``sequence_id`` is the task's number * 2**40 and a count.
 
-Null or empty texts are the end id alone. Repeated documents are packed again. A null doc_id stays null. Memory is one batch of
-texts and the open bins. Other columns are not looked at.
+Null or empty texts are the end id alone. Repeated documents are packed again. A null doc_id stays null. A very long text is held once, as ids. An empty table gives an empty result. Memory is one batch of
+texts, the open bins (a sequence a class at most) and those that wait (a sequence for each ``smallest`` tokens of a sequence at most). Other columns, whatever they are called, are not looked at.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,23 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table, texts
+from quillspark.llm.common import quoted, table, texts
 from quillspark.llm.tokens import PIECES, VOCABULARY, encoder
 
 CAPACITY = 2048
-SMALLEST = 64
+SMALLEST = 8
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def cut(n: int, capacity: int, smallest: int) -> list[int]:
-    """Lengths of the pieces of a document of n tokens."""
-    whole, rest = divmod(n, capacity)
-    out = [capacity] * whole
-    while rest >= smallest:
-        out.append(1 << (rest.bit_length() - 1))
-        rest -= out[-1]
-    return out + [rest] * (rest > 0)
+def size_class(n: int, capacity: int) -> int:
+    """The class of a document of n tokens: how many of its length a sequence holds."""
+    return capacity // n
 
 
 class Packer:
@@ -50,6 +45,9 @@ class Packer:
     def __init__(self, first_id: int, capacity: int, smallest: int):
         self.next_id, self.capacity, self.smallest = first_id, capacity, smallest
         self.open: dict[int, list] = defaultdict(list)
+        self.waiting: deque[tuple[int, list]] = deque()  # (room, pieces)
+        self.sand: deque[tuple] = deque()
+        self.needed = self.held = 0  # tokens that waiting bins lack; tokens of sand
         self.rows: list[tuple] = []
 
     def close(self, pieces: list) -> None:
@@ -60,19 +58,49 @@ class Packer:
             at += n
         self.next_id += 1
 
+    def fill(self, room: int, pieces: list) -> None:
+        """Closes a bin with sand in its room; there must be enough."""
+        self.held -= room
+        while room:
+            doc, start, ids, total = self.sand.popleft()
+            n = min(room, len(ids) // 4)
+            pieces.append((doc, start, ids[: 4 * n], total))
+            if 4 * n < len(ids):
+                self.sand.appendleft((doc, start + n, ids[4 * n :], total))
+            room -= n
+        self.close(pieces)
+
     def add(self, doc: int | None, ids: bytes) -> None:
         total, at = len(ids) // 4, 0
-        for n in cut(total, self.capacity, self.smallest):
-            k = self.capacity // n
+        while total - at >= self.capacity:
+            self.close([(doc, at, ids[4 * at : 4 * (at + self.capacity)], total)])
+            at += self.capacity
+        if at == total:
+            return
+        piece = (doc, at, ids[4 * at :] if at else ids, total)
+        if at or self.needed >= self.capacity:
+            self.sand.append(piece)
+            self.held += total - at
+        else:
+            k = size_class(total, self.capacity)
             bin_ = self.open[k]
-            bin_.append((doc, at, ids[4 * at : 4 * (at + n)], total))
-            at += n
-            if len(bin_) == k:
+            bin_.append(piece)
+            if len(bin_) < k:
+                return
+            del self.open[k]
+            room = self.capacity - sum(len(p[2]) for p in bin_) // 4
+            if room < self.smallest:
                 self.close(bin_)
-                self.open[k] = []
+                return
+            self.waiting.append((room, bin_))
+            self.needed += room
+        while self.waiting and self.waiting[0][0] <= self.held:
+            room, bin_ = self.waiting.popleft()
+            self.needed -= room
+            self.fill(room, bin_)
 
     def finish(self) -> None:
-        left = [p for k in sorted(self.open) for p in self.open[k]]
+        left = [p for _, pieces in self.waiting for p in pieces] + [p for k in sorted(self.open) for p in self.open[k]] + [*self.sand]
         rest = sum(len(p[2]) for p in left) // 4
         i = at = 0
         while rest:
@@ -88,6 +116,8 @@ class Packer:
                     i, at = i + 1, 0
             self.close(pieces)
         self.open.clear()
+        self.waiting.clear()
+        self.sand.clear()
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, smallest: int = SMALLEST, end_id: int = END_ID, vocabulary: str = VOCABULARY, remember: int = PIECES, with_ids: bool = False) -> DataFrame:
@@ -117,7 +147,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if packer.rows:
             yield out(packer.rows)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     return picked.mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 
 
