@@ -193,6 +193,19 @@ def test_links_and_crowded_buckets(spark, most):
         assert {r.id: r.component_id for r in simhash.link_components(df, most, bucket).collect()} == want
 
 
+@pytest.mark.parametrize("zero", [3, 5, 15])
+def test_links_with_longer_keys(spark, zero):
+    """Keys of more segments link the same fingerprints; they grow with the number of fingerprints."""
+    rng = random.Random(zero)
+    prints = [rng.getrandbits(64) for _ in range(40)]
+    prints += [f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in prints] + [f ^ 7 for f in prints[:20]]
+    prints = sorted(set(prints))
+    nodes = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, k) for k, f in enumerate(prints)], "fp long, node long")
+    got = {tuple(sorted((r.u, r.v))) for r in simhash.links(nodes, 2, 10**6, zero).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    assert [simhash.zero_chain(n, 2) for n in (10**3, 10**9, 10**14)] == [3, 4, 15]
+
+
 def test_near_duplicates(spark, docs):
     got = {r.id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs.drop("id"), "doc_id").collect()}
     prints = [(r[0], brute_fingerprint(r[1])) for r in corpus()]
@@ -377,6 +390,8 @@ def test_decontaminate(spark, docs, shard_chars):
         assert r.contaminated == (len(hit) > 0 and 20 * len(hit) >= n)
         left = [w for i, w in enumerate(decontaminate.words_of(r.text)) if i not in hit]
         assert decontaminate.words_of(r.clean_text) == left and (r.clean_text == r.text or hit)
+    plan = decontaminate.find_hits(docs, bench, shard_chars=shard_chars)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # no task holds the indexes of two shards
     none = decontaminate.find_hits(docs, bench.limit(0))
     assert none.where("n_hit > 0").count() == 0 and none.count() == len(rows)
     assert decontaminate.find_hits(empty(spark), bench).count() == 0
@@ -385,6 +400,23 @@ def test_decontaminate(spark, docs, shard_chars):
 # 10, 3 and tokens
 
 
+def test_decontaminate_long_items_and_clashing_columns(spark, monkeypatch):
+    """Items in segments give the same hits; columns called like outputs don't stop anything."""
+    monkeypatch.setattr(decontaminate, "SEGMENT", 16)
+    long = words(random.Random(8), 200, 10**6)
+    items = [(1, long), (1, long), (2, long), (3, "W1 w2"), (None, long)]
+    rows = [(k, "x " + " ".join(long.split()[k : k + 20]) + " y") for k in range(0, 180, 7)] + [(900, None), (901, words(random.Random(9), 50000) + " w1 w2")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_hits(rows, [i for i in items if i[0] is not None])
+    for shard_chars in (10**6, 300):
+        out = decontaminate.find_hits(clashing(spark, rows), bench, shard_chars=shard_chars, cleaned=True)
+        got = {r.doc_id: r for r in out.collect()}
+        for doc, (n, hit, found) in want.items():
+            assert (got[doc].n_words, got[doc].n_hit, list(got[doc].item_ids)) == (n, len(hit), found)
+            assert got[doc].quill_block == f"quill_block{doc}"
+    assert decontaminate.find_hits(empty(spark), bench, cleaned=True).count() == 0
+
+
 def plain_ids(text):
     tokenizer = tokens.encoder().tokenizer
     return tokenizer.encode(text or "", add_special_tokens=False).ids
@@ -401,7 +433,7 @@ def test_encoder_equals_tokenizer():
         assert got == [plain_ids(t) for t in batch]
 
 
-@pytest.mark.parametrize("capacity, smallest", [(2048, 64), (64, 8), (16, 1)])
+@pytest.mark.parametrize("capacity, smallest", [(2048, 64), (2048, 8), (64, 8), (64, 1), (16, 1)])
 def test_packing(docs, capacity, smallest):
     rows = corpus()
     got = packing.pack_documents(docs, capacity=capacity, smallest=smallest, with_ids=True).collect()
@@ -425,8 +457,42 @@ def test_packing(docs, capacity, smallest):
     assert pad <= 0.05 * total
 
 
+def test_packing_classes_hold_a_fixed_count_of_whole_documents():
+    """Bins of class k have exactly k whole documents of that class and then sand; about a cut a bin, and hardly any padding."""
+    rng, capacity = random.Random(6), 256
+    lengths = [max(1, int(rng.lognormvariate(4.3, 0.9))) for _ in range(4000)]
+    packer = packing.Packer(0, capacity, 8)
+    for doc, n in enumerate(lengths):
+        packer.add(doc, np.full(n, doc, "<u4").tobytes())
+    closed, last = packer.next_id, len(packer.rows)
+    packer.finish()
+    bins = {}
+    for doc, start, n, _, total, sequence, at, _ in packer.rows[:last]:
+        bins.setdefault(sequence, []).append((at, doc, start, n, total))
+    n_whole = 0
+    for pieces in bins.values():
+        pieces.sort()
+        whole = [p for p in pieces if p[3] == p[4]]
+        if pieces[0][3] == capacity:
+            continue
+        k = packing.size_class(pieces[0][4], capacity)
+        first = pieces[:k]
+        assert len(first) == k and all(p[3] == p[4] and capacity // (k + 1) < p[3] <= capacity // k for p in first)
+        assert all(p[4] > capacity or p not in first for p in pieces[k:]) and capacity - sum(p[3] for p in pieces) < 8
+        n_whole += len(whole)
+    n_short = sum(n <= capacity for n in lengths)
+    assert n_whole >= 0.8 * n_short
+    assert len(packer.rows) - len(lengths) <= 1.6 * packer.next_id
+    tokens = sum(n for *_, n in [(r[2],) for r in packer.rows])
+    assert tokens == sum(lengths) and capacity * closed - sum(r[2] for r in packer.rows[:last]) <= 0.005 * tokens
+
+
 def test_packing_edges(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
+    long = words(random.Random(1), 40000)
+    got = packing.pack_documents(clashing(spark, [(1, long), (2, "w1")])).collect()
+    assert sum(r.length for r in got if r.doc_id == 1) == len(plain_ids(long)) + 1
+    assert sorted({r.length for r in got if r.sequence_id == got[0].sequence_id}) == [2048]
     df = spark.createDataFrame([(None, None), (1, ""), (1, "")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.length) for r in packing.pack_documents(df).collect()) == [(0, 1), (1, 1), (1, 1)]
 
@@ -467,6 +533,26 @@ def test_matrices(spark, docs, block_tokens):
     assert matrices.pack_matrices(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+def test_matrices_written_and_read_back(spark, tmp_path, dtype):
+    rows = [(1, words(random.Random(1), 3000)), (None, None), (2, "w1 w2"), (2, "w1 w2")]
+    matrices.write_matrices(matrices.pack_matrices(clashing(spark, rows), capacity=256, dtype=dtype), f"{tmp_path}/m")
+    found = []
+    for r in spark.read.parquet(f"{tmp_path}/m").collect():
+        ids, positions, ends = matrices.read_matrix(r, dtype)
+        assert len(ids) == len(positions) == 256
+        for doc, start, a, b in zip(r.doc_ids, r.starts, ends[:-1], ends[1:]):
+            assert (positions[a:b] == np.arange(b - a)).all()
+            found.append((doc or 0, start, ids[a:b].tolist()))
+    want = []
+    for doc, text in rows:
+        ids = plain_ids(text) + [1]
+        want += [(doc or 0, k, ids[k : k + 256]) for k in range(0, len(ids), 256)]
+    assert sorted(found) == sorted(want)
+    with pytest.raises(ValueError):
+        matrices.pack_matrices(clashing(spark, rows), capacity=256, end_id=70000, dtype="<u2")
+
+
 # 9 URLs
 
 URLS = [None, "", "no scheme", "http://net", "http://net/", "HTTP://A.Example.NET/en/x?y=/de/", "http://example.net/EN/", "http://x.net/fr/", "https://www.example.com/de/#a", "https://example.com/de", "https://notexample.com/de/1", "http://z.org/fr/ü", "http://z.org?/fr/", "http://a//b://c.net/x", "ftp://.net/", "http://net./", "http://ÄB.net/x", "http://" + "a." * 3000 + "net/" + "d/" * 3000]
@@ -577,6 +663,40 @@ def test_language(spark, tmp_path):
     assert [got[k].score for k in (400, 401)] == [0.0, 0.0]
 
 
+def test_many_languages(spark):
+    """However many languages there are, all are learned, by as few as one row each."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(600):
+        own = [chr(0x4E00 + 7 * k + j) for j in range(6)]
+        rows += [(len(rows) + i, "".join(rng.choices(own, k=40)), f"l{k:03}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(docs, sample_rows=1200)
+    assert len(set(model.langs)) == 600
+    got = {r.id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert np.mean([got[i] == lang for i, _, lang in rows]) > 0.97
+    one = spark.createDataFrame([(1, "same text", "en")] * 3000 + [(2, "otro texto", "es")], "doc_id long, text string, lang string")
+    picked, each = language.sample(one, "doc_id", "text", "lang", 100)
+    assert each == 50 and picked.count() == 2  # repeated rows teach once
+
+
+def test_language_prediction_equals_brute_force(spark):
+    """Cosines by plain loops over n-grams of the texts, against every centroid."""
+    rows = [r for r in language_rows(60)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate((r[1], r[2]) for r in rows)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    got = {r.id: (r.lang_pred, r.score) for r in language.identify(docs, model).collect()}
+    for i, (t, _) in enumerate((r[1], r[2]) for r in rows):
+        counts = language.ngram_counts([t or ""], len(model.idf))[0].tolist()
+        weights = [math.log1p(c) * float(w) for c, w in zip(counts, model.idf)]
+        norm = math.sqrt(sum(w * w for w in weights))
+        if not norm:
+            assert got[i] == ("und", 0.0)
+            continue
+        best = max(((sum(w * float(c) for w, c in zip(weights, centre)) / norm, -k) for k, centre in enumerate(model.centres)))
+        assert got[i][0] == model.langs[-best[1]] and got[i][1] == pytest.approx(best[0], abs=1e-4)
+
+
 def test_language_rejects_what_is_far_and_survives_nothing(spark):
     docs = spark.createDataFrame(language_rows(), DOCS)
     model = language.fit(docs)
@@ -602,12 +722,39 @@ def quality_rows(n=600):
     return rows + [(n, None, None, None, None, None, None, None), (None, "", "en", "s", 0, 1, "x", 1)], labels + labels[:3] + [(None, 1), (3, None)]
 
 
+class PlainPool:
+    """The pool as a list of (hash, features)."""
+
+    def __init__(self, rows):
+        self.of = dict(rows)
+
+    def sure_of(self, model, sure, most, used):
+        out = {}
+        for view in (0, 1):
+            for label in (0, 1):
+                found = []
+                for h, x in self.of.items():
+                    z = model.logits(x[None])[view][0]
+                    p = 1 / (1 + math.exp(-z))
+                    if h not in used and (p >= sure if label else p <= 1 - sure):
+                        found.append(h)
+                out[view, label] = sorted(found)[: most[label]]
+        return out
+
+    def rows(self, hashes):
+        return {h: self.of[h] for h in hashes}
+
+
+def plain_features(text, source, lang, n):
+    x = np.hstack([quality.text_features([text or ""]), quality.meta_features([text or ""], [source], [lang], [n])])[0]
+    return int(np.array([xxhash.xxh64_intdigest(x.tobytes())], np.uint64).view(np.int64)[0]), x
+
+
 def test_quality(spark):
     rows, labels = quality_rows()
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
     known = spark.createDataFrame(labels, "doc_id long, quality int")
-    model = quality.fit(docs, known)
-    got = quality.score_quality(docs, model).collect()
+    got = quality.score_quality(docs, known).collect()
     assert len(got) == len(rows) and got[0].hits in ("x", None)
     wrong = [r for r in got if r.doc_id is not None and r.doc_id < 600 and r.keep == (r.doc_id % 5 == 0)]
     assert len(wrong) <= 12
@@ -615,13 +762,44 @@ def test_quality(spark):
     assert all(0 <= x <= 1 for r in got for x in (r.text_score, r.meta_score, r.score))
 
 
+def test_quality_equals_brute_force_and_both_views_hand_over(spark):
+    rows, labels = quality_rows()
+    made = quality.features(spark.createDataFrame(rows, DOCS).repartition(4))
+    model = quality.fit(made, spark.createDataFrame(labels, "doc_id long, quality int"), hand_over=60)
+    plain = [(r[0], *plain_features(r[1], r[3], r[2], r[4])) for r in rows]
+    classes = {i: float(np.mean([q for j, q in labels if j == i and q is not None]) >= 0.5) for i, q in labels if i is not None and q is not None}
+    order = sorted((p for p in plain if p[0] in classes), key=lambda p: (xxhash.xxh64_intdigest(str(p[0])), p[1]))
+    x, y = np.stack([p[2] for p in order]), np.array([classes[p[0]] for p in order])
+    want = quality.co_train(x, y, {p[1] for p in order}, PlainPool([p[1:] for p in plain]), 3, 60, 0.9, 10.0)
+    assert model.report == want.report and model.threshold == pytest.approx(want.threshold, abs=1e-6)
+    handed = {key for r in model.report for key, n in r.get("handed", {}).items() if n}
+    assert {view for view, _ in handed} == {0, 1}  # either view teaches the other
+    scores = sorted(zip((p[0] if p[0] is not None else -1 for p in plain), want.score(np.stack([p[2] for p in plain]))[2].tolist()))
+    got = sorted((r.id if r.id is not None else -1, r.score) for r in quality.judge(made, model).collect())
+    assert [i for i, _ in got] == [i for i, _ in scores]
+    assert [s for _, s in got] == pytest.approx([s for _, s in scores], abs=1e-5)
+
+
 def test_quality_without_labels(spark):
     rows, labels = quality_rows(20)
     docs = spark.createDataFrame(rows, DOCS)
     for known in ([], [(i, 1) for i in range(20)]):
-        model = quality.fit(docs, spark.createDataFrame(known, "doc_id long, quality int"))
-        assert quality.score_quality(docs, model).where("not keep").count() == 0
-    assert quality.score_quality(empty(spark), quality.QualityModel()).count() == 0
+        assert quality.score_quality(docs, spark.createDataFrame(known, "doc_id long, quality int")).where("not keep").count() == 0
+    some = spark.createDataFrame(labels, "doc_id long, quality int")
+    assert quality.score_quality(empty(spark), some).count() == 0
+
+
+def test_quality_clashing_columns_repeated_ids_and_long_words(spark):
+    rows, labels = quality_rows(200)
+    rows = rows + [(4, f"w1 w2 {k}", "en", "s", 9, 1, "x", 1) for k in range(300)] + [(900, "w" * 200_000 + "!!", "en", "s", 9, 1, "x", 1)] * 2
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "lang", "source", "n_chars", "hits as Keep", "block as SCORE", "id as c0", "hits as h", "hits as x")
+    out = quality.score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "c0", "h", "x", *quality.OUT]
+    got = out.collect()
+    assert len(got) == len(rows) and {r.h for r in got} == {"x", None}
+    assert len({r.score for r in got if r.doc_id == 900}) == 1
+    # the whole word counts: its end, too
+    assert (quality.text_features(["w" * 100 + "!!"]) != quality.text_features(["w" * 100])).any()
 
 
 # 1 scoring
