@@ -9,44 +9,57 @@ Stages, each stored as Parquet and read again by the next:
 4. decontaminate: documents with a twentieth of their words in benchmark passages go; from others such passages are cut out.
 5. packing: pieces of documents in sequences of at most 2048 tokens.
 
-All but the last return the columns they were given; text and n_chars follow the cuts.
+All but the last return the columns they were given, whatever further ones are called; text and n_chars follow the cuts. Null and empty texts stay until the last stage packs their end ids; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, near_copies, packing, quality, substring
 from quillspark.llm.common import stored, table
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, model).where("keep").select(docs.columns)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ... but for those that a stage looks at, so that none clashes with an operator's; and what each was called."""
+    looked_at = {"doc_id", "text", "source", "lang", "n_chars"}
+    names = {c if c in looked_at else f"c{k}": c for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names), names
 
 
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_copies.near_copies(docs)
-    copies = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+def _renamed(df: DataFrame, names: dict[str, str], **changed: Column) -> DataFrame:
+    return df.select(*[changed.get(c, F.col(c)).alias(name) for c, name in names.items()])
+
+
+def _with_text(df: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
+    return _renamed(df, names, text=F.col(text), n_chars=F.coalesce(F.length(text), F.lit(0)).cast("long"))
 
 
-def _with_text(docs: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    kept = {"text": F.col(text), "n_chars": F.coalesce(F.length(text), F.lit(0)).cast("long")}
-    return docs.select(*[kept[c].alias(c) if c in kept else F.col(c) for c in columns])
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own, names = _numbered(docs)
+    return _renamed(quality.score_quality(own, table(spark, sf_dir, "labels")).where("keep"), names)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    own, names = _numbered(docs)
+    found = near_copies.near_copies(own)
+    copies = stored(found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct(), "copies")
+    return _renamed(own.join(near_copies.few(copies), "doc_id", "left_anti"), names)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring.dedup_substrings(docs)
-    return _with_text(cut.where("n_removed = 0 or n_removed < n_words"), "kept_text", docs.columns)
+    own, names = _numbered(docs)
+    cut = substring.dedup_substrings(own)
+    return _with_text(cut.where("n_removed = 0 or n_removed < n_words"), "kept_text", names)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), cleaned=True)
-    return _with_text(hits.where("not contaminated"), "clean_text", docs.columns)
+    own, names = _numbered(docs)
+    hits = decontaminate.find_hits(own, table(spark, sf_dir, "benchmark"), cleaned=True)
+    return _with_text(hits.where("not contaminated"), "clean_text", names)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
