@@ -1,4 +1,4 @@
-"""Scalar functions for SQL text. They are SQL expressions that Catalyst inlines, not Python."""
+"""Scalar and table functions for SQL text. They are SQL expressions that Catalyst inlines, not Python."""
 
 from __future__ import annotations
 
@@ -34,8 +34,30 @@ FUNCTIONS = {
 }
 
 
+#: Table functions, for FROM and LATERAL.
+TABLES = {
+    "quill_paragraphs": (
+        "t STRING",
+        "paragraph_index BIGINT, text STRING",
+        "SELECT pos + 1, p FROM (SELECT posexplode(filter(transform(split(t, '\\n'), x -> btrim(x)), x -> x <> '')) AS (pos, p))",
+    ),
+    "quill_ngrams": (
+        "t STRING, n INT",
+        "position BIGINT, ngram STRING",
+        "SELECT i, substring(t, i, n) FROM (SELECT explode(CASE WHEN length(t) >= n AND n > 0 THEN sequence(1, length(t) - n + 1) ELSE array() END) AS i)",
+    ),
+    "quill_windows": (
+        "items ARRAY<STRING>, width INT, step INT",
+        "window_index BIGINT, items ARRAY<STRING>",
+        "SELECT (i - 1) DIV step + 1, slice(items, i, width) FROM (SELECT explode(CASE WHEN size(items) > 0 THEN sequence(1, size(items), step) ELSE array() END) AS i)",
+    ),
+}
+
+
 def register(spark: SparkSession) -> list[str]:
     """Makes the functions known to this session; returns their names."""
     for name, (arguments, result, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
-    return list(FUNCTIONS)
+    for name, (arguments, columns, body) in TABLES.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS TABLE({columns}) RETURN {body}")
+    return [*FUNCTIONS, *TABLES]

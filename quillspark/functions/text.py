@@ -21,6 +21,8 @@ ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&qu
 CJK = r"[\x{4e00}-\x{9fff}]"
 
 SPACES = r"(?U)\s+"
+#: All characters of Unicode's White_Space, those that SPACES matches.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c: Column | str) -> Column:
@@ -32,7 +34,7 @@ def any_of(conditions) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def normalize_text(c: Column | str) -> Column:
@@ -157,8 +159,8 @@ def word_runs(c: Column | str) -> Column:
 
 def candidate_names(c: Column | str, most: int = 5) -> Column:
     """First distinct words of one capital and two small ASCII letters or more, without common openers."""
-    names = F.filter(word_runs(c), lambda x: x.rlike("^[A-Z][a-z]{2,}$") & ~x.isin(*NAME_STOPWORDS))
-    return F.slice(F.array_distinct(names), 1, most)
+    names = F.regexp_extract_all(col(c), F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]{2,}(?![\p{L}\p{N}_])"), F.lit(0))
+    return F.slice(F.array_except(names, F.array(*map(F.lit, NAME_STOPWORDS))), 1, most)  # distinct, in order of appearance
 
 
 def surface_names(c: Column | str, most: int = 8) -> Column:

@@ -75,3 +75,82 @@ def history(turns: DataFrame, last: int) -> DataFrame:
     """The last turns of each conversation, in order."""
     back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
     return turns.withColumn("back", back.cast("long")).where(F.col("back") <= last)
+
+
+def question_branches(questions: DataFrame, contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """questions (keys, safe), contexts (keys, ...): what was retrieved for each -> (keys, branch, reason, n_contexts, confidence): a question for what is to come is refused whatever was found, with
+    confidence 1; one for which nothing visible was found is told so, with 0; the others are answered, their confidence following from their claims."""
+    n = contexts.groupBy(*keys).agg(F.count("*").alias("n_contexts"))
+    rows = questions.join(n, keys, "left").withColumn("n_contexts", F.coalesce("n_contexts", F.lit(0)))
+    bare = F.col("n_contexts") == 0
+    return rows.select(
+        *keys,
+        F.when(~F.col("safe"), "spoiler_refusal").when(bare, "no_context").otherwise("answer").alias("branch"),
+        F.when(~F.col("safe"), "question_requests_future_plot").when(bare, "no_visible_context").otherwise("ok").alias("reason"),
+        "n_contexts",
+        F.when(~F.col("safe"), 1.0).when(bare, 0.0).alias("confidence"),
+    )
+
+
+def retrieve(questions: DataFrame, chunks: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """questions (keys, doc_id, question), chunks (doc_id, paragraph_index, text) -> (keys, paragraph_index, score, rank): the question's words (repeats count) that a chunk has, over the root of its number of words.
+
+    Words meet in an equi-join within their book; a chunk's words are counted once, however many questions there are."""
+    asked = questions.select(*keys, "doc_id", F.explode(T.tokens("question")).alias("word")).groupBy(*keys, "doc_id", "word").agg(F.count("*").alias("times"))
+    words = chunks.select("doc_id", "paragraph_index", T.tokens("text").alias("ws"))
+    words = words.select("doc_id", "paragraph_index", F.size("ws").alias("n"), F.explode(F.array_distinct("ws")).alias("word"))
+    hits = asked.join(words, ["doc_id", "word"]).groupBy(*keys, "paragraph_index", "n").agg(F.sum("times").alias("hits"))
+    scored = hits.withColumn("score", T.round4(F.col("hits") / F.sqrt("n"))).where("score > 0")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "paragraph_index")).cast("long")
+    return scored.select(*keys, "paragraph_index", "score", rank.alias("rank")).where(F.col("rank") <= most)
+
+
+def summary_inputs(chunks: DataFrame, facts: DataFrame, most_chunks: int = 8, most_facts: int = 8, most: int = 12) -> DataFrame:
+    """chunks (doc_id, chapter_index, paragraph_index, text), facts (doc_id, chapter_index, rank, source, relation_type, target, fact), the latter of the recent window alone -> (doc_id, chapter_index,
+    place, kind, text): a chapter's first chunks that aren't blank, then its best facts, ``most`` in all."""
+    bare = chunks.withColumn("text", T.strip("text")).where("text <> ''")
+    k = F.row_number().over(Window.partitionBy("doc_id", "chapter_index").orderBy("paragraph_index"))
+    first = bare.withColumn("k", k).where(F.col("k") <= most_chunks).select("doc_id", "chapter_index", F.lit(0).alias("part"), "k", F.lit("chunk").alias("kind"), "text")
+    line = F.concat(F.lit("事实："), "source", F.lit(" --["), "relation_type", F.lit("]--> "), "target", F.lit("："), "fact")
+    k = F.row_number().over(Window.partitionBy("doc_id", "chapter_index").orderBy("rank"))
+    told = facts.withColumn("k", k).where(F.col("k") <= most_facts).select("doc_id", "chapter_index", F.lit(1).alias("part"), "k", F.lit("fact").alias("kind"), line.alias("text"))
+    told = told.join(first.select("doc_id", "chapter_index").distinct(), ["doc_id", "chapter_index"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", "chapter_index").orderBy("part", "k")).cast("long")
+    return first.unionByName(told).withColumn("place", place).where(F.col("place") <= most).select("doc_id", "chapter_index", "place", "kind", "text")
+
+
+# Kinds of remarks and of emphasis.
+BUBBLE_TYPES = ("detail", "emotion", "relation", "theme", "question", "character_inner_voice")
+EMPHASES = ("theme", "emotion", "relation", "foreshadow", "detail")
+NO_LABEL = "细读"
+
+
+def inline_bubbles(items: DataFrame, chunks: DataFrame, asked: int = 5) -> DataFrame:
+    """items (doc_id, i, chunk_id, anchor_text, label, comment, emphasis, bubble_type) as a model gave them, chunks (doc_id, ord, chunk_id, text) that are visible -> (doc_id, bubble_id, chunk_id,
+    anchor_text, label, comment, emphasis, bubble_type, trigger_reason).
+
+    Of a book's items the first five count if one chunk is visible, else three (at most ``asked``), whether or not they turn out to be good. An id may lack its beginning: the first chunk that ends with it
+    is meant. The anchor must stand in that chunk and the comment must say something."""
+    trimmed = lambda c, n=None: T.strip(F.coalesce(c, F.lit(""))) if n is None else F.substring(T.strip(F.coalesce(c, F.lit(""))), 1, n)
+    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n_visible"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("i")).cast("long")
+    cap = F.greatest(F.lit(1), F.least(F.lit(asked), F.when(F.col("n_visible") == 1, 5).otherwise(3)))
+    kept = items.join(sizes, "doc_id").withColumn("place", place).where(F.col("place") <= cap).withColumn("asked_id", trimmed(F.col("chunk_id"))).drop("chunk_id")
+    # of a book's visible chunks the one meant: by its whole id, else the first that ends so
+    near = kept.where("asked_id <> ''").select("doc_id", "place", "asked_id").join(chunks, "doc_id").where(F.endswith("chunk_id", "asked_id"))
+    meant = near.groupBy("doc_id", "place").agg(F.min(F.struct((F.col("chunk_id") != F.col("asked_id")).alias("other"), "ord", "text")).alias("m"))
+    rows = kept.join(meant, ["doc_id", "place"])
+    anchor, comment, kind, emphasis = trimmed(F.col("anchor_text")), trimmed(F.col("comment"), 60), trimmed(F.col("bubble_type")), trimmed(F.coalesce("emphasis", F.lit("detail")))
+    kind = F.when(F.col("bubble_type").isNull(), emphasis).otherwise(kind)
+    good = rows.where((anchor != "") & F.contains("m.text", anchor) & (comment != ""))
+    return good.select(
+        "doc_id",
+        F.concat(F.lit("bubble-"), "asked_id", F.lit("-"), F.col("place").cast("string")).alias("bubble_id"),
+        F.col("asked_id").alias("chunk_id"),
+        anchor.alias("anchor_text"),
+        F.coalesce(F.nullif(trimmed(F.col("label"), 8), F.lit("")), F.lit(NO_LABEL)).alias("label"),
+        comment.alias("comment"),
+        F.when(emphasis.isin(*EMPHASES), emphasis).otherwise("detail").alias("emphasis"),
+        F.when(kind.isin(*BUBBLE_TYPES), kind).otherwise("detail").alias("bubble_type"),
+        F.when(F.col("n_visible") == 1, "selected-passage").otherwise("page-salience-policy").alias("trigger_reason"),
+    )

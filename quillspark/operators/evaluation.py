@@ -86,10 +86,20 @@ def patched(rows: DataFrame, key: str, dropped: DataFrame, edits: DataFrame, col
     return kept.join(edits.select(key, F.col(column).alias("edit")), key, "left").withColumn(column, F.coalesce("edit", column)).drop("edit")
 
 
-def verify_evidence(docs: DataFrame, items: DataFrame, most: int = 2000) -> DataFrame:
-    """docs (doc_id, bare), items (item_id, needle) -> (item_id, n_docs) of needles that occur. Up to ``most`` needles, counted, are looked for
+# Fixed value: what ends a sentence of a passage that is cut out.
+SENTENCE_ENDS = "。！？”』」"
+
+
+def normalized(c: Column | str) -> Column:
+    """Letters and digits of any script alone, so that marks and quotes make no difference."""
+    return F.regexp_replace(T.col(c), r"[^\p{L}\p{N}]", "")
+
+
+def verify_evidence(docs: DataFrame, items: DataFrame, most: int = 2000, least: int = 0) -> DataFrame:
+    """docs (doc_id, bare), items (item_id, needle) -> (item_id, n_docs) of needles of at least ``least`` characters that occur. Up to ``most`` needles, counted, are looked for
     in each document as it is read; more of them meet the documents' grams of eight characters (of a shorter needle: of its length) in an equi-join
-    first. On both ways an empty needle occurs in every document that has a text, null in none."""
+    first, whose rows hold no text; texts are joined back for the pairs that met. On both ways an empty needle occurs in every document that has a text, null in none."""
+    items = items.where(F.length("needle") >= least) if least else items
     few = items.limit(most + 1).collect()
     if len(few) <= most:
         listed = F.array(*[F.struct(F.lit(r["item_id"]).cast("long").alias("item_id"), F.lit(r["needle"]).alias("needle")) for r in few])
@@ -103,6 +113,66 @@ def verify_evidence(docs: DataFrame, items: DataFrame, most: int = 2000) -> Data
         return F.transform(starts, lambda i: F.substring(F.col("bare"), i, F.lit(n)))
 
     found = F.array_distinct(F.concat(F.array().cast("array<string>"), *[grams(n) for n in sizes]))
-    keyed = docs.select("doc_id", "bare", F.explode(found).alias("key"))
-    met = keyed.join(items.withColumn("key", F.substring("needle", 1, 8)), "key").where(F.contains("bare", "needle"))
-    return met.groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+    keyed = docs.select("doc_id", F.explode(found).alias("key"))
+    met = keyed.join(items.withColumn("key", F.substring("needle", 1, 8)), "key").select("doc_id", "item_id", "needle")
+    return met.join(docs, "doc_id").where(F.contains("bare", "needle")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
+def anti_spoiler_met(expected: Column, safe: Column, reason: Column, answer: Column) -> Column:
+    """Whether a response is what the sample expects: a refusal for that reason, or an answer that says something; anything else is not met."""
+    says = T.strip(F.coalesce(answer, F.lit(""))) != ""
+    return (
+        F.when(expected == "refuse_future_plot", ~safe & (reason == "question_requests_future_plot"))
+        .when(expected.isin("answer_within_boundary", "acknowledge_uncertainty", "reflect_on_known_text_only"), safe & says)
+        .otherwise(False)
+    )
+
+
+def dissociation(means: DataFrame, key: str) -> DataFrame:
+    """means (key, axis: thinking or style, neutral, style_only, thinking_only, full) -> the verdict of each key: does each axis rise with its own factor, and is it flat on the
+    other one (a swing of under half that on its own)? ``flat`` is null where a mean is missing."""
+
+    def rises(axis: str, own: str) -> Column:
+        at = lambda c: F.col(f"{axis}_{c}")
+        return F.coalesce((at("full") > at("neutral")) & (at(own) > at("neutral")), F.lit(False))
+
+    def flat(axis: str, own: str, other: str) -> Column:
+        at = lambda c: F.col(f"{axis}_{c}")
+        return F.abs(at(other) - at("neutral")) < F.abs(at(own) - at("neutral")) / 2 + 1e-9
+
+    conditions = ("neutral", "style_only", "thinking_only", "full")
+    wide = means.groupBy(key).agg(*[F.max(F.when(F.col("axis") == a, F.col(c))).alias(f"{a}_{c}") for a in ("thinking", "style") for c in conditions])
+    out = wide.select(
+        key,
+        rises("style", "style_only").alias("style_tracks_style"),
+        flat("style", "style_only", "thinking_only").alias("style_flat_on_thinking"),
+        rises("thinking", "thinking_only").alias("thinking_tracks_thinking"),
+        flat("thinking", "full", "style_only").alias("thinking_flat_on_style"),
+    )
+    holds = F.col("style_tracks_style") & F.col("thinking_tracks_thinking") & F.col("style_flat_on_thinking") & F.col("thinking_flat_on_style")
+    return out.withColumn("double_dissociation", F.coalesce(holds, F.lit(False)))
+
+
+def anchor_at(anchor: Column, text: Column) -> Column:
+    """Where (from 0) an anchor stands in a text, as it is or else by its letters and digits (five at least); -1 where it doesn't."""
+    exact = F.instr(text, anchor) - 1
+    bare = normalized(anchor)
+    among = F.instr(normalized(text), bare) - 1
+    # the shortest beginning of the text with one more letter than stand before the anchor ends with its first one
+    pattern = F.concat(F.lit(r"^(?:[^\p{L}\p{N}]*[\p{L}\p{N}]){"), F.greatest(among + 1, F.lit(1)).cast("string"), F.lit("}"))
+    reach = F.length(F.call_function("regexp_extract", text, pattern, F.lit(0))) - 1
+    return F.when((anchor != "") & (exact >= 0), exact).when((F.length(bare) >= 5) & (among >= 0), reach).otherwise(-1)
+
+
+def setup_start(text: Column, at: Column, back: int = 260) -> Column:
+    """Where the sentences before a place begin: about ``back`` characters before it, after the first sentence end or line end from there on."""
+    low = F.greatest(F.lit(0), at - back)
+    first = F.regexp_instr(F.substring(text, low + 1, at - low), F.lit(f"[{SENTENCE_ENDS}\n]"))
+    return F.when(low == 0, 0).when(first > 0, low + first).otherwise(low)
+
+
+def passage_end(text: Column, at: Column, want: int = 220, more: int = 80) -> Column:
+    """Where a passage from a place ends: at the first sentence end ``want`` characters on, ``more`` beyond that at most."""
+    high = F.least(F.length(text), at + want)
+    nxt = F.regexp_instr(F.substring(text, high + 1, F.length(text)), F.lit(f"[{SENTENCE_ENDS}]"))
+    return F.least(F.when(nxt > 0, high + nxt).otherwise(F.length(text)), at + want + more)

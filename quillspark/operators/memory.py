@@ -30,29 +30,129 @@ def theme_terms(texts: DataFrame, most: int = 12) -> DataFrame:
     return g.select("doc_id", "term", "n", rank.alias("rank")).where(F.col("rank") <= most)
 
 
-def chapter_memories(chunks: DataFrame, entities: DataFrame, most_chunks: int = 8, most_entities: int = 18) -> DataFrame:
-    """(doc_id, chapter_index, text, entities): the chapter's first chunks, and the most mentioned entities whose lifespan covers it.
-    Lifespans expand to their chapters, so that the range join is an equi-join."""
-    first = chunks.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "chapter_index").orderBy("paragraph_index"))).where(F.col("k") <= most_chunks)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_index", "text"))), lambda x: x["text"]), " ")
-    heads = first.groupBy("doc_id", "chapter_index").agg(T.clip(text, 400, "…").alias("text"))
-    alive = entities.select("doc_id", "slug", "mention_count", F.explode(F.sequence("first_chapter", "last_chapter")).alias("chapter_index"))
-    rank = F.row_number().over(Window.partitionBy("doc_id", "chapter_index").orderBy(F.desc("mention_count"), "slug"))
-    listed = alive.withColumn("rank", rank).where(F.col("rank") <= most_entities).groupBy("doc_id", "chapter_index").agg(F.array_sort(F.collect_list(F.struct("rank", "slug"))).alias("es"))
-    return heads.join(listed, ["doc_id", "chapter_index"], "left").select("doc_id", "chapter_index", "text", F.coalesce(F.array_join(F.transform("es", lambda x: x["slug"]), ","), F.lit("")).alias("entities"))
+def salience(text: Column, markers: list[str]) -> Column:
+    """0.15 for each marker that a text has, and for its length up to 0.4."""
+    n = sum((F.contains(text, F.lit(m)).cast("int") for m in markers), F.lit(0))
+    return T.round3(F.least(F.lit(1.0), 0.15 * n + F.least(F.length(text) / 800, F.lit(0.4))))
+
+
+def layered_memories(chunks: DataFrame, mentions: DataFrame, entities: DataFrame, edges: DataFrame, themes: DataFrame, theme_texts: DataFrame, markers: list[str]) -> DataFrame:
+    """(doc_id, memory_id, memory_type, title, summary, chapter_index, paragraph_index, entity_ids, relation_ids, evidence, salience) of four layers: episodes (chunks), chapters, arcs of
+    characters and arcs of themes.
+
+    chunks (doc_id, chapter_index, paragraph_index, text), mentions (doc_id, paragraph_index, ord, slug), entities (doc_id, slug, name, type, mention_count, first_chapter, last_chapter, last_paragraph),
+    edges (doc_id, source, target, valid_at), themes (doc_id, term, n, rank), theme_texts (doc_id, paragraph_index, text): where terms are looked for. A chapter lists the first 18 ids, by name, of those whose
+    lifespan covers it; lifespans expand to chapters, so that the range join is an equi-join."""
+    none = F.array().cast("array<string>")
+    sal = chunks.withColumn("salience", salience(F.col("text"), markers))
+    of_chunk = mentions.groupBy("doc_id", "paragraph_index").agg(F.array_sort(F.collect_set("slug")).alias("entity_ids"))
+    rel_of = edges.groupBy("doc_id", F.col("valid_at").alias("paragraph_index")).agg(F.array_sort(F.collect_set(F.concat_ws("|", "source", "target"))).alias("relation_ids"))
+
+    def out(df: DataFrame, kind: str, memory_id: Column, title: Column, summary: Column, paragraph: Column, entity_ids: Column, relation_ids: Column, evidence: Column, value: Column) -> DataFrame:
+        return df.select(
+            "doc_id", memory_id.alias("memory_id"), F.lit(kind).alias("memory_type"), title.alias("title"), summary.alias("summary"), F.col("chapter_index").cast("long").alias("chapter_index"),
+            paragraph.cast("long").alias("paragraph_index"), entity_ids.alias("entity_ids"), relation_ids.alias("relation_ids"), evidence.alias("evidence"), value.alias("salience"),
+        )
+
+    p = F.col("paragraph_index").cast("string")
+    seen = sal.join(of_chunk, ["doc_id", "paragraph_index"], "left").join(rel_of, ["doc_id", "paragraph_index"], "left")
+    title = F.concat(F.lit("Chapter "), F.col("chapter_index").cast("string"), F.lit(" paragraph "), p)
+    episode = out(seen, "episode", F.concat(F.lit("episode::"), p), title, T.clip("text", 220, "…"), F.col("paragraph_index"), F.coalesce("entity_ids", none), F.coalesce("relation_ids", none), F.array(p), F.col("salience"))
+
+    k = F.row_number().over(Window.partitionBy("doc_id", "chapter_index").orderBy("paragraph_index"))
+    heads = sal.withColumn("k", k)
+    xs = F.array_sort(F.collect_list(F.when(F.col("k") <= 8, F.struct("paragraph_index", "text"))))
+    chapters = heads.groupBy("doc_id", "chapter_index").agg(xs.alias("xs"), F.max("salience").alias("salience"))
+    alive = entities.select("doc_id", "slug", F.explode(F.sequence("first_chapter", "last_chapter")).alias("chapter_index"))
+    listed = alive.groupBy("doc_id", "chapter_index").agg(F.slice(F.array_sort(F.collect_set("slug")), 1, 18).alias("entity_ids"))
+    chapters = chapters.join(listed, ["doc_id", "chapter_index"], "left")
+    name = F.lpad(F.col("chapter_index").cast("string"), 3, "0")
+    text = F.array_join(F.transform("xs", lambda x: x["text"]), " ")
+    at = F.transform("xs", lambda x: x["paragraph_index"].cast("string"))
+    chapter = out(chapters, "chapter", F.concat(F.lit("chapter::"), name), F.concat(F.lit("Chapter "), F.col("chapter_index").cast("string")), T.clip(text, 360, "…"), F.lit(None), F.coalesce("entity_ids", none), none, at, F.col("salience"))
+
+    first_ten = F.slice(F.array_sort(F.collect_list(F.struct("paragraph_index", "ord"))), 1, 10)
+    places = mentions.groupBy("doc_id", "slug").agg(first_ten.alias("xs"))
+    arcs = entities.where("type = 'character'").join(places, ["doc_id", "slug"]).withColumn("chapter_index", F.col("last_chapter"))
+    appears = F.concat("name", F.lit(" appears from chapter "), F.col("first_chapter").cast("string"), F.lit("."))
+    value = T.round3(F.least(F.lit(1.0), 0.25 + F.col("mention_count") / 20))
+    character = out(arcs, "character_arc", F.concat(F.lit("character::"), "slug"), F.col("name"), appears, F.col("last_paragraph"), F.array("slug"), none, at, value)
+
+    top = themes.where("rank <= 8")
+    has = top.join(theme_texts.select("doc_id", "paragraph_index", F.col("text").alias("t")), "doc_id").where(F.contains("t", "term"))
+    has = has.groupBy("doc_id", "term", "n").agg(F.slice(F.array_sort(F.collect_list("paragraph_index")), 1, 8).alias("ps")).withColumn("chapter_index", F.lit(1))
+    line = F.concat(F.lit("主题词“"), "term", F.lit("”在当前文本中出现 "), F.col("n").cast("string"), F.lit(" 次，可作为阅读线索。"))
+    theme = out(has, "theme_arc", F.concat(F.lit("theme::"), "term"), F.col("term"), line, F.lit(None), none, none, F.transform("ps", lambda x: x.cast("string")), T.round3(F.least(F.lit(1.0), F.col("n") / 20)))
+    return episode.unionByName(chapter).unionByName(character).unionByName(theme)
+
+
+# Why an index may be less than ready.
+NO_GRAPH = "graph_missing"
+NO_EMBEDDING = "embedding runtime is not configured"
+NO_ENDPOINT = "configured LLM provider/model does not expose an embeddings endpoint; using keyword and graph retrieval"
+NO_ENTITIES = "graph has no resolved entities; rebuild with graph extractor credentials for full memory quality"
+
+
+def index_status(books: DataFrame) -> DataFrame:
+    """books (doc_id, has_graph, n_entities, embedding: none, no_endpoint, ready, or failed: and a message) -> (doc_id, status, reasons): all that is amiss, in order, each reason once."""
+    e = F.col("embedding")
+    reasons = F.array_distinct(F.array_compact(F.array(
+        F.when(~F.col("has_graph"), NO_GRAPH),
+        F.when(e == "none", NO_EMBEDDING).when(e == "no_endpoint", NO_ENDPOINT).when(F.startswith(e, F.lit("failed: ")), F.concat(F.lit("embedding API failed: "), F.substring(e, F.lit(9), F.length(e)))),
+        F.when(~F.col("has_graph") | (F.coalesce("n_entities", F.lit(0)) == 0), NO_ENTITIES),
+    )))
+    return books.select("doc_id", F.when(F.size(reasons) > 0, "degraded").otherwise("ready").alias("status"), reasons.alias("reasons"))
+
+
+def memory_map(entities: DataFrame, edges: DataFrame, memories: DataFrame, scope: str, chapter: int, paragraph: int = 0, seeds: DataFrame | None = None, limit: int = 18) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, cards) of each book for a scope: chapter, passage, book, or character with ``seeds`` (doc_id, slug), one a book.
+
+    entities (doc_id, slug, mention_count, first_chapter, first_paragraph, last_chapter), edges (doc_id, source, target, weight, valid_chapter, valid_paragraph), memories as layered_memories() makes
+    them. Nodes by mentions, edges by weight, cards by salience, ties by name."""
+    order = [F.desc("mention_count"), F.col("slug")]
+    seen = edges.where(F.col("valid_chapter") <= chapter)
+
+    def best(df: DataFrame, by: list[Column], most: int) -> DataFrame:
+        return df.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*by)).cast("long")).where(F.col("place") <= most)
+
+    if scope == "character":
+        around = seen.join(seeds.withColumnRenamed("slug", "seed"), "doc_id").where("source = seed or target = seed")
+        near = around.select("doc_id", F.explode(F.array("source", "target")).alias("slug"), "seed").where("slug <> seed").select("doc_id", "slug").distinct()
+        near = best(near.join(entities, ["doc_id", "slug"]), order, max(limit - 1, 0)).drop("place")
+        nodes = near.unionByName(entities.join(seeds, ["doc_id", "slug"], "left_semi").select(*near.columns))
+    else:
+        pool = entities.where(F.col("first_chapter") <= chapter)
+        if scope == "passage" and paragraph:
+            pool = pool.where((F.col("first_chapter") < chapter) | (F.col("first_paragraph") <= paragraph))
+        elif scope == "chapter":
+            pool = pool.where(F.col("last_chapter") >= chapter)
+        nodes = best(pool, order, limit).drop("place")
+    shown = seen.where((F.col("valid_chapter") < chapter) | (F.col("valid_paragraph") <= paragraph)) if paragraph else seen
+    links = best(induced(nodes, shown), [F.desc("weight"), F.col("source"), F.col("target")], max(limit + 6, 12))
+    cards = memories if scope == "character" else memories.where(F.col("chapter_index") <= chapter)
+    if seeds is not None:
+        cards = cards.join(seeds, "doc_id").where(F.array_contains("entity_ids", F.col("slug"))).drop("slug")
+    kinds = {"chapter": ("chapter", "theme_arc", "character_arc"), "passage": ("episode", "chapter")}.get(scope)
+    cards = cards.where(F.col("memory_type").isin(*kinds)) if kinds else cards
+    return best(nodes, order, limit), links, best(cards, [F.desc("salience"), F.col("memory_id")], 8)
 
 
 def frequent_ngrams(texts: DataFrame) -> DataFrame:
     """(doc_id, token, weight): 2- to 4-grams of CJK runs without blocked characters, weight 1 + 0.18 for each character beyond two; Latin
-    words of three letters or more, in small letters, weight 1."""
-    runs = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(CJK_RUN + "{2,80}"), F.lit(0))).alias("run"))
-    sized = runs.select("doc_id", "run", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("n")).where(F.length("run") >= F.col("n"))
-    starts = F.sequence(F.lit(1), F.length("run") - F.col("n") + 1)
-    grams = sized.select("doc_id", F.explode(F.transform(starts, lambda i: F.substring(F.col("run"), i, F.col("n")))).alias("token"), (1 + (F.col("n") - 2) * 0.18).alias("weight"))
-    grams = grams.where(~F.col("token").rlike(f"[{BLOCKED_CHARS}]"))
-    latin = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0)), F.lower)
-    words = texts.select("doc_id", F.explode(latin).alias("token"), F.lit(1.0).alias("weight"))
-    return grams.unionByName(words).groupBy("doc_id", "token").agg(F.sum("weight").alias("weight"))
+    words of three letters or more, in small letters, weight 1. Runs are cut at 80 characters.
+
+    One scan finds both kinds: overlapping n-grams are what a pattern sees ahead of each place, so blocked characters never make an n-gram, and tokens are
+    counted before anything is weighed."""
+    free = rf"[\x{{4e00}}-\x{{9fff}}&&[^{BLOCKED_CHARS}]]"
+    cut = F.when(F.col("text").rlike(CJK_RUN), F.regexp_replace("text", f"({CJK_RUN}{{80}})", "$1 "))  # nothing reaches across a cut
+    grams = [F.regexp_extract_all("cut", F.lit(f"(?=({free}{{{n}}}))"), F.lit(1)) for n in (2, 3, 4)]
+    latin = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0))
+    none = F.array().cast("array<string>")
+    rows = texts.select("doc_id", "text", cut.alias("cut"))
+    tokens = rows.select("doc_id", F.explode(F.concat(*[F.coalesce(x, none) for x in (*grams, latin)])).alias("token"))
+    counts = tokens.groupBy("doc_id", F.lower("token").alias("token")).agg(F.count("*").alias("n"))
+    more = F.when(F.col("token").rlike("^" + CJK_RUN), (F.length("token") - 2) * 0.18).otherwise(0.0)
+    return counts.select("doc_id", "token", (F.col("n") * (1 + more)).alias("weight"))
 
 
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:

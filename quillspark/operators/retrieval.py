@@ -71,12 +71,6 @@ class GraphRetrieval:
         seen = self.episodes.select("doc_id", F.col("paragraph_index").alias("valid_at"))
         self.edges = edges.join(seen, ["doc_id", "valid_at"], "left_semi")
 
-    def close(self) -> None:
-        """Lets go of the kept stages."""
-        for name in ("_support", "_entity_hits"):
-            if name in self.__dict__:
-                self.__dict__.pop(name).unpersist()
-
     def _hit(self, df: DataFrame, kind: str) -> DataFrame:
         return df.select("doc_id", F.lit(kind).alias("hit_type"), "hit_id", "score", "chapter_index", "paragraph_index")
 
@@ -90,10 +84,10 @@ class GraphRetrieval:
 
     @cached_property
     def _support(self) -> DataFrame:
-        return top(self.episode_hits(), self.k, F.desc("score"), F.col("paragraph_index")).persist()
+        return G.shared_table(top(self.episode_hits(), self.k, F.desc("score"), F.col("paragraph_index")), "support")
 
     def support(self) -> DataFrame:
-        """The top k episodes: few rows a book, which four stages build on, so they are kept."""
+        """The top k episodes: few rows a book, which four stages build on, so they are stored."""
         return self._support
 
     def chapter_hits(self) -> DataFrame:
@@ -117,7 +111,7 @@ class GraphRetrieval:
             score = score + F.when(F.col("slug").isin(*self.names), 1.0).otherwise(0.0)
         rows = rows.withColumn("score", T.round4(score)).where("score > 0")
         rows = rows.select("doc_id", F.col("slug").alias("hit_id"), "score", F.col("first_chapter").alias("chapter_index"), F.col("first_paragraph").alias("paragraph_index"))
-        return self._hit(top(rows, 3, F.desc("score"), F.col("hit_id")), "entity").persist()
+        return G.shared_table(self._hit(top(rows, 3, F.desc("score"), F.col("hit_id")), "entity"), "entity_hits")
 
     def _visible_edges(self) -> DataFrame:
         shown = self.entities.select("doc_id", "slug")

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import answers as A
+from quillspark.operators import graph as G
 from quillspark.operators import retrieval as R
-from quillspark.plans.graphs import SPOILER_HINTS
+from quillspark.plans.graphs import SPOILER_HINTS, TE_CTE, slugged, text_edges
 from quillspark.plans.registry import query
 from quillspark.plans.retrieval import RC, TH, retrieval, text_hits
-from quillspark.plans.views import P_CTE, paragraphs, table
+from quillspark.plans.views import P_CTE, paragraphs, sql_strip, table
 
 _R3 = "floor(({}) * 1000 + 0.5) / 1000"
 
@@ -76,17 +77,42 @@ def ans_04(spark, sf_dir):
     return c.withColumn("verdict", A.verdict(F.col("n_unsupported"), F.col("n_claims")))
 
 
-@query("ans_05_question_branches", f"SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '{'|'.join(SPOILER_HINTS)}') THEN 'spoiler_refusal' WHEN length(text) < 40 THEN 'no_context' ELSE 'answer' END AS branch FROM conversations WHERE role = 'user'")
-def ans_05(spark, sf_dir):
-    branch = F.when(F.lower("text").rlike("|".join(SPOILER_HINTS)), "spoiler_refusal").when(F.length("text") < 40, "no_context").otherwise("answer")
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", branch.alias("branch"))
+_TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+_R4 = "floor(({}) * 10000 + 0.5) / 10000"
 
 
-@query("ans_06_summary_inputs", f"WITH {P_CTE}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter_index ORDER BY paragraph_index) AS k FROM p WHERE chapter_index <= 2) SELECT doc_id, chapter_index, count(*) AS n, {_clip('string_agg(text, chr(10) ORDER BY paragraph_index)', 600)} AS input FROM k WHERE k <= 8 GROUP BY 1, 2")
+@query("ans_05_question_branches", f"""WITH {P_CTE}, q AS (SELECT conv_id, turn, conv_id AS doc_id, text, NOT regexp_matches(lower(text), '{'|'.join(SPOILER_HINTS)}') AS safe FROM conversations WHERE role = 'user'),
+qt AS (SELECT conv_id, turn, doc_id, word, count(*) AS times FROM (SELECT conv_id, turn, doc_id, unnest({_TOK.format('text')}) AS word FROM q) GROUP BY ALL),
+ws AS (SELECT doc_id, paragraph_index, {_TOK.format('text')} AS ws FROM p WHERE chapter_index <= 2), w AS (SELECT doc_id, paragraph_index, len(ws) AS n, unnest(list_distinct(ws)) AS word FROM ws),
+h AS (SELECT conv_id, turn, paragraph_index, n, sum(times) AS hits FROM qt JOIN w ON w.doc_id = qt.doc_id AND w.word = qt.word GROUP BY ALL),
+c AS (SELECT conv_id, turn, paragraph_index FROM (SELECT *, {_R4.format('hits / sqrt(n)')} AS score FROM h) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, paragraph_index) <= 5),
+n AS (SELECT conv_id, turn, count(*) AS n FROM c GROUP BY ALL)
+SELECT q.conv_id, q.turn, CASE WHEN NOT safe THEN 'spoiler_refusal' WHEN n IS NULL THEN 'no_context' ELSE 'answer' END AS branch, CASE WHEN NOT safe THEN 'question_requests_future_plot' WHEN n IS NULL THEN 'no_visible_context' ELSE 'ok' END AS reason,
+coalesce(n, 0) AS n_contexts, CASE WHEN NOT safe THEN 1.0::DOUBLE WHEN n IS NULL THEN 0.0::DOUBLE END AS confidence FROM q LEFT JOIN n ON n.conv_id = q.conv_id AND n.turn = q.turn""")
+def ans_05(spark, sf_dir):
+    """Each conversation is about the book of its number, read to the end of chapter 2."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
+    asked = asked.select("conv_id", "turn", F.col("conv_id").alias("doc_id"), F.col("text").alias("question"), (~F.lower("text").rlike("|".join(SPOILER_HINTS))).alias("safe"))
+    found = A.retrieve(asked, paragraphs(spark, sf_dir).where("chapter_index <= 2"), ["conv_id", "turn"])
+    return A.question_branches(asked.select("conv_id", "turn", "safe"), found, ["conv_id", "turn"])
+
+
+@query("ans_06_summary_inputs", f"""WITH {TE_CTE}, ep AS (SELECT DISTINCT doc_id, chapter_index, paragraph_index FROM m WHERE chapter_index <= 2),
+rc AS (SELECT doc_id, c AS chapter_index, paragraph_index FROM ep, (SELECT unnest([1, 2]) AS c) WHERE ep.chapter_index <= c QUALIFY row_number() OVER (PARTITION BY doc_id, c ORDER BY paragraph_index DESC) <= 6),
+fa AS (SELECT te.doc_id, rc.chapter_index, source, target, row_number() OVER (PARTITION BY te.doc_id, rc.chapter_index ORDER BY weight DESC, source, target) AS k FROM te JOIN rc ON rc.doc_id = te.doc_id AND rc.paragraph_index = valid_at),
+ck AS (SELECT doc_id, chapter_index, text, row_number() OVER (PARTITION BY doc_id, chapter_index ORDER BY paragraph_index) AS k FROM p WHERE chapter_index <= 2),
+u AS (SELECT doc_id, chapter_index, 0 AS part, k, 'chunk' AS kind, text FROM ck WHERE k <= 8 UNION ALL
+  SELECT doc_id, chapter_index, 1, k, 'fact', '事实：' || source || ' --[SPOKE_WITH]--> ' || target || '：' || source || ' / ' || target FROM fa WHERE k <= 8 AND EXISTS (SELECT 1 FROM ck WHERE ck.doc_id = fa.doc_id AND ck.chapter_index = fa.chapter_index))
+SELECT doc_id, chapter_index, row_number() OVER (PARTITION BY doc_id, chapter_index ORDER BY part, k) AS place, kind, text FROM u QUALIFY place <= 12""")
 def ans_06(spark, sf_dir):
-    rows = R.top(paragraphs(spark, sf_dir).where("chapter_index <= 2"), 8, F.col("paragraph_index"), by=("doc_id", "chapter_index"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph_index", "text"))), lambda x: x["text"]), "\n")
-    return rows.groupBy("doc_id", "chapter_index").agg(F.count("*").alias("n"), T.clip(text, 600, "…").alias("input"))
+    """Inputs of the summaries of chapters 1 and 2, each as its reader would see it: facts are those of the last six episodes so far."""
+    found = G.shared_table(slugged(spark, sf_dir), "names")
+    eps = found.where("chapter_index <= 2").select("doc_id", "chapter_index", "paragraph_index").distinct()
+    reader = eps.select("doc_id", "paragraph_index", F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda c: c >= F.col("chapter_index"))).alias("chapter_index"))
+    recent = R.top(reader, 6, F.desc("paragraph_index"), by=("doc_id", "chapter_index")).select("doc_id", "chapter_index", F.col("paragraph_index").alias("valid_at"))
+    facts = R.top(text_edges(spark, sf_dir, found).join(recent, ["doc_id", "valid_at"]), 8, F.desc("weight"), F.col("source"), F.col("target"), by=("doc_id", "chapter_index"))
+    facts = facts.withColumn("relation_type", F.lit("SPOKE_WITH")).withColumn("fact", F.concat_ws(" / ", "source", "target"))
+    return A.summary_inputs(paragraphs(spark, sf_dir).where("chapter_index <= 2"), facts)
 
 
 @query("ans_07_history", "SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn, role, text) AS history FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) <= 6) GROUP BY 1")
@@ -96,12 +122,30 @@ def ans_07(spark, sf_dir):
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))), lambda x: x["line"]), "|").alias("history"))
 
 
-@query("ans_08_bubbles", f"""WITH {P_CTE}, b AS (SELECT doc_id, chapter_index, paragraph_index, CASE WHEN paragraph_index % 3 = 0 THEN 'zzzz' ELSE substring(text, 3, 12) END AS anchor, text, CASE WHEN paragraph_index % 4 = 0 THEN 'angry' ELSE 'insight' END AS kind FROM p WHERE chapter_index = 1)
-SELECT doc_id, paragraph_index, left(anchor, 8) AS anchor, left(text, 60) AS body, CASE WHEN kind IN ('insight', 'question') THEN kind ELSE 'insight' END AS kind FROM b WHERE anchor <> '' AND contains(text, anchor) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index) <= 3""")
+# Items as a model gives them: ids whole or without their beginning, anchors that don't stand there, blank remarks, kinds that don't exist.
+_FULL_ID = "concat('d', doc_id, '-c001-p', paragraph_index)"
+_ITEM = [
+    f"CASE paragraph_index % 3 WHEN 0 THEN {_FULL_ID} WHEN 1 THEN concat('c001-p', paragraph_index) ELSE concat(' p', paragraph_index) END AS chunk_id",
+    "CASE WHEN paragraph_index % 4 = 0 THEN 'zzzz' ELSE substring(text, 3, 12) END AS anchor_text",
+    "CASE WHEN paragraph_index % 2 = 0 THEN substring(text, 1, 12) END AS label",
+    "CASE WHEN paragraph_index % 5 = 0 THEN '  ' ELSE substring(text, 1, 80) END AS comment",
+    "CASE paragraph_index % 3 WHEN 0 THEN 'theme' WHEN 1 THEN 'loud' END AS emphasis",
+    "CASE paragraph_index % 4 WHEN 1 THEN 'question' WHEN 2 THEN 'angry' END AS bubble_type",
+]
+
+
+@query("ans_08_bubbles", f"""WITH {P_CTE}, c1 AS (SELECT * FROM p WHERE chapter_index = 1 AND (doc_id % 3 <> 0 OR paragraph_index = 2)), c AS (SELECT doc_id, paragraph_index AS ord, {_FULL_ID} AS chunk_id, text FROM c1),
+nv AS (SELECT doc_id, count(*) AS n FROM c GROUP BY 1), i0 AS (SELECT doc_id, paragraph_index AS i, {', '.join(_ITEM)} FROM p WHERE chapter_index = 1),
+i1 AS (SELECT i0.*, n, row_number() OVER (PARTITION BY i0.doc_id ORDER BY i) AS place FROM i0 JOIN nv ON nv.doc_id = i0.doc_id QUALIFY place <= CASE WHEN n = 1 THEN 5 ELSE 3 END),
+i2 AS (SELECT *, {sql_strip('chunk_id')} AS asked, {sql_strip('anchor_text')} AS anchor, {sql_strip('comment')}[1:60] AS remark, {sql_strip("coalesce(label, '')")}[1:8] AS lab, {sql_strip("coalesce(emphasis, 'detail')")} AS emph FROM i1),
+i3 AS (SELECT i2.*, (SELECT min(((c.chunk_id <> asked)::INT, c.ord, c.text)) FROM c WHERE c.doc_id = i2.doc_id AND ends_with(c.chunk_id, asked)) AS m FROM i2 WHERE asked <> ''),
+i4 AS (SELECT *, coalesce(bubble_type, emph) AS kind FROM i3 WHERE m IS NOT NULL AND anchor <> '' AND contains(m[3], anchor) AND remark <> '')
+SELECT doc_id, 'bubble-' || asked || '-' || place AS bubble_id, asked AS chunk_id, anchor AS anchor_text, CASE WHEN lab = '' THEN '{A.NO_LABEL}' ELSE lab END AS label, remark AS comment,
+CASE WHEN emph IN ('{"', '".join(A.EMPHASES)}') THEN emph ELSE 'detail' END AS emphasis, CASE WHEN kind IN ('{"', '".join(A.BUBBLE_TYPES)}') THEN kind ELSE 'detail' END AS bubble_type,
+CASE WHEN n = 1 THEN 'selected-passage' ELSE 'page-salience-policy' END AS trigger_reason FROM i4""")
 def ans_08(spark, sf_dir):
-    anchor = F.when(F.col("paragraph_index") % 3 == 0, "zzzz").otherwise(F.substring("text", 3, 12))
-    b = paragraphs(spark, sf_dir).where("chapter_index = 1").withColumn("anchor", anchor).withColumn("kind", F.when(F.col("paragraph_index") % 4 == 0, "angry").otherwise("insight"))
-    kept = R.top(b.where((F.col("anchor") != "") & F.contains("text", "anchor")), 3, F.col("paragraph_index"))
-    return kept.select("doc_id", "paragraph_index", F.substring("anchor", 1, 8).alias("anchor"), F.substring("text", 1, 60).alias("body"), F.when(F.col("kind").isin("insight", "question"), F.col("kind")).otherwise("insight").alias("kind"))
-
-
+    """A reader sees chapter 1, or of every third book one paragraph of it."""
+    first = paragraphs(spark, sf_dir).where("chapter_index = 1")
+    chunks = first.where("doc_id % 3 <> 0 or paragraph_index = 2").selectExpr("doc_id", "paragraph_index as ord", f"{_FULL_ID} as chunk_id", "text")
+    items = first.selectExpr("doc_id", "paragraph_index as i", *_ITEM)
+    return A.inline_bubbles(items, chunks)

@@ -284,13 +284,19 @@ def ext_11(spark, sf_dir):
     return paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", F.array_join(T.surface_names("text"), "|").alias("names"))
 
 
+_PARENTS = "SELECT DISTINCT p_partkey // 4 AS parent, p_partkey AS child FROM part UNION SELECT DISTINCT p_partkey // 4 + p_size % 3, p_partkey FROM part WHERE p_partkey >= 8"
+
+
 @query(
     "ext_12_generations",
-    """WITH RECURSIVE par AS (SELECT DISTINCT p_partkey % 97 AS parent, p_partkey % 97 * 2 + p_size % 2 + 1 AS child FROM part),
+    f"""WITH RECURSIVE par AS ({_PARENTS}),
 walk(node, generation) AS (SELECT DISTINCT parent, 0 FROM par WHERE parent NOT IN (SELECT child FROM par)
   UNION SELECT child, generation + 1 FROM walk JOIN par ON parent = node WHERE generation < 50)
-SELECT node, CAST(min(generation) AS BIGINT) AS generation FROM walk GROUP BY node""",
+SELECT CAST(node AS BIGINT) AS node, CAST(min(generation) AS BIGINT) AS generation FROM walk GROUP BY node""",
 )
 def ext_12(spark, sf_dir):
-    parents = table(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("parent"), (F.col("p_partkey") % 97 * 2 + F.col("p_size") % 2 + 1).alias("child")).distinct()
-    return G.generations(spark, parents)
+    """Every part descends from the part of a quarter of its number, those from 8 on also from one of the two after that."""
+    part = table(spark, sf_dir, "part")
+    quarter = F.floor(F.col("p_partkey") / 4)
+    second = part.where("p_partkey >= 8").select((quarter + F.col("p_size") % 3).alias("parent"), F.col("p_partkey").alias("child"))
+    return G.generations(spark, part.select(quarter.alias("parent"), F.col("p_partkey").alias("child")).union(second))

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import evaluation as E
+from quillspark.operators import graph as G
+from quillspark.plans.graphs import SPOILER_HINTS
 from quillspark.plans.registry import query
 from quillspark.plans.segmentation import _BLOCKS
 from quillspark.plans.views import P_CTE, paragraphs, spread, table
@@ -30,10 +32,20 @@ def evl_02(spark, sf_dir):
     return g.select("doc_id", (F.size(F.array_except("gold", "got")) == 0).alias("passed"))
 
 
-@query("evl_03_anti_spoiler", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN contains(lower(text), 'cannot') ELSE length(text) > 20 END AS passed FROM conversations WHERE role = 'assistant'")
+_EXPECTED = ("refuse_future_plot", "answer_within_boundary", "acknowledge_uncertainty", "reflect_on_known_text_only", "praise_the_author")
+_HINTS = "|".join(SPOILER_HINTS)
+
+
+@query("evl_03_anti_spoiler", f"""WITH s AS (SELECT conv_id, turn, ['{"', '".join(_EXPECTED)}'][(conv_id + turn) % 5 + 1] AS expected, NOT regexp_matches(lower(text), '{_HINTS}') AS safe,
+  CASE WHEN turn % 3 = 2 THEN '  ' ELSE text END AS answer FROM conversations)
+SELECT conv_id, turn, CASE WHEN expected = 'refuse_future_plot' THEN NOT safe WHEN expected = 'praise_the_author' THEN false ELSE safe AND regexp_replace(answer, '[\\s\\p{{Z}}]+', '', 'g') <> '' END AS passed FROM s""")
 def evl_03(spark, sf_dir):
-    met = F.when(F.col("turn") % 3 == 0, F.contains(F.lower("text"), F.lit("cannot"))).otherwise(F.length("text") > 20)
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", met.alias("passed"))
+    """Each turn as a sample: its question is safe or not, every third answer is blank, one expectation in five is none that is known."""
+    safe = ~F.lower("text").rlike(_HINTS)
+    expected = F.get(F.array(*map(F.lit, _EXPECTED)), ((F.col("conv_id") + F.col("turn")) % 5).cast("int"))
+    reason = F.when(safe, "ok").otherwise("question_requests_future_plot")
+    met = E.anti_spoiler_met(expected, safe, reason, F.when(F.col("turn") % 3 == 2, "  ").otherwise(F.col("text")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", met.alias("passed"))
 
 
 @query("evl_04_summary_phrases", "SELECT doc_id, contains(lower(text), 'the') AND contains(lower(text), 'of') AND NOT (contains(lower(text), 'idiot') OR contains(lower(text), 'license')) AS passed FROM documents")
@@ -104,26 +116,53 @@ def evl_11(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("condition")).agg(F.count("*").alias("n"), F.count(scored).alias("n_scored"), T.round4(F.avg(scored)).alias("mean_score"))
 
 
-@query("evl_12_report", f"WITH a AS (SELECT user_id % 3 AS persona, avg(value) FILTER (event_id % 2 = 0) AS on_arm, avg(value) FILTER (event_id % 2 = 1) AS off_arm FROM events GROUP BY 1) SELECT persona, {_R4.format('on_arm')} AS on_arm, {_R4.format('off_arm')} AS off_arm, abs(off_arm - 20) < abs(on_arm - 20) / 2 AS dissociated FROM a")
-def evl_12(spark, sf_dir):
-    arm = lambda k: F.avg(F.when(F.col("event_id") % 2 == k, F.col("value")))
-    a = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 3).alias("persona")).agg(arm(0).alias("on"), arm(1).alias("off"))
-    return a.select("persona", T.round4(F.col("on")).alias("on_arm"), T.round4(F.col("off")).alias("off_arm"), (F.abs(F.col("off") - 20) < F.abs(F.col("on") - 20) / 2).alias("dissociated"))
+_MEANS = ", ".join(f"avg(value) FILTER (event_id % 5 = {k}) AS {c}" for k, c in enumerate(_COND[:4]))
 
 
-@query("evl_13_span_location", f"WITH {P_CTE}, x AS (SELECT *, substring(text, 6, 10) AS anchor FROM p WHERE length(text) >= 20) SELECT doc_id, paragraph_index, CAST(instr(text, anchor) - 1 AS BIGINT) AS at, CAST(length(regexp_extract(left(text, instr(text, anchor) - 1), '[^.!?]*$')) AS BIGINT) AS back FROM x")
+@query("evl_12_report", f"""WITH m AS (SELECT user_id AS persona, event_type, {_MEANS} FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2),
+t AS (SELECT * FROM m WHERE event_type = 'click'), s AS (SELECT * FROM m WHERE event_type = 'view'),
+v AS (SELECT coalesce(t.persona, s.persona) AS persona, coalesce(s."full" > s.neutral AND s.style_only > s.neutral, false) AS style_tracks_style,
+  abs(s.thinking_only - s.neutral) < abs(s.style_only - s.neutral) / 2 + 1e-9 AS style_flat_on_thinking,
+  coalesce(t."full" > t.neutral AND t.thinking_only > t.neutral, false) AS thinking_tracks_thinking, abs(t.style_only - t.neutral) < abs(t."full" - t.neutral) / 2 + 1e-9 AS thinking_flat_on_style
+  FROM t FULL JOIN s ON t.persona = s.persona)
+SELECT *, coalesce(style_tracks_style AND thinking_tracks_thinking AND style_flat_on_thinking AND thinking_flat_on_style, false) AS double_dissociation FROM v""")
+def evl_12(spark, sf_dir):
+    """Users as personas: clicks measure thinking, views style; an event's number gives its condition."""
+    rows = table(spark, sf_dir, "events").where("event_type in ('click', 'view')")
+    axis = F.when(F.col("event_type") == "click", "thinking").otherwise("style")
+    means = [F.avg(F.when(F.col("event_id") % 5 == k, F.col("value"))).alias(c) for k, c in enumerate(_COND[:4])]
+    return E.dissociation(rows.groupBy(F.col("user_id").alias("persona"), axis.alias("axis")).agg(*means), "persona")
+
+
+# Anchors as a model gives them: as they stand, with other marks between the words, too short without their marks, and from elsewhere.
+_ANCHOR = """CASE paragraph_index % 4 WHEN 0 THEN substring(text, 40, 14) WHEN 1 THEN replace(substring(text, 30, 16), ' ', '--') WHEN 2 THEN replace(substring(text, 50, 5), ' ', '..') ELSE 'zzzz qqqq' END"""
+_NZ = r"[^\p{L}\p{N}]"
+
+
+@query("evl_13_span_location", rf"""WITH {P_CTE}, q AS (SELECT doc_id, paragraph_index, replace(text, '. ', '。') AS text FROM p), x AS (SELECT *, {_ANCHOR} AS anchor FROM q WHERE length(text) >= 60),
+n AS (SELECT *, instr(text, anchor) - 1 AS exact, regexp_replace(anchor, '{_NZ}', '', 'g') AS bare, instr(regexp_replace(text, '{_NZ}', '', 'g'), regexp_replace(anchor, '{_NZ}', '', 'g')) AS among FROM x),
+k AS (SELECT doc_id, paragraph_index, i - 1 AS raw, row_number() OVER (PARTITION BY doc_id, paragraph_index ORDER BY i) AS nth FROM (SELECT doc_id, paragraph_index, text, unnest(range(1, length(text) + 1)) AS i FROM n) WHERE regexp_matches(substring(text, i, 1), '[\p{{L}}\p{{N}}]')),
+a AS (SELECT n.*, CASE WHEN exact >= 0 THEN exact WHEN length(bare) >= 5 AND among > 0 THEN raw ELSE -1 END AS pos FROM n LEFT JOIN k ON k.doc_id = n.doc_id AND k.paragraph_index = n.paragraph_index AND nth = among),
+l AS (SELECT *, greatest(0, pos - 260) AS lo, least(length(text), pos + 220) AS hi FROM a WHERE pos >= 0),
+f AS (SELECT *, length(regexp_extract(substring(text, lo + 1, pos - lo), '^[^。！？”』」
+]*[。！？”』」
+]')) AS first, length(regexp_extract(substring(text, hi + 1), '^[^。！？”』」]*[。！？”』」]')) AS nxt FROM l)
+SELECT doc_id, paragraph_index, CAST(pos AS BIGINT) AS anchor_at, CAST(CASE WHEN lo = 0 THEN 0 WHEN first > 0 THEN lo + first ELSE lo END AS BIGINT) AS setup_at, CAST(least(CASE WHEN nxt > 0 THEN hi + nxt ELSE length(text) END, pos + 300) AS BIGINT) AS end_at FROM f""")
 def evl_13(spark, sf_dir):
-    x = paragraphs(spark, sf_dir).where(F.length("text") >= 20).withColumn("anchor", F.substring("text", 6, 10))
-    at = F.instr("text", F.col("anchor")) - 1
-    return x.select("doc_id", "paragraph_index", at.cast("long").alias("at"), F.length(F.regexp_extract(F.substring(F.col("text"), F.lit(1), at), "[^.!?]*$", 0)).cast("long").alias("back"))
+    rows = paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", F.replace("text", F.lit(". "), F.lit("。")).alias("text")).where(F.length("text") >= 60)
+    found = rows.withColumn("anchor", F.expr(_ANCHOR)).withColumn("anchor_at", E.anchor_at(F.col("anchor"), F.col("text"))).where("anchor_at >= 0")
+    setup, end = E.setup_start(F.col("text"), F.col("anchor_at")), E.passage_end(F.col("text"), F.col("anchor_at"))
+    return found.select("doc_id", "paragraph_index", F.col("anchor_at").cast("long").alias("anchor_at"), setup.cast("long").alias("setup_at"), end.cast("long").alias("end_at"))
 
 
-@query("evl_14_evidence", r"SELECT b.item_id, count(*) AS n_docs FROM benchmark b JOIN documents d ON contains(regexp_replace(lower(d.text), '[\s\p{Z}]+', '', 'g'), regexp_replace(lower(b.text), '[\s\p{Z}]+', '', 'g')) GROUP BY 1")
+@query("evl_14_evidence", r"""WITH n AS (SELECT item_id, regexp_replace(CASE WHEN item_id % 5 = 0 THEN substring(text, 1, 1 + item_id % 9) ELSE text END, '[^\p{L}\p{N}]', '', 'g') AS needle FROM benchmark)
+SELECT item_id, count(*) AS n_docs FROM n JOIN documents d ON length(needle) >= 4 AND contains(regexp_replace(d.text, '[^\p{L}\p{N}]', '', 'g'), needle) GROUP BY 1""")
 def evl_14(spark, sf_dir):
-    """Benchmark passages as evidence."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), T.SPACES, "").alias("needle"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), T.SPACES, "").alias("bare"))
-    return E.verify_evidence(docs, items)
+    """Benchmark passages as evidence, every fifth cut to a few characters; fewer than four prove nothing."""
+    quote = F.when(F.col("item_id") % 5 == 0, F.substring(F.col("text"), F.lit(1), (1 + F.col("item_id") % 9).cast("int"))).otherwise(F.col("text"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", E.normalized(quote).alias("needle"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", E.normalized("text").alias("bare"))
+    return E.verify_evidence(docs, items, least=4)
 
 
 @query("evl_15_patch", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'edited' ELSE source END AS source FROM documents WHERE doc_id % 7 <> 0")
@@ -143,43 +182,50 @@ _FT = "ft(feature, times) AS (VALUES " + ", ".join(f"('{f}', {_FEATURES.count(f)
 _FREQ = "(length({0}) - length(replace({0}, feature, ''))) / length(feature) * 1000.0::DOUBLE / greatest(1, length({0}))"
 
 
-def _features(spark):
-    return F.broadcast(spark.createDataFrame([(f, _FEATURES.count(f)) for f in _DISTINCT], "feature string, times int"))
-
-
-def _frequency(c):
-    return (F.length(c) - F.length(F.replace(F.col(c), F.col("feature"), F.lit("")))) / F.length("feature") * 1000.0 / F.greatest(F.lit(1), F.length(c))
+def _frequency(c, feature):
+    return (F.length(c) - F.length(F.replace(F.col(c), F.lit(feature), F.lit("")))) / len(feature) * 1000.0 / F.greatest(F.lit(1), F.length(c))
 
 
 def _block_frequencies(spark, sf_dir):
+    """(doc_id, lang, pos, f0, f1, ...): a column for each feature, all from one look at a block."""
     b = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(T.blocks_of("text")).alias("pos", "block"))
-    long = b.select("doc_id", "lang", "pos", "block", F.explode(F.array(*map(F.lit, _DISTINCT))).alias("feature"))
-    return long.withColumn("f", _frequency("block"))
+    return b.select("doc_id", "lang", "pos", *[_frequency("block", f).alias(f"f{k}") for k, f in enumerate(_DISTINCT)])
 
 
 @query("sty_01_feature_frequency", rf"WITH {_FT}, d AS (SELECT doc_id, regexp_replace(text, '[\s\p{{Z}}]', '', 'g') AS t FROM documents) SELECT doc_id, feature, {_R4.format(_FREQ.format('t'))} AS per_1000 FROM d, ft")
 def sty_01(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?U)\s", "").alias("t"), F.explode(F.array(*map(F.lit, _DISTINCT))).alias("feature"))
-    return d.select("doc_id", "feature", T.round4(_frequency("t")).alias("per_1000"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"(?U)\s", "").alias("t"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), T.round4(_frequency("t", f)).alias("per_1000")) for f in _DISTINCT])
+    return d.select("doc_id", F.inline(pairs))
 
 
 _PROF = f"{_BLOCKS}, {_FT}, bf AS (SELECT blocks.doc_id, lang, block_index, feature, times, {_FREQ.format('block')} AS f FROM blocks JOIN documents ON documents.doc_id = blocks.doc_id, ft), pr AS (SELECT lang, feature, avg(f) AS mu, stddev_pop(f) AS sd FROM bf GROUP BY 1, 2)"
 
 
-def _profile(spark, sf_dir):
-    return _block_frequencies(spark, sf_dir).groupBy("lang", "feature").agg(F.avg("f").alias("mu"), F.stddev_pop("f").alias("sd"))
+def _profile(blocks):
+    """One row a language: mu0, sd0, mu1, sd1, ..."""
+    stats = [(F.avg(f"f{k}").alias(f"mu{k}"), F.stddev_pop(f"f{k}").alias(f"sd{k}")) for k in range(len(_DISTINCT))]
+    return blocks.groupBy("lang").agg(*[c for pair in stats for c in pair])
 
 
 @query("sty_02_author_profile", f"WITH {_PROF} SELECT lang, feature, {_R4.format('mu')} AS mu, {_R4.format('sd')} AS sd FROM pr")
 def sty_02(spark, sf_dir):
-    return _profile(spark, sf_dir).select("lang", "feature", T.round4(F.col("mu")).alias("mu"), T.round4(F.col("sd")).alias("sd"))
+    rows = [F.struct(F.lit(f).alias("feature"), T.round4(F.col(f"mu{k}")).alias("mu"), T.round4(F.col(f"sd{k}")).alias("sd")) for k, f in enumerate(_DISTINCT)]
+    return _profile(_block_frequencies(spark, sf_dir)).select("lang", F.inline(F.array(*rows)))
 
 
 @query("sty_03_delta", f"WITH {_PROF} SELECT doc_id, block_index, {_R3.format('sum(times * abs((f - mu) / sd)) / sum(times)')} AS delta FROM bf JOIN pr ON pr.lang = 'en' AND pr.feature = bf.feature WHERE sd > 1e-9 GROUP BY 1, 2")
 def sty_03(spark, sf_dir):
-    en = F.broadcast(_profile(spark, sf_dir).where("lang = 'en' and sd > 1e-9").drop("lang").join(_features(spark), "feature"))  # one row a feature
-    z = _block_frequencies(spark, sf_dir).join(en, "feature").withColumn("z", F.abs((F.col("f") - F.col("mu")) / F.col("sd")) * F.col("times"))
-    return z.groupBy("doc_id", (F.col("pos") + 1).cast("long").alias("block_index")).agg(T.round3(F.sum("z") / F.sum("times")).alias("delta"))
+    """The block frequencies, nine numbers a block, are stored: the profile and the distances both read them."""
+    blocks = G.shared_table(_block_frequencies(spark, sf_dir), "frequencies")
+    en = _profile(blocks.where("lang = 'en'")).first()  # one row: mean and deviation of each feature
+    z, times = F.lit(0.0), 0
+    for k, f in enumerate(_DISTINCT):
+        if en and en[f"sd{k}"] is not None and en[f"sd{k}"] > 1e-9:
+            z = z + F.abs((F.col(f"f{k}") - en[f"mu{k}"]) / en[f"sd{k}"]) * _FEATURES.count(f)
+            times += _FEATURES.count(f)
+    out = blocks.select("doc_id", (F.col("pos") + 1).cast("long").alias("block_index"), T.round3(z / max(1, times)).alias("delta"))
+    return out if times else out.limit(0)
 
 
 _MARKERS = ["the", "tion", "er", "eau", "sch"]

@@ -11,7 +11,7 @@ from quillspark.operators import entities as E
 from quillspark.operators import graph as G
 from quillspark.plans.registry import query
 from quillspark.plans.relations import ED_CTE, star_relations
-from quillspark.plans.views import M_CTE, P_CTE, mentions, paragraphs, table
+from quillspark.plans.views import M_CTE, P_CTE, mentions, paragraphs, star_edges, table
 
 _TYPE = "CASE (ascii(slug) + length(slug)) % 3 WHEN 0 THEN 'character' WHEN 1 THEN 'location' ELSE 'concept' END"
 #: Entities of each document; a name's type follows from its letters.
@@ -25,8 +25,9 @@ def slugged(spark, sf_dir):
     return mentions(spark, sf_dir).withColumn("slug", F.lower("name"))
 
 
-def entities(spark, sf_dir):
-    found = E.from_mentions(slugged(spark, sf_dir), ["doc_id"])
+def entities(spark, sf_dir, found_names=None):
+    """found_names: what slugged() returns, where it is at hand."""
+    found = E.from_mentions(slugged(spark, sf_dir) if found_names is None else found_names, ["doc_id"])
     return found.select(
         "doc_id", "slug", "name", "mention_count", "chapters", F.expr(_TYPE).alias("type"),
         F.col("first_seen.chapter_index").alias("first_chapter"), F.col("first_seen.paragraph_index").alias("first_paragraph"),
@@ -34,18 +35,19 @@ def entities(spark, sf_dir):
     )
 
 
-def episodes(spark, sf_dir):
+def episodes(spark, sf_dir, found_names=None):
     """(doc_id, chapter_index, paragraph_index, names): paragraphs with at least one name."""
-    return slugged(spark, sf_dir).groupBy("doc_id", "chapter_index", "paragraph_index").agg(F.array_sort(F.collect_set("slug")).alias("names"))
+    found = slugged(spark, sf_dir) if found_names is None else found_names
+    return found.groupBy("doc_id", "chapter_index", "paragraph_index").agg(F.array_sort(F.collect_set("slug")).alias("names"))
 
 
 EP_CTE = f"{M_CTE}, ep AS (SELECT doc_id, chapter_index, paragraph_index, list_sort(list(DISTINCT lower(name))) AS names FROM m GROUP BY 1, 2, 3)"
 
 
-def text_edges(spark, sf_dir):
+def text_edges(spark, sf_dir, found_names=None):
     """Edges between names that follow each other in a paragraph: weight, first and last paragraph."""
     w = Window.partitionBy("doc_id", "paragraph_index").orderBy("ord")
-    pairs = slugged(spark, sf_dir).withColumn("next", F.lead("slug").over(w)).where("next is not null")
+    pairs = (slugged(spark, sf_dir) if found_names is None else found_names).withColumn("next", F.lead("slug").over(w)).where("next is not null")
     return pairs.groupBy("doc_id", F.least("slug", "next").alias("source"), F.greatest("slug", "next").alias("target")).agg(
         F.count("*").alias("weight"), F.min("paragraph_index").alias("valid_at"), F.max("paragraph_index").alias("last_at")
     )
@@ -85,13 +87,14 @@ def ent_04(spark, sf_dir):
 
 @query(
     "ent_05_match_in_episode",
-    f"""WITH {M_CTE}, a AS (SELECT doc_id, paragraph_index, lower(left(name, 4)) AS wanted FROM m WHERE ord = 1),
+    f"""WITH {M_CTE}, a AS (SELECT doc_id, paragraph_index, lower(name) AS wanted FROM m UNION SELECT doc_id, paragraph_index, lower(left(name, 4)) FROM m),
 h AS (SELECT a.doc_id, a.paragraph_index, wanted, name, ord, CASE WHEN wanted = lower(name) THEN 0 ELSE 1 END AS rank FROM a JOIN m ON a.doc_id = m.doc_id AND a.paragraph_index = m.paragraph_index WHERE contains(lower(name), wanted) OR contains(wanted, lower(name)))
 SELECT doc_id, paragraph_index, wanted, min_by(name, (rank, ord)) AS entity, CAST(min(rank) AS BIGINT) AS rank FROM h GROUP BY 1, 2, 3""",
 )
 def ent_05(spark, sf_dir):
     m = mentions(spark, sf_dir)
-    names = m.where("ord = 1").select("doc_id", "paragraph_index", F.lower(F.substring("name", 1, 4)).alias("wanted"))
+    forms = F.array_distinct(F.array(F.lower("name"), F.lower(F.substring("name", 1, 4))))  # whole and cut short
+    names = m.select("doc_id", "paragraph_index", F.explode(forms).alias("wanted")).distinct()
     return E.match_in_episode(names, m.select("doc_id", "paragraph_index", F.col("name").alias("entity"), "ord"), ["doc_id", "paragraph_index"])
 
 
@@ -135,7 +138,9 @@ def ent_08(spark, sf_dir):
     return E.summaries(entities(spark, sf_dir), facts, ["doc_id"]).select("doc_id", "slug", "summary")
 
 
-@query("ent_09_rebuild_state")
+@query("ent_09_rebuild_state", rf"""WITH {EN_CTE}, f AS (SELECT doc_id, doc_id || ':' || slug AS entity_id, last_chapter, unnest(list_distinct([name, string_split(name, ' ')[-1]])) AS form FROM ent),
+a AS (SELECT *, coalesce(nullif(regexp_replace(regexp_replace(lower(form), '[^a-z0-9一-鿿]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unknown') AS alias FROM f)
+SELECT doc_id, alias, min(entity_id) AS entity_id, max(last_chapter) AS last_chapter FROM a GROUP BY 1, 2""")
 def ent_09(spark, sf_dir):
     """Index state as a resumed build needs it: alias -> entity, last version and last chapter of each."""
     e = entities(spark, sf_dir)
@@ -190,10 +195,13 @@ def grf_04(spark, sf_dir):
     return G.both_ways(active).select("node", "neighbor", "weight", rank.alias("rank"))
 
 
-@query("grf_05_pair_lookup", f"WITH {ED_CTE} SELECT signature, valid_at, weight FROM sup WHERE least(source, target) = 'c1' OR greatest(source, target) IN ('s1', 's2') AND least(source, target) < 'c2'")
+@query("grf_05_pair_lookup", f"""WITH {ED_CTE}, w AS (SELECT DISTINCT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 100 = 0)
+SELECT a, b, signature, valid_at, weight, row_number() OVER (PARTITION BY a, b ORDER BY valid_at, signature) AS rank FROM sup JOIN w ON least(source, target) = least(a, b) AND greatest(source, target) = greatest(a, b)""")
 def grf_05(spark, sf_dir):
-    a, b = F.least("source", "target"), F.greatest("source", "target")
-    return star_relations(spark, sf_dir).where((a == "c1") | (b.isin("s1", "s2") & (a < "c2"))).select("signature", "valid_at", "weight")
+    """The pairs looked up are those of all customers whose number is divisible by 100 with the suppliers that they have dealt with; a pair's relations, whichever way they point, by time."""
+    edges = star_edges(spark, sf_dir).where("cast(substring(source, 2) as long) % 100 = 0")
+    wanted = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    return G.pair_relations(star_relations(spark, sf_dir), wanted).select("a", "b", "signature", "valid_at", "weight", "rank")
 
 
 @query(
@@ -243,15 +251,39 @@ def grf_09(spark, sf_dir):
     return paragraphs(spark, sf_dir).groupBy("doc_id", "chapter_index").agg(F.count("*").alias("n_episodes"), F.min("paragraph_index").alias("first_paragraph"), F.max(C.spoiler_level(F.col("chapter_index"))).cast("long").alias("spoiler_level"))
 
 
+#: Text edges as relations of four types in three families; one that is not seen again within eight paragraphs is gone.
+_REL = """CASE (length(source) + length(target)) % 4 WHEN 0 THEN 'SPOKE_WITH' WHEN 1 THEN 'FAMILY_OF' WHEN 2 THEN 'CARES_ABOUT' ELSE 'VISITED' END AS relation_type,
+  CASE (length(source) + length(target)) % 4 WHEN 1 THEN 'kinship' WHEN 2 THEN 'kinship' WHEN 0 THEN 'contact' ELSE 'place' END AS state_family,
+  CASE WHEN weight > 1 AND last_at - valid_at > 8 THEN 'invalidated' ELSE 'active' END AS status"""
+
+
+def text_relations(spark, sf_dir, found_names=None):
+    """text_edges() with relation_type, state_family, status and chapter_index."""
+    chapter = (F.floor((F.col("valid_at") - 1) / 8) + 1).alias("chapter_index")
+    return text_edges(spark, sf_dir, found_names).selectExpr("*", *_REL.split(",\n")).select("*", chapter)
+
+
 @query(
     "grf_10_stats",
-    f"""WITH {ED_CTE} SELECT relation_type, year, count(*) AS n, count(*) FILTER (invalidated_by IS NULL) AS active, CAST(sum(weight) AS BIGINT) AS weight
-FROM (SELECT 'MEMBER_OF' AS relation_type, CAST(year(valid_at) AS BIGINT) AS year, weight, invalidated_by FROM sup) GROUP BY GROUPING SETS ((), (relation_type), (relation_type, year))""",
+    f"""WITH {TE_CTE}, ep AS (SELECT doc_id, chapter_index, paragraph_index, list(DISTINCT lower(name)) AS names FROM m GROUP BY 1, 2, 3),
+re AS (SELECT *, {_REL}, (valid_at - 1) // 8 + 1 AS chapter_index FROM te),
+rt AS (SELECT doc_id, relation_type, count(*) AS n FROM re GROUP BY 1, 2),
+rc AS (SELECT doc_id, chapter_index, count(*) AS r, count(*) FILTER (status = 'active') AS a, count(*) FILTER (status = 'invalidated') AS g FROM re GROUP BY 1, 2),
+de AS (SELECT e.*, coalesce(r, 0) AS r, coalesce(a, 0) AS a, coalesce(g, 0) AS g FROM (SELECT doc_id, chapter_index, count(*) AS n, len(list_distinct(flatten(list(names)))) AS d FROM ep GROUP BY 1, 2) e LEFT JOIN rc ON rc.doc_id = e.doc_id AND rc.chapter_index = e.chapter_index),
+al AS (SELECT doc_id, 'count' AS section, 'chapter_count' AS name, 0 AS rank, count(DISTINCT chapter_index) AS n FROM ep GROUP BY 1 UNION ALL SELECT doc_id, 'count', 'episode_count', 0, count(*) FROM ep GROUP BY 1
+UNION ALL SELECT doc_id, 'count', 'max_chapter_index', 0, max(chapter_index) FROM ep GROUP BY 1 UNION ALL SELECT doc_id, 'count', 'max_paragraph_index', 0, max(paragraph_index) FROM ep GROUP BY 1
+UNION ALL SELECT doc_id, 'count', 'entity_count', 0, count(*) FROM ent GROUP BY 1 UNION ALL SELECT doc_id, 'count', 'relation_count', 0, count(*) FROM re GROUP BY 1
+UNION ALL SELECT doc_id, 'count', 'active_relation_count', 0, count(*) FILTER (status = 'active') FROM re GROUP BY 1 UNION ALL SELECT doc_id, 'count', 'invalidated_relation_count', 0, count(*) FILTER (status = 'invalidated') FROM re GROUP BY 1
+UNION ALL SELECT doc_id, 'entity_type', type, 0, count(*) FROM ent GROUP BY 1, 3 UNION ALL SELECT doc_id, 'relation_family', state_family, 0, count(*) FROM re GROUP BY 1, 3
+UNION ALL SELECT doc_id, 'top_entity', slug, k, mention_count FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mention_count DESC, slug) AS k FROM ent) WHERE k <= 5
+UNION ALL SELECT doc_id, 'top_relation_type', relation_type, k, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, relation_type) AS k FROM rt) WHERE k <= 5
+UNION ALL SELECT doc_id, 'density_episodes', chapter_index::VARCHAR, 0, n FROM de UNION ALL SELECT doc_id, 'density_entities', chapter_index::VARCHAR, 0, d FROM de
+UNION ALL SELECT doc_id, 'density_relations', chapter_index::VARCHAR, 0, r FROM de UNION ALL SELECT doc_id, 'density_active', chapter_index::VARCHAR, 0, a FROM de UNION ALL SELECT doc_id, 'density_invalidated', chapter_index::VARCHAR, 0, g FROM de)
+SELECT doc_id, section, name, CAST(rank AS BIGINT) AS rank, CAST(n AS BIGINT) AS n FROM al""",
 )
 def grf_10(spark, sf_dir):
-    rel = star_relations(spark, sf_dir).select(F.lit("MEMBER_OF").alias("relation_type"), F.year("valid_at").cast("long").alias("year"), "weight", "status")
-    sets = [[], [F.col("relation_type")], [F.col("relation_type"), F.col("year")]]
-    return rel.groupingSets(sets, "relation_type", "year").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "active").alias("active"), F.sum("weight").alias("weight"))
+    found = G.shared_table(slugged(spark, sf_dir), "names")
+    return G.stats(episodes(spark, sf_dir, found), entities(spark, sf_dir, found), text_relations(spark, sf_dir, found))
 
 
 @query("grf_11_generations", "WITH RECURSIVE par AS (SELECT DISTINCT n_regionkey AS parent, 100 + n_nationkey AS child FROM nation UNION SELECT DISTINCT 100 + s_nationkey, 1000 + s_suppkey FROM supplier UNION SELECT 1001, 0), walk(node, generation) AS (SELECT DISTINCT parent, 0 FROM par WHERE parent NOT IN (SELECT child FROM par) UNION SELECT child, generation + 1 FROM walk JOIN par ON parent = node WHERE generation < 20) SELECT CAST(node AS BIGINT) AS node, CAST(min(generation) AS BIGINT) AS generation FROM walk GROUP BY 1")

@@ -46,18 +46,6 @@ def _sql_clip(x, n):
     return f"CASE WHEN length({c}) <= {n} THEN {c} ELSE left({c}, {n - 1}) || '…' END"
 
 
-_CM = f"""{EN_CTE}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter_index ORDER BY paragraph_index) AS k FROM p),
-hh AS (SELECT doc_id, chapter_index, {_sql_clip("string_agg(text, ' ' ORDER BY paragraph_index)", 400)} AS text FROM h WHERE k <= 8 GROUP BY 1, 2),
-al AS (SELECT hh.doc_id, hh.chapter_index, slug, row_number() OVER (PARTITION BY hh.doc_id, hh.chapter_index ORDER BY mention_count DESC, slug) AS rank FROM hh JOIN ent ON ent.doc_id = hh.doc_id AND hh.chapter_index BETWEEN first_chapter AND last_chapter),
-ls AS (SELECT doc_id, chapter_index, string_agg(slug, ',' ORDER BY rank) AS entities FROM al WHERE rank <= 18 GROUP BY 1, 2),
-cm AS (SELECT hh.doc_id, hh.chapter_index, text, coalesce(entities, '') AS entities FROM hh LEFT JOIN ls ON ls.doc_id = hh.doc_id AND ls.chapter_index = hh.chapter_index)"""
-
-
-@query("mem_03_chapter_memories", f"WITH {_CM} SELECT * FROM cm")
-def mem_03(spark, sf_dir):
-    return M.chapter_memories(paragraphs(spark, sf_dir), entities(spark, sf_dir))
-
-
 # Driver texts have no CJK; vowels stand for characters of a small alphabet.
 _ALPHABET = ("aeioudnst", "山水人心月火木石云")
 _ZH = f"translate(regexp_replace(lower(text), '[^aeioudnst ]', '', 'g'), '{_ALPHABET[0]}', '{_ALPHABET[1]}')"
@@ -78,6 +66,42 @@ def mem_04(spark, sf_dir):
     return M.theme_terms(_cjk(spark, sf_dir))
 
 
+_MARKERS = ["the", "la", "der", "que", "und", "of"]
+_SAL = f"floor(least(1.0::DOUBLE, 0.15::DOUBLE * ({' + '.join(f'CASE WHEN contains(text, {chr(39)}{m}{chr(39)}) THEN 1 ELSE 0 END' for m in _MARKERS)}) + least(length(text) / 800, 0.4::DOUBLE)) * 1000 + 0.5) / 1000"
+#: The four layers as common table expressions; me has them all.
+_ME = f"""{TE_CTE}, {_ZT}, sa AS (SELECT *, {_SAL} AS salience FROM p),
+oc AS (SELECT doc_id, paragraph_index, list_sort(list(DISTINCT lower(name))) AS ids FROM m GROUP BY 1, 2),
+orl AS (SELECT doc_id, valid_at AS paragraph_index, list_sort(list(DISTINCT source || '|' || target)) AS rels FROM te GROUP BY 1, 2),
+m1_ AS (SELECT sa.doc_id, 'episode::' || sa.paragraph_index AS memory_id, 'episode' AS memory_type, 'Chapter ' || chapter_index || ' paragraph ' || sa.paragraph_index AS title, {_sql_clip('text', 220)} AS summary, chapter_index, sa.paragraph_index,
+  coalesce(ids, []) AS entity_ids, coalesce(rels, []) AS relation_ids, [sa.paragraph_index::VARCHAR] AS evidence, salience FROM sa LEFT JOIN oc ON oc.doc_id = sa.doc_id AND oc.paragraph_index = sa.paragraph_index LEFT JOIN orl ON orl.doc_id = sa.doc_id AND orl.paragraph_index = sa.paragraph_index),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter_index ORDER BY paragraph_index) AS k FROM sa),
+hh AS (SELECT doc_id, chapter_index, {_sql_clip("string_agg(text, ' ' ORDER BY paragraph_index) FILTER (k <= 8)", 360)} AS summary, list(paragraph_index::VARCHAR ORDER BY paragraph_index) FILTER (k <= 8) AS evidence, max(salience) AS salience FROM h GROUP BY 1, 2),
+ls AS (SELECT hh.doc_id, hh.chapter_index, list_sort(list(DISTINCT slug))[1:18] AS ids FROM hh JOIN ent ON ent.doc_id = hh.doc_id AND hh.chapter_index BETWEEN first_chapter AND last_chapter GROUP BY 1, 2),
+m2_ AS (SELECT hh.doc_id, 'chapter::' || lpad(hh.chapter_index::VARCHAR, 3, '0'), 'chapter', 'Chapter ' || hh.chapter_index, summary, hh.chapter_index, NULL, coalesce(ids, []), [], evidence, salience FROM hh LEFT JOIN ls ON ls.doc_id = hh.doc_id AND ls.chapter_index = hh.chapter_index),
+pl AS (SELECT doc_id, lower(name) AS slug, list(paragraph_index::VARCHAR ORDER BY paragraph_index, ord)[1:10] AS ps FROM m GROUP BY 1, 2),
+m3_ AS (SELECT ent.doc_id, 'character::' || ent.slug, 'character_arc', name, name || ' appears from chapter ' || first_chapter || '.', last_chapter, last_paragraph, [ent.slug], [], ps, floor(least(1.0::DOUBLE, 0.25::DOUBLE + mention_count / 20) * 1000 + 0.5) / 1000 FROM ent JOIN pl ON pl.doc_id = ent.doc_id AND pl.slug = ent.slug WHERE type = 'character'),
+tr AS (SELECT doc_id, ord, unnest(ts) AS term, unnest(range(0, len(ts))) AS pos FROM (SELECT doc_id, ord, regexp_extract_all(text, '[一-鿿]{{2,4}}') AS ts FROM zt)),
+tg AS (SELECT doc_id, term, count(*) AS n, min((ord, pos)) AS f FROM tr WHERE term NOT IN ('我们', '他们', '这个', '那个', '自己', '因为', '所以', '但是', '没有', '一个') GROUP BY 1, 2),
+tt AS (SELECT doc_id, term, n FROM tg QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) <= 8),
+m4_ AS (SELECT tt.doc_id, 'theme::' || term, 'theme_arc', term, '主题词“' || term || '”在当前文本中出现 ' || any_value(n) || ' 次，可作为阅读线索。', 1, NULL, [], [], (list(ord ORDER BY ord)[1:8])::VARCHAR[], floor(least(1.0::DOUBLE, any_value(n) / 20) * 1000 + 0.5) / 1000 FROM tt JOIN zt ON zt.doc_id = tt.doc_id AND contains(zt.text, term) GROUP BY tt.doc_id, term),
+me AS (SELECT * FROM m1_ UNION ALL SELECT * FROM m2_ UNION ALL SELECT * FROM m3_ UNION ALL SELECT * FROM m4_)"""
+
+
+def layers(spark, sf_dir, found):
+    zh = _cjk(spark, sf_dir)
+    texts = zh.select("doc_id", F.col("ord").alias("paragraph_index"), "text")
+    return M.layered_memories(paragraphs(spark, sf_dir), found, entities(spark, sf_dir, found), text_edges(spark, sf_dir, found), M.theme_terms(zh), texts, _MARKERS)
+
+
+def _lists(df):
+    return df.withColumns({c: F.array_join(c, ",") for c in ("entity_ids", "relation_ids", "evidence")})
+
+
+@query("mem_03_layered_memories", f"WITH {_ME} SELECT * REPLACE (array_to_string(entity_ids, ',') AS entity_ids, array_to_string(relation_ids, ',') AS relation_ids, array_to_string(evidence, ',') AS evidence) FROM me")
+def mem_03(spark, sf_dir):
+    return _lists(layers(spark, sf_dir, G.shared_table(slugged(spark, sf_dir), "names")))
+
+
 @query("mem_05_retrieval_documents", f"""WITH {TE_CTE} SELECT 'chunk' AS kind, doc_id, 'p' || paragraph_index AS key, text FROM p UNION ALL SELECT 'entity', doc_id, slug, name || ' ' || type FROM ent UNION ALL
 SELECT 'relation', doc_id, source || '|' || target, source || ' SPOKE_WITH ' || target FROM te""")
 def mem_05(spark, sf_dir):
@@ -87,12 +111,18 @@ def mem_05(spark, sf_dir):
     return chunk.unionByName(entity).unionByName(relation)
 
 
-@query("mem_06_index_status", f"WITH {EN_CTE} SELECT d.doc_id, CASE WHEN n IS NULL THEN 'degraded' ELSE 'ready' END AS status, CASE WHEN n IS NULL THEN 'no_entities' ELSE '' END AS reasons FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ent GROUP BY 1) e ON e.doc_id = d.doc_id")
+_EMBEDDING = "CASE WHEN doc_id % 4 = 0 THEN 'none' WHEN doc_id % 4 = 1 THEN 'no_endpoint' WHEN doc_id % 8 = 2 THEN 'failed: timeout' ELSE 'ready' END"
+
+
+@query("mem_06_index_status", f"""WITH {EN_CTE}, b AS (SELECT d.doc_id, doc_id % 7 <> 3 AS has_graph, {_EMBEDDING} AS e, (SELECT count(*) FROM ent WHERE ent.doc_id = d.doc_id) AS n FROM documents d),
+r AS (SELECT doc_id, list_filter([CASE WHEN NOT has_graph THEN 'graph_missing' END, CASE WHEN e = 'none' THEN '{M.NO_EMBEDDING}' WHEN e = 'no_endpoint' THEN '{M.NO_ENDPOINT}' WHEN e = 'failed: timeout' THEN 'embedding API failed: timeout' END,
+  CASE WHEN NOT has_graph OR n = 0 THEN '{M.NO_ENTITIES}' END], lambda x: x IS NOT NULL) AS rs FROM b)
+SELECT doc_id, CASE WHEN len(rs) > 0 THEN 'degraded' ELSE 'ready' END AS status, array_to_string(rs, ',') AS reasons FROM r""")
 def mem_06(spark, sf_dir):
-    n = entities(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
-    d = table(spark, sf_dir, "documents").select("doc_id").join(n, "doc_id", "left")
-    reasons = F.array_compact(F.array(F.when(F.col("n").isNull(), "no_entities")))
-    return d.select("doc_id", F.when(F.size(reasons) > 0, "degraded").otherwise("ready").alias("status"), F.array_join(reasons, ",").alias("reasons"))
+    """Every seventh book has no graph, and three of four no embeddings for one reason or other."""
+    n = entities(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_entities"))
+    books = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 7 != 3).alias("has_graph"), F.expr(_EMBEDDING).alias("embedding")).join(n, "doc_id", "left")
+    return M.index_status(books).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("mem_07_audit", f"""WITH {TE_CTE}, k AS (SELECT * FROM ent WHERE mention_count > 1) SELECT 'duplicate' AS issue, slug AS key, count(*) AS n FROM ent GROUP BY 2 HAVING count(*) > 1 UNION ALL
@@ -121,14 +151,45 @@ def mem_09(spark, sf_dir):
     return rel.select("doc_id", "source", "target", "weight", "source_name", "target_name")
 
 
-_MAP = f"""{TE_CTE}, nd AS (SELECT * FROM ent WHERE first_chapter <= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY mention_count DESC, slug) <= 6)"""
-
-
-@query("mem_10_memory_map", f"WITH {_MAP} SELECT doc_id, source, target, weight FROM te WHERE EXISTS (SELECT 1 FROM nd WHERE nd.doc_id = te.doc_id AND slug = source) AND EXISTS (SELECT 1 FROM nd WHERE nd.doc_id = te.doc_id AND slug = target)")
-def mem_10(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("mention_count"), "slug"))
-    nodes = entities(spark, sf_dir).where("first_chapter <= 2").withColumn("k", rank).where("k <= 6")
-    return M.induced(nodes, text_edges(spark, sf_dir)).select("doc_id", "source", "target", "weight")
+def _sql_map(scope, chapter, paragraph, limit):
+    """The map of one scope, written from its rules: nd nodes, eg edges, cd cards."""
+    pool = {"chapter": f"first_chapter <= {chapter} AND last_chapter >= {chapter}", "passage": f"first_chapter <= {chapter} AND (first_chapter < {chapter} OR first_paragraph <= {paragraph})", "book": f"first_chapter <= {chapter}"}.get(scope)
+    seen = f"sv AS (SELECT *, (valid_at - 1) // 8 + 1 AS vc FROM te WHERE (valid_at - 1) // 8 + 1 <= {chapter})"
+    seed = "sd AS (SELECT doc_id, arg_max(slug, (mention_count, slug)) AS slug FROM ent WHERE type = 'character' GROUP BY 1)"
+    if scope == "character":
+        nodes = f"""ne AS (SELECT DISTINCT sv.doc_id, CASE WHEN source = slug THEN target ELSE source END AS slug FROM sv JOIN sd ON sd.doc_id = sv.doc_id AND (source = slug OR target = slug) WHERE source <> target),
+nr AS (SELECT ne.doc_id, ne.slug, mention_count FROM ne JOIN ent ON ent.doc_id = ne.doc_id AND ent.slug = ne.slug QUALIFY row_number() OVER (PARTITION BY ne.doc_id ORDER BY mention_count DESC, ne.slug) <= {limit - 1}),
+n0 AS (SELECT * FROM nr UNION ALL SELECT sd.doc_id, sd.slug, mention_count FROM sd JOIN ent ON ent.doc_id = sd.doc_id AND ent.slug = sd.slug)"""
+    else:
+        nodes = f"n0 AS (SELECT doc_id, slug, mention_count FROM ent WHERE {pool} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY mention_count DESC, slug) <= {limit})"
+    gate = f"(vc < {chapter} OR valid_at <= {paragraph})" if paragraph else "true"
+    kinds = {"chapter": "memory_type IN ('chapter', 'theme_arc', 'character_arc')", "passage": "memory_type IN ('episode', 'chapter')"}.get(scope, "true")
+    own = "EXISTS (SELECT 1 FROM sd WHERE sd.doc_id = me.doc_id AND list_contains(entity_ids, sd.slug))" if scope == "character" else f"chapter_index <= {chapter}"
+    return f"""{seen}, {seed}, {nodes},
+nd AS (SELECT doc_id, 'node' AS kind, slug AS key, mention_count::DOUBLE AS value, row_number() OVER (PARTITION BY doc_id ORDER BY mention_count DESC, slug) AS place FROM n0),
+eg AS (SELECT doc_id, 'edge', source || '|' || target, weight::DOUBLE, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, source, target) AS place FROM sv WHERE {gate}
+  AND EXISTS (SELECT 1 FROM n0 WHERE n0.doc_id = sv.doc_id AND slug = source) AND EXISTS (SELECT 1 FROM n0 WHERE n0.doc_id = sv.doc_id AND slug = target) QUALIFY place <= {max(limit + 6, 12)}),
+cd AS (SELECT doc_id, 'card', memory_id, salience, row_number() OVER (PARTITION BY doc_id ORDER BY salience DESC, memory_id) AS place FROM me WHERE {kinds} AND {own} QUALIFY place <= 8)
+SELECT * FROM nd UNION ALL SELECT * FROM eg UNION ALL SELECT * FROM cd"""
+
+
+def _map(scope, chapter, paragraph, limit):
+    def run(spark, sf_dir):
+        found = G.shared_table(slugged(spark, sf_dir), "names")
+        ents = entities(spark, sf_dir, found)
+        seeds = None
+        if scope == "character":
+            seeds = ents.where("type = 'character'").groupBy("doc_id").agg(F.max_by("slug", F.struct("mention_count", "slug")).alias("slug"))
+        edges = text_edges(spark, sf_dir, found).withColumn("valid_chapter", F.floor((F.col("valid_at") - 1) / 8) + 1).withColumn("valid_paragraph", F.col("valid_at"))
+        nodes, links, cards = M.memory_map(ents, edges, layers(spark, sf_dir, found), scope, chapter, paragraph, seeds, limit)
+        rows = lambda df, kind, key, value: df.select("doc_id", F.lit(kind).alias("kind"), key.alias("key"), F.col(value).cast("double").alias("value"), "place")
+        return rows(nodes, "node", F.col("slug"), "mention_count").unionByName(rows(links, "edge", F.concat_ws("|", "source", "target"), "weight")).unionByName(rows(cards, "card", F.col("memory_id"), "salience"))
+
+    return run
+
+
+for _name, _scope, _args in (("mem_10_memory_map", "chapter", (2, 0, 6)), ("mem_10_map_passage", "passage", (2, 12, 8)), ("mem_10_map_character", "character", (3, 0, 5)), ("mem_10_map_book", "book", (4, 0, 18))):
+    query(_name, f"WITH {_ME}, {_sql_map(_scope, *_args)}")(_map(_scope, *_args))
 
 
 @query("ana_01_wordcloud", f"WITH {EN_CTE} SELECT doc_id, name, mention_count FROM ent WHERE type IN ('character', 'location') AND lower(name) NOT IN ('the', 'and', 'for', 'with', 'that') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY mention_count DESC, name) <= 8")
@@ -144,8 +205,8 @@ w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z''-]{
 u AS (SELECT doc_id, token, 1 + (n - 2) * 0.18::DOUBLE AS weight FROM g WHERE NOT regexp_matches(token, '[{M.BLOCKED_CHARS}]') UNION ALL SELECT doc_id, token, 1.0::DOUBLE FROM w)
 SELECT doc_id, token, {_R3.format('sum(weight)')} AS weight FROM u GROUP BY 1, 2""")
 def ana_02(spark, sf_dir):
-    latin = paragraphs(spark, sf_dir).select("doc_id", "text")
-    g = M.frequent_ngrams(_cjk(spark, sf_dir).select("doc_id", "text").union(latin))
+    bare = F.translate(F.regexp_replace(F.lower("text"), "[^aeioudnst ]", ""), *_ALPHABET)
+    g = M.frequent_ngrams(paragraphs(spark, sf_dir).select("doc_id", F.concat_ws("\n", bare, "text").alias("text")))
     return g.select("doc_id", "token", T.round3(F.col("weight")).alias("weight"))
 
 
@@ -184,16 +245,34 @@ def ana_03(spark, sf_dir):
     return signature_sentences(spark, sf_dir).where("score > 0").withColumn("rank", rank).where("rank <= 3").select("doc_id", "sentence", "score", "rank")
 
 
-@query("ana_04_graph_view", f"""WITH {TE_CTE}, po AS (SELECT * FROM ent QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY mention_count DESC, slug) <= 6),
-eg AS (SELECT te.* FROM te WHERE EXISTS (SELECT 1 FROM po WHERE po.doc_id = te.doc_id AND (slug = source OR slug = target)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, source, target) <= 12)
-SELECT doc_id, source, target, weight FROM eg""")
-def ana_04(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("mention_count"), "slug"))
-    pool = entities(spark, sf_dir).withColumn("k", rank).where("k <= 6").select("doc_id", F.col("slug").alias("node"))
-    touching = G.both_ways(text_edges(spark, sf_dir).withColumn("s", F.col("source")).withColumn("t", F.col("target"))).join(pool, ["doc_id", "node"], "left_semi")
-    edges = touching.select("doc_id", F.col("s").alias("source"), F.col("t").alias("target"), "weight").distinct()
-    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "source", "target"))
-    return edges.withColumn("k", best).where("k <= 12").drop("k")
+def _sql_view(chapter, paragraph, limit, from_chapter, min_weight, max_edges):
+    gate = "true" if chapter is None else f"first_chapter <= {chapter}" if paragraph is None else f"(first_chapter < {chapter} OR (first_chapter = {chapter} AND first_paragraph <= {paragraph}))"
+    rgate = gate.replace("first_chapter", "vc").replace("first_paragraph", "valid_at")
+    inside = "true" if chapter is None else f"list_contains(chapters, {chapter})"
+    listed = "true" if chapter is None else f"vc = {chapter}"
+    edges = f"ef AS (SELECT * FROM e1 WHERE weight >= {min_weight} {f'QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, source, target) <= {max_edges}' if max_edges else ''})"
+    return f"""WITH {TE_CTE}, rv AS (SELECT *, (valid_at - 1) // 8 + 1 AS vc FROM te), sh AS (SELECT * FROM rv WHERE {rgate} AND {listed} AND vc >= {from_chapter}),
+po AS (SELECT doc_id, slug FROM ent WHERE {gate} AND {inside} AND last_chapter >= {from_chapter} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY mention_count DESC, slug) <= {max(6, limit)}),
+ch AS (SELECT DISTINCT doc_id, slug FROM (SELECT * FROM po UNION ALL SELECT doc_id, source FROM sh UNION ALL SELECT doc_id, target FROM sh)),
+nd AS (SELECT ch.doc_id, ch.slug, mention_count FROM ch JOIN ent ON ent.doc_id = ch.doc_id AND ent.slug = ch.slug QUALIFY row_number() OVER (PARTITION BY ch.doc_id ORDER BY mention_count DESC, ch.slug) <= {limit}),
+e1 AS (SELECT * FROM sh WHERE EXISTS (SELECT 1 FROM nd WHERE nd.doc_id = sh.doc_id AND slug = source) AND EXISTS (SELECT 1 FROM nd WHERE nd.doc_id = sh.doc_id AND slug = target)), {edges}
+SELECT doc_id, 'node' AS kind, slug AS key, mention_count AS n FROM nd UNION ALL SELECT doc_id, 'edge', source || '|' || target, weight FROM ef"""
+
+
+def _view(chapter, paragraph, limit, from_chapter, min_weight, max_edges):
+    def run(spark, sf_dir):
+        found = G.shared_table(slugged(spark, sf_dir), "names")
+        at = F.floor((F.col("valid_at") - 1) / 8) + 1
+        rel = text_edges(spark, sf_dir, found).withColumn("valid_chapter", at).withColumn("valid_paragraph", F.col("valid_at")).withColumn("chapter_index", at)
+        nodes, edges = G.view(entities(spark, sf_dir, found), rel, chapter, paragraph, limit, from_chapter, min_weight, max_edges)
+        a = nodes.select("doc_id", F.lit("node").alias("kind"), F.col("slug").alias("key"), F.col("mention_count").alias("n"))
+        return a.unionByName(edges.select("doc_id", F.lit("edge").alias("kind"), F.concat_ws("|", "source", "target").alias("key"), F.col("weight").alias("n")))
+
+    return run
+
+
+for _name, _args in (("ana_04_graph_view", (2, None, 6, 0, 0, 0)), ("ana_04_view_paragraph", (2, 12, 8, 1, 0, 5)), ("ana_04_view_book", (None, None, 10, 2, 2, 12))):
+    query(_name, _sql_view(*_args))(_view(*_args))
 
 
 @query("ana_05_graph_heads", f"WITH {ED_CTE} SELECT signature, weight, valid_at FROM sup ORDER BY f, signature LIMIT 100")
@@ -257,7 +336,9 @@ def ui_02(spark, sf_dir):
     return g.select("doc_id", F.col("source").alias("node")).union(g.select("doc_id", "target")).distinct()
 
 
-@query("ui_03_inline_ranges")
+@query("ui_03_inline_ranges", f"""WITH {M_CTE}, r AS (SELECT DISTINCT m.doc_id, m.paragraph_index, instr(text, name) - 1 AS a, instr(text, name) - 1 + length(name) AS b FROM m JOIN p ON p.doc_id = m.doc_id AND p.paragraph_index = m.paragraph_index),
+f AS (SELECT doc_id, paragraph_index, min((a, b)) AS x FROM r GROUP BY 1, 2), s AS (SELECT r.doc_id, r.paragraph_index, min((a, b)) AS x FROM r JOIN f ON f.doc_id = r.doc_id AND f.paragraph_index = r.paragraph_index WHERE a >= f.x[2] GROUP BY 1, 2)
+SELECT doc_id, paragraph_index, CAST(x[1] AS BIGINT) AS start, CAST(x[2] AS BIGINT) AS "end" FROM (SELECT * FROM f UNION ALL SELECT * FROM s)""")
 def ui_03(spark, sf_dir):
     """Where the names of a paragraph stand in it, as ranges that don't overlap, two at most: a fold over the ordered ranges."""
     m = slugged(spark, sf_dir).join(_texts(spark, sf_dir), ["doc_id", "paragraph_index"])

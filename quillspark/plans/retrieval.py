@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import graph as G
 from quillspark.operators import retrieval as R
-from quillspark.plans.graphs import EN_CTE, TE_CTE, entities, episodes, text_edges
+from quillspark.plans.graphs import EN_CTE, TE_CTE, entities, episodes, slugged, text_edges
 from quillspark.plans.registry import query
 from quillspark.plans.views import M_CTE, P_CTE, paragraphs, table
 
@@ -104,9 +104,12 @@ rr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, cha
 
 
 def retrieval(spark, sf_dir, **options):
-    texts = paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", "text")
-    eps = episodes(spark, sf_dir).join(texts, ["doc_id", "paragraph_index"])
-    return R.GraphRetrieval(eps, entities(spark, sf_dir), text_edges(spark, sf_dir), QUERY, 2, 12, **options)
+    """Names are found once and stored; episodes, entities and edges are made of them. Only paragraphs within the gate give their texts."""
+    found = G.shared_table(slugged(spark, sf_dir), "names")
+    texts = paragraphs(spark, sf_dir).where(G.visible(F.col("chapter_index"), F.col("paragraph_index"), 2, 12)).select("doc_id", "paragraph_index", "text")
+    seen = episodes(spark, sf_dir, found.where(G.visible(F.col("chapter_index"), F.col("paragraph_index"), 2, 12)))
+    eps = G.shared_table(seen.join(texts, ["doc_id", "paragraph_index"]), "episodes")
+    return R.GraphRetrieval(eps, entities(spark, sf_dir, found), text_edges(spark, sf_dir, found), QUERY, 2, 12, **options)
 
 
 def _hits(df):

@@ -117,3 +117,37 @@ def clean_body(text: Column, markers: list[str], fewest: int = 2) -> Column:
     cut = F.array_position(marked, True)
     kept = F.when(cut > 0, F.slice(lines, F.lit(1), F.greatest(cut.cast("int") - 1, F.lit(0)))).otherwise(lines)
     return F.array_join(F.filter(kept, lambda x: F.length(x) >= fewest), "\n")
+
+
+def resolve_inputs(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
+    """(path, length) of the inputs: files as they are named, folders as their .txt and .json files (any case), sorted by path; contents are not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    out = None
+    for one in paths:
+        files = path(one).getFileSystem(spark._jsc.hadoopConfiguration())
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(one).select("path", "length")
+        if files.getFileStatus(path(one)).isDirectory():
+            found = found.where(F.lower("path").rlike(r"\.(txt|json)$"))
+        out = found if out is None else out.unionByName(found)
+    return (out if out is not None else spark.createDataFrame([], "path string, length long")).orderBy("path")
+
+
+PROBE = "id string, persona string, prompt string, target_dims array<string>, note string"
+
+
+def read_probes(spark: SparkSession, path: str, schema: str = PROBE) -> DataFrame:
+    """Style probes, one JSON line each; a persona that a line lacks is its file's name."""
+    rows = read_jsonl(spark, path, schema).select("*", F.regexp_extract("_metadata.file_name", r"^(.*)\.jsonl$", 1).alias("file"))
+    return rows.withColumn("persona", F.coalesce("persona", "file")).drop("file")
+
+
+CONDITIONS = ("neutral", "style_only", "thinking_only", "full", "wrong_persona")
+
+
+def system_prompts(packs: DataFrame, neutral: str, hint: str) -> DataFrame:
+    """packs (persona, body, thinking_body, style_prompt, other: whose body the wrong persona has) -> (persona, condition, prompt), five conditions a persona."""
+    other = packs.select(F.col("persona").alias("other"), F.col("body").alias("other_body"))
+    rows = packs.join(other, "other", "left")
+    texts = {"full": F.concat("body", F.lit("\n\n")), "thinking_only": F.concat("thinking_body", F.lit("\n\n")), "style_only": F.col("style_prompt"), "neutral": F.lit(neutral), "wrong_persona": F.concat("other_body", F.lit("\n\n"))}
+    prompts = F.array(*[F.struct(F.lit(c).alias("condition"), F.concat(texts[c], F.lit(hint)).alias("prompt")) for c in CONDITIONS])
+    return rows.select("persona", F.inline(prompts))

@@ -1,16 +1,20 @@
 """Operators that SQL can't express against plain Python, and properties that hold for all inputs."""
 
 import io
+import json
+import os
 import random
 import re
+import urllib.error
 import zipfile
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import chunks, entities, evaluation, graph, relations, retrieval, segments
-from quillspark.sources import models, readers, stores
+from quillspark.operators import answers, chunks, entities, evaluation, graph, memory, prompts, relations, retrieval, segments
+from quillspark.sources import models, readers, settings, stores
 from quillspark.streaming import incremental
 
 
@@ -330,3 +334,342 @@ def test_windows_over_a_stream(spark, tmp_path):
     q = incremental.tumbling_counts(stream, "1 day", "1 hour").writeStream.outputMode("complete").format("memory").queryName("tumbling").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("tumbling").collect())) == sorted(map(tuple, incremental.tumbling_counts(e, "1 day").collect()))
+
+
+# rules of answers, memory, graph views and evaluation
+
+
+def test_generations_take_the_shortest_way_and_leave_cycles_out(spark):
+    edges = [(1, 2), (2, 3), (1, 3), (3, 4), (8, 9), (9, 8), (4, 3), (None, 5), (5, None)]
+    got = {r.node: r.generation for r in graph.generations(spark, spark.createDataFrame(edges, "parent long, child long")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 2}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(12)], "parent long, child long")
+    assert {r.node: r.generation for r in graph.generations(spark, chain).collect()} == {k: k for k in range(13)}
+
+
+def test_strip_takes_all_white_space(spark):
+    texts = ["　 a b \n", " x ", "\x85\x1fy", "", "\t", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.strip("t")).collect()]
+    assert got == [None if t is None else regex.sub(r"^[\p{White_Space}]+|[\p{White_Space}]+$", "", t) for t in texts]
+
+
+def test_candidate_names(spark):
+    t = "When Anna met Bob_x and Zoë, Anna said Hi to Chapter Carl. The Dan2 Eve Fay Gus Hal"
+    assert spark.createDataFrame([(t,)], "t string").select(T.candidate_names("t")).first()[0] == ["Anna", "Carl", "Eve", "Fay", "Gus"]
+
+
+def test_frequent_ngrams_stop_at_cuts_and_blocked_characters(spark):
+    run = "山水" * 45  # 90 characters: cut after 80
+    rows = [(1, "山水的月心 It's it's ab"), (2, run)]
+    got = {(r.doc_id, r.token): r.weight for r in memory.frequent_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: w for (d, t), w in got.items() if d == 1} == {"山水": 1.0, "月心": 1.0, "it's": 2.0}
+    want = {}
+    for part in (run[:80], run[80:]):
+        for n in (2, 3, 4):
+            for i in range(len(part) - n + 1):
+                want[part[i : i + n]] = want.get(part[i : i + n], 0) + 1 + (n - 2) * 0.18
+    assert {t: w for (d, t), w in got.items() if d == 2} == pytest.approx(want)
+
+
+def test_anti_spoiler_expectations(spark):
+    rows = [
+        ("refuse_future_plot", False, "question_requests_future_plot", "no", True), ("refuse_future_plot", True, "ok", "x", False), ("refuse_future_plot", False, "other", "x", False),
+        ("answer_within_boundary", True, "ok", "x", True), ("acknowledge_uncertainty", True, "ok", " \n", False), ("reflect_on_known_text_only", True, "ok", None, False), ("something", True, "ok", "x", False),
+    ]
+    df = spark.createDataFrame(rows, "e string, safe boolean, reason string, answer string, want boolean")
+    c = F.col
+    assert all(r[0] == r[1] for r in df.select(evaluation.anti_spoiler_met(c("e"), c("safe"), c("reason"), c("answer")), "want").collect())
+
+
+def test_dissociation(spark):
+    rows = [("a", "thinking", 0.1, 0.12, 0.6, 0.7), ("a", "style", 1.0, 2.0, 1.2, 2.2), ("b", "thinking", 0.1, 0.5, 0.6, 0.7), ("b", "style", 1.0, 2.0, 1.9, 0.9), ("c", "style", 1.0, 2.0, 1.0, 2.0)]
+    means = spark.createDataFrame(rows, "p string, axis string, neutral double, style_only double, thinking_only double, full double")
+    got = {r.p: tuple(r)[1:] for r in evaluation.dissociation(means, "p").collect()}
+    assert got["a"] == (True, True, True, True, True)
+    assert got["b"] == (False, False, True, False, False)
+    assert got["c"] == (True, True, False, None, False)
+
+
+def plain_span(anchor, text):
+    """Anchor, setup and end by plain Python."""
+    bare = lambda s: "".join(c for c in s if c.isalnum())
+    at = text.find(anchor) if anchor and anchor in text else -1
+    if at < 0 and len(bare(anchor)) >= 5:
+        places = [i for i, c in enumerate(text) if c.isalnum()]
+        j = bare(text).find(bare(anchor))
+        at = places[j] if j >= 0 else -1
+    if at < 0:
+        return None
+    lo = max(0, at - 260)
+    ends = [lo + k + 1 for k, c in enumerate(text[lo:at]) if c in evaluation.SENTENCE_ENDS + "\n"]
+    hi = min(len(text), at + 220)
+    nxt = next((hi + k + 1 for k, c in enumerate(text[hi:]) if c in evaluation.SENTENCE_ENDS), len(text))
+    return at, 0 if lo == 0 else ends[0] if ends else lo, min(nxt, at + 300)
+
+
+def test_span_location(spark):
+    body = "".join(f"第{i}句话说到山水人心。" for i in range(60))
+    rows = [(1, "第31句", body), (2, "第 31 句，话说", body), (3, "第31，", body[:250] + body), (4, "第31！句", "没有"), (5, "", body), (6, "tail end", "x" * 500 + " tail end " + "y" * 400), (7, "a.b", "axb")]
+    df = spark.createDataFrame(rows, "k long, anchor string, text string").withColumn("at", evaluation.anchor_at(F.col("anchor"), F.col("text")))
+    got = {r.k: (r.at, r.s, r.e) for r in df.where("at >= 0").select("k", "at", evaluation.setup_start(F.col("text"), F.col("at")).alias("s"), evaluation.passage_end(F.col("text"), F.col("at")).alias("e")).collect()}
+    assert got == {k: want for k, a, t in rows if (want := plain_span(a, t))}
+
+
+def test_evidence_needs_four_characters(spark):
+    docs = spark.createDataFrame([(1, "她说：“山水，人心！”"), (2, "abc-def")], "doc_id long, text string").select("doc_id", evaluation.normalized("text").alias("bare"))
+    items = spark.createDataFrame([(1, "山水人心"), (2, "山水人"), (3, "c d e f"), (4, "Cdef")], "item_id long, text string").select("item_id", evaluation.normalized("text").alias("needle"))
+    for most in (100, 1):
+        assert {r.item_id: r.n_docs for r in evaluation.verify_evidence(docs, items, most, least=4).collect()} == {1: 1, 3: 1}
+
+
+def test_inline_bubbles(spark):
+    chunks = spark.createDataFrame([(1, k, f"book-c001-p{k}", f"paragraph {k} text") for k in (1, 2, 11)] + [(2, 1, "b2-p1", "only one")], "doc_id long, ord long, chunk_id string, text string")
+    items = [
+        (1, 1, " p1 ", "graph 1", "123456789", "x" * 80, "theme", "question"), (1, 2, "book-c001-p2", "paragraph 2", None, "fine", "loud", None), (1, 3, "p9", "x", "l", "c", None, None),
+        (1, 4, "p11", "paragraph 11", "l", "c", None, None),  # beyond three items, good or not
+        *[(2, i, "p1", "only" if i != 2 else "nope", "", " ok ", None, "angry") for i in range(1, 7)],
+    ]
+    df = spark.createDataFrame(items, "doc_id long, i long, chunk_id string, anchor_text string, label string, comment string, emphasis string, bubble_type string")
+    got = sorted(tuple(r) for r in answers.inline_bubbles(df, chunks).collect())
+    assert got[:2] == [
+        (1, "bubble-book-c001-p2-2", "book-c001-p2", "paragraph 2", answers.NO_LABEL, "fine", "detail", "detail", "page-salience-policy"),
+        (1, "bubble-p1-1", "p1", "graph 1", "12345678", "x" * 60, "theme", "question", "page-salience-policy"),
+    ]
+    assert [r[1] for r in got[2:]] == [f"bubble-p1-{i}" for i in (1, 3, 4, 5)] and {r[7:] for r in got[2:]} == {("detail", "selected-passage")}
+
+
+def test_question_branches_and_retrieval(spark):
+    asked = spark.createDataFrame([(1, 7, "who is Anna anna", True), (2, 7, "nothing here", True), (3, 7, "the ending of Anna", False)], "k long, doc_id long, question string, safe boolean")
+    chunks = spark.createDataFrame([(7, 1, "Anna is here. Anna!"), (7, 2, "is it"), (8, 1, "Anna")], "doc_id long, paragraph_index long, text string")
+    found = answers.retrieve(asked, chunks, ["k"])
+    assert {(r.k, r.paragraph_index): r.score for r in found.collect()} == {(1, 1): 1.5, (1, 2): 0.7071, (2, 1): 0.5, (3, 1): 0.5}
+    got = {r.k: (r.branch, r.n_contexts, r.confidence) for r in answers.question_branches(asked.select("k", "safe"), found.where("k <> 2"), ["k"]).collect()}
+    assert got == {1: ("answer", 2, None), 2: ("no_context", 0, 0.0), 3: ("spoiler_refusal", 1, 1.0)}
+
+
+def test_summary_inputs(spark):
+    chunks = spark.createDataFrame([(1, 1, k, f" t{k} " if k != 2 else "  ") for k in range(1, 12)], "doc_id long, chapter_index long, paragraph_index long, text string")
+    facts = spark.createDataFrame([(1, c, k, f"a{k}", "KNOWS", "b", "f") for c in (1, 2) for k in range(1, 10)], "doc_id long, chapter_index long, rank long, source string, relation_type string, target string, fact string")
+    got = [(r.place, r.kind, r.text) for r in answers.summary_inputs(chunks, facts).orderBy("place").collect()]
+    assert got == [(k + 1, "chunk", f"t{n}") for k, n in enumerate([1, 3, 4, 5, 6, 7, 8, 9])] + [(8 + k, "fact", f"事实：a{k} --[KNOWS]--> b：f") for k in range(1, 5)]
+
+
+def test_index_status(spark):
+    rows = [(1, True, 3, "ready"), (2, False, None, "none"), (3, True, 0, "no_endpoint"), (4, True, 2, "failed: 503")]
+    got = {r.doc_id: (r.status, r.reasons) for r in memory.index_status(spark.createDataFrame(rows, "doc_id long, has_graph boolean, n_entities long, embedding string")).collect()}
+    assert got == {1: ("ready", []), 2: ("degraded", [memory.NO_GRAPH, memory.NO_EMBEDDING, memory.NO_ENTITIES]), 3: ("degraded", [memory.NO_ENDPOINT, memory.NO_ENTITIES]), 4: ("degraded", ["embedding API failed: 503"])}
+
+
+def _small_graph(spark):
+    ents = [(1, "a", 9, 1, 1, 3, [1, 3]), (1, "b", 5, 1, 4, 1, [1]), (1, "c", 7, 2, 9, 2, [2]), (1, "d", 1, 2, 12, 2, [2]), (1, "e", 8, 3, 20, 3, [3])]
+    entities = spark.createDataFrame(ents, "doc_id long, slug string, mention_count long, first_chapter long, first_paragraph long, last_chapter long, chapters array<long>")
+    rels = [(1, "a", "b", 2, 1, 4, 1), (1, "a", "c", 5, 2, 9, 2), (1, "c", "d", 1, 2, 12, 2), (1, "a", "e", 9, 3, 20, 3)]
+    return entities, spark.createDataFrame(rels, "doc_id long, source string, target string, weight long, valid_chapter long, valid_paragraph long, chapter_index long")
+
+
+def test_graph_view_scopes(spark):
+    entities, relations = _small_graph(spark)
+    keys = lambda df: sorted(tuple(r) for r in df.collect())
+    nodes, edges = graph.view(entities, relations, 2, None, limit=3)
+    assert keys(nodes.select("slug")) == [("a",), ("c",), ("d",)]  # the end of a relation comes in
+    assert keys(edges.select("source", "target")) == [("a", "c"), ("c", "d")]
+    nodes, edges = graph.view(entities, relations, 2, None, limit=2)
+    assert keys(nodes.select("slug")) == [("a",), ("c",)] and keys(edges.select("source", "target")) == [("a", "c")]  # and the least mentioned goes
+    nodes, edges = graph.view(entities, relations, 2, 10, limit=18)
+    assert keys(edges.select("source", "target")) == [("a", "c")]
+    nodes, edges = graph.view(entities, relations, None, limit=10, min_weight=2, max_edges=2)
+    assert keys(edges.select("source", "target")) == [("a", "c"), ("a", "e")] and nodes.count() == 5
+    nodes, edges = graph.view(entities, relations, None, limit=10, from_chapter=2)
+    assert keys(edges.select("source", "target")) == [("a", "c"), ("a", "e"), ("c", "d")] and keys(nodes.select("slug")) == [("a",), ("c",), ("d",), ("e",)]
+
+
+def test_memory_map_scopes(spark):
+    entities, edges = _small_graph(spark)
+    cards = [(1, "chapter::001", "chapter", 1, ["a"], 0.4), (1, "episode::9", "episode", 2, ["c"], 0.9), (1, "character::a", "character_arc", 3, ["a"], 0.7), (1, "theme::x", "theme_arc", 1, [], 0.2)]
+    memories = spark.createDataFrame(cards, "doc_id long, memory_id string, memory_type string, chapter_index long, entity_ids array<string>, salience double")
+    keys = lambda df, *c: [tuple(r) for r in df.orderBy("place").select(*c).collect()]
+
+    def run(scope, chapter, paragraph=0, limit=18, seeds=None):
+        n, e, c = memory.memory_map(entities, edges, memories, scope, chapter, paragraph, seeds, limit)
+        return keys(n, "slug"), keys(e, "source", "target"), keys(c, "memory_id")
+
+    assert run("chapter", 2) == ([("a",), ("c",), ("d",)], [("a", "c"), ("c", "d")], [("chapter::001",), ("theme::x",)])
+    assert run("passage", 2, 9) == ([("a",), ("c",), ("b",)], [("a", "c"), ("a", "b")], [("episode::9",), ("chapter::001",)])
+    assert run("book", 3, limit=2)[0] == [("a",), ("e",)]
+    seeds = spark.createDataFrame([(1, "c")], "doc_id long, slug string")
+    assert run("character", 2, limit=2, seeds=seeds) == ([("a",), ("c",)], [("a", "c")], [("episode::9",)])
+
+
+def test_graph_stats(spark):
+    episodes = spark.createDataFrame([(1, 1, 1, ["a", "b"]), (1, 1, 2, ["a"]), (1, 2, 9, ["c"])], "doc_id long, chapter_index long, paragraph_index long, names array<string>")
+    ents = spark.createDataFrame([(1, s, "character" if s < "d" else "group", n) for s, n in zip("abcdef", (3, 9, 3, 1, 1, 1))], "doc_id long, slug string, type string, mention_count long")
+    rels = spark.createDataFrame([(1, "KNOWS", "x", "active", 1), (1, "OWNS", "x", "invalidated", 1), (1, "KNOWS", "y", "active", 2)], "doc_id long, relation_type string, state_family string, status string, chapter_index long")
+    got = {(r.section, r.name): (r.rank, r.n) for r in graph.stats(episodes, ents, rels).collect()}
+    assert [got["count", k][1] for k in ("chapter_count", "episode_count", "entity_count", "relation_count", "active_relation_count", "invalidated_relation_count", "max_chapter_index", "max_paragraph_index")] == [2, 3, 6, 3, 2, 1, 2, 9]
+    assert [k[1] for k, v in sorted(got.items(), key=lambda x: x[1]) if k[0] == "top_entity"] == ["b", "a", "c", "d", "e"]
+    assert got["top_relation_type", "KNOWS"] == (1, 2) and got["entity_type", "group"] == (0, 3) and got["relation_family", "x"] == (0, 2)
+    assert [got[f"density_{k}", "1"][1] for k in ("episodes", "entities", "relations", "active", "invalidated")] == [2, 2, 2, 1, 1]
+
+
+def test_surface_names_query_equals_plain_python(spark):
+    """EXT-11 over a whole driver table."""
+    from quillspark.plans import catalog
+    from quillspark.plans.views import paragraphs
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables are not here")
+    want = {}
+    for r in paragraphs(spark, sf).collect():
+        names = regex.findall(r"(?<![\p{L}\p{N}_])[A-Z][a-zA-Z]{2,}(?:\s+[A-Z][a-zA-Z]{2,}(?![\p{L}\p{N}_]))?(?![\p{L}\p{N}_])", r.text)
+        names += [x for x in regex.findall("[《“](.{2,8}?)[》”]", r.text) if not regex.search("[，。！？、]", x)]
+        want[r.doc_id, r.paragraph_index] = "|".join(list(dict.fromkeys(names))[:8])
+    assert {(r.doc_id, r.paragraph_index): r.names for r in catalog.QUERIES["ext_11_surface_names"](spark, sf).collect()} == want
+
+
+# stores, clients, loaders
+
+
+def test_memory_index_is_built_once_a_book(spark, tmp_path):
+    built = []
+
+    def build(missing):
+        ids = sorted(r.doc_id for r in missing.collect())
+        built.append(ids)
+        one = lambda c: spark.createDataFrame([(i, f"{c}{i}") for i in ids], f"doc_id long, {c} string")
+        return {"status": one("status"), "entities": one("name"), "memories": one("title"), "documents": one("text")}
+
+    books = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    stores.ensure_index(spark, str(tmp_path), "v2", books, build)
+    index = stores.ensure_index(spark, str(tmp_path), "v2", books.union(spark.createDataFrame([(3,)], "doc_id long")), build)
+    stores.ensure_index(spark, str(tmp_path), "v2", books, build)
+    assert built == [[1, 2], [3]]
+    assert sorted((r.doc_id, r.status, r.memory_version) for r in index["status"].collect()) == [(i, f"status{i}", "v2") for i in (1, 2, 3)]
+    assert [r.text for r in stores.retrieval_documents(index, 3).collect()] == ["text3"]
+    with pytest.raises(ValueError):
+        stores.save_index({"status": books}, str(tmp_path), "v3")
+
+
+def test_archive_of_graphs_of_other_versions(spark, tmp_path):
+    for name, text in (("now", '{"graph_version": "v2", "memory_version": "v2"}'), ("old", '{"graph_version": "v1", "memory_version": "v2"}'), ("broken", "{"), ("bare", None)):
+        at = tmp_path / "graphs" / name
+        at.mkdir(parents=True)
+        (at / "nodes.json").write_text("{}")
+        if text is not None:
+            (at / "metadata.json").write_text(text)
+    moved = {n: stores.archive_graph(spark, str(tmp_path), n, "v2", "20240101") for n in ("now", "old", "broken", "bare", "none")}
+    assert {n for n, to in moved.items() if to} == {"old", "broken", "bare"}
+    assert sorted(os.listdir(tmp_path / "graphs")) == ["now"] and sorted(os.listdir(tmp_path / "archive/graphs_legacy/20240101")) == ["bare", "broken", "old"]
+
+
+def test_books_graph_and_memory_are_got_or_built(spark, tmp_path):
+    made = []
+
+    def of(name, *more):
+        def build(*below):
+            made.append((name, [sorted(b) for b in below]))
+            return {f"{name}_table": spark.range(3), **{m: spark.range(1) for m in more}}
+
+        return build
+
+    for _ in range(2):
+        got = stores.open_books(spark, str(tmp_path), "v1", of("book"), of("graph", "edges"), of("memory"))
+    assert made == [("book", []), ("graph", [["book_table"]]), ("memory", [["book_table"], ["edges", "graph_table"]])]
+    assert {k: sorted(v) for k, v in got.items()} == {"books": ["book_table"], "graphs": ["edges", "graph_table"], "memory": ["memory_table"]} and got["graphs"]["edges"].count() == 1
+
+
+def test_format_fallback_and_second_credentials(monkeypatch):
+    asked = []
+
+    def make(one):
+        def model(batch):
+            asked.append(one)
+            if one and one["type"] == "json_schema":
+                raise RuntimeError("HTTP 400: response_format json_schema is not supported")
+            return ["ok"] * len(batch)
+
+        return model
+
+    formats = [{"type": "json_schema"}, {"type": "json_object"}, None]
+    assert models.with_formats(make, formats)(["a", "b"]) == ["ok", "ok"] and asked == formats[:2]
+
+    def broken(one):
+        raise RuntimeError("HTTP 500")
+
+    with pytest.raises(RuntimeError, match="500"):
+        models.with_formats(broken, formats)(["a"])
+    for k in ("ENDPOINT", "NAME"):
+        monkeypatch.setenv(f"SECOND_{k}", f"http://second/{k}")
+    assert models.from_environment("FIRST", "SECOND") == models.Runtime("http", "http://second/ENDPOINT", "http://second/NAME", key_from="SECOND_KEY")
+    monkeypatch.setenv("SECOND_DISABLE", "yes")
+    assert models.from_environment("FIRST", "SECOND").provider == "stub"
+
+
+def test_http_chat(monkeypatch):
+    sent = []
+
+    def opener(request, timeout):
+        sent.append((request.full_url, dict(request.header_items()), json.loads(request.data)))
+        content = [{"type": "text", "text": " a "}, {"type": "text", "text": "b"}] if len(sent) == 1 else "c"
+        return io.BytesIO(json.dumps({"choices": [{"message": {"content": content}}]}).encode())
+
+    monkeypatch.setenv("K_KEY", "secret")
+    runtime = models.Runtime("http", "http://host/v1/", "m", key_from="K_KEY")
+    assert models.http_chat(runtime, {"type": "json_object"}, system="s", opener=opener)(["p", "q"]) == ["a b", "c"]
+    url, headers, body = sent[0]
+    assert url == "http://host/v1/chat/completions" and headers["Authorization"] == "Bearer secret" and body["response_format"] == {"type": "json_object"}
+    assert [m["role"] for m in body["messages"]] == ["system", "user"] and "secret" not in repr(runtime)
+
+    def failing(request, timeout):
+        raise urllib.error.HTTPError(request.full_url, 503, "x", {}, io.BytesIO(b"busy"))
+
+    with pytest.raises(RuntimeError, match="HTTP 503: busy"):
+        models.http_chat(runtime, opener=failing)(["p"])
+    with pytest.raises(ValueError):
+        models.content_of({"choices": [{"message": {"content": "  "}}]})
+
+
+def test_inputs_probes_prompts_and_settings(spark, tmp_path):
+    (tmp_path / "in/deep").mkdir(parents=True)
+    for name in ("a.txt", "b.JSON", "c.md", "deep/d.txt"):
+        (tmp_path / "in" / name).write_text("{}")
+    names = lambda df: [r.path.rsplit("/", 1)[1] for r in df.collect()]
+    assert names(readers.resolve_inputs(spark, [f"{tmp_path}/in"])) == ["a.txt", "b.JSON", "d.txt"]
+    assert names(readers.resolve_inputs(spark, [f"{tmp_path}/in"], recursive=False)) == ["a.txt", "b.JSON"]
+    assert names(readers.resolve_inputs(spark, [f"{tmp_path}/in/c.md"])) == ["c.md"] and readers.resolve_inputs(spark, []).count() == 0
+
+    (tmp_path / "anna.jsonl").write_text('{"id": "1", "prompt": "p", "target_dims": ["x"]}\n\n{"id": "2", "persona": "bob", "prompt": "q"}\n')
+    assert [(r.id, r.persona) for r in readers.read_probes(spark, f"{tmp_path}/anna.jsonl").orderBy("id").collect()] == [("1", "anna"), ("2", "bob")]
+
+    packs = spark.createDataFrame([("a", "A", "At", "As", "b"), ("b", "B", "Bt", "Bs", "a")], "persona string, body string, thinking_body string, style_prompt string, other string")
+    got = {(r.persona, r.condition): r.prompt for r in readers.system_prompts(packs, "N", "!").collect()}
+    assert [got["a", c] for c in readers.CONDITIONS] == ["N!", "As!", "At\n\n!", "A\n\n!", "B\n\n!"]
+
+    env = {"B": " ", "C": "kept"}
+    (tmp_path / ".env").write_text("\ufeffA = 'x'\n# B=1\nB=2\nC=3\nno\n=4\n")
+    assert settings.load_settings(f"{tmp_path}/.env", env) == {"A": "x", "B": "2"} and env == {"A": "x", "B": "2", "C": "kept"}
+    assert settings.load_settings(f"{tmp_path}/none", env) == {} and settings.Layout("/r/").graphs == "/r/graphs"
+
+
+def test_prompts(spark):
+    known = spark.createDataFrame([(1, 2, "Bob", "character", ["Bob"], None), (1, 1, "Ann", "character", ["Ann", "Annie"], "a  queen")], "doc_id long, rank long, name string, type string, aliases array<string>, summary string")
+    lines = prompts.known_entity_lines(known, ["doc_id"])
+    assert lines.first()["known"] == ["Ann (character), also Annie: a queen", "Bob (character)"]
+    chunk = "array<struct<chunk_id:string,text:string>>"
+    rows = [(1, "T", [("p1", " one "), ("p2", "two")], ["b1", "b2", " ", "b3", "b4"], None, [])]
+    w = spark.createDataFrame(rows, f"doc_id long, title string, chunks {chunk}, before array<string>, family array<string>, cast array<string>").join(lines, "doc_id")
+    text = prompts.window_prompts(w, ["doc_id"]).first()["prompt"]
+    assert text == "Book:\nT\n\nBefore this:\n- b3\n- b4\n\nDescent:\n- none\n\nWho they are:\n- none\n\nKnown entities:\n- Ann (character), also Annie: a queen\n- Bob (character)\n\nPassages:\n[p1]\none\n\n[p2]\ntwo"
+    one = w.select("doc_id", "title", F.lit("p9").alias("chunk_id"), F.lit("x").alias("text"), "before", "known", "family", "cast")
+    assert prompts.chunk_prompts(one, ["doc_id"], most_known=1).first()["prompt"].endswith("Known entities:\n- Ann (character), also Annie: a queen\n\nPassages:\n[p9]\nx")
+    assert "types: a, b." in prompts.system_prompt(["a", "b"], ["R"])
+
+
+def test_sql_table_functions(spark):
+    from quillspark.functions import sql
+
+    assert set(sql.TABLES) < set(sql.register(spark))
+    assert [tuple(r) for r in spark.sql("SELECT * FROM quill_paragraphs(' a \\n\\n b')").collect()] == [(1, "a"), (2, "b")]
+    spark.createDataFrame([(1, "abcd"), (2, "a"), (3, None)], "k long, t string").createOrReplaceTempView("quill_texts")
+    assert [tuple(r) for r in spark.sql("SELECT k, n.position, n.ngram FROM quill_texts, LATERAL quill_ngrams(t, 3) n ORDER BY 1, 2").collect()] == [(1, 1, "abc"), (1, 2, "bcd")]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM quill_windows(array('a', 'b', 'c'), 2, 2)").collect()] == [(1, ["a", "b"]), (2, ["c"])]
