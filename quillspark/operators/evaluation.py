@@ -176,3 +176,41 @@ def passage_end(text: Column, at: Column, want: int = 220, more: int = 80) -> Co
     high = F.least(F.length(text), at + want)
     nxt = F.regexp_instr(F.substring(text, high + 1, F.length(text)), F.lit(f"[{SENTENCE_ENDS}]"))
     return F.least(F.when(nxt > 0, high + nxt).otherwise(F.length(text)), at + want + more)
+
+
+def highlight_met(errors: Column, safe: Column, answer: Column, expected: Column, got: Column) -> Column:
+    """Whether a sample without schema errors got a safe answer that says something, from passages that include all that were expected."""
+    return (F.size(errors) == 0) & safe & (T.strip(F.coalesce(answer, F.lit(""))) != "") & (F.size(F.array_except(expected, got)) == 0)
+
+
+def phrases(text: Column, expected: Column, forbidden: Column) -> tuple[Column, Column, Column]:
+    """(missing, leaked, passed): expected phrases that a text lacks and forbidden ones that it has, letter for letter; null lists are empty."""
+    none = F.array().cast("array<string>")
+    missing = F.filter(F.coalesce(expected, none), lambda p: ~F.contains(text, p))
+    leaked = F.filter(F.coalesce(forbidden, none), lambda p: F.contains(text, p))
+    return missing, leaked, (F.size(missing) == 0) & (F.size(leaked) == 0)
+
+
+def mcq_items(votes: DataFrame, keys: list[str]) -> DataFrame:
+    """votes (keys, condition, run, choice or null, correct) -> (keys, condition, n_valid, acc, majority, majority_correct): of equally frequent choices the one chosen first."""
+    n = votes.groupBy(*keys, "condition", "correct").agg(F.count("choice").alias("n_valid"), F.count_if(F.col("choice") == F.col("correct")).alias("n_correct"))
+    each = votes.where("choice is not null").groupBy(*keys, "condition", "choice").agg(F.count("*").alias("n"), F.min("run").alias("first"))
+    best = each.groupBy(*keys, "condition").agg(F.max_by("choice", F.struct("n", -F.col("first"))).alias("majority"))
+    rows = n.join(best, [*keys, "condition"], "left")
+    return rows.select(*keys, "condition", "n_valid", T.round3(F.try_divide("n_correct", "n_valid")).alias("acc"), "majority", F.coalesce(F.col("majority") == F.col("correct"), F.lit(False)).alias("majority_correct"))
+
+
+def mcq_summary(items: DataFrame, keys: list[str], baseline: str = "neutral") -> DataFrame:
+    """items as mcq_items() makes them -> (condition, n_items, n_distinctive, acc_all_soft, acc_all_majority, acc_distinctive_majority); an item is distinctive if the baseline's majority is wrong on it."""
+    wrong = items.where((F.col("condition") == baseline) & ~F.col("majority_correct")).select(*keys, F.lit(1).alias("distinctive"))
+    rows = items.join(wrong, keys, "left")
+    right, special = F.col("majority_correct").cast("int"), F.col("distinctive").isNotNull()
+    return rows.groupBy("condition").agg(
+        F.count("*").alias("n_items"), F.count_if(special).alias("n_distinctive"), T.round3(F.avg("acc")).alias("acc_all_soft"), T.round3(F.avg(right)).alias("acc_all_majority"),
+        T.round3(F.avg(F.when(special, right))).alias("acc_distinctive_majority"),
+    )
+
+
+def continuation_means(scores: DataFrame) -> DataFrame:
+    """scores (condition, judge, item, score or null) -> (condition, judge, n_items, n_scored, mean_score): items that a judge left out don't count in its mean."""
+    return scores.groupBy("condition", "judge").agg(F.count("*").alias("n_items"), F.count("score").alias("n_scored"), T.round3(F.avg("score")).alias("mean_score"))

@@ -86,6 +86,46 @@ def layered_memories(chunks: DataFrame, mentions: DataFrame, entities: DataFrame
     return episode.unionByName(chapter).unionByName(character).unionByName(theme)
 
 
+def retrieval_documents(chunks: DataFrame, entities: DataFrame, relations: DataFrame, memories: DataFrame) -> DataFrame:
+    """(doc_id, document_id, source_type, chapter_index, paragraph_index, text): everything that a search may find. chunks (doc_id, chapter_index, paragraph_index, text), entities (doc_id, slug, name, aliases,
+    summary, first_chapter, first_paragraph), relations (doc_id, source, target, fact, valid_chapter, valid_paragraph), memories of layered_memories()."""
+
+    def rows(df: DataFrame, document_id: Column, kind: Column, chapter: str, paragraph: str, text: Column) -> DataFrame:
+        return df.select("doc_id", document_id.alias("document_id"), kind.alias("source_type"), F.col(chapter).cast("long").alias("chapter_index"), F.col(paragraph).cast("long").alias("paragraph_index"), text.alias("text"))
+
+    searchable = F.array_join(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")), F.array(F.coalesce("summary", F.lit("")))), " ")
+    parts = [
+        rows(chunks, F.concat(F.lit("chunk::p"), F.col("paragraph_index").cast("string")), F.lit("book_text"), "chapter_index", "paragraph_index", F.col("text")),
+        rows(entities, F.concat(F.lit("entity::"), "slug"), F.lit("entity"), "first_chapter", "first_paragraph", searchable),
+        rows(relations, F.concat(F.lit("relation::"), "source", F.lit("|"), "target"), F.lit("relation"), "valid_chapter", "valid_paragraph", F.col("fact")),
+        rows(memories, F.col("memory_id"), F.concat(F.lit("memory_"), "memory_type"), "chapter_index", "paragraph_index", F.concat("title", F.lit("\n"), "summary")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def entity_list(entities: DataFrame, terms: list[str], entity_type: str | None = None, chapter: int | None = None) -> DataFrame:
+    """Entities (doc_id, slug, name, aliases, summary, type, mention_count, first_chapter, last_chapter) of a type that have been seen by a chapter and hold any of the terms (in small letters) in name, aliases or
+    summary, with their rank in the book by (mentions, last chapter), ties by name."""
+    text = F.lower(F.array_join(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")), F.array(F.coalesce("summary", F.lit("")))), " "))
+    rows = entities if entity_type is None else entities.where(F.col("type") == entity_type)
+    rows = rows if chapter is None else rows.where(F.col("first_chapter") <= chapter)
+    rows = rows.where(T.any_of([F.contains(text, F.lit(t)) for t in terms])) if terms else rows
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("mention_count"), F.desc("last_chapter"), "slug")).cast("long")
+    return rows.withColumn("rank", rank)
+
+
+def entity_detail(wanted: DataFrame, entities: DataFrame, relations: DataFrame, memories: DataFrame) -> DataFrame:
+    """(doc_id, slug, kind, key, text): of the wanted (doc_id, slug) all relations at either end, by their names, and the memories of their arc; an end that is no entity keeps its id."""
+    names = entities.select("doc_id", "slug", "name")
+    ends = {c: names.select("doc_id", F.col("slug").alias(c), F.col("name").alias(f"{c}_name")) for c in ("source", "target")}
+    around = relations.withColumn("slug", F.explode(F.array_distinct(F.array("source", "target")))).join(wanted, ["doc_id", "slug"], "left_semi")
+    around = around.join(ends["source"], ["doc_id", "source"], "left").join(ends["target"], ["doc_id", "target"], "left")
+    text = F.concat_ws(" ", F.coalesce("source_name", "source"), "relation_type", F.coalesce("target_name", "target"), "status", F.concat(F.lit("p"), F.col("valid_paragraph").cast("string")))
+    told = around.select("doc_id", "slug", F.lit("relation").alias("kind"), F.concat_ws("|", "source", "target").alias("key"), text.alias("text"))
+    arcs = memories.where("memory_type = 'character_arc'").select("doc_id", F.explode("entity_ids").alias("slug"), "memory_id", "summary").join(wanted, ["doc_id", "slug"], "left_semi")
+    return told.unionByName(arcs.select("doc_id", "slug", F.lit("memory").alias("kind"), F.col("memory_id").alias("key"), F.col("summary").alias("text")))
+
+
 # Why an index may be less than ready.
 NO_GRAPH = "graph_missing"
 NO_EMBEDDING = "embedding runtime is not configured"

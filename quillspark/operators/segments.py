@@ -43,41 +43,64 @@ def merge_broken(paragraphs: DataFrame) -> DataFrame:
 
 
 def packets(paragraphs: DataFrame, max_tokens: int = 420, max_paragraphs: int = 4) -> DataFrame:
-    """(doc_id, chapter_index, packet_index, first, last, n, text, n_tokens): greedy packets of each chapter.
+    """(doc_id, chapter_index, packet_index, first, last, n, text, n_tokens): greedy packets of each chapter's paragraphs, which have no white space around.
 
     A paragraph joins the open packet if that stays within both limits, if nothing forces a split, and if the packet ends
     in mid-sentence or has a quote or bracket open. Each step depends on the packet so far, so it is a fold over the chapter's ordered
-    paragraphs; the predicates themselves are made before it, in columns."""
+    paragraphs. All that it looks at adds up from one paragraph to the next (tokens, open pairs) or is the last one's, so it is made before, in columns, and the fold carries numbers alone;
+    texts are put together at the end."""
+    word = "[A-Za-z0-9_]"
+    t = T.strip("text")
     facts = paragraphs.select(
         "doc_id",
         "chapter_index",
         F.struct(
             F.col("paragraph_index").alias("i"),
-            F.col("text").alias("text"),
+            t.alias("text"),
             (T.is_heading("text") | T.is_scene_separator("text") | T.is_topic_shift("text")).alias("forced"),
             T.is_dialogue_start("text").alias("dialogue"),
+            T.ends_like_sentence("text").alias("ends"),
+            (F.regexp_count(t, F.lit(word + "+")) + F.regexp_count(t, F.lit(T.CJK))).alias("tokens"),
+            F.endswith(t, F.lit("-")).alias("hyphen"),
+            (t == "-").alias("dash"),
+            t.rlike("^" + word).alias("opens_word"),
+            t.rlike(word + "-$").alias("cuts_word"),
+            T.count_of(t, '"').cast("int").alias("quotes"),
+            F.array(*[(T.count_of(t, a) - T.count_of(t, z)).cast("int") for a, z in T.PAIRS]).alias("pairs"),
         ).alias("x"),
     )
     ordered = facts.groupBy("doc_id", "chapter_index").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    packet = "struct<first:bigint,last:bigint,n:int,text:string>"
-    start = F.struct(F.array().cast(f"array<{packet}>").alias("done"), F.lit(None).cast(packet).alias("open"))
+    packet = "struct<at:int,n:int,tokens:int,hyphen:boolean,cuts_word:boolean,ends:boolean,quotes:int,pairs:array<int>>"
+    start = F.struct(F.array().cast("array<struct<at:int,n:int,tokens:int>>").alias("done"), F.lit(None).cast(packet).alias("open"), F.lit(1).alias("at"))
 
-    def fresh(x: Column) -> Column:
-        return F.struct(x["i"].alias("first"), x["i"].alias("last"), F.lit(1).alias("n"), x["text"].alias("text"))
+    def packet_of(x: Column, at: Column, n: Column, tokens: Column, cuts: Column, quotes: Column, pairs: Column) -> Column:
+        return F.struct(at.alias("at"), n.alias("n"), tokens.alias("tokens"), x["hyphen"].alias("hyphen"), cuts.alias("cuts_word"), x["ends"].alias("ends"), quotes.alias("quotes"), pairs.alias("pairs"))
+
+    def closed(now: Column) -> Column:
+        return F.struct(now["at"].alias("at"), now["n"].alias("n"), now["tokens"].alias("tokens"))
 
     def step(acc: Column, x: Column) -> Column:
         now = acc["open"]
-        joined = T.join_fragments(now["text"], x["text"])
-        unclosed = T.has_unclosed_pairs(now["text"])
-        fits = (T.token_count(joined) <= max_tokens) & (now["n"] < max_paragraphs) & ~(x["forced"] | (x["dialogue"] & ~unclosed))
-        grow = now.isNotNull() & fits & (~T.ends_like_sentence(now["text"]) | unclosed)
-        grown = F.struct(now["first"].alias("first"), x["i"].alias("last"), (now["n"] + 1).alias("n"), joined.alias("text"))
-        done = F.when(grow | now.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], now))
-        return F.struct(done.alias("done"), F.when(grow, grown).otherwise(fresh(x)).cast(packet).alias("open"))
-
-    folded = ordered.select("doc_id", "chapter_index", F.aggregate("xs", start, step, lambda acc: F.array_append(acc["done"], acc["open"])).alias("ps"))
-    out = folded.select("doc_id", "chapter_index", F.posexplode("ps").alias("pos", "p"))
-    return out.select("doc_id", "chapter_index", (F.col("pos") + 1).cast("long").alias("packet_index"), "p.first", "p.last", F.col("p.n").cast("long").alias("n"), "p.text", T.token_count("p.text").cast("long").alias("n_tokens"))
+        # a word cut by a hyphen at a paragraph's end goes on in the next one: one token, not two
+        tokens = now["tokens"] + x["tokens"] - F.when(now["hyphen"] & now["cuts_word"] & x["opens_word"], 1).otherwise(0)
+        unclosed = (now["quotes"] % 2 == 1) | F.exists(now["pairs"], lambda d: d > 0)
+        fits = (F.greatest(F.lit(1), tokens) <= max_tokens) & (now["n"] < max_paragraphs) & ~(x["forced"] | (x["dialogue"] & ~unclosed))
+        grow = now.isNotNull() & fits & (~now["ends"] | unclosed)
+        cuts = F.when(x["dash"], now["hyphen"] & now["cuts_word"]).otherwise(x["cuts_word"])
+        grown = packet_of(x, now["at"], now["n"] + 1, tokens, cuts, now["quotes"] + x["quotes"], F.zip_with(now["pairs"], x["pairs"], lambda p, q: p + q))
+        fresh = packet_of(x, acc["at"], F.lit(1), x["tokens"], x["cuts_word"], x["quotes"], x["pairs"])
+        done = F.when(grow | now.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], closed(now)))
+        return F.struct(done.alias("done"), F.when(grow, grown).otherwise(fresh).cast(packet).alias("open"), (acc["at"] + 1).alias("at"))
+
+    def text_of(p: Column) -> Column:
+        part = lambda x: F.when(x["hyphen"], F.substring(x["text"], F.lit(1), F.length(x["text"]) - 1)).otherwise(F.concat(x["text"], F.lit(" ")))
+        before = F.transform(F.slice("xs", p["at"], p["n"] - 1), part)
+        return F.concat(F.array_join(before, ""), F.element_at("xs", p["at"] + p["n"] - 1)["text"])
+
+    folded = ordered.withColumn("ps", F.aggregate("xs", start, step, lambda acc: F.array_append(acc["done"], closed(acc["open"]))))
+    whole = F.transform("ps", lambda p: F.struct(F.element_at("xs", p["at"])["i"].alias("first"), F.element_at("xs", p["at"] + p["n"] - 1)["i"].alias("last"), p["n"].cast("long").alias("n"), text_of(p).alias("text"), F.greatest(F.lit(1), p["tokens"]).cast("long").alias("n_tokens")))
+    out = folded.select("doc_id", "chapter_index", F.posexplode(whole).alias("pos", "p"))
+    return out.select("doc_id", "chapter_index", (F.col("pos") + 1).cast("long").alias("packet_index"), "p.*")
 
 
 def markdown_sections(lines: DataFrame) -> DataFrame:

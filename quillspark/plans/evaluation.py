@@ -26,10 +26,15 @@ def evl_01(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.size(errors).cast("long").alias("n_errors"), bound.alias("bound_error"))
 
 
-@query("evl_02_highlight_support", f"WITH {P_CTE}, g AS (SELECT doc_id, list(paragraph_index) FILTER (paragraph_index <= 3) AS gold, list(paragraph_index) FILTER (paragraph_index % 2 = 1) AS got FROM p GROUP BY 1) SELECT doc_id, len(list_filter(gold, lambda x: NOT list_contains(got, x))) = 0 AS passed FROM g")
+@query("evl_02_highlight_support", f"""WITH {P_CTE}, g AS (SELECT doc_id, list(paragraph_index) FILTER (paragraph_index <= 3) AS gold, list(paragraph_index) FILTER (paragraph_index % 2 = 1 OR doc_id % 2 = 0) AS got, min_by(text, paragraph_index) AS answer FROM p GROUP BY 1)
+SELECT doc_id, doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND CASE WHEN doc_id % 5 = 0 THEN '' ELSE answer END <> '' AND len(list_filter(gold, lambda x: NOT list_contains(coalesce(got, []), x))) = 0 AS passed FROM g""")
 def evl_02(spark, sf_dir):
-    g = paragraphs(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.when(F.col("paragraph_index") <= 3, F.col("paragraph_index"))).alias("gold"), F.collect_list(F.when(F.col("paragraph_index") % 2 == 1, F.col("paragraph_index"))).alias("got"))
-    return g.select("doc_id", (F.size(F.array_except("gold", "got")) == 0).alias("passed"))
+    """A book's first three paragraphs as gold; some samples break the schema, some answers are refused or blank."""
+    pick = lambda c: F.collect_list(F.when(c, F.col("paragraph_index")))
+    g = paragraphs(spark, sf_dir).groupBy("doc_id").agg(pick(F.col("paragraph_index") <= 3).alias("gold"), pick((F.col("paragraph_index") % 2 == 1) | (F.col("doc_id") % 2 == 0)).alias("got"), F.min_by("text", "paragraph_index").alias("answer"))
+    errors = F.when(F.col("doc_id") % 11 == 0, F.array(F.lit("$.x: missing required field"))).otherwise(F.array().cast("array<string>"))
+    answer = F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.col("answer"))
+    return g.select("doc_id", E.highlight_met(errors, F.col("doc_id") % 7 != 0, answer, F.col("gold"), F.col("got")).alias("passed"))
 
 
 _EXPECTED = ("refuse_future_plot", "answer_within_boundary", "acknowledge_uncertainty", "reflect_on_known_text_only", "praise_the_author")
@@ -48,11 +53,13 @@ def evl_03(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", met.alias("passed"))
 
 
-@query("evl_04_summary_phrases", "SELECT doc_id, contains(lower(text), 'the') AND contains(lower(text), 'of') AND NOT (contains(lower(text), 'idiot') OR contains(lower(text), 'license')) AS passed FROM documents")
+@query("evl_04_summary_phrases", """WITH x AS (SELECT doc_id, text, ['The', 'of', source] AS expected, ['idiot', 'Of the', lang] AS forbidden FROM documents),
+y AS (SELECT doc_id, list_filter(expected, lambda e: NOT contains(text, e)) AS missing, list_filter(forbidden, lambda f: contains(text, f)) AS leaked FROM x)
+SELECT doc_id, array_to_string(missing, ',') AS missing, array_to_string(leaked, ',') AS leaked, len(missing) = 0 AND len(leaked) = 0 AS passed FROM y""")
 def evl_04(spark, sf_dir):
-    low = F.lower("text")
-    expected, forbidden = F.array(F.lit("the"), F.lit("of")), F.array(F.lit("idiot"), F.lit("license"))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.forall(expected, lambda p: F.contains(low, p)) & ~F.exists(forbidden, lambda p: F.contains(low, p))).alias("passed"))
+    expected, forbidden = F.array(F.lit("The"), F.lit("of"), F.col("source")), F.array(F.lit("idiot"), F.lit("Of the"), F.col("lang"))
+    missing, leaked, passed = E.phrases(F.col("text"), expected, forbidden)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(missing, ",").alias("missing"), F.array_join(leaked, ",").alias("leaked"), passed.alias("passed"))
 
 
 def _pairs(spark, sf_dir):
@@ -101,19 +108,38 @@ def evl_09(spark, sf_dir):
     return t.withColumn("shuffle_key", F.substring(F.sha2(F.concat(F.lit("7|"), "task_id"), 256), 1, 16))
 
 
-@query("evl_10_mcq_majority", f"""WITH v AS (SELECT user_id % 40 AS item, event_id % 3 AS condition, event_type AS choice, min(event_id) AS first, count(*) AS n FROM events GROUP BY 1, 2, 3),
-m AS (SELECT item, condition, max_by(choice, (n, -first)) AS majority, CAST(sum(n) FILTER (choice = 'click') AS BIGINT) AS right_n, CAST(sum(n) AS BIGINT) AS total FROM v GROUP BY 1, 2)
-SELECT item, condition, majority, majority = 'click' AS majority_correct, {_R3.format('coalesce(right_n, 0) / total')} AS soft FROM m""")
+_MCQ = f"""v0 AS (SELECT user_id % 40 AS item, ['{"', '".join(_COND)}'][event_id % 5 + 1] AS condition, event_id AS run, CASE WHEN event_id % 7 <> 3 THEN event_type END AS choice, ['click', 'view', 'purchase'][user_id % 3 + 1] AS correct FROM events),
+vn AS (SELECT item, condition, correct, count(choice) AS n_valid, count(*) FILTER (choice = correct) AS n_correct FROM v0 GROUP BY 1, 2, 3),
+ve AS (SELECT item, condition, choice, count(*) AS n, min(run) AS first FROM v0 WHERE choice IS NOT NULL GROUP BY 1, 2, 3),
+vm AS (SELECT item, condition, max_by(choice, (n, -first)) AS majority FROM ve GROUP BY 1, 2),
+mi AS (SELECT vn.item, vn.condition, correct, n_valid, {_R3.format('CASE WHEN n_valid > 0 THEN n_correct / n_valid END')} AS acc, majority, coalesce(majority = correct, false) AS majority_correct FROM vn LEFT JOIN vm ON vm.item = vn.item AND vm.condition = vn.condition)"""
+
+
+def _mcq(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 40).alias("item"), F.get(F.array(*map(F.lit, _COND)), (F.col("event_id") % 5).cast("int")).alias("condition"), F.col("event_id").alias("run"),
+        F.when(F.col("event_id") % 7 != 3, F.col("event_type")).alias("choice"), F.get(F.array(*map(F.lit, ("click", "view", "purchase"))), (F.col("user_id") % 3).cast("int")).alias("correct"),
+    )
+
+
+@query("evl_10_mcq_majority", f"WITH {_MCQ} SELECT item, correct, condition, n_valid, acc, majority, majority_correct FROM mi")
 def evl_10(spark, sf_dir):
-    v = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("item"), (F.col("event_id") % 3).alias("condition"), F.col("event_type").alias("choice")).agg(F.min("event_id").alias("first"), F.count("*").alias("n"))
-    m = v.groupBy("item", "condition").agg(F.max_by("choice", F.struct("n", -F.col("first"))).alias("majority"), F.coalesce(F.sum(F.when(F.col("choice") == "click", F.col("n"))), F.lit(0)).alias("r"), F.sum("n").alias("t"))
-    return m.select("item", "condition", "majority", (F.col("majority") == "click").alias("majority_correct"), T.round3(F.col("r") / F.col("t")).alias("soft"))
+    """Events as votes on the items of their users, some of them void."""
+    return E.mcq_items(_mcq(spark, sf_dir), ["item", "correct"])
+
+
+@query("evl_10_mcq_summary", f"""WITH {_MCQ}, d AS (SELECT item, correct FROM mi WHERE condition = 'neutral' AND NOT majority_correct), x AS (SELECT mi.*, d.item IS NOT NULL AS special FROM mi LEFT JOIN d ON d.item = mi.item AND d.correct = mi.correct)
+SELECT condition, count(*) AS n_items, count(*) FILTER (special) AS n_distinctive, {_R3.format('avg(acc)')} AS acc_all_soft, {_R3.format('avg(majority_correct::INT)')} AS acc_all_majority, {_R3.format('avg(majority_correct::INT) FILTER (special)')} AS acc_distinctive_majority FROM x GROUP BY 1""")
+def evl_10_summary(spark, sf_dir):
+    return E.mcq_summary(E.mcq_items(_mcq(spark, sf_dir), ["item", "correct"]), ["item", "correct"])
 
 
-@query("evl_11_continuation_scores", f"SELECT user_id % 5 AS condition, count(*) AS n, count(*) FILTER (value > 20) AS n_scored, {_R4.format('avg(CASE WHEN value > 20 THEN value END)')} AS mean_score FROM events GROUP BY 1")
+@query("evl_11_continuation_scores", f"""WITH s AS (SELECT user_id % 5 AS condition, CASE WHEN event_id % 2 = 0 THEN 'first' ELSE 'second' END AS judge, CASE WHEN value > 20 THEN least(2, floor(value / 25)) END AS score FROM events)
+SELECT condition, judge, count(*) AS n_items, count(score) AS n_scored, {_R3.format('avg(score)')} AS mean_score FROM s GROUP BY 1, 2""")
 def evl_11(spark, sf_dir):
-    scored = F.when(F.col("value") > 20, F.col("value"))
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("condition")).agg(F.count("*").alias("n"), F.count(scored).alias("n_scored"), T.round4(F.avg(scored)).alias("mean_score"))
+    judge = F.when(F.col("event_id") % 2 == 0, "first").otherwise("second")
+    score = F.when(F.col("value") > 20, F.least(F.lit(2), F.floor(F.col("value") / 25)))
+    return E.continuation_means(table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("condition"), judge.alias("judge"), F.col("event_id").alias("item"), score.alias("score")))
 
 
 _MEANS = ", ".join(f"avg(value) FILTER (event_id % 5 = {k}) AS {c}" for k, c in enumerate(_COND[:4]))

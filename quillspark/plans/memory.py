@@ -9,7 +9,7 @@ from quillspark.functions import text as T
 from quillspark.operators import graph as G
 from quillspark.operators import memory as M
 from quillspark.operators import relations as Rel
-from quillspark.plans.graphs import EN_CTE, TE_CTE, entities, slugged, text_edges
+from quillspark.plans.graphs import _REL, EN_CTE, TE_CTE, entities, slugged, text_edges, text_relations
 from quillspark.plans.registry import query
 from quillspark.plans.relations import ED_CTE, star_relations
 from quillspark.plans.views import M_CTE, P_CTE, paragraphs, table
@@ -102,13 +102,15 @@ def mem_03(spark, sf_dir):
     return _lists(layers(spark, sf_dir, G.shared_table(slugged(spark, sf_dir), "names")))
 
 
-@query("mem_05_retrieval_documents", f"""WITH {TE_CTE} SELECT 'chunk' AS kind, doc_id, 'p' || paragraph_index AS key, text FROM p UNION ALL SELECT 'entity', doc_id, slug, name || ' ' || type FROM ent UNION ALL
-SELECT 'relation', doc_id, source || '|' || target, source || ' SPOKE_WITH ' || target FROM te""")
+@query("mem_05_retrieval_documents", f"""WITH {_ME} SELECT doc_id, 'chunk::p' || paragraph_index AS document_id, 'book_text' AS source_type, chapter_index, paragraph_index, text FROM p UNION ALL
+SELECT doc_id, 'entity::' || slug, 'entity', first_chapter, first_paragraph, name || ' x' || slug || ' ' || upper(slug) || ' ' || type FROM ent UNION ALL
+SELECT doc_id, 'relation::' || source || '|' || target, 'relation', (valid_at - 1) // 8 + 1, valid_at, source || ' SPOKE_WITH ' || target FROM te UNION ALL
+SELECT doc_id, memory_id, 'memory_' || memory_type, chapter_index, paragraph_index, title || chr(10) || summary FROM me""")
 def mem_05(spark, sf_dir):
-    chunk = paragraphs(spark, sf_dir).select(F.lit("chunk").alias("kind"), "doc_id", F.concat(F.lit("p"), "paragraph_index").alias("key"), "text")
-    entity = entities(spark, sf_dir).select(F.lit("entity").alias("kind"), "doc_id", F.col("slug").alias("key"), F.concat_ws(" ", "name", "type").alias("text"))
-    relation = text_edges(spark, sf_dir).select(F.lit("relation").alias("kind"), "doc_id", F.concat_ws("|", "source", "target").alias("key"), F.concat_ws(" ", "source", F.lit("SPOKE_WITH"), "target").alias("text"))
-    return chunk.unionByName(entity).unionByName(relation)
+    found = G.shared_table(slugged(spark, sf_dir), "names")
+    ents = entities(spark, sf_dir, found).withColumn("aliases", F.array(F.concat(F.lit("x"), "slug"), F.upper("slug"))).withColumn("summary", F.col("type"))
+    rel = text_edges(spark, sf_dir, found).selectExpr("doc_id", "source", "target", "concat(source, ' SPOKE_WITH ', target) as fact", "floor((valid_at - 1) / 8) + 1 as valid_chapter", "valid_at as valid_paragraph")
+    return M.retrieval_documents(paragraphs(spark, sf_dir), ents, rel, layers(spark, sf_dir, found))
 
 
 _EMBEDDING = "CASE WHEN doc_id % 4 = 0 THEN 'none' WHEN doc_id % 4 = 1 THEN 'no_endpoint' WHEN doc_id % 8 = 2 THEN 'failed: timeout' ELSE 'ready' END"
@@ -134,21 +136,24 @@ def mem_07(spark, sf_dir):
     return duplicate.unionByName(loose.select(F.lit("dangling").alias("issue"), "key", "n"))
 
 
-@query("mem_08_entity_list", f"WITH {EN_CTE} SELECT doc_id, slug, mention_count, last_chapter, row_number() OVER (PARTITION BY doc_id ORDER BY mention_count DESC, last_chapter DESC, slug) AS rank FROM ent WHERE type = 'character' AND first_chapter <= 3 AND (contains(lower(name), 'er') OR contains(lower(name), 'th'))")
+@query("mem_08_entity_list", f"WITH {EN_CTE} SELECT doc_id, slug, mention_count, last_chapter, row_number() OVER (PARTITION BY doc_id ORDER BY mention_count DESC, last_chapter DESC, slug) AS rank FROM ent WHERE type = 'character' AND first_chapter <= 3 AND (contains(lower(name || ' al-' || slug || ' seen ' || mention_count), 'er') OR contains(lower(name || ' al-' || slug || ' seen ' || mention_count), 'seen 2'))")
 def mem_08(spark, sf_dir):
-    terms = F.array(F.lit("er"), F.lit("th"))
-    e = entities(spark, sf_dir).where("type = 'character' and first_chapter <= 3").where(F.exists(terms, lambda t: F.contains(F.lower("name"), t)))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("mention_count"), F.desc("last_chapter"), "slug")).cast("long")
-    return e.select("doc_id", "slug", "mention_count", "last_chapter", rank.alias("rank"))
+    e = entities(spark, sf_dir).withColumn("aliases", F.array(F.concat(F.lit("Al-"), "slug"))).withColumn("summary", F.concat(F.lit("Seen "), F.col("mention_count").cast("string")))
+    return M.entity_list(e, ["er", "seen 2"], "character", 3).select("doc_id", "slug", "mention_count", "last_chapter", "rank")
 
 
-@query("mem_09_entity_detail", f"""WITH {TE_CTE} SELECT te.doc_id, source, target, weight, a.name AS source_name, b.name AS target_name FROM te LEFT JOIN ent a ON a.doc_id = te.doc_id AND a.slug = source LEFT JOIN ent b ON b.doc_id = te.doc_id AND b.slug = target WHERE weight > 1""")
+@query("mem_09_entity_detail", f"""WITH {_ME}, re AS (SELECT *, {_REL} FROM te), w AS (SELECT doc_id, slug FROM ent WHERE type = 'character' AND mention_count > 1),
+r AS (SELECT re.*, w.slug FROM re JOIN w ON w.doc_id = re.doc_id AND (w.slug = source OR w.slug = target))
+SELECT r.doc_id, r.slug, 'relation' AS kind, source || '|' || target AS key, coalesce(a.name, source) || ' ' || relation_type || ' ' || coalesce(b.name, target) || ' ' || status || ' p' || valid_at AS text
+FROM r LEFT JOIN ent a ON a.doc_id = r.doc_id AND a.slug = source LEFT JOIN ent b ON b.doc_id = r.doc_id AND b.slug = target
+UNION ALL SELECT me.doc_id, w.slug, 'memory', memory_id, summary FROM me JOIN w ON w.doc_id = me.doc_id AND list_contains(entity_ids, w.slug) WHERE memory_type = 'character_arc'""")
 def mem_09(spark, sf_dir):
-    e = entities(spark, sf_dir)
-    a = e.select("doc_id", F.col("slug").alias("source"), F.col("name").alias("source_name"))
-    b = e.select("doc_id", F.col("slug").alias("target"), F.col("name").alias("target_name"))
-    rel = text_edges(spark, sf_dir).where("weight > 1").join(a, ["doc_id", "source"], "left").join(b, ["doc_id", "target"], "left")
-    return rel.select("doc_id", "source", "target", "weight", "source_name", "target_name")
+    """The details of all characters mentioned more than once."""
+    found = G.shared_table(slugged(spark, sf_dir), "names")
+    ents = entities(spark, sf_dir, found)
+    wanted = ents.where("type = 'character' and mention_count > 1").select("doc_id", "slug")
+    rel = text_relations(spark, sf_dir, found).withColumn("valid_paragraph", F.col("valid_at"))
+    return M.entity_detail(wanted, ents, rel, layers(spark, sf_dir, found))
 
 
 def _sql_map(scope, chapter, paragraph, limit):

@@ -86,9 +86,9 @@ def plain_packets(paragraphs, most_tokens, most):
 
 def test_packets_equal_plain_python(spark):
     rng = random.Random(0)
-    pool = ["he went on", "to the sea.", '"Who is', 'there?" she said', "Chapter 3 home", "***", "Later they came", "“开始", "结束”。", "a half-", "way word", "(open", "closed)", "w " * 30]
+    pool = ["he went on", "to the sea.", '"Who is', 'there?" she said', "Chapter 3 home", "***", "Later they came", "“开始", "结束”。", "a half-", "way word", "(open", "closed)", "w " * 30, "-", "cut-", "9lives and 山-", "also -"]
     rows, want = [], {}
-    for doc in range(60):
+    for doc in range(150):
         ps = [rng.choice(pool).strip() for _ in range(rng.randrange(1, 15))]
         rows += [(doc, 1, i, p) for i, p in enumerate(ps, 1)]
         want[doc] = [(a, b, t) for a, b, t, _ in plain_packets(ps, 40, 4)]
@@ -96,6 +96,7 @@ def test_packets_equal_plain_python(spark):
     got = {}
     for r in segments.packets(df, max_tokens=40).orderBy("doc_id", "packet_index").collect():
         got.setdefault(r.doc_id, []).append((r.first, r.last, r.text))
+        assert r.n_tokens == max(1, len(re.findall(r"[A-Za-z0-9_]+", r.text)) + len(re.findall(r"[一-鿿]", r.text))) and r.n == r.last - r.first + 1
     assert got == want
 
 
@@ -673,3 +674,44 @@ def test_sql_table_functions(spark):
     spark.createDataFrame([(1, "abcd"), (2, "a"), (3, None)], "k long, t string").createOrReplaceTempView("quill_texts")
     assert [tuple(r) for r in spark.sql("SELECT k, n.position, n.ngram FROM quill_texts, LATERAL quill_ngrams(t, 3) n ORDER BY 1, 2").collect()] == [(1, 1, "abc"), (1, 2, "bcd")]
     assert [tuple(r) for r in spark.sql("SELECT * FROM quill_windows(array('a', 'b', 'c'), 2, 2)").collect()] == [(1, ["a", "b"]), (2, ["c"])]
+
+
+def test_highlight_and_phrases(spark):
+    rows = [([], True, "yes", [1, 2], [2, 1, 3], True), (["e"], True, "yes", [1], [1], False), ([], False, "yes", [1], [1], False), ([], True, " ", [1], [1], False), ([], True, "yes", [1, 4], [1], False), ([], True, "yes", [], [], True)]
+    df = spark.createDataFrame(rows, "errors array<string>, safe boolean, answer string, gold array<int>, got array<int>, want boolean")
+    c = F.col
+    assert all(r[0] == r.want for r in df.select(evaluation.highlight_met(c("errors"), c("safe"), c("answer"), c("gold"), c("got")), "want").collect())
+    rows = [("Anna met Bob", ["Anna", "bob"], ["Bob", "x"], ["bob"], ["Bob"], False), ("Anna", ["Anna"], None, [], [], True)]
+    df = spark.createDataFrame(rows, "t string, e array<string>, f array<string>, m array<string>, l array<string>, p boolean")
+    missing, leaked, passed = evaluation.phrases(c("t"), c("e"), c("f"))
+    assert all((r[0], r[1], r[2]) == (r.m, r.l, r.p) for r in df.select(missing, leaked, passed, "m", "l", "p").collect())
+
+
+def test_mcq_accuracy(spark):
+    votes = [(1, "neutral", r, c, "A") for r, c in enumerate(["B", "A", "B", None])] + [(1, "full", r, c, "A") for r, c in enumerate(["A", "B", "A"])]
+    votes += [(2, "neutral", r, c, "C") for r, c in enumerate(["C", "D"])] + [(2, "full", 0, None, "C")]  # of C and D the first; no valid vote
+    items = evaluation.mcq_items(spark.createDataFrame(votes, "item long, condition string, run long, choice string, correct string"), ["item"])
+    assert {(r.item, r.condition): tuple(r)[2:] for r in items.collect()} == {(1, "neutral"): (3, 0.333, "B", False), (1, "full"): (3, 0.667, "A", True), (2, "neutral"): (2, 0.5, "C", True), (2, "full"): (0, None, None, False)}
+    got = {r.condition: tuple(r)[1:] for r in evaluation.mcq_summary(items, ["item"]).collect()}
+    assert got == {"neutral": (2, 1, 0.417, 0.5, 0.0), "full": (2, 1, 0.667, 0.5, 1.0)}
+    scores = spark.createDataFrame([("full", "a", 1, 2.0), ("full", "a", 2, None), ("full", "b", 1, None)], "condition string, judge string, item long, score double")
+    assert {tuple(r) for r in evaluation.continuation_means(scores).collect()} == {("full", "a", 2, 1, 2.0), ("full", "b", 1, 0, None)}
+
+
+def test_entity_list_detail_and_documents(spark):
+    ents = spark.createDataFrame(
+        [(1, "ann", "Ann", ["Queen"], "rules", "character", 5, 1, 1, 3), (1, "bob", "Bob", None, None, "character", 5, 2, 9, 2), (1, "sea", "Sea", [], "of ann", "location", 9, 4, 30, 4)],
+        "doc_id long, slug string, name string, aliases array<string>, summary string, type string, mention_count long, first_chapter long, first_paragraph long, last_chapter long",
+    )
+    assert [(r.slug, r.rank) for r in memory.entity_list(ents, ["queen", "bob"]).orderBy("rank").collect()] == [("ann", 1), ("bob", 2)]
+    assert [r.slug for r in memory.entity_list(ents, ["ann"]).orderBy("rank").collect()] == ["sea", "ann"]
+    assert [r.slug for r in memory.entity_list(ents, [], "character", 1).collect()] == ["ann"]
+    rels = spark.createDataFrame([(1, "ann", "bob", "KNOWS", "active", 9, "Ann knows Bob", 2), (1, "bob", "ghost", "SAW", "invalidated", 12, "f", 2), (1, "bob", "bob", "IS", "active", 9, "f", 2)], "doc_id long, source string, target string, relation_type string, status string, valid_paragraph long, fact string, valid_chapter long")
+    mem = spark.createDataFrame([(1, "character::bob", "character_arc", "Bob", "arc of Bob", 2, 9, ["bob"]), (1, "episode::9", "episode", "E", "x", 2, 9, ["bob"])], "doc_id long, memory_id string, memory_type string, title string, summary string, chapter_index long, paragraph_index long, entity_ids array<string>")
+    wanted = spark.createDataFrame([(1, "bob")], "doc_id long, slug string")
+    got = sorted(tuple(r)[2:] for r in memory.entity_detail(wanted, ents, rels, mem).collect())
+    assert got == [("memory", "character::bob", "arc of Bob"), ("relation", "ann|bob", "Ann KNOWS Bob active p9"), ("relation", "bob|bob", "Bob IS Bob active p9"), ("relation", "bob|ghost", "Bob SAW ghost invalidated p12")]
+    chunks_ = spark.createDataFrame([(1, 1, 1, "t")], "doc_id long, chapter_index long, paragraph_index long, text string")
+    docs = {r.document_id: (r.source_type, r.chapter_index, r.paragraph_index, r.text) for r in memory.retrieval_documents(chunks_, ents, rels, mem).collect()}
+    assert docs["chunk::p1"] == ("book_text", 1, 1, "t") and docs["entity::ann"] == ("entity", 1, 1, "Ann Queen rules") and docs["relation::ann|bob"] == ("relation", 2, 9, "Ann knows Bob")
+    assert docs["character::bob"] == ("memory_character_arc", 2, 9, "Bob\narc of Bob") and len(docs) == 9
