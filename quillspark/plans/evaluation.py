@@ -110,9 +110,9 @@ def evl_09(spark, sf_dir):
 
 _MCQ = f"""v0 AS (SELECT user_id % 40 AS item, ['{"', '".join(_COND)}'][event_id % 5 + 1] AS condition, event_id AS run, CASE WHEN event_id % 7 <> 3 THEN event_type END AS choice, ['click', 'view', 'purchase'][user_id % 3 + 1] AS correct FROM events),
 vn AS (SELECT item, condition, correct, count(choice) AS n_valid, count(*) FILTER (choice = correct) AS n_correct FROM v0 GROUP BY 1, 2, 3),
-ve AS (SELECT item, condition, choice, count(*) AS n, min(run) AS first FROM v0 WHERE choice IS NOT NULL GROUP BY 1, 2, 3),
-vm AS (SELECT item, condition, max_by(choice, (n, -first)) AS majority FROM ve GROUP BY 1, 2),
-mi AS (SELECT vn.item, vn.condition, correct, n_valid, {_R3.format('CASE WHEN n_valid > 0 THEN n_correct / n_valid END')} AS acc, majority, coalesce(majority = correct, false) AS majority_correct FROM vn LEFT JOIN vm ON vm.item = vn.item AND vm.condition = vn.condition)"""
+ve AS (SELECT item, correct, condition, choice, count(*) AS n, min(run) AS first FROM v0 WHERE choice IS NOT NULL GROUP BY 1, 2, 3, 4),
+vm AS (SELECT item, correct, condition, max_by(choice, (n, -first)) AS majority FROM ve GROUP BY 1, 2, 3),
+mi AS (SELECT vn.item, vn.condition, vn.correct, n_valid, {_R3.format('CASE WHEN n_valid > 0 THEN n_correct / n_valid END')} AS acc, majority, coalesce(majority = vn.correct, false) AS majority_correct FROM vn LEFT JOIN vm ON vm.item = vn.item AND vm.correct = vn.correct AND vm.condition = vn.condition)"""
 
 
 def _mcq(spark, sf_dir):
