@@ -312,7 +312,8 @@ def test_model_runtime(spark):
 # streaming
 
 
-def test_incremental_build_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [0, 2])
+def test_incremental_build_equals_batch(spark, tmp_path, compact_every):
     from quillspark.plans.others import book_state
 
     rng = random.Random(8)
@@ -323,9 +324,12 @@ def test_incremental_build_equals_batch(spark, tmp_path):
     for k in range(0, len(rows), 24):  # out of order, some twice, a file at a time
         spark.createDataFrame(rows[k : k + 24] + rows[:3], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-        incremental.incremental_build(stream, f"{tmp_path}/out", f"{tmp_path}/cp", book_state).awaitTermination()
+        incremental.incremental_build(stream, f"{tmp_path}/out", f"{tmp_path}/cp", book_state, buckets=8, compact_every=compact_every).awaitTermination()
     got = sorted(map(tuple, incremental.derived(spark, f"{tmp_path}/out").select("doc_id", "n_chunks", "last_chapter", "n_chars").collect()))
     assert got == sorted(map(tuple, book_state(whole).select("doc_id", "n_chunks", "last_chapter", "n_chars").collect()))
+    log = incremental.EpochLog(spark, f"{tmp_path}/out/chunks")
+    epochs = [n for n in os.listdir(tmp_path / "out/chunks/epochs") if n.startswith("epoch=")]
+    assert (log.base() >= 1 and len(epochs) <= 1) if compact_every else (log.base() == -1 and len(epochs) >= 3)
 
 
 def test_windows_over_a_stream(spark, tmp_path):
