@@ -3,8 +3,11 @@ partitioning; every limit is per book, through row_number, so that many books ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,20 +183,42 @@ def merge_contexts(local: DataFrame, other: DataFrame) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "paragraph_index")).cast("long"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.try_divide(dot, norm(a) * norm(b))
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 50_000) -> DataFrame:
+    """queries (query_id, q), vectors (vec_id, v) -> (query_id, vec_id, similarity, rank): by cosine, rounded to four places, ties by id; never a vector with itself. Null vectors and those without length find nothing and aren't found.
 
-
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 1000) -> DataFrame:
-    """queries (query_id, q), vectors (vec_id, v) -> (query_id, vec_id, similarity, rank). The stated query set meets all vectors; it is
-    broadcast in blocks of at most ``block_rows`` queries, counted, however many there are."""
-    n = queries.count()
+    The stated query set is broadcast as matrices of at most ``block_rows`` rows, counted; one pass over the vectors a block makes matrix products, and each task hands on the k best of what it has seen."""
+    n, spark = queries.count(), queries.sparkSession
     blocks = max(1, -(-n // block_rows))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, similarity double"
+
+    def unit(lists: pa.Array) -> np.ndarray:
+        m = np.array(lists.to_pylist(), np.float64).reshape(len(lists), -1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def best_of(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            score, at = np.full((len(ids), 0), 0.0), np.empty((len(ids), 0), ids.dtype)
+            for b in (whole.slice(i, 4096) for whole in batches for i in range(0, whole.num_rows, 4096)):
+                own, v = b.column(0).to_numpy(), unit(b.column(1))
+                new = np.floor(q @ v.T * 10000 + 0.5) / 10000
+                new = np.where(np.isnan(new) | (ids[:, None] == own[None, :]), -np.inf, new)
+                score, at = np.hstack([score, new]), np.hstack([at, np.broadcast_to(own, new.shape)])
+                order = np.lexsort((at, -score), axis=1)[:, :k]
+                score, at = np.take_along_axis(score, order, 1), np.take_along_axis(at, order, 1)
+            real = np.isfinite(score)
+            rows = np.repeat(ids, real.sum(axis=1)) if len(ids) else ids
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(at[real]), pa.array(score[real])], ["query_id", "vec_id", "similarity"])
+
+        return run
+
     out = None
+    rows = queries.where("q is not null")
     for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        scored = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", T.round4(cosine(F.col("q"), F.col("v"))).alias("similarity"))
-        out = scored if out is None else out.unionByName(scored)
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        got = part.select("query_id", "q").toArrow()
+        shared = spark.sparkContext.broadcast((got.column("query_id").to_numpy(), unit(got.column("q").combine_chunks())))
+        found = vectors.where("v is not null").select("vec_id", "v").mapInArrow(best_of(shared), kinds)
+        out = found if out is None else out.unionByName(found)
     return top(out, k, F.desc("similarity"), F.col("vec_id"), by=("query_id",))

@@ -719,3 +719,22 @@ def test_entity_list_detail_and_documents(spark):
     docs = {r.document_id: (r.source_type, r.chapter_index, r.paragraph_index, r.text) for r in memory.retrieval_documents(chunks_, ents, rels, mem).collect()}
     assert docs["chunk::p1"] == ("book_text", 1, 1, "t") and docs["entity::ann"] == ("entity", 1, 1, "Ann Queen rules") and docs["relation::ann|bob"] == ("relation", 2, 9, "Ann knows Bob")
     assert docs["character::bob"] == ("memory_character_arc", 2, 9, "Bob\narc of Bob") and len(docs) == 9
+
+
+@pytest.mark.parametrize("block_rows", [100, 3])
+def test_vector_top_k_equals_plain_python(spark, block_rows):
+    rng = random.Random(4)
+    rows = [(k, [rng.choice((-1.0, 0.0, 0.5, 1.0)) for _ in range(4)]) for k in range(80)] + [(90, None), (91, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    got = retrieval.vector_top_k(df.where("id % 10 = 0").selectExpr("id as query_id", "v as q"), df.selectExpr("id as vec_id", "v"), 7, block_rows)
+    want = set()
+    for q, a in rows:
+        if q % 10 or not a or not any(a):
+            continue
+        near = []
+        for i, b in rows:
+            if i != q and b and any(b):
+                dot = sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5)
+                near.append((-round(dot, 9), i))
+        want |= {(q, i, k + 1) for k, (_, i) in enumerate(sorted(near)[:7])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == want
