@@ -14,10 +14,14 @@ Three ideas recur:
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +31,7 @@ from pyspark.sql.types import IntegralType
 #: Odd multiplier of the polynomial window hash; any odd 64-bit constant will do.
 BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Most hash ranges that a block's hashes are dealt into at once; so a cell has a few KB at least.
 FAN_OUT = 4096
 #: Quantiles of doc_id that ranges of it are cut at; beyond as many blocks, each part between two of them is cut evenly by value.
@@ -37,10 +41,22 @@ LEAVES = 4096
 _in_use: list = [None]
 
 
+def _lean() -> None:
+    """Lets a Python worker give large arrays back to the system as soon as they are free; else it keeps the most that any block has needed, stage after stage."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 19)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library, which may have its own way
+        pass
+
+
 def use(cache):
     """Marks the cache that this worker needs from now on and empties the one before: a worker that runs stage after stage holds one
     stage's cache at a time."""
     if _in_use[0] is not cache:
+        _lean()
         if _in_use[0] is not None:
             _in_use[0].clear()
         _in_use[0] = cache
@@ -296,20 +312,40 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_captured: list[list[str]] = []
+
+
+@contextmanager
+def captured() -> Iterator[list[str]]:
+    """The folders of all tables that stored() writes meanwhile."""
+    made: list[str] = []
+    _captured.append(made)
+    try:
+        yield made
+    finally:
+        _captured[:] = [m for m in _captured if m is not made]
+
+
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/quillspark/{name}-{uuid.uuid4().hex}"
+    for made in _captured:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/quillspark/" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        folder = file.rsplit("/", 1)[0]
+        if "/quillspark/" in folder:
+            delete(df.sparkSession, folder)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -29,7 +29,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark.llm.common import LONG_WORD, discard, others, quoted, stored, table, texts, use
 
@@ -243,28 +242,29 @@ def _rows(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(map(unpacked, blobs)), np.uint8).reshape(-1, TEXT_DIMS + META_DIMS)
 
 
+#: Rows that features and scores are made for at once.
+_ROWS = 1024
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", passed: list[str] | None = None) -> DataFrame:
-    """(c0, c1, ...: the columns in ``passed``, id, h: hash of the content, x: packed features) of every row, stored in the shared folder."""
-    passed = [] if passed is None else passed
-    own = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(passed)])
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([*own, T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("x", T.BinaryType())])
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = zstandard.ZstdCompressor(level=3).compress
-        for whole in batches:
-            for i in range(0, max(1, whole.num_rows), 1024):
-                b = whole.slice(i, 1024)
-                text, source, lang, n = (c.to_pylist() for c in b.columns[-4:])
-                text = texts(text)
-                both = np.hstack([text_features(text), meta_features(text, source, lang, n)])
-                h = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in both], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*b.columns[:-4], pa.array(h, pa.int64()), pa.array([packed(x.tobytes()) for x in both], pa.binary())], names)
-
-    inputs = [*passed, id_col, text_col, source_col, lang_col]
-    picked = docs.select(*[F.col(quoted(c)).alias(f"i{k}") for k, c in enumerate(inputs)], F.col(quoted(size_col)).cast("long").alias("n"))
-    return stored(picked.mapInArrow(run, schema), "features")
+    """(c0, c1, ...: the columns in ``passed``, id, h: hash of the content, x: packed features) of every row, stored in the shared folder. Only what features are made of goes to Python."""
+
+    def run(text: pa.Array, source: pa.Array, lang: pa.Array, n: pa.Array) -> pa.Array:
+        packed, hashes, rows = zstandard.ZstdCompressor(level=3).compress, [], []
+        for i in range(0, len(text), _ROWS):
+            t, *meta = (c.slice(i, _ROWS).to_pylist() for c in (text, source, lang, n))
+            t = texts(t)
+            both = np.hstack([text_features(t), meta_features(t, *meta)])
+            hashes += [xxhash.xxh64_intdigest(x.tobytes()) for x in both]
+            rows += [packed(x.tobytes()) for x in both]
+        h = pa.array(np.array(hashes, np.uint64).view(np.int64), pa.int64())
+        return pa.StructArray.from_arrays([h, pa.array(rows, pa.binary())], ["h", "x"])
+
+    made = F.arrow_udf(run, "h long, x binary")
+    own = [F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(passed or [])]
+    inputs = [F.col(quoted(c)) for c in (text_col, source_col, lang_col)] + [F.col(quoted(size_col)).cast("long")]
+    out = docs.select(*own, F.col(quoted(id_col)).alias("id"), made(*inputs).alias("f"))
+    return stored(out.select(*[f"c{k}" for k in range(len(own))], "id", "f.h", "f.x"), "features")
 
 
 class SparkPool:
@@ -280,7 +280,7 @@ class SparkPool:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             views, known = shared.value
             model, best = QualityModel(views), {(v, c): np.empty(0, np.int64) for v in (0, 1) for c in (0, 1)}
-            for b in batches:
+            for b in (whole.slice(i, _ROWS) for whole in batches for i in range(0, whole.num_rows, _ROWS)):
                 h = b.column(0).to_numpy(zero_copy_only=False)
                 fresh = ~np.isin(h, known)
                 for v, z in enumerate(model.logits(_rows(b.column(1).to_pylist()))):
@@ -317,17 +317,16 @@ def fit(made: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
 
 def judge(made: DataFrame, model: QualityModel) -> DataFrame:
     """made without its features, and text_score, meta_score, score, keep."""
-    kept = T.StructType([f for f in made.schema.fields if f.name not in ("h", "x")])
-    schema = T.StructType([*kept, *[T.StructField(n, T.BooleanType() if n == "keep" else T.DoubleType()) for n in OUT]])
     shared = made.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = shared.value.score(_rows(b.column("x").to_pylist()))
-            new = [pa.array(s.astype(float), pa.float64()) for s in scores] + [pa.array(scores[2] >= shared.value.threshold, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept.names), *new], schema.names)
+    def run(x: pa.Array) -> pa.Array:
+        parts = [shared.value.score(_rows(x.slice(i, _ROWS).to_pylist())) for i in range(0, len(x), _ROWS)]
+        text, meta, score = (np.concatenate([p[k] for p in parts] or [np.empty(0)]).astype(float) for k in range(3))
+        return pa.StructArray.from_arrays([pa.array(text), pa.array(meta), pa.array(score), pa.array(score >= shared.value.threshold, pa.bool_())], OUT)
 
-    return made.select(*kept.names, "x").mapInArrow(run, schema)
+    judged = F.arrow_udf(run, "text_score double, meta_score double, score double, keep boolean")
+    kept = [c for c in made.columns if c not in ("h", "x")]
+    return made.select(*kept, judged("x").alias("judged")).select(*kept, "judged.*")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", **options) -> DataFrame:
