@@ -274,6 +274,18 @@ def test_near_copies(spark):
     assert near_copies.near_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("carried", [2000, 0])
+def test_near_copies_of_a_scattered_group(spark, monkeypatch, carried):
+    """Many copies of one text around 0.8 from each other: all links are found, in small blocks too, and few of the pairs become rows."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    monkeypatch.setattr(near_copies, "CARRIED", carried)
+    rng = random.Random(31)
+    base = words(rng, 150, 5000)
+    rows = [(k, edited(rng, base, rng.randrange(1, 9))) for k in range(120)]
+    got = {r.id: r.component_id for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_copies(rows) and len(set(got.values())) > 1
+
+
 def test_pipeline_stage_drops_a_near_copy_of_080(spark):
     import corpus_pipeline
 
@@ -892,3 +904,35 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         again[r.doc_id] = again.get(r.doc_id, 0) + r.length
     assert again == packed
+
+
+def test_pipeline_clashing_columns_nulls_repeats_and_empty_tables(spark, tmp_path):
+    """Further columns keep their names and values whatever they are called; odd rows and empty tables go through every stage."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    long = words(rng, 30000, 10**6)
+    rows = [(k, words(rng, 40, 10**6), "en", f"s{k % 3}", 9) for k in range(30)]
+    rows += [(30, None, None, None, None), (31, "", "en", "s1", 0), (32, " \n", "en", "s1", 2), (33, long, "en", "s1", len(long)), (34, rows[3][1], "en", "s0", 9), (3, rows[3][1], "en", "s0", 9), (None, rows[4][1], "en", "s1", 9)]
+    named = [n for n in CLASHES if n != "id"] + ["c3", "keep_", "H", "component_id", "contaminated", "Removed_Spans"]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in named)
+    df = spark.createDataFrame([(*r, *[f"{n}-{r[0]}" for n in named]) for r in rows], kinds)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, words(random.Random(5), 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, 1) for k in range(20)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, str(tmp_path)))
+        if name != "packing":
+            assert docs.columns == df.columns and docs.dtypes == df.dtypes
+            seen[name] = docs.collect()
+            assert all(r[n] == f"{n}-{r.doc_id}" for r in seen[name] for n in named)
+    ids = {name: sorted((r.doc_id for r in got), key=str) for name, got in seen.items()}
+    assert 34 not in ids["near_dedup"] and None in ids["near_dedup"] and {30, 31, 32, 33} & set(ids["near_dedup"])
+    assert any(r.text and len(r.text) > 10**5 for r in seen["decontaminate"])
+    assert docs.where("doc_id = 33").agg({"length": "sum"}).first()[0] == len(plain_ids(long)) + 1
+
+    nothing = tmp_path / "nothing"
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{nothing}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(nothing)).count() == 0
