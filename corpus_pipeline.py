@@ -14,13 +14,14 @@ All but the last return the columns they were given, whatever further ones are c
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, near_copies, packing, quality, substring
-from quillspark.llm.common import stored, table
+from quillspark.llm.common import captured, delete, stored, table
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -38,11 +39,36 @@ def _with_text(df: DataFrame, text: str, names: dict[str, str]) -> DataFrame:
     return _renamed(df, names, text=F.col(text), n_chars=F.coalesce(F.length(text), F.lit(0)).cast("long"))
 
 
+#: What stages have stored for results that were not yet written when they returned, by session and input.
+_left: dict[tuple[str, str], list[str]] = {}
+
+
+def _stage(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that, before it begins, deletes what the one before it stored, as that one's result has been written by then; a folder that docs itself reads stays."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        old = _left.pop(key, [])
+        read = docs.inputFiles() if old else []
+        for folder in old:
+            if not any(folder in file for file in read):
+                delete(spark, folder)
+        with captured() as made:
+            out = stage(spark, docs, sf_dir)
+        _left[key] = made
+        return out
+
+    return run
+
+
+@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, names = _numbered(docs)
     return _renamed(quality.score_quality(own, table(spark, sf_dir, "labels")).where("keep"), names)
 
 
+@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, names = _numbered(docs)
     found = near_copies.near_copies(own)
@@ -50,18 +76,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _renamed(own.join(near_copies.few(copies), "doc_id", "left_anti"), names)
 
 
+@_stage
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, names = _numbered(docs)
     cut = substring.dedup_substrings(own)
     return _with_text(cut.where("n_removed = 0 or n_removed < n_words"), "kept_text", names)
 
 
+@_stage
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, names = _numbered(docs)
     hits = decontaminate.find_hits(own, table(spark, sf_dir, "benchmark"), cleaned=True)
     return _with_text(hits.where("not contaminated"), "clean_text", names)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, remember=120_000)  # beside executors whose heaps have grown in the stages before
 
