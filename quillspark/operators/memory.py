@@ -186,11 +186,13 @@ def frequent_ngrams(texts: DataFrame) -> DataFrame:
     free = rf"[\x{{4e00}}-\x{{9fff}}&&[^{BLOCKED_CHARS}]]"
     cut = F.when(F.col("text").rlike(CJK_RUN), F.regexp_replace("text", f"({CJK_RUN}{{80}})", "$1 "))  # nothing reaches across a cut
     grams = [F.regexp_extract_all("cut", F.lit(f"(?=({free}{{{n}}}))"), F.lit(1)) for n in (2, 3, 4)]
-    latin = F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0))
+    latin = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0)), F.lower)
     none = F.array().cast("array<string>")
-    rows = texts.select("doc_id", "text", cut.alias("cut"))
+    # a book's texts are smaller than its n-grams, so those are what moves: counts then need no further exchange
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = texts.repartition(parts, "doc_id").select("doc_id", "text", cut.alias("cut"))
     tokens = rows.select("doc_id", F.explode(F.concat(*[F.coalesce(x, none) for x in (*grams, latin)])).alias("token"))
-    counts = tokens.groupBy("doc_id", F.lower("token").alias("token")).agg(F.count("*").alias("n"))
+    counts = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     more = F.when(F.col("token").rlike("^" + CJK_RUN), (F.length("token") - 2) * 0.18).otherwise(0.0)
     return counts.select("doc_id", "token", (F.col("n") * (1 + more)).alias("weight"))
 
