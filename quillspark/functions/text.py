@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and marker lists that decide where chapters, scenes and packets begin.
@@ -29,6 +29,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def made_once(df: DataFrame, name: str) -> DataFrame:
+    """df with the column as the output of a generator, so that what reads it later (filters, lambdas) reads a value and doesn't bring its expression along."""
+    return df.select(*[F.explode(F.array(name)).alias(name) if c == name else F.col(c) for c in df.columns])
+
+
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 

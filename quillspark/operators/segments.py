@@ -177,10 +177,14 @@ def section_to_chapter(sections: DataFrame) -> DataFrame:
         here, after = F.get(parts, i), F.get(parts, i + 1)
         return (F.length(here) < 50) & (F.length(after) > 80) & ~T.is_heading(here) & ~here.rlike(r"[。！？!?\.]")
 
+    # filters sink below the columns that they read and take those columns' expressions along, one copy a place: into a lambda they would be made anew for each element
+    sections = T.made_once(sections.select("doc_id", "chapter_index", "parts"), "parts").where(F.size("parts") > 0)
     places = F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0)))
     leading = F.aggregate(places, F.lit(0), lambda n, i: F.when((n == i) & F.coalesce(label(i), F.lit(False)), n + 1).otherwise(n))
-    rows = sections.where(F.size("parts") > 0).withColumn("parts", F.slice(parts, leading + 1, F.size(parts)))
+    rows = T.made_once(sections.withColumn("leading", leading), "leading").withColumn("parts", F.slice(parts, F.col("leading") + 1, F.size(parts))).drop("leading")
+    rows = T.made_once(rows, "parts")
     first = F.get("parts", 0)
-    rows = rows.withColumn("title", F.when(T.is_heading(first), first).otherwise(F.concat(F.lit("Chapter "), "chapter_index")))
+    rows = T.made_once(rows.withColumn("title", F.when(T.is_heading(first), first).otherwise(F.concat(F.lit("Chapter "), "chapter_index"))), "title")
     body = F.filter(F.when(T.is_heading(first), F.slice("parts", 2, F.greatest(F.size("parts"), F.lit(1)))).otherwise(F.col("parts")), lambda p: p != F.col("title"))
-    return rows.withColumn("body", body).where(F.size("body") > 0).select("doc_id", "chapter_index", "title", F.array_join("body", "\n").alias("body"))
+    rows = T.made_once(rows.withColumn("body", body), "body")
+    return rows.where(F.size("body") > 0).select("doc_id", "chapter_index", "title", F.array_join("body", "\n").alias("body"))

@@ -108,6 +108,15 @@ def test_snippets_and_dropped_sections(spark):
     assert [(r.title, r.snippet) for r in found] == [("", "intro"), ("Style", "x"), ("Deep", "y"), ("Life", "z z z z z w"), ("Style too", "v"), ("End", "e")]
 
 
+def test_section_to_chapter_makes_a_page_once(spark):
+    """No filter brings the markup's expression along, which then would be made anew for each element of a page."""
+    pages = spark.createDataFrame([(1, 1, "<p>Chapter 1</p><p>Some words.</p>")], "doc_id long, chapter_index long, html string")
+    df = segments.section_to_chapter(pages.select("doc_id", "chapter_index", T.paragraphs(T.markup_to_text("html"), "\n").alias("parts")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("</\\1>") == 1
+    assert [tuple(r) for r in df.collect()] == [(1, 1, "Chapter 1", "Some words.")]
+
+
 def test_section_to_chapter(spark):
     long = "w" * 81
     df = spark.createDataFrame([(1, 1, ["I", "Ana", long, "x"]), (1, 2, ["Chapter 2 Home", "a", "Chapter 2 Home"]), (1, 3, ["Chapter 9"]), (1, 4, []), (1, 5, ["Done.", long])], "doc_id long, chapter_index long, parts array<string>")
