@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,20 +185,88 @@ def frequent_ngrams(texts: DataFrame) -> DataFrame:
     """(doc_id, token, weight): 2- to 4-grams of CJK runs without blocked characters, weight 1 + 0.18 for each character beyond two; Latin
     words of three letters or more, in small letters, weight 1. Runs are cut at 80 characters.
 
-    One scan finds both kinds: overlapping n-grams are what a pattern sees ahead of each place, so blocked characters never make an n-gram, and tokens are
-    counted before anything is weighed."""
-    free = rf"[\x{{4e00}}-\x{{9fff}}&&[^{BLOCKED_CHARS}]]"
-    cut = F.when(F.col("text").rlike(CJK_RUN), F.regexp_replace("text", f"({CJK_RUN}{{80}})", "$1 "))  # nothing reaches across a cut
-    grams = [F.regexp_extract_all("cut", F.lit(f"(?=({free}{{{n}}}))"), F.lit(1)) for n in (2, 3, 4)]
-    latin = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z'-]{2,}"), F.lit(0)), F.lower)
-    none = F.array().cast("array<string>")
-    # a book's texts are smaller than its n-grams, so those are what moves: counts then need no further exchange
+    A book's texts are smaller than its n-grams, so those are what moves, to one task in order of books; counts then are whole and never move. They are made in arrays of numbers, a
+    block of whole books at a time, so that memory is a block or one book, whichever is more."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.repartition(parts, "doc_id").select("doc_id", "text", cut.alias("cut"))
-    tokens = rows.select("doc_id", F.explode(F.concat(*[F.coalesce(x, none) for x in (*grams, latin)])).alias("token"))
-    counts = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    more = F.when(F.col("token").rlike("^" + CJK_RUN), (F.length("token") - 2) * 0.18).otherwise(0.0)
-    return counts.select("doc_id", "token", (F.col("n") * (1 + more)).alias("weight"))
+    rows = texts.where("text is not null").select("doc_id", "text").repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    return rows.mapInArrow(_count_books, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, token string, weight double")
+
+
+def _count_books(batches: Iterator[pa.RecordBatch], block: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if size >= block and d != ids[-1]:
+                yield from _count_block(ids, texts, b.schema.field(0).type)
+                ids, texts, size = [], [], 0
+            ids.append(d)
+            texts.append(t)
+            size += len(t) + 1
+            kind = b.schema.field(0).type
+    if ids:
+        yield from _count_block(ids, texts, kind)
+
+
+def _count_block(ids: list, texts: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """ids in order, one a text."""
+    row = np.zeros(len(ids), np.int64)
+    row[1:] = np.cumsum([a != b for a, b in zip(ids[1:], ids)])
+    books = pa.array([ids[i] for i in np.flatnonzero(np.diff(row, prepend=-1))], kind)
+    c = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le"), np.uint32)
+    book = np.repeat(row, np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    cjk = (c >= 0x4E00) & (c <= 0x9FFF)
+    alphabet = np.unique(c[cjk])
+    bits, book_bits = max(1, (len(alphabet) - 1).bit_length()), max(0, (len(books) - 1).bit_length())
+    if 4 * bits + book_bits > 63 and len(books) > 1:
+        at = int(np.searchsorted(row, len(books) // 2))
+        yield from _count_block(ids[:at], texts[:at], kind)
+        yield from _count_block(ids[at:], texts[at:], kind)
+        return
+
+    def out(books_of: np.ndarray, tokens: pa.Array, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
+        whole = pa.RecordBatch.from_arrays([books.take(pa.array(books_of)), tokens, pa.array(weight)], ["doc_id", "token", "weight"])
+        for i in range(0, whole.num_rows, 1 << 16):
+            yield whole.slice(i, 1 << 16)
+
+    if len(alphabet):
+        place = np.arange(len(c))
+        start = np.maximum.accumulate(np.where(cjk, 0, place + 1))  # where the run that a character stands in begins
+        in_piece = (place - start) % 80  # nothing reaches across a cut
+        free = cjk & ~np.isin(c, np.array([ord(x) for x in BLOCKED_CHARS], np.uint32))
+        rank = np.zeros(len(c), np.int64)
+        rank[cjk] = np.searchsorted(alphabet, c[cjk])
+        good, key = free, rank
+        for n in (2, 3, 4):
+            good, key = good[:-1] & free[n - 1 :], (key[:-1] << bits) | rank[n - 1 :]
+            at = np.flatnonzero(good & (in_piece[: len(good)] + n <= 80))
+            keys, counts = np.unique((book[at] << (n * bits)) | key[at], return_counts=True)
+            if not len(keys):
+                continue
+            chars = alphabet[np.stack([(keys >> (bits * (n - 1 - j))) & ((1 << bits) - 1) for j in range(n)], axis=1)]
+            utf8 = np.stack([0xE0 | (chars >> 12), 0x80 | ((chars >> 6) & 0x3F), 0x80 | (chars & 0x3F)], axis=2).astype(np.uint8)
+            ends = np.arange(len(keys) + 1, dtype=np.int32) * (3 * n)
+            tokens = pa.StringArray.from_buffers(len(keys), pa.py_buffer(ends), pa.py_buffer(utf8.tobytes()))
+            yield from out(keys >> (n * bits), tokens, counts * (1 + (n - 2) * 0.18))
+
+    low = c | 0x20
+    letter = (low >= 97) & (low <= 122) & (c < 128)
+    inside = letter | (c == 39) | (c == 45)
+    edges = np.diff(inside.astype(np.int8), prepend=0)
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)  # the last character is a line's end
+    letters = np.flatnonzero(letter)
+    if len(letters):
+        begin = np.append(letters, len(c))[np.searchsorted(letters, first)]  # a word begins at the first letter of its run
+        long = last - begin >= 3
+        begin, last = begin[long], last[long]
+    if len(letters) and len(begin):
+        mark = np.zeros(len(c) + 1, np.int8)
+        mark[begin] = 1
+        mark[last] -= 1
+        data = np.where(letter, low, c)[np.cumsum(mark[:-1]) > 0].astype(np.uint8)
+        ends = np.append(0, np.cumsum(last - begin)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(ends), pa.py_buffer(data.tobytes())).dictionary_encode()
+        keys, counts = np.unique(book[begin] * len(words.dictionary) + words.indices.to_numpy(), return_counts=True)
+        yield from out(keys // len(words.dictionary), words.dictionary.take(pa.array(keys % len(words.dictionary))), counts * 1.0)
 
 
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import urllib.error
 import zipfile
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -190,6 +191,52 @@ def test_resolution_order(spark):
     assert {r.cand_id: (r.entity_id, r.how) for r in entities.resolve(c, registry).collect()} == {"1": ("e1", "hint"), "2": ("e4", "alias"), "3": ("e2", "fuzzy"), "4": ("entity_luis", "new")}
 
 
+def test_components_within_a_key(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = [(k, f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for k in (1, 2, 3) for _ in range(22)] + [(4, "z", "z")]
+    df = spark.createDataFrame(edges, "k long, source string, target string")
+    got = graph.components_within(df, "k")
+    assert "quillspark-graph" not in got._jdf.queryExecution().toString()
+    want = graph.components(df.selectExpr("concat(k, ':', source) as u", "concat(k, ':', target) as v"))
+    assert sorted((f"{r.k}:{r.node}", f"{r.k}:{r.component}") for r in got.collect()) == sorted(map(tuple, want.collect()))
+
+
+def test_books_meet_in_one_exchange_each(spark):
+    """Plans that go on by book exchange the books' texts and names, and nothing else."""
+    from quillspark.plans import catalog
+
+    for name in ("mem_03_layered_memories", "mem_04_theme_terms", "mem_05_retrieval_documents", "mem_10_map_character"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY" in plan and "ENSURE_REQUIREMENTS" not in plan and "quillspark-graph" not in plan, name
+
+
+def test_frequent_ngrams_explode_nothing(spark):
+    """Tokens are counted in arrays, a block of books at a time, however the books' rows fall into blocks."""
+    import re
+
+    rows = [(d, "".join(chr(0x4E00 + (i * d * 7) % 23) for i in range(100)) + " it's-a -'Word xY' " + "人" * 3) for d in range(1, 9) for _ in range(d)]
+    df = memory.frequent_ngrams(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for d, t in rows:
+        for run in re.findall("[一-鿿]{2,80}", t):
+            for n in (2, 3, 4):
+                for i in range(len(run) - n + 1):
+                    if not set(run[i : i + n]) & set(memory.BLOCKED_CHARS):
+                        want[d, run[i : i + n]] = want.get((d, run[i : i + n]), 0) + 1 + (n - 2) * 0.18
+        for w in re.findall("[A-Za-z][A-Za-z'-]{2,}", t):
+            want[d, w.lower()] = want.get((d, w.lower()), 0) + 1
+    got = {(r.doc_id, r.token): r.weight for r in df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    ids, texts = [d for d, _ in rows], [t for _, t in rows]
+    whole = memory._count_block(ids, texts, pa.int64())
+    split = memory._count_books(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], ["doc_id", "text"])]), block=50)
+    flat = lambda bs: sorted((*r.values(),) for b in bs for r in b.to_pylist())
+    assert flat(whole) == flat(split)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [(f"m{rng.randrange(40)}", f"m{rng.randrange(40)}") for _ in range(25)]
