@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,39 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components: not settled")
 
 
+def components_within(edges: DataFrame, key: str) -> DataFrame:
+    """(key, node, component): as components(), for edges (key, source, target) that never leave a key, such as a book: the edges of one key make one row, whose components are
+    found in one step, so that they move once and nothing is stored."""
+    end = edges.schema["source"].dataType.simpleString()
+    books = edges.groupBy(key).agg(F.collect_set(F.struct("source", "target")).alias("es"))
+
+    def run(batches):
+        for whole in batches:
+            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                at, nodes, labels = [], [], []
+                for i, es in enumerate(b.column(1).to_pylist()):
+                    root = {}
+
+                    def find(x):
+                        while root[x] != x:
+                            root[x] = x = root[root[x]]
+                        return x
+
+                    for e in es:
+                        u, v = e["source"], e["target"]
+                        root.setdefault(u, u)
+                        root.setdefault(v, v)
+                        u, v = find(u), find(v)
+                        root[max(u, v)] = min(u, v)  # a root is the smallest of its component
+                    at += [i] * len(root)
+                    nodes += root
+                    labels += map(find, list(root))
+                kind = b.schema.field(1).type.value_type.field(0).type
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(nodes, kind), pa.array(labels, kind)], [key, "node", "component"])
+
+    return books.mapInArrow(run, f"{key} {edges.schema[key].dataType.simpleString()}, node {end}, component {end}")
+
+
 def runs(chapters: DataFrame, key: str, order: str, names: str) -> DataFrame:
     """Maximal runs of consecutive chapters that share a name with the one before: adds run, from 1."""
     w = Window.partitionBy(key).orderBy(order)

@@ -227,8 +227,9 @@ walk(node, reach) AS (SELECT u, u FROM b UNION SELECT walk.node, b.v FROM walk J
 SELECT node, min(reach) AS component FROM walk GROUP BY 1""",
 )
 def grf_07(spark, sf_dir):
-    e = text_edges(spark, sf_dir)
-    return G.components(e.select(F.concat_ws(":", "doc_id", "source").alias("u"), F.concat_ws(":", "doc_id", "target").alias("v")))
+    """No edge leaves its book."""
+    c = G.components_within(text_edges(spark, sf_dir).select("doc_id", "source", "target"), "doc_id")
+    return c.select(F.concat_ws(":", "doc_id", "node").alias("node"), F.concat_ws(":", "doc_id", "component").alias("component"))
 
 
 SG_CTE = f"""{EP_CTE}, ch AS (SELECT doc_id, chapter_index, list_sort(list_distinct(flatten(list(names)))) AS names FROM ep GROUP BY 1, 2),
