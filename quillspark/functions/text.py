@@ -107,9 +107,9 @@ def sentences(c: Column | str) -> Column:
 
 def slugify(c: Column | str, separator: str = "_", fallback: str = "unknown", ascii_only: bool = False) -> Column:
     kept = "[^a-z0-9]+" if ascii_only else r"[^a-z0-9\x{4e00}-\x{9fff}]+"
-    s = F.regexp_replace(F.lower(strip(c)), kept, separator)
-    s = F.regexp_replace(s, f"^{separator}+|{separator}+$", "")
-    return F.coalesce(F.nullif(s, F.lit("")), F.lit(fallback))
+    # white space around turns into separators, which go; each step reads the one before once, so that none is made twice
+    s = F.btrim(F.regexp_replace(F.lower(col(c)), kept, separator), F.lit(separator)) if len(separator) == 1 else F.regexp_replace(F.regexp_replace(F.lower(col(c)), kept, separator), f"^({separator})+|({separator})+$", "")
+    return F.coalesce(F.regexp_replace(s, "^$", fallback), F.lit(fallback))
 
 
 def collapse(c: Column | str) -> Column:
