@@ -18,7 +18,7 @@ _R3 = "floor(({}) * 1000 + 0.5) / 1000"
 
 
 def _texts(spark, sf_dir):
-    return paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", "text")
+    return paragraphs(spark, sf_dir, by_book=True).select("doc_id", "paragraph_index", "text")
 
 
 _SPANS = "string_agg(s.paragraph_index || ':' || s.pos, ',' ORDER BY s.paragraph_index, s.ord)"
@@ -53,7 +53,7 @@ _ZH = f"translate(regexp_replace(lower(text), '[^aeioudnst ]', '', 'g'), '{_ALPH
 
 def _cjk(spark, sf_dir):
     bare = F.regexp_replace(F.lower("text"), "[^aeioudnst ]", "")
-    return paragraphs(spark, sf_dir).select("doc_id", F.col("paragraph_index").alias("ord"), F.translate(bare, *_ALPHABET).alias("text"))
+    return paragraphs(spark, sf_dir, by_book=True).select("doc_id", F.col("paragraph_index").alias("ord"), F.translate(bare, *_ALPHABET).alias("text"))
 
 
 _ZT = f"zt AS (SELECT doc_id, paragraph_index AS ord, {_ZH} AS text FROM p)"
@@ -90,7 +90,7 @@ me AS (SELECT * FROM m1_ UNION ALL SELECT * FROM m2_ UNION ALL SELECT * FROM m3_
 def layers(spark, sf_dir, found):
     zh = _cjk(spark, sf_dir)
     texts = zh.select("doc_id", F.col("ord").alias("paragraph_index"), "text")
-    return M.layered_memories(paragraphs(spark, sf_dir), found, entities(spark, sf_dir, found), text_edges(spark, sf_dir, found), M.theme_terms(zh), texts, _MARKERS)
+    return M.layered_memories(paragraphs(spark, sf_dir, by_book=True), found, entities(spark, sf_dir, found), text_edges(spark, sf_dir, found), M.theme_terms(zh), texts, _MARKERS)
 
 
 def _lists(df):
@@ -99,7 +99,7 @@ def _lists(df):
 
 @query("mem_03_layered_memories", f"WITH {_ME} SELECT * REPLACE (array_to_string(entity_ids, ',') AS entity_ids, array_to_string(relation_ids, ',') AS relation_ids, array_to_string(evidence, ',') AS evidence) FROM me")
 def mem_03(spark, sf_dir):
-    return _lists(layers(spark, sf_dir, G.shared_table(slugged(spark, sf_dir), "names")))
+    return _lists(layers(spark, sf_dir, slugged(spark, sf_dir)))
 
 
 @query("mem_05_retrieval_documents", f"""WITH {_ME} SELECT doc_id, 'chunk::p' || paragraph_index AS document_id, 'book_text' AS source_type, chapter_index, paragraph_index, text FROM p UNION ALL
@@ -107,10 +107,10 @@ SELECT doc_id, 'entity::' || slug, 'entity', first_chapter, first_paragraph, nam
 SELECT doc_id, 'relation::' || source || '|' || target, 'relation', (valid_at - 1) // 8 + 1, valid_at, source || ' SPOKE_WITH ' || target FROM te UNION ALL
 SELECT doc_id, memory_id, 'memory_' || memory_type, chapter_index, paragraph_index, title || chr(10) || summary FROM me""")
 def mem_05(spark, sf_dir):
-    found = G.shared_table(slugged(spark, sf_dir), "names")
+    found = slugged(spark, sf_dir)
     ents = entities(spark, sf_dir, found).withColumn("aliases", F.array(F.concat(F.lit("x"), "slug"), F.upper("slug"))).withColumn("summary", F.col("type"))
     rel = text_edges(spark, sf_dir, found).selectExpr("doc_id", "source", "target", "concat(source, ' SPOKE_WITH ', target) as fact", "floor((valid_at - 1) / 8) + 1 as valid_chapter", "valid_at as valid_paragraph")
-    return M.retrieval_documents(paragraphs(spark, sf_dir), ents, rel, layers(spark, sf_dir, found))
+    return M.retrieval_documents(paragraphs(spark, sf_dir, by_book=True), ents, rel, layers(spark, sf_dir, found))
 
 
 _EMBEDDING = "CASE WHEN doc_id % 4 = 0 THEN 'none' WHEN doc_id % 4 = 1 THEN 'no_endpoint' WHEN doc_id % 8 = 2 THEN 'failed: timeout' ELSE 'ready' END"
@@ -149,7 +149,7 @@ FROM r LEFT JOIN ent a ON a.doc_id = r.doc_id AND a.slug = source LEFT JOIN ent
 UNION ALL SELECT me.doc_id, w.slug, 'memory', memory_id, summary FROM me JOIN w ON w.doc_id = me.doc_id AND list_contains(entity_ids, w.slug) WHERE memory_type = 'character_arc'""")
 def mem_09(spark, sf_dir):
     """The details of all characters mentioned more than once."""
-    found = G.shared_table(slugged(spark, sf_dir), "names")
+    found = slugged(spark, sf_dir)
     ents = entities(spark, sf_dir, found)
     wanted = ents.where("type = 'character' and mention_count > 1").select("doc_id", "slug")
     rel = text_relations(spark, sf_dir, found).withColumn("valid_paragraph", F.col("valid_at"))
@@ -180,7 +180,7 @@ SELECT * FROM nd UNION ALL SELECT * FROM eg UNION ALL SELECT * FROM cd"""
 
 def _map(scope, chapter, paragraph, limit):
     def run(spark, sf_dir):
-        found = G.shared_table(slugged(spark, sf_dir), "names")
+        found = slugged(spark, sf_dir)
         ents = entities(spark, sf_dir, found)
         seeds = None
         if scope == "character":
@@ -266,7 +266,7 @@ SELECT doc_id, 'node' AS kind, slug AS key, mention_count AS n FROM nd UNION ALL
 
 def _view(chapter, paragraph, limit, from_chapter, min_weight, max_edges):
     def run(spark, sf_dir):
-        found = G.shared_table(slugged(spark, sf_dir), "names")
+        found = slugged(spark, sf_dir)
         at = F.floor((F.col("valid_at") - 1) / 8) + 1
         rel = text_edges(spark, sf_dir, found).withColumn("valid_chapter", at).withColumn("valid_paragraph", F.col("valid_at")).withColumn("chapter_index", at)
         nodes, edges = G.view(entities(spark, sf_dir, found), rel, chapter, paragraph, limit, from_chapter, min_weight, max_edges)

@@ -22,10 +22,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if tasks < cores and tasks * 4 <= cores else df
 
 
-def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, chapter_index, paragraph_index, text): non-blank lines of documents, eight to a chapter."""
+def paragraphs(spark: SparkSession, sf_dir: str, by_book: bool = False) -> DataFrame:
+    """(doc_id, chapter_index, paragraph_index, text): non-blank lines of documents, eight to a chapter.
+
+    by_book: for plans that go on by book. The texts move once, each book to one task, and what is made of them stays there: groups, windows and joins within a
+    book need no further exchange, and branches of one plan share this one."""
     lines = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")
-    out = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(lines).alias("pos", "text"))
+    books = table(spark, sf_dir, "documents").select("doc_id", "text")
+    books = books.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id") if by_book else spread(books)
+    out = books.select("doc_id", F.posexplode(lines).alias("pos", "text"))
     at = (F.col("pos") + 1).cast("long")
     return out.select("doc_id", (F.floor(F.col("pos") / CHAPTER_PARAGRAPHS) + 1).alias("chapter_index"), at.alias("paragraph_index"), "text")
 
@@ -41,9 +46,16 @@ P_CTE = rf"""p AS (
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, chapter_index, paragraph_index, ord, name): candidate names of each paragraph, in order of appearance."""
-    p = paragraphs(spark, sf_dir)
-    return p.select("doc_id", "chapter_index", "paragraph_index", F.posexplode(T.candidate_names("text")).alias("pos", "name")).select(
+    """(doc_id, chapter_index, paragraph_index, ord, name): candidate names of each paragraph, in order of appearance.
+
+    They are found where a book is read and move once, a book's in one value to one task. All branches of a plan read both columns of that
+    exchange, so they share it, and what they do within a book needs no other."""
+    lines = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")
+    books = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.transform(lines, lambda x: T.candidate_names(x)).alias("names"))
+    books = T.made_once(books, "names").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    p = books.select("doc_id", F.posexplode("names").alias("line", "names"))
+    p = p.select("doc_id", (F.floor(F.col("line") / CHAPTER_PARAGRAPHS) + 1).alias("chapter_index"), (F.col("line") + 1).cast("long").alias("paragraph_index"), "names")
+    return p.select("doc_id", "chapter_index", "paragraph_index", F.posexplode("names").alias("pos", "name")).select(
         "doc_id", "chapter_index", "paragraph_index", (F.col("pos") + 1).cast("long").alias("ord"), "name"
     )
 
