@@ -106,7 +106,7 @@ u AS (SELECT doc_id, chapter_index, 0 AS part, k, 'chunk' AS kind, text FROM ck
 SELECT doc_id, chapter_index, row_number() OVER (PARTITION BY doc_id, chapter_index ORDER BY part, k) AS place, kind, text FROM u QUALIFY place <= 12""")
 def ans_06(spark, sf_dir):
     """Inputs of the summaries of chapters 1 and 2, each as its reader would see it: facts are those of the last six episodes so far."""
-    found = G.shared_table(slugged(spark, sf_dir), "names")
+    found = G.shared_table(slugged(spark, sf_dir, by_book=False), "names")
     eps = found.where("chapter_index <= 2").select("doc_id", "chapter_index", "paragraph_index").distinct()
     reader = eps.select("doc_id", "paragraph_index", F.explode(F.filter(F.array(F.lit(1), F.lit(2)), lambda c: c >= F.col("chapter_index"))).alias("chapter_index"))
     recent = R.top(reader, 6, F.desc("paragraph_index"), by=("doc_id", "chapter_index")).select("doc_id", "chapter_index", F.col("paragraph_index").alias("valid_at"))

@@ -21,8 +21,8 @@ en AS (SELECT doc_id, lower(name) AS slug, min(name) AS name, count(*) AS mentio
 ent AS (SELECT *, {_TYPE} AS type, f[1] AS first_chapter, f[2] AS first_paragraph, l[1] AS last_chapter, l[2] AS last_paragraph FROM en)"""
 
 
-def slugged(spark, sf_dir):
-    return mentions(spark, sf_dir).withColumn("slug", F.lower("name"))
+def slugged(spark, sf_dir, by_book=True):
+    return mentions(spark, sf_dir, by_book).withColumn("slug", F.lower("name"))
 
 
 def entities(spark, sf_dir, found_names=None):
@@ -283,7 +283,7 @@ UNION ALL SELECT doc_id, 'density_relations', chapter_index::VARCHAR, 0, r FROM
 SELECT doc_id, section, name, CAST(rank AS BIGINT) AS rank, CAST(n AS BIGINT) AS n FROM al""",
 )
 def grf_10(spark, sf_dir):
-    found = G.shared_table(slugged(spark, sf_dir), "names")
+    found = G.shared_table(slugged(spark, sf_dir, by_book=False), "names")
     return G.stats(episodes(spark, sf_dir, found), entities(spark, sf_dir, found), text_relations(spark, sf_dir, found))
 
 

@@ -45,14 +45,15 @@ P_CTE = rf"""p AS (
       SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS ls FROM documents)))"""
 
 
-def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mentions(spark: SparkSession, sf_dir: str, by_book: bool = True) -> DataFrame:
     """(doc_id, chapter_index, paragraph_index, ord, name): candidate names of each paragraph, in order of appearance.
 
     They are found where a book is read and move once, a book's in one value to one task. All branches of a plan read both columns of that
-    exchange, so they share it, and what they do within a book needs no other."""
+    exchange, so they share it, and what they do within a book needs no other. by_book False: for plans that store them, without that exchange."""
     lines = F.filter(F.transform(F.split("text", "\n"), T.strip), lambda x: x != "")
     books = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.transform(lines, lambda x: T.candidate_names(x)).alias("names"))
-    books = T.made_once(books, "names").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    books = T.made_once(books, "names")
+    books = books.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id") if by_book else books
     p = books.select("doc_id", F.posexplode("names").alias("line", "names"))
     p = p.select("doc_id", (F.floor(F.col("line") / CHAPTER_PARAGRAPHS) + 1).alias("chapter_index"), (F.col("line") + 1).cast("long").alias("paragraph_index"), "names")
     return p.select("doc_id", "chapter_index", "paragraph_index", F.posexplode("names").alias("pos", "name")).select(
