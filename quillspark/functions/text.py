@@ -164,7 +164,8 @@ def word_runs(c: Column | str) -> Column:
 
 def candidate_names(c: Column | str, most: int = 5) -> Column:
     """First distinct words of one capital and two small ASCII letters or more, without common openers."""
-    names = F.regexp_extract_all(col(c), F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]{2,}(?![\p{L}\p{N}_])"), F.lit(0))
+    # the capital first, so that other characters cost one comparison
+    names = F.regexp_extract_all(col(c), F.lit(r"[A-Z](?<![\p{L}\p{N}_][A-Z])[a-z]{2,}+(?![\p{L}\p{N}_])"), F.lit(0))
     return F.slice(F.array_except(names, F.array(*map(F.lit, NAME_STOPWORDS))), 1, most)  # distinct, in order of appearance
 
 

@@ -10,7 +10,7 @@ from quillspark.operators import graph as G
 from quillspark.operators import retrieval as R
 from quillspark.plans.graphs import SPOILER_HINTS, TE_CTE, slugged, text_edges
 from quillspark.plans.registry import query
-from quillspark.plans.retrieval import RC, TH, retrieval, text_hits
+from quillspark.plans.retrieval import RC, TH, book_lines, retrieval, text_hits
 from quillspark.plans.views import P_CTE, paragraphs, sql_strip, table
 
 _R3 = "floor(({}) * 1000 + 0.5) / 1000"
@@ -27,10 +27,11 @@ fi AS (SELECT doc_id, paragraph_index, min((part, ord, source_type, score)) AS x
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY x[1], x[2], paragraph_index) AS rank FROM fi QUALIFY rank <= 10)
 SELECT rk.doc_id, rank, rk.paragraph_index, x[3] AS source_type, x[4] AS score, {_clip('text', 180)} AS quote FROM rk JOIN p ON p.doc_id = rk.doc_id AND p.paragraph_index = rk.paragraph_index""")
 def ans_01(spark, sf_dir):
-    texts = paragraphs(spark, sf_dir).select("doc_id", "paragraph_index", "text")
-    contexts = text_hits(spark, sf_dir).select("doc_id", "paragraph_index", "score", F.col("rank").alias("ord")).join(texts, ["doc_id", "paragraph_index"])
-    graph = retrieval(spark, sf_dir).reranked().select("doc_id", "paragraph_index", "score", F.col("rank").alias("ord")).join(texts, ["doc_id", "paragraph_index"])
-    return A.citations(contexts, graph)
+    lines = book_lines(spark, sf_dir, stored=True)
+    texts = paragraphs(spark, sf_dir).where("chapter_index <= 2").select("doc_id", "paragraph_index", "text")
+    contexts = text_hits(lines).select("doc_id", "paragraph_index", "score", F.col("rank").alias("ord"))
+    graph = retrieval(spark, sf_dir, lines).reranked().select("doc_id", "paragraph_index", "score", F.col("rank").alias("ord"))
+    return A.citations(contexts, graph, texts)
 
 
 _MIX = "text || ' 山水人' || CASE WHEN turn % 2 = 0 THEN '这个心月' ELSE '' END"

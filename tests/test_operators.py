@@ -794,3 +794,54 @@ def test_vector_top_k_equals_plain_python(spark, block_rows):
                 near.append((-round(dot, 9), i))
         want |= {(q, i, k + 1) for k, (_, i) in enumerate(sorted(near)[:7])}
     assert {(r.query_id, r.vec_id, r["rank"]) for r in got.collect()} == want
+
+
+# plans that stay within a book
+
+
+def exchanges(df):
+    """Shuffles of the plan, broadcasts left out."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"\bExchange ", plan))
+
+
+@pytest.fixture
+def two_books(tmp_path, spark):
+    line = "Then Ana met Bob and Carl, that is the chapter of the sea."
+    text = "\n".join([line] * 3 + ["Dora and Ana saw the end of it."] * 10 + ["Ana met Bob again. Zoe came."] * 6)
+    spark.createDataFrame([(1, text), (2, "Ana Bob\n\n the end"), (3, None), (None, line)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_graph_retrieval_moves_a_book_once(spark, two_books):
+    from quillspark.plans import catalog
+
+    assert exchanges(catalog.QUERIES["ret_07_rerank"](spark, two_books)) <= 1
+    assert exchanges(catalog.QUERIES["ret_08_context"](spark, two_books)) <= 2
+    assert not os.path.isdir(spark.conf.get("spark.checkpoint.dir") + "/quillspark-graph") or not [n for n in os.listdir(spark.conf.get("spark.checkpoint.dir") + "/quillspark-graph") if n.startswith(("support", "episodes", "entity_hits"))]
+
+
+def test_graph_retrieval_of_tables_equals_that_of_lines(spark, two_books):
+    from quillspark.plans import graphs, views
+    from quillspark.plans import retrieval as plans
+
+    found = graphs.slugged(spark, two_books)
+    texts = views.paragraphs(spark, two_books).select("doc_id", "paragraph_index", "text")
+    eps = graphs.episodes(spark, two_books, found).join(texts, ["doc_id", "paragraph_index"])
+    a = retrieval.GraphRetrieval(eps, graphs.entities(spark, two_books, found), graphs.text_edges(spark, two_books, found), plans.QUERY, 2, 12)
+    b = plans.retrieval(spark, two_books)
+    for stage in ("seen", "episode_hits", "support", "chapter_hits", "entity_hits", "relation_hits", "expansion", "reranked"):
+        one, other = (sorted(map(tuple, getattr(r, stage)().collect()), key=str) for r in (a, b))
+        assert one == other and one, stage
+    scores = {(h[0], h[2]): h[3] for h in b.relation_hits().collect()}
+    assert scores[1, "ana|bob"] == 1.4 and scores[2, "ana|bob"] == 0.4  # three times and more, in the best episodes; once, elsewhere
+
+
+def test_citations_and_merged_contexts_move_no_texts_to_rank_them(spark, two_books):
+    from quillspark.plans import catalog
+
+    cited = catalog.QUERIES["ans_01_citations"](spark, two_books)
+    plan = cited._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("documents") <= 1 and exchanges(cited) <= 7
+    merged = catalog.QUERIES["ret_13_merge_contexts"](spark, two_books)
+    assert "text#" not in merged._jdf.queryExecution().optimizedPlan().toString() and exchanges(merged) <= 8
