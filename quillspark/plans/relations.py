@@ -102,8 +102,8 @@ def rel_04(spark, sf_dir):
     return _keys(R.normalize_facts(text_facts(spark, sf_dir))).select("doc_id", "paragraph_index", "signature")
 
 
-def star_facts(spark, sf_dir):
-    directed = star_edges(spark, sf_dir).withColumn("directionality", F.lit("directed")).withColumn("state_slot", F.lit("membership"))
+def star_facts(spark, sf_dir, asked="true"):
+    directed = star_edges(spark, sf_dir, asked).withColumn("directionality", F.lit("directed")).withColumn("state_slot", F.lit("membership"))
     return _keys(directed)
 
 
@@ -113,9 +113,9 @@ ed AS (SELECT source, target, relation_type || '|' || state_family || '|' || sou
 sup AS (SELECT *, f[1] AS valid_at, lead(f[1]) OVER w AS invalid_at, lead(signature) OVER w AS invalidated_by FROM ed WINDOW w AS (PARTITION BY state_key ORDER BY f))"""
 
 
-def star_relations(spark, sf_dir):
-    """Edges of the star schema in reference mode, with their validity."""
-    return R.supersede(R.edges(star_facts(spark, sf_dir), ORD)).withColumn("valid_at", F.col("first.valid_at"))
+def star_relations(spark, sf_dir, asked="true"):
+    """Edges of the star schema in reference mode, with their validity. asked: a condition on the customers (o_custkey) whose edges are wanted; others don't touch theirs."""
+    return R.supersede(R.edges(star_facts(spark, sf_dir, asked), ORD)).withColumn("valid_at", F.col("first.valid_at"))
 
 
 @query("rel_05_edges", f"WITH {ED_CTE} SELECT signature, weight, f[1] AS valid_at, confidence FROM ed")

@@ -72,10 +72,10 @@ m AS (SELECT doc_id, chapter_index, paragraph_index, name, row_number() OVER (PA
   FROM m1 QUALIFY row_number() OVER (PARTITION BY doc_id, paragraph_index ORDER BY i) <= 5)"""
 
 
-def star_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and their lines as facts: customer (source) deals with supplier (target) from the ship date on."""
+def star_edges(spark: SparkSession, sf_dir: str, asked: str = "true") -> DataFrame:
+    """Orders and their lines as facts: customer (source) deals with supplier (target) from the ship date on. asked: a condition on orders."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "l_quantity", "l_discount")
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    orders = table(spark, sf_dir, "orders").where(asked).select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     return lines.join(orders, "l_orderkey").select(
         F.concat(F.lit("c"), F.col("o_custkey")).alias("source"),
         F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"),

@@ -872,3 +872,10 @@ def test_vector_search_holds_few_similarities(spark):
     assert found.num_rows == 30_000 and peak < 120e6  # all similarities at once took several times 98 MB
     small = next(retrieval.best_vectors(np.arange(3000), q, iter([batch]), 10, cells=700_000))
     assert found.equals(small)
+
+
+def test_pair_lookup_makes_the_asked_customers_relations_only(spark):
+    from quillspark.plans import catalog
+
+    plan = catalog.QUERIES["grf_05_pair_lookup"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"\(o_custkey#\d+L? % 100\) = 0", plan)) == plan.count("Relation [o_orderkey") > 1  # wherever orders are read
