@@ -29,8 +29,9 @@ SELECT rk.doc_id, rank, rk.paragraph_index, x[3] AS source_type, x[4] AS score,
 def ans_01(spark, sf_dir):
     lines = book_lines(spark, sf_dir, stored=True)
     texts = paragraphs(spark, sf_dir).where("chapter_index <= 2").select("doc_id", "paragraph_index", "text")
-    contexts = text_hits(lines).select("doc_id", "paragraph_index", "score", F.col("rank").alias("ord"))
-    graph = retrieval(spark, sf_dir, lines).reranked().select("doc_id", "paragraph_index", "score", F.col("rank").alias("ord"))
+    books = retrieval(spark, sf_dir, lines)
+    contexts = books.each_book(lambda doc, lines, hits: [(*h, i) for i, h in enumerate(text_hits(lines), 1)], {"paragraph_index": "long", "score": "double", "ord": "long"})
+    graph = books.reranked().select("doc_id", "paragraph_index", "score", F.col("rank").alias("ord"))
     return A.citations(contexts, graph, texts)
 
 
